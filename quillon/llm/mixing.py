@@ -2,14 +2,15 @@
 
 Every document of a source has the inclusion target/source_size: its whole part is taken as repeats, its
 fraction is decided by the flight phase, which keeps the sums of words and of documents. Flights run in groups of
-bounded size; what they leave open (two documents a group at most) flies again, until one group a source remains
-and lands.
+bounded size; what they leave open (two documents a group and the few held back for the landing) flies again, until one group
+a source remains, whose open documents land by the best of all choices.
 """
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,14 +55,25 @@ def flight(p: list[float], size: list[float], rng: random.Random) -> list[float]
         open_ = [k for k in open_ if 0 < p[k] < 1]
 
 
+def held_back(p: list[float], size: list[float], keep: int) -> set[int]:
+    """Up to `keep` open documents, half the largest and half spaced over the sizes: the landing chooses among them."""
+    open_ = sorted((k for k, x in enumerate(p) if EPS < x < 1 - EPS), key=lambda k: (size[k], k))
+    half = keep // 2
+    return {*open_[-half:], *(open_[len(open_) * j // half] for j in range(half))} if len(open_) > keep else set(open_)
+
+
 def land(p: list[float], size: list[float]) -> list[float]:
-    """Rounds what is still open (a few) so that the words stay nearest to their sum, then the documents."""
+    """Decides the open documents (a few) by trying every choice: words nearest to their sum, then documents."""
     open_ = [k for k, x in enumerate(p) if 0 < x < 1]
+    if not open_:
+        return p
+    s = np.array([size[k] for k in open_])
     words, docs = sum(p[k] * size[k] for k in open_), sum(p[k] for k in open_)
-    best = min(range(1 << len(open_)), key=lambda m: (abs(words - sum(size[k] for j, k in enumerate(open_) if m >> j & 1)), abs(docs - bin(m).count("1")), m))
-    p = p[:]
+    take = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    cost = np.abs(take @ s - words) + 0.1 * max(s.mean(), 1) * np.abs(take.sum(1) - docs)
+    best, p = take[int(np.argmin(cost))], p[:]
     for j, k in enumerate(open_):
-        p[k] = float(best >> j & 1)
+        p[k] = float(best[j])
     return p
 
 
@@ -85,7 +97,7 @@ def targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     return t.select("source", "source_size", "docs", "target").unionByName(sizes.filter("source_size = 0").withColumn("target", F.lit(0.0)).select("source", "source_size", "docs", "target"))
 
 
-def mix_sources(sized: DataFrame, cap: float = 3.0, group: int = 2048, seed: int = 11) -> DataFrame:
+def mix_sources(sized: DataFrame, cap: float = 3.0, group: int = 2048, seed: int = 11, keep: int = 14) -> DataFrame:
     """doc_id, source, size -> doc_id, source, size, source_size, target, taken; one row for each row.
 
     sized must be a stored table (it is read several times). A source of size 0, or null, is a source like others.
@@ -106,11 +118,12 @@ def mix_sources(sized: DataFrame, cap: float = 3.0, group: int = 2048, seed: int
             rng = random.Random(f"{seed} {level} {t['source'][0].as_py()} {t['doc_id'][0].as_py()} {len(p)}")
             order = list(range(len(p)))
             rng.shuffle(order)
-            flown = flight([p[k] for k in order], [float(size[k]) for k in order], rng)
-            if last:
-                flown = land(flown, [float(size[k]) for k in order])
-            for k, x in zip(order, flown):
+            back = held_back(p, size, keep)
+            order = [k for k in order if k not in back]
+            for k, x in zip(order, flight([p[k] for k in order], [float(size[k]) for k in order], rng)):
                 p[k] = x
+            if last:
+                p = land(p, [float(x) for x in size])
             return t.set_column(6, "p", pa.array(p, pa.float64()))
 
         return run
