@@ -31,7 +31,7 @@ def hashed(buf: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray, np
 
 
 def features_of(sample: DataFrame, bits: int) -> DataFrame:
-    """text, label -> the document's distinct features and their counts."""
+    """text, label, order -> the document's distinct features and their counts."""
 
     def run(batches):
         for batch in batches:
@@ -44,13 +44,14 @@ def features_of(sample: DataFrame, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(label[lo:hi], pa.int32()),
+                        batch.column("order").slice(lo, hi - lo),
                         pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pa.array(idx)),
                         pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pa.array(count)),
                     ],
-                    names=["label", "idx", "count"],
+                    names=["label", "order", "idx", "count"],
                 )
 
-    return sample.mapInArrow(run, "label int, idx array<int>, count array<int>")
+    return sample.mapInArrow(run, "label int, order long, idx array<int>, count array<int>")
 
 
 class Ftrl:
@@ -108,21 +109,20 @@ class ToxicityModel:
         return {k: v for k, v in self.__dict__.items() if k != "_w"}
 
 
-def fit(labelled: DataFrame, per_class: int = 4000, bits: int = 20, passes: int = 6, seed: int = 7) -> ToxicityModel:
-    """Trains on labelled (key, text, label 0/1): at most `per_class` rows of each label, those of the smallest key hash.
+def fit(sample: DataFrame, bits: int = 20, passes: int = 6, seed: int = 7) -> ToxicityModel:
+    """Trains on every row of sample (text, label 0/1, order), which goes to the driver as hashed counts.
 
-    The bound holds for training only: the sample goes to the driver as hashed counts. With no row, or one label only, the scores follow from the bias.
+    `order` fixes the order of training, so that reruns agree. With no row, or one label only, the scores follow from
+    the bias.
     """
-    rows = labelled.filter("label in (0, 1)").select("label", "text", F.xxhash64(F.col("key").cast("string"), F.lit(seed)).alias("_h"))
-    parts = [rows.filter(F.col("label") == y).orderBy("_h", "text").limit(per_class) for y in (0, 1)]
-    got = features_of(parts[0].unionByName(parts[1]).select("label", "text"), bits).toArrow()
-    data = [(i.values.to_numpy(), damp(c.values.to_numpy().astype(float)), y) for y, i, c in zip(got["label"].to_pylist(), got["idx"], got["count"])]
-    model, order = Ftrl(bits), np.random.default_rng(seed)
-    # The collected order is not fixed; sort by content so that reruns agree.
-    data.sort(key=lambda d: (d[2], len(d[0]), d[0].tobytes(), d[1].tobytes()))
+    got = features_of(sample, bits).toArrow()
+    order = np.argsort(got["order"].to_numpy(), kind="stable")
+    label, idx, count = got["label"].to_numpy(), got["idx"].combine_chunks(), got["count"].combine_chunks()
+    at, idx, count = idx.offsets.to_numpy(), idx.values.to_numpy(), count.values.to_numpy()
+    model, rng = Ftrl(bits), np.random.default_rng(seed)
     for _ in range(passes):
-        for k in order.permutation(len(data)):
-            model.step(*data[k])
+        for k in order[rng.permutation(len(order))]:
+            model.step(idx[at[k] : at[k + 1]], damp(count[at[k] : at[k + 1]]), float(label[k]))
     return ToxicityModel(model.weights(), model.bias, bits)
 
 
@@ -140,11 +140,20 @@ def score(df: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     return df.select(*cols).mapInArrow(run, schema)
 
 
-def train(documents: DataFrame, labels: DataFrame, **how) -> ToxicityModel:
-    """Fits on the labels of documents outside the held-out fold (crc32 of doc_id modulo 5 is 0)."""
-    lab = labels.filter(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    docs = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return fit(docs.join(lab, "doc_id").select(F.col("doc_id").alias("key"), "text", "label"), **how)
+def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, seed: int = 7, **how) -> ToxicityModel:
+    """Fits on labelled documents outside the held-out fold (crc32 of doc_id modulo 5 is 0).
+
+    At most `per_class` documents of each label are taken, those of the smallest key hash; the bound is for training
+    only. As it bounds the sampled keys, these are broadcast and no text is shuffled.
+    """
+    lab = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    lab = lab.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(seed)))
+    keys = None
+    for y in (0, 1):
+        part = lab.filter(F.col("label") == y).orderBy("order", "doc_id").limit(per_class)
+        keys = part if keys is None else keys.unionByName(part)
+    sample = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(keys), "doc_id")
+    return fit(sample.select("text", "label", "order"), seed=seed, **how)
 
 
 def op6(documents: DataFrame, labels: DataFrame) -> DataFrame:
