@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, mixing, near_dedup, quality, token_counts, toxicity
+from . import decontaminate, exact_dedup, language, mixing, near_dedup, quality, repeats, token_counts, toxicity
 from .common import table
 
 
@@ -40,5 +40,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language, op4_token_counts, op5_near_dedup, op6_toxicity, op7_quality, op8_decontaminate, op9_mixing)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language, op4_token_counts, op5_near_dedup, op6_toxicity, op7_quality, op8_decontaminate, op9_mixing, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op8_decontaminate": decontaminate.SQL}
