@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, mixing, near_dedup, quality, repeats, token_counts, toxicity
+from . import decontaminate, exact_dedup, language, mixing, near_dedup, quality, repeats, secrets, token_counts, toxicity
 from .common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language, op4_token_counts, op5_near_dedup, op6_toxicity, op7_quality, op8_decontaminate, op9_mixing, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_language, op4_token_counts, op5_near_dedup, op6_toxicity, op7_quality, op8_decontaminate, op9_mixing, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op8_decontaminate": decontaminate.SQL}
