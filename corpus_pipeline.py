@@ -1,20 +1,50 @@
-"""A corpus clean-up over `documents`: each stage works on all that its predecessor kept."""
+"""A corpus clean-up over `documents`: each stage works on all that its predecessor kept.
+
+Toxic documents go, then exact copies, then near copies (five-word shingles, similarity of 0.8 or more; one document of
+each group stays), then documents with a passage of the benchmark; the rest is mixed to the sources' target weights.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-#: Trained and sampled stages are not expressible in SQL.
+from quillon.llm import decontaminate, exact_dedup, mixing, near_dedup
+from quillon.llm import toxicity as toxic
+from quillon.llm.common import table, written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, trained on the labelled ones among docs, does not reject."""
+    model = toxic.train(docs, table(spark, sf_dir, "labels"))
+    return toxic.score(docs, model, docs.columns).filter("predicted = 0").select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.kept_documents(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # 48 bands of 6 coordinates miss a link at similarity 0.8 with probability 5e-7.
+    return near_dedup.kept_documents(docs, percent=80, count=48, rows=6)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per document left: doc_id, size, source_size, target, taken, source."""
+    return mixing.op9(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", benchmark), ("mixing", mix)]
+#: Trained, sketched and sampled stages are not expressible in SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.llm.common import written
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    """All stages over sf_dir's documents; each result but the last is stored and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
