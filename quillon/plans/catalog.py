@@ -1,3 +1,551 @@
-"""Queries by name."""
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries of the operators over the driver's tables, and the same in DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars, vectors
+from ..functions.hashing import normal, uniform
+from ..operators import gallery, metrics, pairs, sampling, stats, transforms, views, windows
+from .tables import event_scores, gallery_scores, link_pairs, read, signal, vector_segments
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def h(*keys: str, seed: object = 0) -> str:
+    """hash_52 in DuckDB."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)}, '{seed}')), 1, 13) AS BIGINT)"
+
+
+def u(*keys: str, seed: object = 0) -> str:
+    return f"({h(*keys, seed=seed)} / 4503599627370496.0)"
+
+
+def norm(*keys: str, seed: object = 0) -> str:
+    a, b = (f"(({h(*keys, seed=f'{seed}{s}')} + 1) / 4503599627370497.0)" for s in "ab")
+    return f"(sqrt(-2 * ln({a})) * cos(2 * pi() * {b}))"
+
+
+# Common table expressions shared by the oracles.
+SEG = "seg AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+POS = f"""pos AS (SELECT label AS record, ref_a, ref_b FROM (SELECT a.label, a.vec_id AS ref_a, b.vec_id AS ref_b, row_number() OVER (PARTITION BY a.label ORDER BY {h('a.label', 'a.vec_id', 'b.vec_id', seed=42)}, a.vec_id, b.vec_id) AS rn
+  FROM seg a JOIN seg b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id >= 5) WHERE rn <= 30)"""
+NEG = f"""rk AS (SELECT vec_id, label, row_number() OVER (ORDER BY {h('vec_id', seed=42)}, vec_id) AS rn, count(*) OVER () AS m FROM seg),
+dr AS (SELECT d, {h('d', seed='42x')} % (SELECT max(m) FROM rk) + 1 AS x, {h('d', seed='42y')} % (SELECT max(m) FROM rk) + 1 AS y FROM range(6000) t(d)),
+neg AS (SELECT key_a, key_b FROM (SELECT least(p.vec_id, q.vec_id) AS key_a, greatest(p.vec_id, q.vec_id) AS key_b, min(d) AS d FROM dr JOIN rk p ON p.rn = x JOIN rk q ON q.rn = y WHERE p.label <> q.label GROUP BY 1, 2) ORDER BY d, key_a, key_b LIMIT 300)"""
+COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-8)"
+LINK = f"""{SEG}, {POS}, {NEG},
+pairs AS (SELECT ref_a AS key_a, ref_b AS key_b, 1 AS label FROM pos UNION ALL SELECT key_a, key_b, 0 FROM neg),
+link AS (SELECT key_a, key_b, pairs.label, round({COS}, 6) AS score FROM pairs JOIN seg a ON a.vec_id = key_a JOIN seg b ON b.vec_id = key_b)"""
+
+
+def curve_sql(source: str, by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    comma = f"{by}, " if by else ""
+    return f"""cs AS (SELECT {comma}score, sum(label) AS p, sum(1 - label) AS n FROM {source} GROUP BY {comma}score),
+cv AS (SELECT *, sum(p) OVER ({part}ORDER BY score DESC) AS tp, sum(n) OVER ({part}ORDER BY score DESC) AS fp, sum(p) OVER ({part or ''}) AS pos, sum(n) OVER ({part or ''}) AS neg FROM cs)"""
+
+
+AUC = "round(sum(n * (tp - p / 2.0)) / (max(pos) * max(neg)), 6)"
+AP = "round(sum(p * tp / (tp + fp)) / max(pos), 6)"
+EER = "round(arg_min((fp / neg + 1 - tp / pos) / 2, (abs(fp / neg - 1 + tp / pos), -score)), 6)"
+TPR = "round(coalesce(max(CASE WHEN fp / neg <= {0} THEN tp / pos END), 0), 6)"
+GALLERY = f"""{SEG},
+tr AS (SELECT q, record, c FROM (SELECT a.vec_id AS q, a.label AS record, b.vec_id AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY {h('a.vec_id', 'b.vec_id', seed=42)}, b.vec_id) AS rn FROM seg a JOIN seg b ON a.label = b.label AND a.vec_id <> b.vec_id AND abs(a.vec_id - b.vec_id) >= 5) WHERE rn = 1 ORDER BY {h('q', seed=42)}, q LIMIT 100),
+ci AS (SELECT label, row_number() OVER (ORDER BY {h('label', seed=42)}, label) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT label FROM seg)),
+pk AS (SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed='42pick')}, vec_id) AS rn FROM seg) WHERE rn = 1),
+wr AS (SELECT q, (ci.place + 1 + ({h('q', seed='42start')} % (n - 1) + i) % (n - 1)) % n AS place FROM tr JOIN ci ON ci.label = tr.record, range(9) t(i) WHERE i < n - 1),
+ga AS (SELECT q AS query, c AS candidate, 1 AS label FROM tr UNION ALL SELECT q, pk.vec_id, 0 FROM wr JOIN ci USING (place) JOIN pk USING (label)),
+gs AS (SELECT query, candidate, ga.label, round({COS}, 6) AS score FROM ga JOIN seg a ON a.vec_id = query JOIN seg b ON b.vec_id = candidate),
+gr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM gs)"""
+SIG = "sig AS (SELECT user_id AS record, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value FROM events)"
+SLIDE = f"{SIG}, n AS (SELECT record, max(idx) + 1 AS n FROM sig GROUP BY 1), sl AS (SELECT sig.record, k AS segment, k * 8 AS start, idx - k * 8 AS idx, value FROM sig JOIN n USING (record), range(0, 200) t(k) WHERE k * 8 + 16 <= n AND idx >= k * 8 AND idx < k * 8 + 16)"
+EV = f"ev AS (SELECT event_id, user_id, CAST(event_type = 'purchase' AS INT) AS label, round({u('event_id', seed=1)}, 3) AS score FROM events)"
+
+
+# --- splits and samples
+
+HOLD = f"SELECT o_custkey, row_number() OVER (ORDER BY {h('o_custkey', seed=42)}, o_custkey) <= ceil(count(*) OVER () * 0.2) AS is_test FROM (SELECT DISTINCT o_custkey FROM orders)"
+
+
+@query(HOLD)
+def group_holdout(spark, sf):
+    return sampling.group_holdout(read(spark, sf, "orders"), "o_custkey", 0.2, 42)
+
+
+@query(f"""WITH g AS (SELECT o_custkey, min(o_orderstatus) AS o_orderstatus FROM orders GROUP BY 1), f AS (SELECT min(c) < 2 OR count(*) < 2 AS fall FROM (SELECT count(*) AS c FROM g GROUP BY o_orderstatus))
+SELECT o_custkey, o_orderstatus, CASE WHEN (SELECT fall FROM f) THEN row_number() OVER (ORDER BY {h('o_custkey', seed=7)}, o_custkey) <= ceil(count(*) OVER () * 0.25)
+ELSE row_number() OVER (PARTITION BY o_orderstatus ORDER BY {h('o_custkey', seed=7)}, o_custkey) <= ceil(count(*) OVER (PARTITION BY o_orderstatus) * 0.25) END AS is_test FROM g""")
+def stratified_group_holdout(spark, sf):
+    return sampling.stratified_group_holdout(read(spark, sf, "orders"), "o_custkey", "o_orderstatus", 0.25, 7)
+
+
+@query(f"""WITH a AS ({HOLD}), b AS (SELECT o_custkey, row_number() OVER (ORDER BY {h('o_custkey', seed=43)}, o_custkey) <= ceil(count(*) OVER () * (0.2 / (1 - 0.2))) AS v FROM a WHERE NOT is_test)
+SELECT o_custkey, 'test' AS part FROM a WHERE is_test UNION ALL SELECT o_custkey, CASE WHEN v THEN 'val' ELSE 'train' END FROM b""")
+def three_way_split(spark, sf):
+    return sampling.three_way_split(read(spark, sf, "orders"), "o_custkey", 0.2, 0.2, 42)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n_overlap, count(DISTINCT o_custkey) AS n_groups FROM orders")
+def split_disjoint_check(spark, sf):
+    s = sampling.three_way_split(read(spark, sf, "orders"), "o_custkey", 0.2, 0.2, 42)
+    a, b = s.filter("part = 'train'"), s.filter("part <> 'train'")
+    return sampling.overlap(a, b, "o_custkey").agg(F.count("*").alias("n_overlap")).crossJoin(s.agg(F.count_distinct("o_custkey").alias("n_groups")))  # one row each
+
+
+@query(f"SELECT p_partkey, p_brand FROM part ORDER BY {h('p_partkey', seed=3)}, p_partkey LIMIT 100")
+def sample_rows(spark, sf):
+    return sampling.sample(read(spark, sf, "part"), "p_partkey", 100, 3).select("p_partkey", "p_brand")
+
+
+@query(f"WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY {h('c_custkey', seed=3)}, c_custkey) AS rn, count(*) OVER () AS m FROM customer) SELECT d AS draw, c_custkey FROM range(500) t(d) JOIN r ON rn = {h('d', seed=3)} % m + 1")
+def sample_with_replacement(spark, sf):
+    return sampling.sample_replaced(read(spark, sf, "customer"), "c_custkey", 500, 3).select("draw", "c_custkey")
+
+
+@query(f"""WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {h('c_custkey', seed=5)}, c_custkey) AS rn FROM customer),
+o AS (SELECT *, CAST(floor({h('c_custkey', seed='5fill')} / 2.0) AS BIGINT) + CASE WHEN rn <= 15 THEN 0 ELSE 2251799813685248 END AS o FROM r)
+SELECT c_custkey, c_mktsegment FROM o ORDER BY o, c_custkey LIMIT 77""")
+def balanced_sample(spark, sf):
+    return sampling.balanced_sample(read(spark, sf, "customer"), "c_custkey", "c_mktsegment", 77, 5, 5).select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2")
+def top_k_per_group(spark, sf):
+    return sampling.top_k(read(spark, sf, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 2).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
+def keep_last(spark, sf):
+    return sampling.keep_last(read(spark, sf, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderdate")
+
+
+@query("SELECT c_nationkey, side FROM (SELECT c_nationkey, 'first' AS side FROM (SELECT c_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT s_nationkey, 'second' FROM (SELECT s_nationkey FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer))")
+def set_differences(spark, sf):
+    return sampling.set_differences(read(spark, sf, "customer").select("c_nationkey"), read(spark, sf, "supplier").select(F.col("s_nationkey").alias("c_nationkey")))
+
+
+# --- pairs and galleries
+
+
+@query(f"WITH {SEG}, {POS} SELECT CAST(record AS INT) AS label, ref_a, ref_b FROM pos")
+def capped_positive_pairs(spark, sf):
+    return pairs.positive_pairs(vector_segments(spark, sf), "label", "ref", gap=5, per_record=30, seed=42)
+
+
+@query(f"WITH {SEG} SELECT a.label, count(*) AS n_pairs FROM seg a JOIN seg b ON a.label = b.label AND a.vec_id <> b.vec_id AND abs(a.vec_id - b.vec_id) >= 50 GROUP BY 1")
+def ordered_gallery_pairs(spark, sf):
+    return pairs.ordered_pairs(vector_segments(spark, sf), "label", "ref", 50).groupBy("label").agg(F.count("*").alias("n_pairs"))
+
+
+@query(f"WITH {SEG}, {NEG} SELECT key_a, key_b FROM neg")
+def random_negative_pairs(spark, sf):
+    return pairs.random_negatives(vector_segments(spark, sf), "vec_id", "label", 300, seed=42)
+
+
+CENTROID = f"{SEG}, ce AS (SELECT label, i, avg(v[i]) AS x FROM seg, range(1, 65) t(i) GROUP BY 1, 2), di AS (SELECT a.label, b.label AS neighbour, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS distance FROM ce a JOIN ce b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2)"
+
+
+@query(f"WITH {CENTROID} SELECT label, neighbour, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, neighbour) AS rn FROM di) WHERE rn <= 3")
+def knn_records(spark, sf):
+    return pairs.nearest_records(vector_segments(spark, sf), "label", "v", 3).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {CENTROID}, nn AS (SELECT DISTINCT least(label, neighbour) AS r1, greatest(label, neighbour) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, neighbour) AS rn FROM di) WHERE rn <= 3),
+pk AS (SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed=42)}, vec_id) AS rn FROM seg) WHERE rn = 1)
+SELECT least(a.vec_id, b.vec_id) AS key_a, greatest(a.vec_id, b.vec_id) AS key_b FROM nn JOIN pk a ON a.label = r1 JOIN pk b ON b.label = r2 ORDER BY {h('least(a.vec_id, b.vec_id)', 'greatest(a.vec_id, b.vec_id)', seed=42)}, 1, 2 LIMIT 10""")
+def knn_negative_pairs(spark, sf):
+    return pairs.hard_negatives(vector_segments(spark, sf), "vec_id", "label", "v", 10, 3, 42)
+
+
+@query(f"WITH {LINK} SELECT key_a, key_b, label, score FROM link")
+def cosine_scores(spark, sf):
+    return link_pairs(spark, sf)
+
+
+@query(f"WITH {SEG}, {POS} SELECT ref_a AS key_a, ref_b AS key_b, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i]))), 6) AS total, round(abs(a.v[1] - b.v[1]), 6) AS first FROM pos JOIN seg a ON a.vec_id = ref_a JOIN seg b ON b.vec_id = ref_b")
+def absdiff_features(spark, sf):
+    seg = vector_segments(spark, sf)
+    pos = pairs.positive_pairs(seg, "label", "ref", gap=5, per_record=30, seed=42).select(F.col("ref_a").alias("key_a"), F.col("ref_b").alias("key_b"))
+    out = pairs.pair_features(pos, seg, "vec_id", "v")
+    return out.select("key_a", "key_b", F.round(vectors.total("features"), 6).alias("total"), F.round(F.get("features", F.lit(0)), 6).alias("first"))
+
+
+@query(f"WITH {GALLERY} SELECT query, candidate, label, score FROM gs")
+def gallery_candidates(spark, sf):
+    return gallery_scores(spark, sf)
+
+
+@query(f"WITH {GALLERY} SELECT count(*) AS queries, round(avg(1.0 / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS INT)), 6) AS recall_at_1, round(avg(CAST(rank <= 5 AS INT)), 6) AS recall_at_5, round(avg(CAST(rank <= 10 AS INT)), 6) AS recall_at_10 FROM gr WHERE label = 1")
+def rank_metrics(spark, sf):
+    m = gallery.ranking_metrics(gallery_scores(spark, sf))
+    return m.select("queries", *(F.round(c, 6).alias(c) for c in m.columns[1:]))
+
+
+@query(f"WITH {GALLERY}, p AS (SELECT query, sum(label) AS t, sum(CASE WHEN rank <= 3 THEN label ELSE 0 END) AS hits, avg(CASE WHEN label = 1 THEN 1.0 / rank END) AS rr FROM gr GROUP BY 1) SELECT round(avg(hits / 3.0), 6) AS precision, round(avg(hits / greatest(t, 1)), 6) AS recall, round(avg(rr), 6) AS mean_reciprocal_rank FROM p")
+def selection_quality(spark, sf):
+    m = gallery.selection_quality(gallery_scores(spark, sf), 3)
+    return m.select(*(F.round(c, 6).alias(c) for c in m.columns))
+
+
+@query(f"""WITH {GALLERY}, mb AS (SELECT query, candidate, 'link_selected' AS condition FROM gr WHERE rank <= 3 UNION ALL SELECT query, candidate, 'oracle' FROM gs WHERE label = 1
+UNION ALL SELECT query, candidate, 'random' FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {h('query', 'candidate', seed=42)}, candidate) AS rn FROM gs WHERE label = 0) WHERE rn <= 3
+UNION ALL SELECT DISTINCT query, query, unnest(['single', 'oracle', 'link_selected', 'random']) FROM gs)
+SELECT query, condition, round(avg(v[1]), 6) AS first, round(avg(v[64]), 6) AS last FROM mb JOIN seg ON vec_id = candidate GROUP BY 1, 2""")
+def linked_view_mean(spark, sf):
+    out = gallery.linked_views(gallery_scores(spark, sf), vector_segments(spark, sf), "vec_id", "v", 3, 42)
+    return out.select("query", "condition", F.round(F.get("view", F.lit(0)), 6).alias("first"), F.round(F.get("view", F.lit(63)), 6).alias("last"))
+
+
+# --- metrics
+
+METRICS = f"{AUC} AS roc_auc, {AP} AS average_precision, {EER} AS eer, {TPR.format(0.01)} AS tpr_at_fpr_0010, {TPR.format(0.1)} AS tpr_at_fpr_0100"
+
+
+def _rounded(df: DataFrame, *skip: str) -> DataFrame:
+    return df.select(*(F.col(c) if c in skip or dict(df.dtypes)[c] != "double" else F.round(c, 6).alias(c) for c in df.columns))
+
+
+@query(f"WITH {LINK}, {curve_sql('link')} SELECT {METRICS} FROM cv")
+def pair_curve_metrics(spark, sf):
+    return _rounded(metrics.curve_metrics(link_pairs(spark, sf)))
+
+
+@query(f"WITH {EV}, {curve_sql('ev')} SELECT {METRICS} FROM cv")
+def event_curve_metrics(spark, sf):
+    return _rounded(metrics.curve_metrics(event_scores(spark, sf)))
+
+
+@query(f"WITH {EV}, ek AS (SELECT user_id % 5 AS k, label, score FROM ev), {curve_sql('ek', 'k')} SELECT k, {METRICS} FROM cv GROUP BY k")
+def grouped_curve_metrics(spark, sf):
+    return _rounded(metrics.curve_metrics(event_scores(spark, sf).withColumn("k", F.col("user_id") % 5), ["k"]))
+
+
+@query(f"WITH {LINK}, {curve_sql('link')}, m AS (SELECT {AUC} AS roc_auc, {AP} AS average_precision FROM cv), {GALLERY.replace(SEG + ',', '')} SELECT roc_auc, average_precision, (SELECT round(avg(1.0 / rank), 6) FROM gr WHERE label = 1) AS mrr FROM m")
+def link_metrics(spark, sf):
+    """The flagship: pairs, scores, exact ROC-AUC and average precision, and the reciprocal rank in a gallery."""
+    c = metrics.curve(link_pairs(spark, sf)).agg(F.round(metrics.roc_auc(), 6).alias("roc_auc"), F.round(metrics.average_precision(), 6).alias("average_precision"))
+    return c.crossJoin(gallery.ranking_metrics(gallery_scores(spark, sf)).select(F.round("mrr", 6).alias("mrr")))  # one row each
+
+
+CONF = "sum(CAST(y AND h AS INT)) AS tp, sum(CAST(NOT y AND h AS INT)) AS fp, sum(CAST(y AND NOT h AS INT)) AS fn, sum(CAST(NOT y AND NOT h AS INT)) AS tn"
+
+
+@query(f"""WITH {EV}, c AS (SELECT {CONF} FROM (SELECT label = 1 AS y, score >= 0.5 AS h FROM ev))
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
+round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2, 6) AS macro_f1 FROM c""")
+def confusion_metrics(spark, sf):
+    return _rounded(metrics.confusion(event_scores(spark, sf), F.col("score") >= 0.5))
+
+
+@query(f"""WITH {EV}, t AS (SELECT k / 20.0 AS threshold, label = 1 AS y, score >= k / 20.0 AS h FROM ev, range(1, 20) t(k)), c AS (SELECT threshold, {CONF} FROM t GROUP BY 1)
+SELECT round(threshold, 6) AS threshold, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c ORDER BY 2 * tp / (2 * tp + fp + fn) DESC, threshold LIMIT 1""")
+def best_threshold(spark, sf):
+    return _rounded(metrics.best_threshold(event_scores(spark, sf)))
+
+
+@query(f"WITH {EV} SELECT user_id, max(label) AS label, round(avg(score), 6) AS score FROM ev GROUP BY 1")
+def record_score_mean(spark, sf):
+    return _rounded(metrics.record_scores(event_scores(spark, sf), "user_id"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse, round(1 - sum(e * e) / (var_pop(c_acctbal) * count(*)), 4) AS r2 FROM (SELECT *, c_acctbal - c_custkey AS e FROM customer) GROUP BY 1")
+def regression_metrics(spark, sf):
+    m = metrics.regression(read(spark, sf, "customer"), "c_acctbal", "c_custkey", ["c_mktsegment"])
+    return m.select("c_mktsegment", "n", *(F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")))
+
+
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS b FROM lineitem)
+SELECT round(corr(a, b), 6) AS spearman FROM r""")
+def spearman(spark, sf):
+    return _rounded(metrics.spearman(read(spark, sf, "lineitem"), "l_quantity", "l_discount"))
+
+
+# --- views and checked joins
+
+
+@query("""WITH w AS (SELECT l_orderkey FROM lineitem WHERE l_linenumber IN (1, 2, 3) GROUP BY 1 HAVING count(DISTINCT l_linenumber) = 3)
+SELECT l_orderkey, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 4) AS l_extendedprice FROM lineitem WHERE l_linenumber IN (1, 2, 3) AND l_orderkey IN (SELECT l_orderkey FROM w) GROUP BY 1""")
+def complete_view_mean(spark, sf):
+    v = views.complete_view(read(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", [1, 2, 3], ["l_quantity", "l_extendedprice"])
+    return v.select("l_orderkey", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_extendedprice", 4).alias("l_extendedprice"))
+
+
+@query("SELECT o_custkey, CAST(max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS utility FROM orders GROUP BY 1")
+def utility_only_view(spark, sf):
+    return views.utility_only_view(read(spark, sf, "orders"), "o_custkey", "o_orderstatus", "F")
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_keys(spark, sf):
+    return views.missing_keys(read(spark, sf, "documents"), read(spark, sf, "labels"), "doc_id")
+
+
+@query("SELECT count(*) AS rows, count(quality) AS quality_known, count(toxic) AS toxic_known FROM documents LEFT JOIN labels USING (doc_id)")
+def demographic_coverage(spark, sf):
+    return views.coverage(read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left"), ["quality", "toxic"])
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderstatus) AS values FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
+def constant_in_group(spark, sf):
+    return views.constant_in_group(read(spark, sf, "orders"), "o_custkey", "o_orderstatus")
+
+
+@query("SELECT d.doc_id, coalesce(l.toxic, CAST(d.n_chars % 2 AS INT)) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def masked_update(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("toxic"))
+    return views.updated(docs, read(spark, sf, "labels").dropDuplicates(["doc_id"]), ["doc_id"], ["toxic"])
+
+
+# --- signals
+
+
+@query(f"WITH {SLIDE} SELECT record, CAST(segment AS INT) AS segment, CAST(start AS INT) AS start, CAST(idx AS INT) AS idx, value FROM sl")
+def sliding_windows(spark, sf):
+    return windows.sliding(signal(spark, sf), 16, 8).withColumn("idx", F.col("idx").cast("int"))
+
+
+@query(f"WITH {SIG} SELECT record, CAST(idx AS INT) AS idx, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END, 6) AS z FROM sig WINDOW w AS (PARTITION BY record)")
+def zscore_record(spark, sf):
+    return windows.zscore(signal(spark, sf)).select("record", "idx", F.round("z", 6).alias("z"))
+
+
+@query(f"""WITH {SLIDE} SELECT record, CAST(segment AS INT) AS segment, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(max(value) - min(value), 6) AS amplitude, round(sum(value * value), 4) AS energy,
+round(skewness(value), 6) AS skewness, round(kurtosis(value), 6) AS kurtosis, round(sum(value) - (arg_min(value, idx) + arg_max(value, idx)) / 2, 6) AS area, round(avg(abs(value)), 6) AS abs_mean, round(sqrt(avg(value * value)), 6) AS rms,
+round(coalesce(avg(c), 0), 6) AS zero_crossing_rate FROM (SELECT *, CAST((value < 0) <> (lag(value) OVER (PARTITION BY record, segment ORDER BY idx) < 0) AS INT) AS c FROM sl) GROUP BY 1, 2""")
+def segment_features(spark, sf):
+    f = windows.segment_features(windows.sliding(signal(spark, sf), 16, 8), ["record", "segment"])
+    return f.select("record", "segment", *(F.round(c, 4 if c == "energy" else 6).alias(c) for c in f.columns[2:]))
+
+
+@query(f"""WITH {SIG}, d AS (SELECT *, value - lag(value) OVER (PARTITION BY record ORDER BY idx) AS d FROM sig), e AS (SELECT *, d - lag(d) OVER (PARTITION BY record ORDER BY idx) AS dd FROM d)
+SELECT record, count(d) AS n_intervals, round(avg(d), 6) AS mean_interval, round(stddev_pop(d), 6) AS sd_interval, round(sqrt(avg(dd * dd)), 6) AS rmssd FROM e GROUP BY 1""")
+def lag_diff_features(spark, sf):
+    return _rounded(windows.lag_features(signal(spark, sf), ["record"]).drop("rate"))
+
+
+@query(f"""WITH {SIG}, b AS (SELECT record, idx, lag(value, 2) OVER (PARTITION BY record ORDER BY idx) AS v FROM sig)
+SELECT record, round(greatest(max(c), -1), 6) AS max_lag_correlation FROM (SELECT a.record, l, corr(a.value, b.v) AS c FROM sig a, range(-3, 4) t(l), b WHERE b.record = a.record AND b.idx = a.idx + l AND b.v IS NOT NULL GROUP BY 1, 2) GROUP BY 1""")
+def max_lag_corr(spark, sf):
+    from pyspark.sql import Window
+
+    a = signal(spark, sf)
+    b = a.withColumn("value", F.lag("value", 2).over(Window.partitionBy("record").orderBy("idx"))).dropna()
+    return _rounded(windows.max_lag_correlation(a, b, ["record"], 3))
+
+
+@query("SELECT l_orderkey, round(avg(l_quantity), 6) AS global_mean_l_quantity, round(stddev_pop(l_quantity), 6) AS global_std_l_quantity, min(l_quantity) AS global_min_l_quantity, max(l_quantity) AS global_max_l_quantity FROM lineitem GROUP BY 1")
+def cross_channel_features(spark, sf):
+    return _rounded(windows.across(read(spark, sf, "lineitem"), ["l_orderkey"], ["l_quantity"]))
+
+
+@query("SELECT o_custkey, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS lead_F_total, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 4) AS lead_O_total FROM orders GROUP BY 1")
+def wide_features(spark, sf):
+    t = read(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.round(F.sum("o_totalprice"), 4).alias("total"))
+    return windows.wide(t, ["o_custkey"], "o_orderstatus", ["F", "O"], ["total"])
+
+
+@query(f"WITH {SIG}, n AS (SELECT record, max(idx) + 1 AS n FROM sig GROUP BY 1) SELECT record, CAST(k AS INT) AS segment, CAST(k * 20 AS INT) AS start_sample, CAST(k * 20 + 40 AS INT) AS end_sample FROM n, range(0, 200) t(k) WHERE k * 20 + 40 <= n")
+def segment_ranges(spark, sf):
+    n = signal(spark, sf).groupBy("record").agg((F.max("idx") + 1).alias("n"))
+    return windows.segment_ranges(n, "n", 40, 20)
+
+
+@query(f"WITH {SIG} SELECT record, count(*) AS samples, true AS rate_ok, abs(count(*) / 10.0 - 6) < 1e-6 AS duration_ok, true AS finite FROM sig GROUP BY 1")
+def signal_quality(spark, sf):
+    return windows.quality(signal(spark, sf), 10.0, 10.0, 6.0)
+
+
+# --- transforms
+
+COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _lineitem(spark, sf):
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *COLS)
+
+
+def _fitted(spark, sf, method, **how):
+    d = _lineitem(spark, sf)
+    return d.select("l_orderkey", "l_linenumber", *(F.round(x, 6).alias(c) for x, c in zip(transforms.fit(d, COLS, method, **how).expressions(), COLS)))
+
+
+def _each(form: str) -> str:
+    return "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({form.replace('$', c)}, 6) AS {c}" for c in COLS) + " FROM lineitem"
+
+
+@query(_each("($ - (SELECT avg($) FROM lineitem)) / (SELECT stddev_pop($) FROM lineitem)"))
+def standard_scale(spark, sf):
+    return _fitted(spark, sf, "standard")
+
+
+@query(_each("($ - (SELECT median($) FROM lineitem)) / (SELECT quantile_cont($, 0.75) - quantile_cont($, 0.25) FROM lineitem)"))
+def robust_scale(spark, sf):
+    return _fitted(spark, sf, "robust")
+
+
+@query(_each("($ - (SELECT min($) FROM lineitem)) / (SELECT max($) - min($) FROM lineitem)"))
+def minmax_scale(spark, sf):
+    return _fitted(spark, sf, "minmax")
+
+
+@query(_each("least(greatest($, (SELECT quantile_cont($, 0.01) FROM lineitem)), (SELECT quantile_cont($, 0.99) FROM lineitem))"))
+def winsorize(spark, sf):
+    return _fitted(spark, sf, "winsorization")
+
+
+@query(_each("round_even($, 1)"))
+def quantize(spark, sf):
+    return _fitted(spark, sf, "quantization", decimals=1)
+
+
+@query("""WITH x AS (SELECT doc_id, CASE WHEN toxic = 1 THEN NULL ELSE CAST(n_chars AS DOUBLE) END AS n FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, round((coalesce(n, (SELECT median(n) FROM x)) - (SELECT avg(coalesce(n, (SELECT median(n) FROM x))) FROM x)) / (SELECT stddev_pop(coalesce(n, (SELECT median(n) FROM x))) FROM x), 6) AS n FROM x""")
+def median_impute(spark, sf):
+    d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left").select("doc_id", F.when(F.coalesce(F.col("toxic"), F.lit(0)) != 1, F.col("n_chars").cast("double")).alias("n"))
+    return _rounded(transforms.fit(d, ["n"], "standard").transform(d))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * least(1, 2.0 / greatest(sqrt(list_dot_product(v, v)), 1e-12)))), 6) AS total, round(v[1] * least(1, 2.0 / greatest(sqrt(list_dot_product(v, v)), 1e-12)), 6) AS first FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)")
+def l2_clip(spark, sf):
+    c = vector_segments(spark, sf).select("vec_id", vectors.clip_norm("v", 2.0).alias("c"))
+    return c.select("vec_id", F.round(vectors.total("c"), 6).alias("total"), F.round(F.get("c", F.lit(0)), 6).alias("first"))
+
+
+@query("SELECT vec_id, round(v[1] * least(1, 3.0 / greatest(list_sum(list_transform(v, lambda x: abs(x))), 1e-12)), 6) AS first FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)")
+def l1_clip(spark, sf):
+    return vector_segments(spark, sf).select("vec_id", F.round(F.get(vectors.clip_norm("v", 3.0, "l1"), F.lit(0)), 6).alias("first"))
+
+
+@query(f"SELECT o_orderkey, round({norm('o_orderkey', seed=9)}, 6) AS z, round({u('o_orderkey', seed=9)}, 6) AS u FROM orders")
+def hash_noise(spark, sf):
+    return read(spark, sf, "orders").select("o_orderkey", F.round(normal("o_orderkey", seed=9), 6).alias("z"), F.round(uniform("o_orderkey", seed=9), 6).alias("u"))
+
+
+SIGMA = scalars.gaussian_sigma(50.0, 1e-5, 2.0)
+DPZ = "((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_pop(o_totalprice) FROM orders))"
+
+
+@query(f"SELECT o_orderkey, round({DPZ} * least(1, 2.0 / greatest(abs({DPZ}), 1e-12)) + {SIGMA!r} * {norm('o_orderkey', chr(39) + 'o_totalprice' + chr(39), seed=0)}, 5) AS o_totalprice FROM orders")
+def gaussian_release(spark, sf):
+    d = read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return transforms.fit(d, ["o_totalprice"], "dp_gaussian_l2").transform(d, "o_orderkey").withColumn("o_totalprice", F.round("o_totalprice", 5))
+
+
+# --- summaries
+
+
+@query("SELECT o_orderstatus, count(DISTINCT o_orderpriority) AS n_seeds, round(avg(o_totalprice), 4) AS o_totalprice_mean, round(stddev_samp(o_totalprice), 4) AS o_totalprice_std FROM orders GROUP BY 1")
+def seed_rollup(spark, sf):
+    r = stats.rollup(read(spark, sf, "orders"), ["o_orderstatus"], ["o_totalprice"], "o_orderpriority")
+    return r.select("o_orderstatus", "n_seeds", *(F.round(c, 4).alias(c) for c in r.columns[2:]))
+
+
+@query(f"""WITH m AS (SELECT o_orderstatus, o_orderpriority, avg(o_totalprice) AS x FROM orders GROUP BY 1, 2)
+SELECT o_orderstatus, count(*) AS n, round(avg(x), 4) AS mean, round(avg(x) - {stats.T_975[4]!r} * stddev_samp(x) / sqrt(count(*)), 4) AS low, round(avg(x) + {stats.T_975[4]!r} * stddev_samp(x) / sqrt(count(*)), 4) AS high FROM m GROUP BY 1""")
+def t_interval(spark, sf):
+    m = read(spark, sf, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("o_totalprice").alias("x"))
+    r = stats.t_interval(m, ["o_orderstatus"], "x")
+    return r.select("o_orderstatus", "n", *(F.round(c, 4).alias(c) for c in ("mean", "low", "high")))
+
+
+PAIRED = "WITH m AS (SELECT o_orderstatus AS s, o_orderpriority AS p, avg(o_totalprice) AS x FROM orders GROUP BY 1, 2), d AS (SELECT a.x - b.x AS d FROM m a JOIN m b USING (p) WHERE a.s = 'F' AND b.s = 'O')"
+
+
+@query(f"{PAIRED} SELECT 'x' AS metric, count(*) AS n, round(avg(d), 4) AS mean, round(avg(d) - {stats.T_975[4]!r} * stddev_samp(d) / sqrt(count(*)), 4) AS low, round(avg(d) + {stats.T_975[4]!r} * stddev_samp(d) / sqrt(count(*)), 4) AS high FROM d")
+def paired_t_interval(spark, sf):
+    m = read(spark, sf, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("o_totalprice").alias("x"))
+    r = stats.paired_contrast(m, "o_orderstatus", "F", "O", "o_orderpriority", ["x"])
+    return r.select("metric", "n", *(F.round(c, 4).alias(c) for c in ("mean", "low", "high")))
+
+
+def _predictions(spark, sf):
+    y = (F.col("c_acctbal") > 0).cast("int")
+    return read(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 3).alias("seed"), y.alias("y"), (uniform("c_custkey", seed="b") < 0.5).cast("int").alias("base"), F.when(uniform("c_custkey", seed="c") < 0.6, y).otherwise(1 - y).alias("comp"))
+
+
+PRED = f"pr AS (SELECT c_custkey, c_custkey % 3 AS seed, CAST(c_acctbal > 0 AS INT) AS y, CAST({u('c_custkey', seed='b')} < 0.5 AS INT) AS base, CASE WHEN {u('c_custkey', seed='c')} < 0.6 THEN CAST(c_acctbal > 0 AS INT) ELSE 1 - CAST(c_acctbal > 0 AS INT) END AS comp FROM customer)"
+_cuts, _p, _acc = [], 0.36787944117144233, 0.0
+for _k in range(9):
+    _acc += _p
+    _cuts.append(_acc)
+    _p /= _k + 1
+EFFECT = "(avg(CASE WHEN y = 1 THEN CAST(comp = 1 AS INT) END) + avg(CASE WHEN y = 0 THEN CAST(comp = 0 AS INT) END)) / 2 - (avg(CASE WHEN y = 1 THEN CAST(base = 1 AS INT) END) + avg(CASE WHEN y = 0 THEN CAST(base = 0 AS INT) END)) / 2"
+
+
+def _wavg(c: str, k: int) -> str:
+    return f"sum(CASE WHEN y = {k} THEN w * CAST({c} = {k} AS INT) END) / nullif(sum(CASE WHEN y = {k} THEN w END), 0)"
+
+
+@query(f"WITH {PRED} SELECT seed, round({EFFECT}, 6) AS effect FROM pr GROUP BY 1")
+def metric_effect(spark, sf):
+    return _rounded(_predictions(spark, sf).groupBy("seed").agg(stats.metric_effect("classes", "y", "base", "comp").alias("effect")))
+
+
+@query(f"""WITH {PRED}, rp AS (SELECT pr.*, rep, {h('c_custkey', 'seed', 'rep', seed=0)} / 4503599627370496.0 AS q FROM pr, range(1, 41) t(rep)),
+rw AS (SELECT *, {' + '.join(f'CAST(q >= {c!r} AS INT)' for c in _cuts)} AS w FROM rp),
+re AS (SELECT rep, avg(e) AS e FROM (SELECT seed, rep, ({_wavg('comp', 1)} + {_wavg('comp', 0)}) / 2 - ({_wavg('base', 1)} + {_wavg('base', 0)}) / 2 AS e FROM rw GROUP BY 1, 2) GROUP BY 1)
+SELECT round((SELECT avg(e) FROM (SELECT {EFFECT} AS e FROM pr GROUP BY seed)), 6) AS effect, round(quantile_cont(e, 0.025), 6) AS low, round(quantile_cont(e, 0.975), 6) AS high FROM re""")
+def bootstrap_effect(spark, sf):
+    return _rounded(stats.bootstrap_effect(_predictions(spark, sf), "seed", "c_custkey", "classes", "y", "base", "comp", 40))
+
+
+@query("WITH m AS (SELECT c_mktsegment, avg(c_acctbal) AS x FROM customer GROUP BY 1) SELECT c_mktsegment, round(x - (SELECT x FROM m WHERE c_mktsegment = 'BUILDING'), 4) AS x_excess FROM m")
+def excess_over_baseline(spark, sf):
+    m = read(spark, sf, "customer").groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("x"))
+    return stats.excess(m, "c_mktsegment", "BUILDING", ["x"]).withColumn("x_excess", F.round("x_excess", 4))
+
+
+@query('SELECT l_linestatus, round(avg(CASE WHEN l_returnflag = \'A\' THEN l_quantity END), 6) AS "A", round(avg(CASE WHEN l_returnflag = \'N\' THEN l_quantity END), 6) AS "N", round(avg(CASE WHEN l_returnflag = \'R\' THEN l_quantity END), 6) AS "R" FROM lineitem GROUP BY 1')
+def pivoted_means(spark, sf):
+    return _rounded(stats.pivoted(read(spark, sf, "lineitem"), "l_linestatus", "l_returnflag", ["A", "N", "R"], "l_quantity"))
+
+
+@query("SELECT l_returnflag, round(avg(CASE WHEN l_linestatus = 'F' THEN l_tax END), 6) AS \"F_mean\", round(stddev_samp(CASE WHEN l_linestatus = 'F' THEN l_tax END), 6) AS \"F_std\", round(avg(CASE WHEN l_linestatus = 'O' THEN l_tax END), 6) AS \"O_mean\", round(stddev_samp(CASE WHEN l_linestatus = 'O' THEN l_tax END), 6) AS \"O_std\" FROM lineitem GROUP BY 1")
+def conditional_wide(spark, sf):
+    return _rounded(stats.conditional_wide(read(spark, sf, "lineitem"), ["l_returnflag"], "l_linestatus", ["F", "O"], "l_tax"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q75 FROM lineitem" for c in COLS))
+def channel_quartiles(spark, sf):
+    r = stats.unpivoted_quartiles(read(spark, sf, "lineitem"), COLS)
+    return r.select("name", "n", *(F.round(c, 4).alias(c) for c in r.columns[2:]))
+
+
+@query("WITH a AS (SELECT c_nationkey, avg(c_acctbal) AS x FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS c_nationkey, avg(s_acctbal) AS x FROM supplier GROUP BY 1) SELECT c_nationkey, round(a.x, 4) AS x, round(b.x, 4) AS expected FROM a FULL JOIN b USING (c_nationkey) WHERE coalesce(abs(a.x - b.x) >= 1000, true)")
+def drift_guard(spark, sf):
+    a = read(spark, sf, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("x"))
+    b = read(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.avg("s_acctbal").alias("x"))
+    d = stats.drift(a, b, ["c_nationkey"], "x", 1000)
+    return d.select("c_nationkey", F.round("x", 4).alias("x"), F.round("expected", 4).alias("expected"))
+
+
+@query("SELECT run_name, count(*) AS n, round(sum(acctbal), 2) AS total FROM (SELECT 'customer' AS run_name, c_acctbal AS acctbal FROM customer UNION ALL SELECT 'supplier', s_acctbal FROM supplier) GROUP BY 1")
+def union_runs(spark, sf):
+    runs = {"customer": read(spark, sf, "customer").select(F.col("c_acctbal").alias("acctbal")), "supplier": read(spark, sf, "supplier").select(F.col("s_acctbal").alias("acctbal"), "s_name")}
+    return stats.union_runs(runs).groupBy("run_name").agg(F.count("*").alias("n"), F.round(F.sum("acctbal"), 2).alias("total"))
+
+
+@query("SELECT p_partkey, CASE WHEN len(list_intersect(list_transform(string_split(p_type, ' '), lambda x: trim(x)), ['BRASS', 'TIN'])) > 0 THEN 'metal' ELSE 'other' END AS label FROM part")
+def code_list_match(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", scalars.code_match(F.replace("p_type", F.lit(" "), F.lit(",")), ["BRASS", "TIN"], "metal", "other").alias("label"))
+
+
+@query("SELECT o_orderstatus, count(*) AS rows, sum(CAST(x IS NULL AS INT))::BIGINT AS x_missing FROM (SELECT o_orderstatus, CASE WHEN o_totalprice > 200000 THEN NULL ELSE o_totalprice END AS x FROM orders) GROUP BY 1")
+def feature_summary(spark, sf):
+    nan = F.when(F.col("o_totalprice") > 200000, float("nan")).otherwise(F.col("o_totalprice"))
+    return windows.summary(read(spark, sf, "orders").select("o_orderstatus", scalars.null_if_nan(nan).alias("x")), "o_orderstatus", ["x"])
