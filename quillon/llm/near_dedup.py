@@ -174,7 +174,8 @@ def near_groups(documents: DataFrame, percent: int = 85, count: int = BANDS, row
     # Blocks of a group: members by the hash of their key, as many blocks as its shingles need.
     need = members.groupBy("label").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     placed = members.join(need, "label").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = documents.select("doc_id", "text").join(placed.select(F.col("rep").alias("doc_id"), "label", "blocks", "part", "set_key"), "doc_id")
+    # By merge at every size: the members grow with the corpus.
+    texts = documents.select("doc_id", "text").join(placed.select(F.col("rep").alias("doc_id"), "label", "blocks", "part", "set_key").hint("merge"), "doc_id")
 
     def sets_of(batches):
         for batch in batches:
