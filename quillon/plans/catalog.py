@@ -549,3 +549,113 @@ def code_list_match(spark, sf):
 def feature_summary(spark, sf):
     nan = F.when(F.col("o_totalprice") > 200000, float("nan")).otherwise(F.col("o_totalprice"))
     return windows.summary(read(spark, sf, "orders").select("o_orderstatus", scalars.null_if_nan(nan).alias("x")), "o_orderstatus", ["x"])
+
+
+# --- models and signals: rows only
+
+
+def _labelled_vectors(spark, sf):
+    seg = vector_segments(spark, sf)
+    cols = [f"v{k}" for k in range(8)]
+    return seg.select("vec_id", (F.col("vec_id") % 50).alias("record"), F.when(F.col("label") < 5, "Positive").otherwise("Negative").alias("label"), *(F.get("v", F.lit(k)).alias(c) for k, c in enumerate(cols))), cols
+
+
+@query()
+def logistic_probe(spark, sf):
+    from ..operators import models
+
+    d, cols = _labelled_vectors(spark, sf)
+    return models.utility(d, "record", cols, "label")
+
+
+@query()
+def permute_importance(spark, sf):
+    from ..operators import models
+
+    d, cols = _labelled_vectors(spark, sf)
+    return models.permutation_importance(d.filter("record < 40"), d.filter("record >= 40"), cols[:3], "label", "vec_id", 2)
+
+
+@query()
+def pca_scores(spark, sf):
+    d, cols = _labelled_vectors(spark, sf)
+    return transforms.fit(d, cols, "pca", dim=3).transform(d)
+
+
+@query()
+def random_projection(spark, sf):
+    d, cols = _labelled_vectors(spark, sf)
+    return transforms.fit(d, cols, "random_projection", dim=3).transform(d)
+
+
+@query()
+def laplace_release(spark, sf):
+    d, cols = _labelled_vectors(spark, sf)
+    return transforms.fit(d, cols, "dp_laplace_l1").transform(d, "vec_id")
+
+
+@query()
+def encoder_embedding(spark, sf):
+    from ..operators import models
+
+    d, cols = _labelled_vectors(spark, sf)
+    fitted, layers = models.encoder(d, cols, "label", 4, 8, 400, 20)
+    return models.embedded(d, cols, fitted, layers, ["vec_id"])
+
+
+@query()
+def gbt_linkability(spark, sf):
+    from ..operators import models
+
+    seg = vector_segments(spark, sf).withColumn("v", F.slice("v", 1, 8))
+    return models.linkability_attack(seg, "vec_id", "label", "ref", "v", 300, trees=5)
+
+
+@query()
+def attribute_attack(spark, sf):
+    from ..operators import models
+
+    d, cols = _labelled_vectors(spark, sf)
+    d = d.withColumn("target", (F.col("label") == "Positive").cast("int"))
+    return models.attribute_attack(d.filter("record < 40"), d.filter("record >= 40"), cols[:4], "target", trees=3)
+
+
+@query()
+def ridge_decode(spark, sf):
+    from ..operators import models
+
+    d, cols = _labelled_vectors(spark, sf)
+    w, b = models.ridge(d.filter("record < 40"), cols[:5], cols[5:])
+    out = models.ridge_predict(d.filter("record >= 40"), cols[:5], w, b, ["p5", "p6", "p7"])
+    return out.select("vec_id", "v5", "p5", "v6", "p6", "v7", "p7")
+
+
+@query()
+def bandpass(spark, sf):
+    from ..operators import signal as sig
+
+    return sig.bandpass(sig.as_arrays(signal(spark, sf)), 0.5, 4.0, 10.0)
+
+
+@query()
+def peaks(spark, sf):
+    from ..operators import signal as sig
+
+    return sig.rr_features(sig.peaks(sig.as_arrays(signal(spark, sf)), 10.0), 10.0).drop("signal")
+
+
+@query()
+def reconstruction(spark, sf):
+    from ..operators import signal as sig
+
+    d = sig.as_arrays(signal(spark, sf))
+    half = sig.resampled(sig.resampled(d, 10, 5), 5, 10).withColumnRenamed("signal", "z")
+    both = d.withColumnRenamed("signal", "y").join(half, "record").withColumn("z", F.slice("z", F.lit(1), F.size("y"))).filter(F.size("y") == F.size("z"))
+    return sig.reconstruction_metrics(both).drop("y", "z")
+
+
+@query("SELECT user_id, time_bucket(INTERVAL '1 hour', ts) AS start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS \"end\", count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1, 2, 3")
+def windowed_statistics(spark, sf):
+    from ..streaming.windows import windowed_statistics as w
+
+    return _rounded(w(read(spark, sf, "events"), "ts", "user_id", "value", "1 hour", "1 hour"))
