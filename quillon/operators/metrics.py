@@ -35,12 +35,12 @@ def average_precision() -> Column:
 
 def equal_error_rate() -> Column:
     """Mean of the two error rates where they are nearest; the highest such score."""
-    fpr, fnr = F.col("fp") / F.col("neg"), 1 - F.col("tp") / F.col("pos")
+    fpr, fnr = F.try_divide("fp", "neg"), 1 - F.try_divide("tp", "pos")
     return F.min(F.struct(F.abs(fpr - fnr).alias("d"), (-F.col("score")).alias("s"), ((fpr + fnr) / 2).alias("e")))["e"]
 
 
 def tpr_at_fpr(level: float) -> Column:
-    return F.coalesce(F.max(F.when(F.col("fp") / F.col("neg") <= level, F.col("tp") / F.col("pos"))), F.lit(0.0))
+    return F.coalesce(F.max(F.when(F.try_divide("fp", "neg") <= level, F.try_divide("tp", "pos"))), F.lit(0.0))
 
 
 def curve_metrics(df: DataFrame, by: list[str] = (), levels: tuple[float, ...] = (0.01, 0.1)) -> DataFrame:
@@ -89,7 +89,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
         return d.join(up.select(F.col("v").alias(c), f"r_{c}"), c)
 
     rows = average_rank(average_rank(df.select(a, b).dropna(), a), b)
-    return rows.agg(F.corr(f"r_{a}", f"r_{b}").alias("spearman"))
+    return rows.agg(F.try_divide(F.covar_pop(f"r_{a}", f"r_{b}"), F.stddev_pop(f"r_{a}") * F.stddev_pop(f"r_{b}")).alias("spearman"))
 
 
 def record_scores(df: DataFrame, record: str, y: str = "label", score: str = "score") -> DataFrame:

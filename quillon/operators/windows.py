@@ -103,7 +103,7 @@ def summary(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
 def correlation(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Pearson correlation in each group; 0 where a side is (nearly) constant."""
     flat = (F.var_pop(a) * F.count("*") <= 1e-24) | (F.var_pop(b) * F.count("*") <= 1e-24)
-    return df.groupBy(*by).agg(F.when(flat, 0.0).otherwise(F.corr(a, b)).alias("correlation"))
+    return df.groupBy(*by).agg(F.when(flat, 0.0).otherwise(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))).alias("correlation"))
 
 
 def max_lag_correlation(a: DataFrame, b: DataFrame, by: list[str], most: int) -> DataFrame:

@@ -18,8 +18,8 @@ def write_chunks(df: DataFrame, path: str, parameters: dict[str, object], rows_p
     spark = df.sparkSession
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/data")
     back = spark.read.parquet(f"{path}/data")
-    row = back.agg(F.count("*").alias("n"), F.count_distinct(F.input_file_name()).alias("p")).first()
-    manifest = {"name": path.rstrip("/").rpartition("/")[2], "rows": row["n"], "parts": row["p"], "parameters": {k: str(v) for k, v in parameters.items()}}
+    row = back.select(F.input_file_name().alias("f")).groupBy("f").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("p")).first()
+    manifest = {"name": path.rstrip("/").rpartition("/")[2], "rows": row["n"] or 0, "parts": row["p"], "parameters": {k: str(v) for k, v in parameters.items()}}
     spark.createDataFrame([(manifest["name"], manifest["rows"], manifest["parts"], manifest["parameters"])], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return manifest
 

@@ -57,8 +57,8 @@ def headers(spark: SparkSession, path: str, limit: int | None = None) -> DataFra
                 try:
                     rows.append({"record_id": r.record_id, "path": r.path, **parse_header(r.text), "error": None})
                 except Exception as e:  # reported as data
-                    rows.append({"record_id": r.record_id, "path": r.path, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=[*names, "error"])
+                    rows.append({**dict.fromkeys(names), "record_id": r.record_id, "path": r.path, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
 
     return files.mapInPandas(run, f"{HEADER}, error string")
 
