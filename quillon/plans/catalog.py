@@ -659,3 +659,55 @@ def windowed_statistics(spark, sf):
     from ..streaming.windows import windowed_statistics as w
 
     return _rounded(w(read(spark, sf, "events"), "ts", "user_id", "value", "1 hour", "1 hour"))
+
+
+# --- decoders and reports
+
+
+@query()
+def mlp_decode(spark, sf):
+    from ..operators import reconstruct
+
+    d, cols = _labelled_vectors(spark, sf)
+    out = reconstruct.decode(d.filter("record < 40"), d.filter("record >= 40"), cols[:5], cols[5:], ["p5", "p6", "p7"], "mlp", "vec_id", 400)
+    return out.select("vec_id", "p5", "p6", "p7")
+
+
+@query()
+def pca_ceiling(spark, sf):
+    from ..operators import reconstruct
+
+    d, cols = _labelled_vectors(spark, sf)
+    names = [f"p_{c}" for c in cols]
+    return reconstruct.error_table(reconstruct.pca_ceiling(d.filter("record < 40"), d.filter("record >= 40"), cols, 4, names), cols, names)
+
+
+@query("""SELECT CAST(o_orderstatus AS VARCHAR) AS o_orderstatus, count(DISTINCT seed) AS n_seeds, round(avg(x), 4) AS x_mean, round(stddev_samp(x), 4) AS x_std
+FROM (SELECT o_orderstatus, o_orderkey % 3 AS seed, avg(o_totalprice) AS x FROM orders GROUP BY 1, 2) GROUP BY 1""")
+def consolidated_runs(spark, sf):
+    from ..operators import reports
+
+    o = read(spark, sf, "orders").withColumn("seed", F.col("o_orderkey") % 3)
+    m = o.groupBy("o_orderstatus", "seed").agg(F.avg("o_totalprice").alias("x"))
+    r = reports.consolidated({"first": m.filter("seed < 2"), "second": m.filter("seed = 2")}, ["o_orderstatus"], ["x"], "seed", [0, 1, 2], o.select("o_orderstatus").distinct())
+    return r.select("o_orderstatus", "n_seeds", F.round("x_mean", 4).alias("x_mean"), F.round("x_std", 4).alias("x_std"))
+
+
+@query("SELECT 'status' AS screen, o_orderstatus AS configuration, count(*) AS n_seeds, round(avg(o_totalprice), 4) AS x, CASE WHEN o_orderstatus = 'F' THEN 'retained' ELSE 'comparison' END AS role FROM orders GROUP BY 2")
+def selection_evidence(spark, sf):
+    from ..operators import reports
+
+    o = read(spark, sf, "orders").select("o_orderstatus", F.col("o_totalprice").alias("x"))
+    return reports.selection_evidence({"status": o}, "o_orderstatus", ["x"], {"status": ["F"]}).withColumn("x", F.round("x", 4))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'Pca 8-D' ELSE 'Raw Features' END AS name FROM documents")
+def representation_labels(spark, sf):
+    long = F.col("n_chars") > 1000
+    return read(spark, sf, "documents").select("doc_id", scalars.representation_label(F.when(long, "pca").otherwise("raw_features"), F.when(long, 8)).alias("name"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS value FROM events WHERE len(json_keys(props)) > 0")
+def json_properties(spark, sf):
+    e = read(spark, sf, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"), F.json_object_keys("props").alias("k"))
+    return e.filter(F.size("k") > 0).select("event_id", F.element_at("m", F.get("k", F.lit(0))).alias("value"))
