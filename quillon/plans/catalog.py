@@ -279,10 +279,10 @@ def spearman(spark, sf):
 
 
 @query("""WITH w AS (SELECT l_orderkey FROM lineitem WHERE l_linenumber IN (1, 2, 3) GROUP BY 1 HAVING count(DISTINCT l_linenumber) = 3)
-SELECT l_orderkey, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 4) AS l_extendedprice FROM lineitem WHERE l_linenumber IN (1, 2, 3) AND l_orderkey IN (SELECT l_orderkey FROM w) GROUP BY 1""")
+SELECT l_orderkey, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 6) AS l_extendedprice FROM lineitem WHERE l_linenumber IN (1, 2, 3) AND l_orderkey IN (SELECT l_orderkey FROM w) GROUP BY 1""")
 def complete_view_mean(spark, sf):
     v = views.complete_view(read(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", [1, 2, 3], ["l_quantity", "l_extendedprice"])
-    return v.select("l_orderkey", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_extendedprice", 4).alias("l_extendedprice"))
+    return v.select("l_orderkey", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_extendedprice", 6).alias("l_extendedprice"))
 
 
 @query("SELECT o_custkey, CAST(max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS utility FROM orders GROUP BY 1")
