@@ -2,12 +2,13 @@
 
 Suffixes are compared to a depth of 50 bytes in blocks, in three steps.
 
-1. Cover sample. Positions of a document that are in a difference cover modulo 31 are named by their next 20 bytes. Two
-   equal 50-byte strings have, at some shift under 31, a sample position in both, and so an equal name. Names are
+1. Cover sample. Positions of a document that are in a difference cover modulo 21 are named by their next 30 bytes. Two
+   equal 50-byte strings have, at some shift under 21, a sample position in both, and so an equal name. Names are
    counted over the corpus; where no sample name repeats, no string does.
-2. Suffix buckets. The suffixes that the sample leaves open are dealt into buckets by the least hash among their 20-byte
-   strings, so that equal suffixes share a bucket and neighbours travel as one piece of text. A bucket is sorted at a
-   time; adjacent suffixes with equal 50 bytes are one class, and its least doc_id is its owner.
+2. Suffix buckets. The suffixes that the sample leaves open are dealt into buckets by the least hash among their 16-byte
+   strings, so that equal suffixes share a bucket and neighbours travel as one piece of text. One bucket is sorted at a
+   time: by the first eight bytes, and long ties by precomputed names of the 50 bytes; neighbours with equal bytes are
+   one class, and its least doc_id is its owner.
 3. The answers go back to the documents as bits, in the order in which the pieces were sent.
 
 Documents are dealt into groups of bounded bytes; a group sends a name, or a piece, once however often it has it. Only
@@ -17,19 +18,21 @@ packed arrays are shuffled. The memory of a task is bounded by a group's or a bu
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, mix, powers
 
 DEPTH = 50
-#: A difference cover modulo 31: every difference occurs between two of its members.
-PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: A difference cover modulo 21: every difference occurs between two of its members.
+PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 SAMPLE = DEPTH - PERIOD + 1
+#: Bytes whose least hash in a 50-byte string deals it to a bucket.
+KEY = 16
 #: Bytes of text of a group of documents.
 GROUP = 8 << 20
 #: Starts of a piece.
@@ -73,7 +76,7 @@ _COVER = np.zeros(PERIOD, bool)
 _COVER[list(COVER)] = True
 
 
-def _slices(offs: np.ndarray, limit: int = 1 << 22):
+def _slices(offs: np.ndarray, limit: int = 1 << 16):
     lo, n = 0, len(offs) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
@@ -94,20 +97,29 @@ def sample_names(buf: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarr
 
 
 def _pack(sorted_values: np.ndarray) -> bytes:
-    """Sorted integers as differences of as few bytes as the largest needs."""
+    """Sorted integers as differences, byte by byte of all, compressed."""
     d = np.diff(sorted_values, prepend=U64(0))
     width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return bytes([width]) + d.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return _squeeze(bytes([width]) + d.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
+    data = _expand(data)
     width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
+    raw = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
     return np.cumsum(out.view(U64).ravel(), dtype=U64)
 
 
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _expand(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a group's texts and their offsets."""
     col = t["text"].combine_chunks().cast(pa.large_string())
@@ -126,6 +138,10 @@ def open_starts(buf: np.ndarray, offs: np.ndarray, repeated: np.ndarray, bits: i
     if not len(repeated) or not len(buf):
         return np.zeros(0, np.int64)
     names, pos = sample_names(buf, offs, bits)
+    maybe = np.zeros(1 << 22, bool)  # most names are told apart by a small table
+    maybe[(repeated & U64((1 << 22) - 1)).astype(np.int64)] = True
+    some = maybe[(names & U64((1 << 22) - 1)).astype(np.int64)]
+    names, pos = names[some], pos[some]
     k = np.minimum(np.searchsorted(repeated, names), len(repeated) - 1)
     pos = pos[repeated[k] == names]
     change = np.zeros(len(buf) + 2, np.int32)
@@ -141,7 +157,7 @@ def open_starts(buf: np.ndarray, offs: np.ndarray, repeated: np.ndarray, bits: i
 
 
 def pieces(buf: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring starts with one least 20-byte hash: (first start, number of starts, that hash)."""
+    """Runs of neighbouring starts with one least KEY-byte hash: (first start, number of starts, that hash)."""
     if not len(starts):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, U64)
@@ -150,13 +166,13 @@ def pieces(buf: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> tuple[np.nd
         a, b = np.searchsorted(starts, (offs[lo], offs[hi]))
         if a == b:
             continue
-        m = window_hashes(buf[offs[lo] : offs[hi]], SAMPLE)
+        m = window_hashes(buf[offs[lo] : offs[hi]], KEY)
         width = 1
-        while 2 * width <= PERIOD:
+        while 2 * width <= DEPTH - KEY + 1:
             m = np.minimum(m[: len(m) - width], m[width:])
             width *= 2
         at = starts[a:b] - offs[lo]
-        least[a:b] = np.minimum(m[at], m[at + PERIOD - width])
+        least[a:b] = np.minimum(m[at], m[at + DEPTH - KEY + 1 - width])
     row = np.searchsorted(offs, starts, "right")
     new = np.ones(len(starts), bool)
     new[1:] = (np.diff(starts) != 1) | (least[1:] != least[:-1]) | (row[1:] != row[:-1])
@@ -203,40 +219,66 @@ def distinct_pieces(buf: np.ndarray, first: np.ndarray, count: np.ndarray, least
     return rep, np.flatnonzero(rep == np.arange(len(rep)))
 
 
+def _classes_by_bytes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The class of each suffix by sorting all bytes, eight at a time; a class is named by its first suffix."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    rank = np.zeros(len(at), np.int64)
+    for depth in range(0, DEPTH, 8):
+        word = np.zeros(len(at), U64)
+        for j in range(min(8, DEPTH - depth)):
+            word = (word << U64(8)) | padded[at + depth + j]
+        order = np.lexsort((word, rank))
+        new = np.ones(len(order), bool)
+        new[1:] = (rank[order][1:] != rank[order][:-1]) | (word[order][1:] != word[order][:-1])
+        head = np.flatnonzero(new)
+        rank[order] = np.repeat(order[head], np.diff(np.append(head, len(order))))
+    return rank
+
+
+def _bytes_8(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, as one number in the order of bytes."""
+    w = np.concatenate([text, np.zeros(7, np.uint8)]).astype(U64)
+    for k in (1, 2, 4):
+        w = (w[: len(w) - k] << U64(8 * k)) | w[k:]
+    return w
+
+
 def owned_elsewhere(text: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each suffix (piece by piece): does its 50-byte string also start in a smaller doc? One bucket's sort.
 
-    The suffixes are sorted by eight bytes at a time; equal neighbours are one class.
+    Sorted by the first eight bytes, ties by the names (hashes) of the 50 bytes. Neighbours are then compared byte by
+    byte; should a name stand for two strings, all suffixes are sorted by all their bytes.
     """
     at = _ranges(begin, count)
-    owner = np.repeat(doc, count)
     if not len(at):
         return np.zeros(0, bool)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    rank = np.zeros(len(at), np.int64)
-    order = np.arange(len(at))
-    # Only suffixes that still tie with another one are sorted on.
-    open_ = np.arange(len(at))
-    for depth in range(0, DEPTH, 8):
-        width = min(8, DEPTH - depth)
-        word = np.zeros(len(open_), U64)
-        for j in range(width):
-            word = (word << U64(8)) | padded[at[open_] + depth + j]
-        order = np.lexsort((word, rank[open_])) if depth else np.argsort(word, kind="stable")
-        r, w = rank[open_][order], word[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(order)))
-        # A class is named by its first suffix; names stay distinct between classes.
-        rank[open_[order]] = np.repeat(open_[order][head], size)
-        open_ = np.sort(open_[order][np.repeat(size > 1, size)])
-        if not len(open_):
-            return np.zeros(len(at), bool)
-    least = np.full(len(at), np.iinfo(np.int64).max)
-    np.minimum.at(least, rank[open_], owner[open_])
-    out = np.zeros(len(at), bool)
-    out[open_] = least[rank[open_]] < owner[open_]
+    owner = np.repeat(doc, count)
+    first = _bytes_8(text)
+    whole = count + DEPTH - 1
+    name = np.empty(len(at), U64)
+    done = 0
+    for lo in range(0, len(begin), 1 << 10):  # slices that stay in the cache
+        hi = min(lo + (1 << 10), len(begin))
+        a, b = begin[lo], begin[hi - 1] + whole[hi - 1]
+        n = int(count[lo:hi].sum())
+        name[done : done + n] = window_hashes(text[a:b], DEPTH)[at[done : done + n] - a]
+        done += n
+    order = np.lexsort((name, first[at]))
+    x, y = at[order[1:]], at[order[:-1]]
+    named = (name[order[1:]] == name[order[:-1]]) & (first[x] == first[y])
+    x, y = x[named], y[named]
+    same = np.ones(len(x), bool)
+    for depth in (*range(8, DEPTH - 7, 8), DEPTH - 8):
+        same &= first[x + depth] == first[y + depth]
+    if not same.all():
+        rank = _classes_by_bytes(text, at)
+        least = np.full(len(at), np.iinfo(np.int64).max)
+        np.minimum.at(least, rank, owner)
+        return least[rank] < owner
+    head = np.flatnonzero(np.concatenate([[True], ~named]))
+    least = np.minimum.reduceat(owner[order], head)
+    out = np.empty(len(at), bool)
+    out[order] = np.repeat(least, np.diff(np.append(head, len(order)))) < owner[order]
     return out
 
 
@@ -256,7 +298,7 @@ def repeated_passages(documents: DataFrame, group: int = GROUP, texts: bool = Fa
     """
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(4, -(-total // group))
-    bits = min(64, max(32, int(total // 5 + 1).bit_length() + 13))
+    bits = min(64, max(32, int(total // 4 + 1).bit_length() + 11))
     buckets = groups
     name_bucket = U64(-(-(1 << bits) // buckets))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).max).cast("long"))
@@ -313,19 +355,24 @@ def repeated_passages(documents: DataFrame, group: int = GROUP, texts: bool = Fa
         rows = []
         if t.num_rows:
             g = t["grp"][0].as_py()
-            _, buf, _, first, count, doc, _, order, bucket = to_pieces(t, found)
+            _, buf, _, first, count, doc, rep, order, bucket = to_pieces(t, found)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
                 if hi > lo:
                     k = order[lo:hi]
-                    rows.append((b, g, buf[_ranges(first[k], count[k] + DEPTH - 1)].tobytes(), count[k].astype(np.uint8).tobytes(), doc[k].tobytes()))
+                    rows.append((b, g, _squeeze(buf[_ranges(first[k], count[k] + DEPTH - 1)].tobytes()), count[k].astype(np.uint8).tobytes(), _squeeze(doc[k].tobytes())))
+            # What the group itself needs later passes through with the pieces, under a key of its own.
+            state = np.diff(first, prepend=0).astype(np.int32), count.astype(np.uint8), rep.astype(np.int32), order.astype(np.int32), cut
+            rows.append((-1 - g, g, _squeeze(pickle.dumps(state)), b"", b""))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     def sort_bucket(t: pa.Table) -> pa.Table:
         b = t["bucket"][0].as_py()
-        text = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t["text"]])
+        if b < 0:
+            return pa.Table.from_arrays([t["grp"].combine_chunks(), t["bucket"].combine_chunks(), t["text"].combine_chunks()], names=["grp", "bucket", "bits"])
+        text = np.concatenate([np.frombuffer(_expand(x.as_py()), np.uint8) for x in t["text"]])
         sizes = [np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in t["sizes"]]
-        count, doc = np.concatenate(sizes), np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t["docs"]])
+        count, doc = np.concatenate(sizes), np.concatenate([np.frombuffer(_expand(x.as_py()), np.int64) for x in t["docs"]])
         whole = count + DEPTH - 1
         bits_ = owned_elsewhere(text, np.cumsum(whole) - whole, count, doc)
         ends = np.cumsum([int(s.sum()) for s in sizes])
@@ -335,18 +382,19 @@ def repeated_passages(documents: DataFrame, group: int = GROUP, texts: bool = Fa
     ids = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
 
-    def finish(key_, t: pa.Table, both: pa.Table) -> pa.Table:
-        # The names found and the answers come as one table; a row has either.
-        found, answers = both.filter(pc.is_valid(both["body"])), both.filter(pc.is_valid(both["bits"]))
+    def finish(key_, t: pa.Table, answers: pa.Table) -> pa.Table:
         cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts]
         kinds = [t.schema.field("doc_id").type if t.num_rows else pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * texts]
         if not t.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=cols)
-        t, buf, offs, first, count, doc, rep, order, bucket = to_pieces(t, found)
+        t, buf, offs = ordered(t)
+        at = {b.as_py(): x.as_py() for b, x in zip(answers["bucket"], answers["bits"])}
+        first, count, rep, order, cut = pickle.loads(_expand(at[-1 - t["grp"][0].as_py()]))
+        first, count = np.cumsum(first, dtype=np.int64), count.astype(np.int64)
         gone = np.zeros(0, np.int64)
         if len(first):
-            at = {b.as_py(): x.as_py() for b, x in zip(answers["bucket"], answers["bits"])}
-            flags = [np.unpackbits(np.frombuffer(at[b], np.uint8), count=int(count[order[bucket == b]].sum())).astype(bool) for b in np.unique(bucket)]
+            doc = t["key"].to_numpy()[np.searchsorted(offs, first, "right") - 1]
+            flags = [np.unpackbits(np.frombuffer(at[b], np.uint8), count=int(count[order[lo:hi]].sum())).astype(bool) for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if hi > lo]
             flags = np.concatenate(flags)
             where = np.zeros(len(first), np.int64)  # of the piece's first answer
             where[order] = np.cumsum(count[order]) - count[order]
@@ -368,5 +416,4 @@ def repeated_passages(documents: DataFrame, group: int = GROUP, texts: bool = Fa
     found = names.groupBy("bucket").applyInArrow(find_names, "grp int, bucket int, body binary").filter("body is not null")
     sent = docs.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(send_pieces, "bucket int, grp int, text binary, sizes binary, docs binary")
     bits_ = sent.groupBy("bucket").applyInArrow(sort_bucket, "grp int, bucket int, bits binary")
-    both = found.withColumn("bits", F.lit(None).cast("binary")).unionByName(bits_.withColumn("body", F.lit(None).cast("binary")))
-    return docs.groupBy("grp").cogroup(both.groupBy("grp")).applyInArrow(finish, schema)
+    return docs.groupBy("grp").cogroup(bits_.groupBy("grp")).applyInArrow(finish, schema)

@@ -161,10 +161,21 @@ def test_repeats(documents, texts, nothing, group):
 def test_cover_and_windows():
     assert {(a - b) % repeats.PERIOD for a in repeats.COVER for b in repeats.COVER} == set(range(repeats.PERIOD))
     b = np.frombuffer(b"abcabcabcabcabcabcabcabcabcabc", np.uint8)
-    h = repeats.window_hashes(b, repeats.SAMPLE)
+    h = repeats.window_hashes(b, 20)
     assert len(h) == 11 and h[0] == h[3] and h[0] != h[1]
 
 
+def test_bucket_sort_by_names_and_by_bytes_agree(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 99, 4000).astype(np.uint8)
+    text[2000:3000] = text[:1000]
+    begin, count = np.arange(0, 3900, 150), np.full(26, 100)
+    doc = rng.integers(0, 9, 26).astype(np.int64)
+    plain = repeats.owned_elsewhere(text, begin, count, doc)
+    monkeypatch.setattr(repeats, "window_hashes", lambda b, n: np.zeros(len(b) - n + 1, np.uint64))
+    assert plain.any() and (repeats.owned_elsewhere(text, begin, count, doc) == plain).all()
+
+
 def test_token_counts(documents, texts, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
