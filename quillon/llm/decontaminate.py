@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
 A fingerprint of a span of L words is the least hash of its k-word grams. Every span of L words of a document and of an
-item is fingerprinted (k = 5, so 6 grams a span of 10 words); equal spans have equal fingerprints, so a join on them
+item is fingerprinted (k = 3, so 8 grams a span of 10 words); equal spans have equal fingerprints, so a join on them
 misses none. Each match is extended to the whole span, word by word, at every place of the document that has the gram;
 neighbouring spans then merge into runs.
 """
@@ -16,7 +16,7 @@ from .common import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What is between words, before lower-casing: all ASCII but letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-SPAN, GRAM = 10, 5
+SPAN, GRAM = 10, 3
 #: Spans of the benchmark up to which they are broadcast (about 250 bytes each); beyond, the join shuffles.
 BROADCAST_SPANS = 200_000
 
@@ -26,52 +26,50 @@ def _plain(word: Column) -> Column:
     return F.when(word == F.lower(word), word).otherwise(F.translate(word, UPPER, LOWER))
 
 
-def _words(df: DataFrame, *keep) -> DataFrame:
-    """raw (words as written), n of them, and hs, the hashes of the lower-case words."""
-    raw = F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), BETWEEN), "")
-    return df.select(*keep, raw.alias("raw")).select("*", F.size("raw").alias("n"), F.transform("raw", lambda w: F.xxhash64(_plain(w))).alias("hs"))
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
-def _gram(k: int):
-    return lambda i: F.xxhash64(*(F.get("hs", i + j) for j in range(k)))
+def _words(df: DataFrame, k: int, *keep) -> DataFrame:
+    """text, n (its words) and grams, the hash of the k words from each word on.
+
+    The words hashed are in full lower case: words that are equal with A-Z in lower case are so all the more, and the
+    match is decided on the words themselves. The last k - 1 grams are of fewer words; no whole span has them.
+    """
+    few = lambda w, i: F.xxhash64(w, *(F.get("low", i + j) for j in range(1, k)))
+    return df.select(*keep, "text", _split(F.lower("text")).alias("low")).select(*keep, "text", F.size("low").alias("n"), F.transform("low", few).alias("grams"))
 
 
 def _covered(span: int):
     return lambda d: F.sequence(d, d + span - 1)
 
 
-def _grams(df: DataFrame, k: int) -> DataFrame:
-    """grams: the hash of each run of k words."""
-    at = F.when(F.col("n") >= k, F.sequence(F.lit(0), F.col("n") - k)).otherwise(F.array().cast("array<int>"))
-    return df.withColumn("grams", F.transform(at, _gram(k)))
-
-
 def _starts(span: int) -> Column:
     return F.when(F.col("n") >= span, F.sequence(F.lit(0), F.col("n") - span)).otherwise(F.array().cast("array<int>"))
 
 
 def item_spans(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
-    """item, len, k, fp, off (of the fingerprint's gram in the span), words: the spans of every item, as a stored table.
+    """item, len, fp, off (of the fingerprint's gram in the span), words: the spans of every item, as a stored table.
 
     An item of fewer than `span` words is one span of its own length; one without words has none. A null item_id
     counts as ''.
     """
-    items = _words(benchmark, F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).filter("n > 0")
-    items = items.withColumn("len", F.least(F.col("n"), F.lit(span))).withColumn("k", F.least(F.col("len"), F.lit(GRAM)))
-    rows = items.select("item", "len", "k", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("len")), lambda s: F.struct(F.slice("raw", s + 1, F.col("len")).alias("raw"), F.slice("hs", s + 1, F.col("len")).alias("hs")))).alias("x"))
-    rows = rows.select("item", "len", "k", F.transform("x.raw", _plain).alias("words"), F.col("x.hs").alias("hs"))
-    gram = None
+    parts = None
     for k in range(1, GRAM + 1):
-        made = F.transform(F.sequence(F.lit(0), F.col("len") - k), _gram(k))
-        gram = F.when(F.col("k") == k, made) if gram is None else gram.when(F.col("k") == k, made)
-    rows = rows.withColumn("g", gram).withColumn("fp", F.array_min("g"))
-    return written(rows.select("item", "len", "k", "fp", (F.array_position("g", F.col("fp")) - 1).cast("int").alias("off"), "words").distinct(), "spans")
+        items = _words(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text"), k, "item").filter("n > 0")
+        items = items.withColumn("len", F.least(F.col("n"), F.lit(span))).filter(F.least("len", F.lit(GRAM)) == k).withColumn("raw", F.transform(_split(F.col("text")), _plain))
+        rows = items.select("item", "len", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("len")), lambda s: F.struct(F.slice("raw", s + 1, F.col("len")).alias("words"), F.slice("grams", s + 1, F.col("len") - (k - 1)).alias("g")))).alias("x")).select("item", "len", "x.words", "x.g")
+        parts = rows if parts is None else parts.unionByName(rows)
+    rows = parts.withColumn("fp", F.array_min("g"))
+    return written(rows.select("item", "len", "fp", (F.array_position("g", F.col("fp")) - 1).cast("int").alias("off"), "words").distinct(), "spans")
 
 
 def _found(of: DataFrame, span: int) -> DataFrame:
-    """Rows with raw, n, grams and a span's fp, off and words: -> starts, the places where the whole span occurs."""
-    here = F.filter(_starts(span), lambda d: F.get("grams", d + F.col("off")) == F.col("fp"))
-    same = F.filter(here, lambda d: F.transform(F.slice("raw", d + 1, F.lit(span)), _plain) == F.col("words"))
+    """Rows with text, n, grams and a span's fp, off and words: -> starts, the places where the whole span occurs."""
+    matched = F.col("item").isNotNull()  # nothing is looked up for the row of the document itself
+    here = F.when(matched, F.filter(_starts(span), lambda d: F.get("grams", d + F.col("off")) == F.col("fp")))
+    of = of.select("rid", "doc_id", "n", "item", "words", here.alias("here"), F.when(matched, _split(F.col("text"))).alias("raw"))
+    same = F.filter("here", lambda d: F.transform(F.slice("raw", d + 1, F.lit(span)), _plain) == F.col("words"))
     return of.select("rid", "doc_id", "n", "item", same.alias("starts"))
 
 
@@ -80,31 +78,31 @@ def _matches(documents: DataFrame, spans: DataFrame, span: int, few: bool) -> Da
     k = min(span, GRAM)
     width = span - k + 1
     # Beside the fingerprints a null, for the row of the document itself.
-    prints = F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(F.transform(_starts(span), lambda j: F.array_min(F.slice("grams", j + 1, F.lit(width))))))
+    prints = F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(F.transform("grams", lambda g, j: F.array_min(F.slice("grams", j + 1, F.lit(width))))))
     own = spans.filter(F.col("len") == span).select("fp", "off", "item", "words")
     rid = F.monotonically_increasing_id().alias("rid")
     if few:
-        docs = _grams(_words(documents, rid, "doc_id"), k)
-        rows = docs.select("rid", "doc_id", "n", "raw", "grams", F.explode_outer(prints).alias("at"))
+        docs = _words(documents.select(rid, "doc_id", "text"), k, "rid", "doc_id")
+        rows = docs.select("rid", "doc_id", "n", "text", "grams", F.explode_outer(prints).alias("at"))
         rows = rows.join(F.broadcast(own), rows["at"] == own["fp"], "left").filter("at is null or item is not null")
         return _found(rows, span).filter("item is null or size(starts) > 0")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"), F.octet_length("text")
     keyed = documents.select("doc_id", "text", F.struct(*(x.alias(f"k{i}") for i, x in enumerate(key))).alias("key"))
-    pairs = _grams(_words(keyed, "key"), k).select("key", F.explode_outer(prints).alias("at"))
+    pairs = _words(keyed, k, "key").select("key", F.explode_outer(prints).alias("at"))
     hits = pairs.join(own, pairs["at"] == own["fp"]).groupBy("key").agg(F.collect_set(F.struct("item", "fp", "off", "words")).alias("hits"))
     docs = keyed.withColumn("rid", rid).join(hits, "key", "left")
-    docs = _grams(_words(docs, "rid", "doc_id", "hits"), k)
+    docs = _words(docs, k, "rid", "doc_id", "hits")
     none = F.array(F.lit(None).cast(hits.schema["hits"].dataType.elementType))
-    rows = docs.select("rid", "doc_id", "n", "raw", "grams", F.explode_outer(F.concat(none, F.coalesce("hits", none))).alias("hit"))
-    rows = rows.select("rid", "doc_id", "n", "raw", "grams", "hit.item", "hit.fp", "hit.off", "hit.words")
+    rows = docs.select("rid", "doc_id", "n", "text", "grams", F.explode_outer(F.concat(none, F.coalesce("hits", none))).alias("hit"))
+    rows = rows.select("rid", "doc_id", "n", "text", "grams", "hit.item", "hit.fp", "hit.off", "hit.words")
     return _found(rows, span).filter("item is null or size(starts) > 0")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Words are runs of letters and digits of ASCII and of all characters above it, A-Z in lower case; null has none. A word is hit if it is in any
-    occurrence of a span of ten words of an item (of the whole item, if that is shorter).
+    Words are runs of letters and digits of ASCII and of all characters above it, A-Z in lower case; null has none. A
+    word is hit if it is in any occurrence of a span of ten words of an item (of the whole item, if that is shorter).
     """
     spans = item_spans(benchmark)
     few = spans.count() <= broadcast_spans
