@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What is between words, before lower-casing: all ASCII but letters and digits.
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What is between words: all ASCII but letters and digits, one by one, which the regex engine keeps as a bit table.
+BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 SPAN, GRAM = 10, 3
 #: Spans of the benchmark up to which they are broadcast (about 250 bytes each); beyond, the join shuffles.
 BROADCAST_SPANS = 200_000
@@ -76,9 +76,9 @@ def _found(of: DataFrame, span: int) -> DataFrame:
 def _matches(documents: DataFrame, spans: DataFrame, span: int, few: bool) -> DataFrame:
     """rid, doc_id, n, item, starts: one row without item for each document, and one for each matching span."""
     k = min(span, GRAM)
-    width = span - k + 1
+    least = lambda g, j: F.least(g, *(F.get("grams", j + i) for i in range(1, span - k + 1))) if span > k else g
     # Beside the fingerprints a null, for the row of the document itself.
-    prints = F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(F.transform("grams", lambda g, j: F.array_min(F.slice("grams", j + 1, F.lit(width))))))
+    prints = F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(F.transform("grams", least)))
     own = spans.filter(F.col("len") == span).select("fp", "off", "item", "words")
     rid = F.monotonically_increasing_id().alias("rid")
     if few:
