@@ -18,7 +18,7 @@ def null_if_nan(x: Column) -> Column:
 
 def code_match(codes: Column, wanted: list[str], positive: str, negative: str) -> Column:
     """positive if the comma-separated codes have any wanted one; negative otherwise, and for null."""
-    found = F.arrays_overlap(F.transform(F.split(codes, ","), F.trim), F.array(*map(F.lit, wanted)))
+    found = F.arrays_overlap(F.transform(F.split(codes, ","), lambda x: F.trim(x)), F.array(*map(F.lit, wanted)))
     return F.when(F.coalesce(found, F.lit(False)), positive).otherwise(negative)
 
 

@@ -97,3 +97,17 @@ def test_chunks_and_manifest(spark, tmp_path):
     assert made == [1]
     with pytest.raises(ValueError, match="publication"):
         files.public_copy(df, str(tmp_path / "p"), ["patient_id"])
+
+
+def test_segment_table(spark):
+    from quillon.plans import ingest
+
+    t = np.arange(500) / 100
+    rows = [(r, lead, (np.sin(2 * np.pi * f * t) + 0.1 * k).tolist()) for k, (r, f) in enumerate((("a", 2.0), ("b", 3.0))) for lead in ("I", "II")] + [("short", "I", [0.0] * 50), ("short", "II", [0.0] * 50)]
+    sigs = spark.createDataFrame(rows, "record_id string, lead string, signal array<double>")
+    heads = spark.createDataFrame([("a", "1, 9", None), ("b", None, None), ("short", "1", None)], "record_id string, diagnosis string, error string")
+    out = ingest.segment_table(sigs, heads, 100.0, ["I", "II"], ["9"], 2.0, 1.0, high=20.0)
+    assert len(out.columns) == 7 + 2 * 13 + 4 * 13
+    got = sorted((r.patient_id, r.segment_ref, r.utility_label, r.lead_I_n_peaks, r.start_sample, r.end_sample) for r in out.collect())
+    assert [g[:3] for g in got] == [("a", k, "Atrial") for k in range(4)] + [("b", k, "Non-Atrial") for k in range(4)]
+    assert all(g[3] == (4 if g[0] == "a" else 6) and g[5] - g[4] == 200 for g in got)
