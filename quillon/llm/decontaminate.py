@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
 A fingerprint of a span of L words is the least hash of its k-word grams. Every span of L words of a document and of an
-item is fingerprinted (k = 3, so 8 grams a span of 10 words); equal spans have equal fingerprints, so a join on them
+item is fingerprinted (k = 5, so 6 grams a span of 10 words); equal spans have equal fingerprints, so a join on them
 misses none. Each match is extended to the whole span, word by word, at every place of the document that has the gram;
 neighbouring spans then merge into runs.
 """
@@ -16,7 +16,7 @@ from .common import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What is between words: all ASCII but letters and digits, one by one, which the regex engine keeps as a bit table.
 BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
-SPAN, GRAM = 10, 3
+SPAN, GRAM = 10, 5
 #: Spans of the benchmark up to which they are broadcast (about 250 bytes each); beyond, the join shuffles.
 BROADCAST_SPANS = 200_000
 
