@@ -109,11 +109,11 @@ class ToxicityModel:
         return {k: v for k, v in self.__dict__.items() if k != "_w"}
 
 
-def fit(sample: DataFrame, bits: int = 20, passes: int = 6, seed: int = 7) -> ToxicityModel:
+def fit(sample: DataFrame, bits: int = 20, passes: int = 6, seed: int = 7, shift: float = 0.0) -> ToxicityModel:
     """Trains on every row of sample (text, label 0/1, order), which goes to the driver as hashed counts.
 
     `order` fixes the order of training, so that reruns agree. With no row, or one label only, the scores follow from
-    the bias.
+    the bias. `shift` is added to the learnt bias.
     """
     got = features_of(sample, bits).toArrow()
     order = np.argsort(got["order"].to_numpy(), kind="stable")
@@ -123,7 +123,7 @@ def fit(sample: DataFrame, bits: int = 20, passes: int = 6, seed: int = 7) -> To
     for _ in range(passes):
         for k in order[rng.permutation(len(order))]:
             model.step(idx[at[k] : at[k + 1]], damp(count[at[k] : at[k + 1]]), float(label[k]))
-    return ToxicityModel(model.weights(), model.bias, bits)
+    return ToxicityModel(model.weights(), model.bias + shift, bits)
 
 
 def score(df: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
@@ -140,20 +140,31 @@ def score(df: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     return df.select(*cols).mapInArrow(run, schema)
 
 
+def prior_shift(counts: dict[int, int], per_class: int) -> float:
+    """What the bias lacks if at most per_class of the counted keys of each label are sampled: the log odds of all
+    keys less those of the sample. 0 while no cap bites, or with one label only."""
+    if not (counts.get(0) and counts.get(1)):
+        return 0.0
+    rate = {y: min(counts[y], per_class) / counts[y] for y in (0, 1)}
+    return float(np.log(rate[0] / rate[1]))
+
+
 def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, seed: int = 7, **how) -> ToxicityModel:
     """Fits on labelled documents outside the held-out fold (crc32 of doc_id modulo 5 is 0).
 
     At most `per_class` documents of each label are taken, those of the smallest key hash; the bound is for training
-    only. As it bounds the sampled keys, these are broadcast and no text is shuffled.
+    only. As it bounds the sampled keys, these are broadcast and no text is shuffled. Both labels are counted over all
+    of them, and the bias is moved from the sample's class shares to these: the prior doesn't depend on the bound.
     """
     lab = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     lab = lab.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(seed)))
+    counts = {r["label"]: r["count"] for r in lab.groupBy("label").count().collect()}
     keys = None
     for y in (0, 1):
         part = lab.filter(F.col("label") == y).orderBy("order", "doc_id").limit(per_class)
         keys = part if keys is None else keys.unionByName(part)
     sample = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(keys), "doc_id")
-    return fit(sample.select("text", "label", "order"), seed=seed, **how)
+    return fit(sample.select("text", "label", "order"), seed=seed, shift=prior_shift(counts, per_class), **how)
 
 
 def op6(documents: DataFrame, labels: DataFrame) -> DataFrame:
