@@ -20,12 +20,17 @@ HARMLESS_WORDS = ("example", "sample", "dummy", "placeholder", "test", "uuid", "
 DICTIONARY = ("the", "and", "ing", "tion", "ion", "ent", "her", "for", "that", "with", "this", "was", "are", "you", "not", "have", "from", "all", "one", "out", "est", "ter", "ver", "ment", "ber", "sch", "und", "der", "die", "que", "les", "des", "para", "con", "por", "able", "ness", "example", "test", "data", "name", "value", "file", "path", "index", "version", "user", "page", "list", "item", "config")
 
 _KEYED = "(?:" + "|".join(sorted(SECRET_WORDS, key=len, reverse=True)) + ")"
-#: A run of 16 and more key characters with a digit, or any value of 8 and more after a secret's name and an assignment.
+#: A run of 16 and more key characters with a digit; '=' is in it as trailing padding only, so that NAME= is no part.
+_RUN = r"(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{16,}+(?:={1,3}(?![A-Za-z0-9_+/=\-]))?"
+#: Any value of 8 and more after a secret's name and an assignment (a run, if one ends there), or a run anywhere.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]{0,64}[0-9])[A-Za-z0-9_+/=\-]{16,}"
-    r"|(?<=[:=\s\"'])(?<=(?i:" + _KEYED + r")[\"']{0,1}[ \t]{0,3}[:=][ \t]{0,3}[\"']{0,1})[^\s\"']{8,}"
+    r"(?<=[:=\s\"'])(?<=(?i:" + _KEYED + r")[\"']{0,1}[ \t]{0,3}[:=]{1,2}[ \t]{0,3}[\"']{0,1})(?![:=])"
+    r"(?:" + _RUN + r"(?=$|[\s\"'&,;)\]}<>]|\.(?:\s|$))|[^\s\"']{8,})"
+    r"|(?<![A-Za-z0-9_+/\-])" + _RUN
 )
 MAYBE = r"[0-9]|(?i:" + _KEYED + ")"
+#: Characters of a value that are split at a time.
+PIECE = 1 << 16
 FEATURES = ("length", "digits", "upper", "lower", "other", "turns", "letter_turns", "vowel_turns", "longest_run", "variety", "entropy", "hex_only", "dictionary", "slashes", "path_before", "keyed", "secret_word", "harmless_word", "quoted", "dashes_like_uuid", "prefix_word")
 
 
@@ -39,19 +44,20 @@ def with_features(findings: DataFrame) -> DataFrame:
     before, after = F.lower("before"), F.lower("after")
     n = F.length(v)
     count = lambda pattern, of=v: F.regexp_count(of, F.lit(pattern))
-    chars = F.split(F.substring(v, 1, 256), "")
-    short = F.substring(v, 1, 256)
-    share = lambda c: (F.length(short) - F.length(F.replace(short, c, F.lit("")))).cast("double") / F.greatest(F.length(short), F.lit(1))
-    entropy = F.aggregate(F.array_distinct(F.array_remove(chars, "")), F.lit(0.0), lambda a, c: a - share(c) * F.log2(F.greatest(share(c), F.lit(1e-9))))
+    # The distinct characters, piece by piece: an array of all characters of a long value would be large.
+    piece = lambda i: F.array_distinct(F.split(F.substring(v, i + 1, F.lit(PIECE)), ""))
+    chars = F.array_remove(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PIECE)), piece))), "")
+    share = lambda c: _share(n - F.length(F.replace(v, c, F.lit(""))), n)
+    entropy = F.aggregate(F.transform(chars, share), F.lit(0.0), lambda a, p: a - p * F.log2(F.greatest(p, F.lit(1e-9))))
     words = lambda of, which: F.least(count(r"(?<![a-z])(?:" + "|".join(sorted(which, key=len, reverse=True)) + ")", of), F.lit(3))
     exprs = {
         "length": F.log1p(n), "digits": _share(count("[0-9]"), n), "upper": _share(count("[A-Z]"), n), "lower": _share(count("[a-z]"), n), "other": _share(count("[^A-Za-z0-9]"), n),
         "turns": _share(count("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]"), n), "letter_turns": _share(count("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"), n), "vowel_turns": _share(count("(?<=[aeiou])[b-df-hj-np-tv-z]|(?<=[b-df-hj-np-tv-z])[aeiou]", low), n),
         "longest_run": _share(F.coalesce(F.array_max(F.transform(F.regexp_extract_all(v, F.lit(r"((.)\2+)"), F.lit(1)), lambda x: F.length(x))), F.lit(1)), n),
-        "variety": _share(F.size(F.array_distinct(F.array_remove(chars, ""))), F.least(n, F.lit(64))), "entropy": entropy, "hex_only": F.rlike(v, F.lit("^[0-9a-fA-F]+$")).cast("double"),
+        "variety": _share(F.size(chars), F.least(n, F.lit(64))), "entropy": entropy, "hex_only": F.rlike(v, F.lit("^[0-9a-fA-F]+$")).cast("double"),
         "dictionary": 1 - _share(F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")), n),
         "slashes": _share(count("[/\\\\]"), n), "path_before": F.rlike(before, F.lit(r"[/\\][^\s]{0,40}$|https?:|www\.")).cast("double"),
-        "keyed": F.rlike(before, F.lit(_KEYED + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?$")).cast("double"), "secret_word": words(before, SECRET_WORDS).cast("double"), "harmless_word": (words(before, HARMLESS_WORDS) + words(after, HARMLESS_WORDS)).cast("double"),
+        "keyed": F.rlike(before, F.lit(_KEYED + r"[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?$")).cast("double"), "secret_word": words(before, SECRET_WORDS).cast("double"), "harmless_word": (words(before, HARMLESS_WORDS) + words(after, HARMLESS_WORDS)).cast("double"),
         "quoted": F.rlike(before, F.lit("[\"']$")).cast("double"), "dashes_like_uuid": F.rlike(low, F.lit("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).cast("double"), "prefix_word": F.rlike(v, F.lit("^[A-Za-z]{2,5}[_-][A-Za-z0-9]{12,}$|^(?:AKIA|eyJ)")).cast("double"),
     }
     return findings.select("*", *(exprs[f].alias(f) for f in FEATURES))
@@ -60,12 +66,22 @@ def with_features(findings: DataFrame) -> DataFrame:
 def candidates(documents: DataFrame, context: int = 48) -> DataFrame:
     """One row per candidate: doc_id, n (1, 2, ... in the text), value, before and after.
 
-    Every text is searched to its end. Null and empty texts have no candidate.
+    Every text is searched to its end. Null and empty texts have no candidate. before and after are the `context`
+    characters of the text around the value, other candidates among them.
     """
     docs = documents.select("doc_id", "text").filter(F.rlike("text", F.lit(MAYBE)))
-    found = docs.select("doc_id", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"), F.split("text", CANDIDATE, -1).alias("between"))
-    rows = found.select("doc_id", "between", F.posexplode("values").alias("i", "value"))
-    return rows.select("doc_id", (F.col("i") + 1).alias("n"), "value", F.right(F.get("between", "i"), F.lit(context)).alias("before"), F.left(F.get("between", F.col("i") + 1), F.lit(context)).alias("after"))
+    found = docs.select("doc_id", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"), F.split("text", CANDIDATE, -1).alias("between")).filter(F.size("values") > 0)
+    # The text as a list: what is between, value, between, ... Of a long piece only the ends can be context.
+    ends = lambda x: F.when(F.length(x) > 2 * context, F.concat(F.left(x, F.lit(context)), F.right(x, F.lit(context)))).otherwise(x)
+    pair = lambda x, i: F.array(ends(x), ends(F.coalesce(F.get("values", i), F.lit(""))))
+    found = found.select("doc_id", "values", F.flatten(F.transform("between", pair)).alias("pieces"))
+    rows = found.select("doc_id", "pieces", F.posexplode("values").alias("i", "value"))
+    # A value has 8 characters at least: so many pieces hold the context.
+    reach, at = 2 * -(-context // 8) + 1, 2 * F.col("i") + 1
+    first = F.greatest(F.lit(1), at - (reach - 1))
+    before = F.array_join(F.slice("pieces", first, at - first + 1), "")
+    after = F.array_join(F.slice("pieces", at + 2, F.lit(reach)), "")
+    return rows.select("doc_id", (F.col("i") + 1).alias("n"), "value", F.right(before, F.lit(context)).alias("before"), F.left(after, F.lit(context)).alias("after"))
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:

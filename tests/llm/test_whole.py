@@ -1,8 +1,10 @@
 """Operators do the whole job: cases that a bound or a cut used to leave out."""
 
+import hashlib
+
 import numpy as np
 
-from quillon.llm import toxicity
+from quillon.llm import secrets, toxicity
 
 
 def test_toxicity_keeps_its_prior_when_the_cap_bites(spark):
@@ -14,3 +16,42 @@ def test_toxicity_keeps_its_prior_when_the_cap_bites(spark):
     for cap in (3000, 100):
         got = toxicity.score(docs, toxicity.train(docs, labels, per_class=cap), ["doc_id"]).toPandas()
         assert 0.05 < got["score"].mean() < 0.2 and got["predicted"].mean() < 0.05
+
+
+def test_secret_candidates_are_whole(spark):
+    key = hashlib.sha1(b"k").hexdigest()
+    path = "/".join(["srv", "share", "deployment", "production", "credentials", "storage", "archive", "keys"]) + "/"
+    pad = "QWxhZGRpbjpvcGVuIHNlc2FtZQ9="
+    rows = [
+        (path + key, [path + key]),
+        ("password=hunter2hunter2", ["hunter2hunter2"]),
+        (f"export token={key}\nx", [key]),
+        (f"AWS_SECRET_ACCESS_KEY={key}", [key]),
+        (f"call({{api_key={key}, n=2}})", [key]),
+        (f"GET /?token={key}&page=2", [key]),
+        (f"password: {key}!x% end", [key + "!x%"]),
+        (f"the value {pad} ends", [pad]),
+        (f"name=x{key}", ["x" + key]),
+        (f"if token == '{key}'", [key]),
+        (f"token=={key}", [key]),
+        (f"{key} {key} and {key}", [key] * 3),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = secrets.candidates(docs).orderBy("doc_id", "n").collect()
+    for k, (t, want) in enumerate(rows):
+        mine, at = [r for r in got if r.doc_id == k], 0
+        assert [r.value for r in mine] == want
+        for r in mine:
+            at = t.index(r.value, at)
+            assert r.before == t[max(0, at - 48) : at] and r.after == t[at + len(r.value) :][:48]
+            at += len(r.value)
+    keyed = {r.doc_id for r in secrets.with_features(secrets.candidates(docs)).filter("keyed > 0").collect()}
+    assert keyed == {1, 2, 3, 4, 5, 6, 9, 10}
+
+
+def test_secret_features_see_the_whole_value(spark):
+    rows = spark.createDataFrame([("ab" * 200 + "".join(map(chr, range(48, 122))), "", "")], "value string, before string, after string")
+    v = rows.first().value
+    p = np.array([v.count(c) / len(v) for c in set(v)])
+    r = secrets.with_features(rows).first()
+    assert abs(r.entropy + (p * np.log2(p)).sum()) < 1e-9 and abs(r.variety - len(p) / 64) < 1e-9
