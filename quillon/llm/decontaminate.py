@@ -116,9 +116,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_spans: i
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of documents without any hit, with all their columns."""
-    bad = decontaminate(documents, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    """The rows of documents without any hit, with all their columns.
+
+    A row is judged by its text alone, so the decision comes back by the text's SHA-256: rows that share a doc_id, or
+    have none, are told apart.
+    """
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    bad = decontaminate(documents.select(sha.alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("_sha")).distinct()
+    docs = documents.withColumn("_of", sha)
+    return docs.join(bad, docs["_of"] == bad["_sha"], "left_anti").drop("_of")
 
 
 SQL = r"""

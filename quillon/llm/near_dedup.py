@@ -24,6 +24,8 @@ from .common import LOWER, U64, byte_slices, mix, powers, row_spans, word_hashes
 BANDS, ROWS, SHINGLE = 36, 7, 5
 #: Shingles of a block: two blocks are in a task's memory at a time.
 BLOCK = 1 << 17
+#: The number of a stored row.
+ROW = "_row_"
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -47,6 +49,11 @@ def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> list[np.nda
     return out
 
 
+def _text_hash():
+    """Routes a text to its row; what it finds is checked by the set."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
+
+
 _SEEDS = mix(np.arange(1, 1 << 12, dtype=U64))
 
 
@@ -83,11 +90,15 @@ def _set_key(s: np.ndarray) -> bytes:
 
 
 def sketched(documents: DataFrame, count: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """rid, doc_id, n_shingles, set_key (of equal sets equal; empty for the empty set) and bands."""
+    """doc_id, th (a hash of the text), n_shingles, set_key (of equal sets equal; empty for the empty set) and bands.
+
+    If documents has a column ROW, it stays.
+    """
+    row = [ROW] if ROW in documents.columns else []
 
     def run(batches):
         for batch in batches:
-            ids, sizes, keys, marks = batch.column("doc_id"), [], [], []
+            sizes, keys, marks = [], [], []
             for _, _, buf, offs in byte_slices(batch, limit=1 << 20):
                 for s in shingles(buf, offs):
                     sizes.append(len(s))
@@ -95,10 +106,10 @@ def sketched(documents: DataFrame, count: int = BANDS, rows: int = ROWS) -> Data
                     marks.append(bands(sketch(s, count * rows), count, rows).view(np.int64) if len(s) else np.zeros(0, np.int64))
             at = np.concatenate([[0], np.cumsum([len(m) for m in marks])]) if marks else np.zeros(1)
             flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*row, "doc_id", "th")), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=[*row, "doc_id", "th", "n_shingles", "set_key", "bands"])
 
     ids = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, n_shingles long, set_key binary, bands array<long>")
+    return documents.select(*row, "doc_id", "text", _text_hash()).mapInArrow(run, f"{''.join(f'{c} long, ' for c in row)}doc_id {ids}, th long, n_shingles long, set_key binary, bands array<long>")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -155,40 +166,47 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int, same: bool) -
     return out
 
 
-def near_groups(documents: DataFrame, percent: int = 85, count: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def near_rows(documents: DataFrame, percent: int, count: int, rows: int, block: int) -> DataFrame:
+    """ROW, doc_id, n_shingles, component_id (null without words) and first: if the row is its component's that stays.
 
-    Words are what `[^\\x20\\x09-\\x0D]+` matches, A-Z in lower case. component_id is the least doc_id reachable over
-    links; a text without words links with nothing. Null text counts as empty; a row with a null doc_id takes part in
-    links only through rows of the same set, and has its component's id or null.
+    documents may have ROW; else rows get one. Equal sets are a class with a number of its own, so that rows without a
+    doc_id take part in links like others.
     """
-    base = written(sketched(documents, count, rows), "sketches")
-    full = base.filter("n_shingles > 0 and doc_id is not null")
-    # One class for equal sets, named by its least doc_id.
-    classes = written(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("m"), F.max("n_shingles").alias("n")).select("set_key", F.col("m.doc_id").alias("rep"), "n", F.col("m.bands").alias("bands")), "classes")
+    base = sketched(documents, count, rows)
+    base = written(base if ROW in base.columns else base.withColumn(ROW, F.monotonically_increasing_id()), "sketches")
+    full = base.filter("n_shingles > 0")
+    # One class for equal sets, read from the row with its least doc_id, null last.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "bands")).alias("m")
+    classes = full.groupBy("set_key").agg(least, F.max("n_shingles").alias("n")).select("set_key", "m.doc_id", "m.th", "n", "m.bands")
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     marks = classes.select("rep", F.explode("bands").alias("band"))
     heads = marks.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("band", "head")
     stars = marks.join(heads, "band").select(F.col("rep").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
     groups = components(written(stars, "stars"), "groups")
-    members = written(groups.join(classes.select("rep", "n", "set_key"), groups["node"] == F.col("rep")).select("rep", "label", "n", "set_key"), "members")
+    members = written(groups.join(classes.select("rep", "doc_id", "th", "n", "set_key"), groups["node"] == F.col("rep")).select("rep", "label", "doc_id", "th", "n", "set_key"), "members")
     # Blocks of a group: members by the hash of their key, as many blocks as its shingles need.
     need = members.groupBy("label").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     placed = members.join(need, "label").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # By merge at every size: the members grow with the corpus.
-    texts = documents.select("doc_id", "text").join(placed.select(F.col("rep").alias("doc_id"), "label", "blocks", "part", "set_key").hint("merge"), "doc_id")
+    placed = placed.select("rep", "label", "blocks", "part", "set_key", F.col("doc_id").alias("i_"), F.col("th").alias("t_")).hint("merge")
+    docs = documents.select("doc_id", "text", _text_hash())
+    texts = docs.join(placed, docs["doc_id"].eqNullSafe(placed["i_"]) & (docs["th"] == placed["t_"])).drop("doc_id", "th", "i_", "t_")
 
     def sets_of(batches):
+        seen = set()  # repeated rows count once
         for batch in batches:
-            keys, out, row0 = batch.column("set_key").to_pylist(), [], 0
+            keys, reps, out, row0 = batch.column("set_key").to_pylist(), batch.column("rep").to_pylist(), [], 0
             for _, _, buf, offs in byte_slices(batch, limit=1 << 20):
                 for s in shingles(buf, offs):
-                    # Of rows that share a doc_id only those of the class count.
-                    out.append(s.tobytes() if _set_key(s) == keys[row0] else None)
+                    # A text whose hash is equal by chance is none of the class.
+                    new = reps[row0] not in seen and _set_key(s) == keys[row0]
+                    out.append(s.tobytes() if new else None)
+                    if new:
+                        seen.add(reps[row0])
                     row0 += 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("blocks"), batch.column("part"), pa.array(out, pa.binary())], names=["rep", "label", "blocks", "part", "body"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "label", "blocks", "part")), pa.array(out, pa.binary())], names=["rep", "label", "blocks", "part", "body"])
 
-    ids = documents.schema["doc_id"].dataType.simpleString()
-    sets = texts.mapInArrow(sets_of, f"rep {ids}, label {ids}, blocks int, part int, body binary").filter("body is not null")
+    sets = texts.mapInArrow(sets_of, "rep long, label long, blocks int, part int, body binary").filter("body is not null")
     # A block meets each block of its group once: task (i, j), i <= j.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sent = sets.withColumn("o", other).select("label", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "rep", "body")
@@ -203,15 +221,37 @@ def near_groups(documents: DataFrame, percent: int = 85, count: int = BANDS, row
             found = linked([body[k] for k in left], [body[k] for k in right], percent, i == j)
         return pa.table([pa.array([rep[left[x]] for x, _ in found], pa.int64()), pa.array([rep[right[y]] for _, y in found], pa.int64())], names=["a", "b"])
 
-    links = written(sent.groupBy("label", "i", "j").applyInArrow(compare, f"a {ids}, b {ids}"), "links")
+    links = written(sent.groupBy("label", "i", "j").applyInArrow(compare, "a long, b long"), "links")
     final = components(links, "components")
-    own = classes.join(final, classes["rep"] == final["node"], "left").select(F.col("set_key").alias("k_"), F.coalesce("label", "rep").alias("component_id"))
-    out = base.join(own, base["set_key"] == own["k_"], "left")
+    own = classes.join(final, classes["rep"] == final["node"], "left").select("set_key", "doc_id", "th", F.coalesce("label", "rep").alias("label"))
+    # The row that stays has the least doc_id, null last; of such rows the least text hash, of equal ones the first row.
+    rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key", "th")).alias("top")
+    tops = own.groupBy("label").agg(rank).select(F.col("label").alias("l_"), "top")
+    own = own.join(tops, own["label"] == tops["l_"]).select(F.col("set_key").alias("k_"), F.col("top.doc_id").alias("component_id"), (F.col("set_key") == F.col("top.set_key")).alias("lead"), F.col("top.th").alias("t_"))
+    out = base.drop("bands").join(own, base["set_key"] == own["k_"], "left")
+    tops = out.filter(F.col("lead") & F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("t_")))
+    one = tops.groupBy("set_key").agg(F.min(ROW).alias("f_")).select("f_")
+    return out.join(one, out[ROW] == one["f_"], "left").select(ROW, "doc_id", "n_shingles", "component_id", F.col("f_").isNotNull().alias("first"))
+
+
+def near_groups(documents: DataFrame, percent: int = 85, count: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Words are what `[^\\x20\\x09-\\x0D]+` matches, A-Z in lower case. component_id is the least doc_id reachable over
+    links; a text without words links with nothing. Null text counts as empty; a row with a null doc_id takes part in
+    links, and has its component's id or null. Of a component without any doc_id one row is kept.
+    """
+    out = near_rows(documents.drop(ROW), percent, count, rows, block)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"))
+    nameless = F.col("doc_id").isNull() & F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(True)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, nameless).alias("kept"))
 
 
-def kept_documents(documents: DataFrame, **how) -> DataFrame:
-    """The rows of documents that stay, one of each group, with all their columns."""
-    stay = near_groups(documents, **how).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(stay, documents["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+def kept_documents(documents: DataFrame, percent: int = 85, count: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """The rows of documents that stay, one of each group, with all their columns.
+
+    Rows are stored with a number first and come back by it, as doc_id may be null or repeat.
+    """
+    docs = written(documents.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    stay = near_rows(docs, percent, count, rows, block).filter("first or n_shingles = 0").select(F.col(ROW).alias("_stay"))
+    return docs.join(stay, docs[ROW] == stay["_stay"], "left_semi").drop(ROW)

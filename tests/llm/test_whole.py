@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 
-from quillon.llm import secrets, toxicity
+from quillon.llm import decontaminate, near_dedup, secrets, toxicity
 
 
 def test_toxicity_keeps_its_prior_when_the_cap_bites(spark):
@@ -55,3 +55,20 @@ def test_secret_features_see_the_whole_value(spark):
     p = np.array([v.count(c) / len(v) for c in set(v)])
     r = secrets.with_features(rows).first()
     assert abs(r.entropy + (p * np.log2(p)).sum()) < 1e-9 and abs(r.variety - len(p) / 64) < 1e-9
+
+
+def test_rows_without_or_with_the_same_id_are_told_apart(spark):
+    rng = np.random.default_rng(9)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    near, clean, leak = some(200), [some(60) for _ in range(4)], some(30)
+    rows = [(None, leak + " a", 0), (None, clean[0], 1), (7, clean[1], 2), (7, leak + " b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert {r.k for r in decontaminate.clean_documents(docs, bench).collect()} == {1, 2}
+
+    rows = [(None, near, 0), (None, near + " x", 1), (None, near + " y", 2), (None, clean[0], 3), (5, clean[1], 4), (5, clean[2] + " z", 5), (3, clean[2], 6), (8, clean[3], 7), (None, clean[3] + " x", 8), (None, None, 9), (None, near, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    got = [r.k for r in near_dedup.kept_documents(docs.repartition(3)).collect()]
+    assert len(got) == len(set(got)) and len({0, 1, 2, 10} & set(got)) == 1 and set(got) - {0, 1, 2, 10} == {3, 4, 6, 7, 9}
+    groups = near_dedup.near_groups(docs).collect()
+    assert sum(r.kept for r in groups if r.n_shingles in (196, 197)) == 1 and sum(r.kept for r in groups) == 6
