@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors
 from ..functions.hashing import hash_52
@@ -60,24 +63,53 @@ def centroids(segments: DataFrame, record: str, vector: str) -> DataFrame:
     return mean.groupBy(record).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def nearest_records(segments: DataFrame, record: str, vector: str, k: int = 5, most: int = 50_000) -> DataFrame:
-    """record, neighbour, distance: the k records with the nearest mean vectors.
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row of a and b, over the elements that both have; inf without any."""
+    total, common = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), bool)
+    for x, y in zip(a.T, b.T):
+        diff = x[:, None] - y[None, :]
+        has = ~np.isnan(diff)
+        total += np.where(has, diff * diff, 0.0)
+        common |= has
+    return np.where(common, np.sqrt(total), np.inf)
 
-    One side is broadcast, behind a check of its size; beyond `most` records the other way is hashed projections.
+
+def nearest_records(segments: DataFrame, record: str, vector: str, k: int = 5, block: int = 8192) -> DataFrame:
+    """record, neighbour, distance: the k records with the nearest mean vectors, exactly, at any number of records.
+
+    Records are dealt into blocks of about `block`; each pair of blocks is a task, which compares all their records and
+    gives out the k nearest of each.
     """
-    means = centroids(segments, record, vector)
-    right = means.select(F.col(record).alias("neighbour"), F.col("centroid").alias("c2"))
-    if means.count() <= most:
-        near = means.join(F.broadcast(right), F.col(record) != F.col("neighbour"))
-    else:
-        from pyspark.ml.feature import BucketedRandomProjectionLSH
-        from pyspark.ml.functions import array_to_vector
-
-        rows = means.select(record, "centroid", array_to_vector("centroid").alias("v"))
-        model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.0, numHashTables=8, seed=1).fit(rows)
-        found = model.approxSimilarityJoin(rows, rows, float("inf")).filter(f"datasetA.{record} <> datasetB.{record}")
-        near = found.select(f"datasetA.{record}", F.col(f"datasetB.{record}").alias("neighbour"), F.col("datasetA.centroid").alias("centroid"), F.col("datasetB.centroid").alias("c2"))
-    near = near.select(record, "neighbour", (-vectors.negative_euclidean("centroid", "c2")).alias("distance"))
+    means = centroids(segments.filter(F.col(record).isNotNull()), record, vector)
+    blocks = max(1, -(-means.count() // block))
+    part = F.pmod(F.xxhash64(record), F.lit(blocks)).cast("int")
+    sent = means.select(F.col(record).alias("r"), "centroid", part.alias("part")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select(F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "r", "centroid")
+    kind = segments.schema[record].dataType
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        t = t.sort_by("r")  # of equal distances the lesser neighbour is nearer
+        lists = t["centroid"].combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        rows = np.full((len(size), int(size.max())), np.nan)
+        rows[np.arange(rows.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        at, out = t["part"].to_numpy(), []
+        for x, y in {(i, j), (j, i)}:
+            left, right = np.flatnonzero(at == x), np.flatnonzero(at == y)
+            for lo in range(0, len(left), 256):
+                own = left[lo : lo + 256]
+                d = _distances(rows[own], rows[right])
+                d[own[:, None] == right[None, :]] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                near = np.take_along_axis(d, best, 1)
+                ok = np.isfinite(near)
+                out.append((np.broadcast_to(own[:, None], ok.shape)[ok], right[best][ok], near[ok]))
+        a, b, d = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"r": t["r"].take(pa.array(a)), "neighbour": t["r"].take(pa.array(b)), "distance": pa.array(d)})
+
+    schema = T.StructType([T.StructField("r", kind), T.StructField("neighbour", kind), T.StructField("distance", T.DoubleType())])
+    near = sent.groupBy("i", "j").applyInArrow(compare, schema).withColumnRenamed("r", record)
     return top_k(near, [record], [F.col("distance"), F.col("neighbour")], k)
 
 
