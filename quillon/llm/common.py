@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,31 +16,78 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
-_own_dir: tempfile.TemporaryDirectory | None = None
+#: Keys that hold more than this share of all rows are hot; there are fewer of them than its inverse.
+HOT = 512
+
+
+@cache
+def _local_dir() -> str:
+    own = tempfile.TemporaryDirectory(prefix="quillon-")
+    atexit.register(own.cleanup)
+    return own.name
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a local one."""
-    global _own_dir
+    """The folder of spark.checkpoint.dir; where that is unset, a local one, for a local session only."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.TemporaryDirectory(prefix="quillon-")
-        atexit.register(_own_dir.cleanup)
-    return _own_dir.name
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _local_dir()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """At the end of the process: results may be read from a stored table until then."""
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session has ended: its folder is left to whoever gave it
+        pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors."""
+    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors.
+
+    The table is removed when the process ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(columns: list[str], name: str) -> str:
+    """name, lengthened until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a stored table with a number for each row, and the name of that column.
+
+    Rows are decided and found again by it: a doc_id may be null or repeat.
+    """
+    row = spare(df.columns, "row_")
+    return written(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
+def keyed_join(rows: DataFrame, values: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """rows with the values of their key. `values` has one row per key; `weight` is the key's number of rows, of `total`.
+
+    Keys with more than 1/HOT of all rows, fewer than HOT of them, come by a broadcast, so that no task gets all rows of
+    one; the others by a shuffle. Both tables are read more than once: rows should be stored.
+    """
+    hot, cold = (values.filter(x).drop(weight) for x in (F.col(weight) * HOT > total, F.col(weight) * HOT <= total))
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold.hint("merge"), on))
+
+
 def fold(column: str, mod: int) -> Column:
     """crc32 of the key as text, modulo mod; 0 for a null key."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % mod, F.lit(0))
