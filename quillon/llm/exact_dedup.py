@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keyed_join, numbered, spare, written
 
 BLOCK = 4096
 
@@ -26,37 +26,39 @@ def _named(distinct: DataFrame, keys: list[str]) -> DataFrame:
     return distinct.withColumn("_bucket", bucket).withColumn("name", F.shiftleft(F.col("_bucket"), 40) + F.row_number().over(order)).drop("_bucket")
 
 
-def identities(documents: DataFrame, block: int = BLOCK, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def identities(documents: DataFrame, block: int = BLOCK, hashed: Callable[[Column], Column] = F.xxhash64, row: str | None = None) -> DataFrame:
     """doc_id, text -> rid, doc_id, text_sha256, n_bytes, level, name; one row per row, as a stored table.
 
     Two rows have equal (level, name) exactly if their texts are equal. Null text counts as empty. `hashed` may be any
-    function of a block: a poor one costs time, not correctness.
+    function of a block: a poor one costs time, not correctness. rid is the column `row` of documents, else a number.
+    Blocks and pairs that hold a large share of all rows get their names by a broadcast.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    docs = documents.select("doc_id", body.alias("body"))
+    docs = documents.select(*([F.col(row).alias("rid")] if row else []), "doc_id", body.alias("body"))
     start = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length("body") - 1).cast("int")), F.lit(block))
     part = lambda i: F.substring("body", i + 1, F.lit(block))
     blocks = lambda df, *cols: df.select(*cols, F.posexplode(F.transform(start, part)).alias("idx", "block")).withColumn("h", hashed(F.col("block")).cast("long"))
-    classes = written(blocks(docs).groupBy("h").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).select("h", (F.col("lo") != F.col("hi")).alias("clash")), "classes")
-    about = F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2("body", 256).alias("text_sha256"), F.octet_length("body").cast("long").alias("n_bytes")
+    classes = blocks(docs).groupBy("h").agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.count("*").alias("times"))
+    classes = written(classes.select("h", (F.col("lo") != F.col("hi")).alias("clash"), "times"), "classes")
+    rid = F.col("rid") if row else F.monotonically_increasing_id().alias("rid")
+    about = rid, "doc_id", F.sha2("body", 256).alias("text_sha256"), F.octet_length("body").cast("long").alias("n_bytes")
     if classes.filter("clash").isEmpty():
         base = written(docs.select(*about, F.transform(start, lambda i: hashed(part(i)).cast("long")).alias("hs")), "base")
         keyed = base.select("rid", F.posexplode("hs").alias("idx", "h"), F.size("hs").alias("n"), F.lit(1).alias("k"))
-        names = _named(classes.select("h", F.lit(1).alias("k")), ["h", "k"])
+        names = classes.select("h", F.lit(1).alias("k"), "times")
     else:
         base = written(docs.select(*about, "body"), "base")
         rows = blocks(base, "rid", F.size(start).alias("n"))
-        shared = rows.join(classes.filter("clash").select("h"), "h", "left_semi").select("h", "block").distinct().withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("block")))
-        shared = written(shared, "clashes")
-        keyed = rows.join(shared, ["h", "block"], "left").select("rid", "idx", "h", "n", F.coalesce("k", F.lit(0)).alias("k"))
-        names = _named(classes.filter(~F.col("clash")).select("h", F.lit(0).alias("k")).unionByName(shared.select("h", "k")), ["h", "k"])
-    state = written(keyed.join(names, ["h", "k"]).select("rid", "idx", "n", "name"), "names")
+        shared = rows.join(classes.filter("clash").select("h"), "h", "left_semi").groupBy("h", "block").agg(F.count("*").alias("times"))
+        shared = written(shared.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("block"))), "clashes")
+        keyed = rows.join(shared.drop("times"), ["h", "block"], "left").select("rid", "idx", "h", "n", F.coalesce("k", F.lit(0)).alias("k"))
+        names = classes.filter(~F.col("clash")).select("h", F.lit(0).alias("k"), "times").unionByName(shared.select("h", "k", "times"))
+    state = written(_renamed(keyed, names, ["h", "k"], classes.agg(F.sum("times")).first()[0] or 0), "names")
     longest, level = state.agg(F.max("n")).first()[0] or 1, 0
     done = [state.filter("n = 1").select("rid", F.lit(0).alias("level"), "name")]
     while longest > 1:
         pairs = written(_pairs(state), "pairs")
-        names = _named(pairs.select("a", "b").distinct(), ["a", "b"])
-        state = pairs.join(names, ["a", "b"]).select("rid", "idx", "n", "name")
+        state = _renamed(pairs, pairs.groupBy("a", "b").agg(F.count("*").alias("times")), ["a", "b"], pairs.count())
         longest, level = (longest + 1) // 2, level + 1
         done.append(state.filter("n = 1").select("rid", F.lit(level).alias("level"), "name"))
     ids = done[0]
@@ -65,6 +67,11 @@ def identities(documents: DataFrame, block: int = BLOCK, hashed: Callable[[Colum
     return written(base.drop("hs", "body").join(ids, "rid"), "identities")
 
 
+def _renamed(rows: DataFrame, distinct: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rid, idx, n and the name of the keys; `distinct` has the keys once, with `times`, their number of rows, of `total`."""
+    return keyed_join(rows, _named(distinct, keys), keys, "times", total).select("rid", "idx", "n", "name")
+
+
 def _pairs(state: DataFrame) -> DataFrame:
     """Adjacent names of each text, as (rid, idx, n, a, b); b is -1 after the last name of an odd number."""
     odd = F.col("idx") % 2 == 1
@@ -73,29 +80,34 @@ def _pairs(state: DataFrame) -> DataFrame:
     return found.select("rid", F.col("up").alias("idx"), F.expr("cast((n + 1) div 2 as int)").alias("n"), "a", "b")
 
 
+def grouped(documents: DataFrame, row: str | None = None, **how) -> DataFrame:
+    """The identities' columns with top (doc_id and rid of the row that stays) and group_size."""
+    ids = identities(documents, row=row, **how)
+    groups = written(ids.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count("*").alias("group_size")).withColumn("times", F.col("group_size")), "groups")
+    total = groups.agg(F.sum("times")).first()[0] or 0
+    return keyed_join(ids, groups, ["level", "name"], "times", total)
+
+
 def exact_dedup(documents: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_bytes.
 
     Of equal texts the row with the largest doc_id stays; null is below every doc_id, and of rows that also share the
-    doc_id exactly one stays. Other columns of documents are ignored. An empty table gives an empty result.
+    doc_id exactly one stays. Null text counts as empty, and texts of any length are read whole. Other columns of
+    documents are ignored. An empty table gives an empty result.
     """
-    ids = identities(documents.select("doc_id", "text"), **how)
-    groups = ids.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count("*").alias("group_size"))
-    out = ids.join(groups, ["level", "name"])
+    out = grouped(documents.select("doc_id", "text"), **how)
     return out.select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), "text_sha256", "n_bytes")
 
 
 def kept_documents(documents: DataFrame) -> DataFrame:
-    """The rows of documents that stay, with all their columns."""
-    found = written(exact_dedup(documents), "exact")
-    stay = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    docs = documents.withColumn("_of", sha)
-    out = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (docs["_of"] == stay["_sha"]), "left_semi")
-    if not found.groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():  # whole rows repeat
-        one = Window.partitionBy("doc_id", "_of").orderBy(*(F.col(c) for c in documents.columns if c not in ("doc_id", "text")), F.lit(0))
-        out = out.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
-    return out.drop("_of")
+    """The rows of documents that stay, with all their columns, whatever their names and types.
+
+    Rows are told apart by a number of their own: of rows that are alike in everything exactly one stays. Nulls, empty
+    texts and an empty table are as in exact_dedup.
+    """
+    docs, row = numbered(documents, "rows")
+    stay = grouped(docs.select(row, "doc_id", "text"), row).filter("rid = top.rid").select(F.col("rid").alias(spare(docs.columns, "stay_")))
+    return docs.join(stay, docs[row] == stay[stay.columns[0]], "left_semi").drop(row)
 
 
 SQL = """
