@@ -19,13 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, byte_slices, mix, powers, row_spans, word_hashes, words, written
+from .common import LOWER, U64, byte_slices, keyed_join, mix, numbered, powers, row_spans, spare, word_hashes, words, written
 
 BANDS, ROWS, SHINGLE = 36, 7, 5
 #: Shingles of a block: two blocks are in a task's memory at a time.
 BLOCK = 1 << 17
-#: The number of a stored row.
-ROW = "_row_"
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -89,12 +87,9 @@ def _set_key(s: np.ndarray) -> bytes:
         return np.array([s.sum(), mix(s).sum(), (mix(s + U64(7)) * (s | U64(1))).sum()], U64).tobytes() if len(s) else b""
 
 
-def sketched(documents: DataFrame, count: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, th (a hash of the text), n_shingles, set_key (of equal sets equal; empty for the empty set) and bands.
-
-    If documents has a column ROW, it stays.
-    """
-    row = [ROW] if ROW in documents.columns else []
+def sketched(documents: DataFrame, row: str, count: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """rid (the column `row`), doc_id, th (a hash of the text), n_shingles, set_key (of equal sets equal; empty for the
+    empty set) and bands."""
 
     def run(batches):
         for batch in batches:
@@ -106,30 +101,34 @@ def sketched(documents: DataFrame, count: int = BANDS, rows: int = ROWS) -> Data
                     marks.append(bands(sketch(s, count * rows), count, rows).view(np.int64) if len(s) else np.zeros(0, np.int64))
             at = np.concatenate([[0], np.cumsum([len(m) for m in marks])]) if marks else np.zeros(1)
             flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*row, "doc_id", "th")), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=[*row, "doc_id", "th", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "th")), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["rid", "doc_id", "th", "n_shingles", "set_key", "bands"])
 
     ids = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select(*row, "doc_id", "text", _text_hash()).mapInArrow(run, f"{''.join(f'{c} long, ' for c in row)}doc_id {ids}, th long, n_shingles long, set_key binary, bands array<long>")
+    return documents.select(F.col(row).alias("rid"), "doc_id", "text", _text_hash()).mapInArrow(run, f"rid long, doc_id {ids}, th long, n_shingles long, set_key binary, bands array<long>")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Edges (a, b) -> (node, label): the least node that each node reaches; only nodes with an edge are given.
 
     Every node takes the least label of its neighbours, then that label's own label, until nothing changes; each round
-    is a stored table, and only the number of changes goes to the driver.
+    is a stored table, and only the number of changes goes to the driver. The label of a node with a large share of all
+    edges, and the label of a label that a large share of all nodes has, come by a broadcast.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = written(both, f"{name}-edges")
-    state = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), f"{name}-labels")
+    nodes = both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("degree"))
+    state = written(nodes.select(F.col("a").alias("node"), F.least("a", "b").alias("label"), "degree"), f"{name}-labels")
+    size = state.agg(F.sum("degree").alias("edges"), F.count("*").alias("nodes")).first()
     while True:
-        near = both.join(state.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        new = state.join(near, state["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label"))
-        jump = new.groupBy("node").agg(F.min("label").alias("up")).withColumnRenamed("node", "label")
-        new = new.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
-        new = written(new, f"{name}-labels")
+        labels = state.select(F.col("node").alias("b"), F.col("label").alias("l"), "degree")
+        near = keyed_join(both, labels, ["b"], "degree", size["edges"] or 0).groupBy("a").agg(F.min("l").alias("l"))
+        new = state.join(near, state["node"] == near["a"], "left").select("node", "degree", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label"))
+        new = written(new, f"{name}-near")
+        ups = new.groupBy("label").agg(F.count("*").alias("times")).join(new.select(F.col("node").alias("label"), F.col("label").alias("up")), "label")
+        new = written(keyed_join(new, ups, ["label"], "times", size["nodes"]).select("node", "degree", "old", F.least("label", "up").alias("label")), f"{name}-labels")
         if new.filter("label < old").isEmpty():
             return new.select("node", "label")
-        state = new.select("node", "label")
+        state = new.select("node", "label", "degree")
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int, same: bool) -> list[tuple[int, int]]:
@@ -166,47 +165,36 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int, same: bool) -
     return out
 
 
-def near_rows(documents: DataFrame, percent: int, count: int, rows: int, block: int) -> DataFrame:
-    """ROW, doc_id, n_shingles, component_id (null without words) and first: if the row is its component's that stays.
+def near_rows(docs: DataFrame, row: str, percent: int, count: int, rows: int, block: int) -> DataFrame:
+    """rid, doc_id, n_shingles, component_id (null without words) and first: if the row is its component's that stays.
 
-    documents may have ROW; else rows get one. Equal sets are a class with a number of its own, so that rows without a
-    doc_id take part in links like others.
+    docs is a stored table with a number for each row, so that rows with no doc_id, or with the same, take part in links
+    like others. Equal sets are one class, known by the number of its first row.
     """
-    base = sketched(documents, count, rows)
-    base = written(base if ROW in base.columns else base.withColumn(ROW, F.monotonically_increasing_id()), "sketches")
-    full = base.filter("n_shingles > 0")
-    # One class for equal sets, read from the row with its least doc_id, null last.
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "bands")).alias("m")
-    classes = full.groupBy("set_key").agg(least, F.max("n_shingles").alias("n")).select("set_key", "m.doc_id", "m.th", "n", "m.bands")
-    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    base = written(sketched(docs, row, count, rows), "sketches")
+    # The first row has the least doc_id, null last, of such rows the least text hash.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rid", "bands")).alias("m")
+    classes = base.filter("n_shingles > 0").groupBy("set_key").agg(least, F.max("n_shingles").alias("n"), F.count("*").alias("times"))
+    classes = written(classes.select("set_key", F.col("m.rid").alias("rep"), F.struct("m.none", "m.doc_id", "m.th", "m.rid").alias("rank"), "m.bands", "n", "times"), "classes")
     marks = classes.select("rep", F.explode("bands").alias("band"))
-    heads = marks.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("band", "head")
-    stars = marks.join(heads, "band").select(F.col("rep").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
+    heads = written(marks.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("times")).filter("times > 1"), "heads")
+    shared = heads.agg(F.sum("times")).first()[0] or 0
+    stars = keyed_join(marks, heads, ["band"], "times", shared).select(F.col("rep").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
     groups = components(written(stars, "stars"), "groups")
-    members = written(groups.join(classes.select("rep", "doc_id", "th", "n", "set_key"), groups["node"] == F.col("rep")).select("rep", "label", "doc_id", "th", "n", "set_key"), "members")
-    # Blocks of a group: members by the hash of their key, as many blocks as its shingles need.
-    need = members.groupBy("label").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    placed = members.join(need, "label").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = written(groups.join(classes.select("rep", "n"), groups["node"] == F.col("rep")).select("rep", "label", "n"), "members")
+    # Blocks of a group: members by the hash of their number, as many blocks as its shingles need.
+    need = members.groupBy("label").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("times"))
+    placed = keyed_join(members, need, ["label"], "times", members.count())
+    placed = placed.select(F.col("rep").alias("rep_"), "label", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("part"))
     # By merge at every size: the members grow with the corpus.
-    placed = placed.select("rep", "label", "blocks", "part", "set_key", F.col("doc_id").alias("i_"), F.col("th").alias("t_")).hint("merge")
-    docs = documents.select("doc_id", "text", _text_hash())
-    texts = docs.join(placed, docs["doc_id"].eqNullSafe(placed["i_"]) & (docs["th"] == placed["t_"])).drop("doc_id", "th", "i_", "t_")
+    texts = docs.select(F.col(row).alias("rep"), "text").join(placed.hint("merge"), F.col("rep") == F.col("rep_")).drop("rep_")
 
     def sets_of(batches):
-        seen = set()  # repeated rows count once
         for batch in batches:
-            keys, reps, out, row0 = batch.column("set_key").to_pylist(), batch.column("rep").to_pylist(), [], 0
-            for _, _, buf, offs in byte_slices(batch, limit=1 << 20):
-                for s in shingles(buf, offs):
-                    # A text whose hash is equal by chance is none of the class.
-                    new = reps[row0] not in seen and _set_key(s) == keys[row0]
-                    out.append(s.tobytes() if new else None)
-                    if new:
-                        seen.add(reps[row0])
-                    row0 += 1
+            out = [s.tobytes() for _, _, buf, offs in byte_slices(batch, limit=1 << 20) for s in shingles(buf, offs)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "label", "blocks", "part")), pa.array(out, pa.binary())], names=["rep", "label", "blocks", "part", "body"])
 
-    sets = texts.mapInArrow(sets_of, "rep long, label long, blocks int, part int, body binary").filter("body is not null")
+    sets = texts.mapInArrow(sets_of, "rep long, label long, blocks int, part int, body binary")
     # A block meets each block of its group once: task (i, j), i <= j.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sent = sets.withColumn("o", other).select("label", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "rep", "body")
@@ -223,15 +211,12 @@ def near_rows(documents: DataFrame, percent: int, count: int, rows: int, block:
 
     links = written(sent.groupBy("label", "i", "j").applyInArrow(compare, "a long, b long"), "links")
     final = components(links, "components")
-    own = classes.join(final, classes["rep"] == final["node"], "left").select("set_key", "doc_id", "th", F.coalesce("label", "rep").alias("label"))
-    # The row that stays has the least doc_id, null last; of such rows the least text hash, of equal ones the first row.
-    rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key", "th")).alias("top")
-    tops = own.groupBy("label").agg(rank).select(F.col("label").alias("l_"), "top")
-    own = own.join(tops, own["label"] == tops["l_"]).select(F.col("set_key").alias("k_"), F.col("top.doc_id").alias("component_id"), (F.col("set_key") == F.col("top.set_key")).alias("lead"), F.col("top.th").alias("t_"))
-    out = base.drop("bands").join(own, base["set_key"] == own["k_"], "left")
-    tops = out.filter(F.col("lead") & F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("t_")))
-    one = tops.groupBy("set_key").agg(F.min(ROW).alias("f_")).select("f_")
-    return out.join(one, out[ROW] == one["f_"], "left").select(ROW, "doc_id", "n_shingles", "component_id", F.col("f_").isNotNull().alias("first"))
+    own = written(classes.join(final, classes["rep"] == final["node"], "left").select("set_key", "rank", F.coalesce("label", "rep").alias("label"), F.col("times").alias("rows")), "labels")
+    tops = own.groupBy("label").agg(F.min("rank").alias("top"), F.count("*").alias("times"))
+    own = keyed_join(own, tops, ["label"], "times", own.count()).select("set_key", "top", "rows")
+    full = keyed_join(base.filter("n_shingles > 0"), written(own, "own"), ["set_key"], "rows", base.count())
+    full = full.select("rid", "doc_id", "n_shingles", F.col("top.doc_id").alias("component_id"), (F.col("rid") == F.col("top.rid")).alias("first"))
+    return full.unionByName(base.filter("n_shingles = 0").select("rid", "doc_id", "n_shingles"), allowMissingColumns=True)
 
 
 def near_groups(documents: DataFrame, percent: int = 85, count: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -239,19 +224,22 @@ def near_groups(documents: DataFrame, percent: int = 85, count: int = BANDS, row
 
     Words are what `[^\\x20\\x09-\\x0D]+` matches, A-Z in lower case. component_id is the least doc_id reachable over
     links; a text without words links with nothing. Null text counts as empty; a row with a null doc_id takes part in
-    links, and has its component's id or null. Of a component without any doc_id one row is kept.
+    links, and has its component's id or null. Of a component without any doc_id one row is kept. A doc_id may be of any
+    type that has an order, and rows that share one are rows like others: all of them are kept if it is the component's
+    least. Other columns are ignored; an empty table gives an empty result.
     """
-    out = near_rows(documents.drop(ROW), percent, count, rows, block)
+    docs, row = numbered(documents.select("doc_id", "text"), "documents")
+    out = near_rows(docs, row, percent, count, rows, block)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     nameless = F.col("doc_id").isNull() & F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(True)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, nameless).alias("kept"))
 
 
 def kept_documents(documents: DataFrame, percent: int = 85, count: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """The rows of documents that stay, one of each group, with all their columns.
+    """The rows of documents that stay, one of each group, with all their columns, whatever their names.
 
-    Rows are stored with a number first and come back by it, as doc_id may be null or repeat.
+    Rows without words all stay. Rows are told apart by a number of their own, as doc_id may be null or repeat.
     """
-    docs = written(documents.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    stay = near_rows(docs, percent, count, rows, block).filter("first or n_shingles = 0").select(F.col(ROW).alias("_stay"))
-    return docs.join(stay, docs[ROW] == stay["_stay"], "left_semi").drop(ROW)
+    docs, row = numbered(documents, "rows")
+    stay = near_rows(docs, row, percent, count, rows, block).filter("first or n_shingles = 0").select(F.col("rid").alias(spare(docs.columns, "stay_")))
+    return docs.join(stay, docs[row] == stay[stay.columns[0]], "left_semi").drop(row)
