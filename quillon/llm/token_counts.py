@@ -5,17 +5,21 @@ from; these are finitely many, so the tokenizer is a deterministic transducer ov
 change of the number of emitted tokens; the last byte of a word is a symbol of its own, after which the state is the
 start again. States and transitions are compiled when first met and then kept in one table of integers.
 
-Texts are cut into chunks at word starts, where the state map of a chunk is constant; all chunks run in step, one table
-look-up a byte for every chunk at once. The counts of texts are differences of the prefix sums of the changes.
+The bytes of many texts are cut into chunks of one length, which run in step, one table look-up a byte for every chunk
+at once. A chunk is a map of states: from its first word start on it is constant, so that part runs at once; the rest,
+the end of a word that an earlier chunk began, runs when a scan over the chunks has composed the maps before it. The
+counts of texts are differences of the prefix sums of the changes.
 
-Texts with characters outside the compiled alphabet (ASCII, Latin-1, Latin Extended-A) or with special strings go
-through the library itself.
+Every character of a text goes through the transducer. The library is asked about single characters when they are first
+met (lower case, letter or digit or space), and about the normal form of words with combining characters.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,33 +59,22 @@ def _tables():
 KIND, LOWER = _tables()
 
 
-def pretokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case bytes, and for each whether it starts and whether it ends a piece; neither for spaces' bytes."""
-    b = buf.copy()
-    lead = np.flatnonzero(b >= 0xC0)
-    cp = np.minimum(b, 127).astype(np.int64)
-    if len(lead):
-        code = ((b[lead].astype(np.int64) & 0x1F) << 6) | (b[lead + 1] & 0x3F)
-        cp[lead] = code
-        low = LOWER[code]
-        b[lead], b[lead + 1] = 0xC0 | (low >> 6), 0x80 | (low & 0x3F)
-    kind = KIND[cp]
-    kind[lead + 1] = kind[lead]
-    ascii_ = buf < 128
-    b[ascii_] = LOWER[buf[ascii_]]
-    n = len(b)
+def pieces(code: np.ndarray, kind: np.ndarray, head: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each unit starts a piece, ends one, and is in one (spaces are in none); pieces never cross rows.
+
+    code: lower-case bytes or characters; head: whether the unit begins a character.
+    """
+    n = len(code)
     first = np.zeros(n + 1, bool)
-    first[offs[:-1]] = True
-    first[n] = True
+    first[offs] = True
     before = np.empty(n, np.uint8)
     before[0], before[1:] = SPACE, kind[:-1]
     before[first[:n]] = SPACE
-    head = (b & 0xC0) != 0x80
     start = head & (kind != SPACE) & ((kind == DIGIT) | (kind != before))
-    quote = np.flatnonzero(start & (b == 39))
+    quote = np.flatnonzero(start & (code == 39))
     if len(quote):
         row_end = offs[np.searchsorted(offs, quote, "right")]
-        at = lambda k: np.where(quote + k < row_end, b[np.minimum(quote + k, n - 1)], 0)
+        at = lambda k: np.where(quote + k < row_end, code[np.minimum(quote + k, n - 1)], 0)
         one, two = at(1), at(2)
         short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
         long_ = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
@@ -96,7 +89,111 @@ def pretokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end[-1] = True
     end[:-1] = start[1:] | ~inside[1:]
     end |= first[1:]
-    return b, start, end & inside
+    return start, end & inside, inside
+
+
+def narrow(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of code points under 0x180 alone: lower-case bytes, start, end and inside."""
+    b = buf.copy()
+    lead = np.flatnonzero(b >= 0xC0)
+    cp = np.minimum(b, 127).astype(np.int64)
+    if len(lead):
+        code = ((b[lead].astype(np.int64) & 0x1F) << 6) | (b[lead + 1] & 0x3F)
+        cp[lead] = code
+        low = LOWER[code]
+        b[lead], b[lead + 1] = 0xC0 | (low >> 6), 0x80 | (low & 0x3F)
+    kind = KIND[cp]
+    kind[lead + 1] = kind[lead]
+    ascii_ = buf < 128
+    b[ascii_] = LOWER[buf[ascii_]]
+    return b, *pieces(b, kind, (b & 0xC0) != 0x80, offs)
+
+
+def decoded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and the rows' offsets among them."""
+    lead = np.flatnonzero((buf & 0xC0) != 0x80)
+    padded = np.concatenate([buf, np.zeros(3, np.uint8)]).astype(np.int32)
+    b0, b1, b2, b3 = (padded[lead + k] for k in range(4))
+    low = lambda *x: sum((y & 0x3F) << (6 * (len(x) - 1 - k)) for k, y in enumerate(x))
+    cp = np.where(b0 < 0x80, b0, np.where(b0 < 0xE0, (b0 & 0x1F) << 6 | low(b1), np.where(b0 < 0xF0, (b0 & 0x0F) << 12 | low(b1, b2), (b0 & 0x07) << 18 | low(b1, b2, b3))))
+    return cp, np.searchsorted(lead, offs)
+
+
+def encoded(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of code points, and the place of each one's first byte (and the end)."""
+    size = 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(at[-1], np.uint8)
+    for n, mark in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+        k = np.flatnonzero(size == n)
+        c, where = cp[k], at[:-1][k]
+        out[where] = mark | (c >> (6 * (n - 1)))
+        for j in range(1, n):
+            out[where + j] = 0x80 | ((c >> (6 * (n - 1 - j))) & 0x3F)
+    return out, at
+
+
+@cache
+def _joining() -> frozenset[int]:
+    """Code points that may compose with the one before them."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    return frozenset({int(p[1], 16) for p in pairs if len(p) == 2 and p[0][0] != "<"} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)})
+
+
+class Alphabet:
+    """What the tokenizer makes of a character, compiled when first met: its class, its lower case, and whether the word
+    around it has to be normalised as a whole."""
+
+    def __init__(self, library):
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.kind, self.low, self.odd = np.full(0x110000, 255, np.uint8), np.zeros(0x110000, np.int32), np.zeros(0x110000, bool)
+
+    def kind_of(self, c: str) -> int:
+        between = self.split(f"a{c}a")
+        if len(between) == 1:
+            return LETTER
+        if len(between) == 2:
+            return SPACE
+        return DIGIT if len(self.split(c + c)) == 2 else OTHER
+
+    def compile(self, cp: np.ndarray) -> None:
+        for c in np.unique(cp[self.kind[cp] == 255]):
+            char = chr(c)
+            new = self.normal(char)
+            self.odd[c] = len(new) != 1 or unicodedata.combining(char) > 0 or int(c) in _joining() or unicodedata.category(char) == "Cn"
+            self.low[c] = ord(new) if len(new) == 1 else c
+            self.kind[c] = self.kind_of(new if len(new) == 1 else char)
+
+    def normalised(self, cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code points in lower case; words with odd characters (between spaces of ASCII) in their normal form."""
+        self.compile(cp)
+        odd = np.flatnonzero(self.odd[cp])
+        if len(odd):
+            edge = np.union1d(np.flatnonzero((cp == 32) | ((cp >= 9) & (cp <= 13))), offs)
+            k = np.unique(np.searchsorted(edge, odd, "right"))
+            parts, at, shift = [], 0, np.zeros(len(cp) + 1, np.int64)
+            for lo, hi in zip(np.maximum(edge[k - 1], 0), edge[k]):
+                new = np.array([ord(c) for c in self.normal("".join(map(chr, cp[lo:hi])))], np.int32)
+                parts += [cp[at:lo], new]
+                shift[hi] += len(new) - (hi - lo)
+                at = hi
+            cp = np.concatenate([*parts, cp[at:]])
+            offs = offs + np.cumsum(shift)[offs]
+            self.compile(cp)
+        low = self.low[cp]
+        self.compile(low)
+        return low, offs
+
+
+def wide(buf: np.ndarray, offs: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For any text: lower-case bytes, start, end and inside, and the rows' offsets among these bytes."""
+    cp, at = alphabet.normalised(*decoded(buf, offs))
+    start, end, inside = pieces(cp, alphabet.kind[cp], np.ones(len(cp), bool), at)
+    b, place = encoded(cp)
+    first, last = np.zeros(len(b), bool), np.zeros(len(b), bool)
+    first[place[:-1][start]] = True
+    last[place[1:][end] - 1] = True
+    return b, first, last, np.repeat(inside, np.diff(place)), place[at]
 
 
 class Transducer:
@@ -177,25 +274,18 @@ class Transducer:
             entry = self.compile(st, sy)
             self.table[st, self.column[sy]] = entry
 
-    def run(self, syms: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """The change of the count at each symbol; chunks begin at piece starts and run in step."""
-        n = len(syms)
-        out = np.zeros(n, np.int32)
-        if not n:
-            return out
-        at = np.flatnonzero(start)
-        step = max(1, n // self.lanes)
-        cuts = np.unique(at[np.minimum(np.searchsorted(at, np.arange(0, n, step)), len(at) - 1)])
-        size = np.diff(np.append(cuts, n))
+    def steps(self, syms: np.ndarray, begin: np.ndarray, stop: np.ndarray, state: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Runs syms[begin:stop] of every lane from its state, in step; writes the changes to out, returns the last states."""
+        size = stop - begin
         order = np.argsort(-size, kind="stable")
-        cuts, size = cuts[order], size[order]
-        state = np.zeros(len(cuts), np.int64)
-        alive = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
-        for t in range(int(size[0])):
+        begin, size, now = begin[order], size[order], state[order].astype(np.int64)
+        most = int(size[0]) if len(size) else 0
+        alive = np.searchsorted(-size, -np.arange(1, most + 1), "right")
+        for t in range(most):
             k = alive[t]
-            pos = cuts[:k] + t
+            pos = begin[:k] + t
             sym = syms[pos]
-            st = state[:k]
+            st = now[:k]
             while True:
                 col = self.column[sym]
                 entry = self.table.ravel()[st * self.table.shape[1] + col]
@@ -204,7 +294,34 @@ class Transducer:
                     break
                 self.missing(st[bad], sym[bad])
             out[pos] = (entry & 63) - 32
-            state[:k] = entry >> 6
+            now[:k] = entry >> 6
+        left = np.empty(len(order), np.int64)
+        left[order] = now
+        return left
+
+    def run(self, syms: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The change of the count at each symbol. syms begin with a piece; start marks the first symbol of each."""
+        n = len(syms)
+        out = np.zeros(n, np.int32)
+        if not n:
+            return out
+        cut = np.arange(0, n, max(64, -(-n // self.lanes)))
+        stop = np.append(cut[1:], n)
+        at = np.append(np.flatnonzero(start), n)
+        # From its first piece start a chunk's map is constant; a chunk inside one piece has none.
+        first = np.minimum(at[np.searchsorted(at, cut)], stop)
+        known = first < stop
+        leave = np.zeros(len(cut), np.int64)
+        leave[known] = self.steps(syms, first[known], stop[known], np.zeros(int(known.sum()), np.int64), out)
+        # The scan: what is before that runs once the state that the chunks before it lead to is known.
+        todo = np.flatnonzero(first > cut)
+        while len(todo):
+            ready = todo[known[todo - 1]]
+            got = self.steps(syms, cut[ready], first[ready], leave[ready - 1], out)
+            inner = ~known[ready]
+            leave[ready[inner]] = got[inner]
+            todo = todo[~known[todo - 1]]
+            known[ready] = True
         return out
 
 
@@ -217,52 +334,53 @@ def _load(path: str):
     if path not in _loaded or len(_loaded[path][0].data) > MOST_STATES:
         from tokenizers import Tokenizer
 
-        _loaded[path] = Transducer(path), Tokenizer.from_file(path)
+        special = [t["content"].encode() for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
+        _loaded[path] = Transducer(path), Alphabet(Tokenizer.from_file(path)), special
     return _loaded[path]
 
 
 def counts(buf: np.ndarray, offs: np.ndarray, path: str) -> np.ndarray:
     """Tokens of each row."""
-    machine, library = _load(path)
-    n = len(offs) - 1
-    out = np.zeros(n, np.int64)
+    machine, alphabet, special = _load(path)
+    out = np.zeros(len(offs) - 1, np.int64)
     if not len(buf):
         return out
-    odd = (buf >= 0xC6) | ((buf >= 0x1C) & (buf <= 0x1F))
-    odd[:-1] |= (buf[:-1] == 0xC2) & ((buf[1:] == 0x85) | (buf[1:] == 0xA0)) | (buf[:-1] == 0xC4) & (buf[1:] == 0xB0)
-    other = row_sums(odd, offs) > 0
-    bar = np.flatnonzero((buf[:-1] == ord("<")) & (buf[1:] == ord("|")))
-    for row in np.unique(np.searchsorted(offs, bar, "right") - 1):
-        text = buf[offs[row] : offs[row + 1]].tobytes()
-        other[row] |= b"<|startoftext|>" in text or b"<|endoftext|>" in text
-    plain = ~other
-    if plain.any():
-        if other.any():
-            keep = np.repeat(plain, np.diff(offs))
-            size = np.diff(offs)[plain]
-            body, at = buf[keep], np.concatenate([[0], np.cumsum(size)])
+    # A special string is a token of its own, and separates what is around it.
+    if len(np.flatnonzero((buf[:-1] == ord("<")) & (buf[1:] == ord("|")))):
+        body = buf.tobytes()
+        for text in special:
+            for found in re.finditer(re.escape(text), body):
+                row = int(np.searchsorted(offs, found.start(), "right")) - 1
+                if found.end() <= offs[row + 1]:
+                    out[row] += 1
+                    buf = buf if buf.flags.writeable else buf.copy()
+                    buf[found.start() : found.end()] = 32
+    beyond = (buf >= 0xC6) | ((buf >= 0x1C) & (buf <= 0x1F))
+    beyond[:-1] |= (buf[:-1] == 0xC2) & ((buf[1:] == 0x85) | (buf[1:] == 0xA0)) | (buf[:-1] == 0xC4) & (buf[1:] == 0xB0)
+    many = row_sums(beyond, offs) > 0
+    for rows in (~many, many):
+        body, at = buf, offs
+        if not rows.all():
+            size = np.diff(offs)[rows]
+            body, at = buf[np.repeat(rows, np.diff(offs))], np.concatenate([[0], np.cumsum(size)])
+        if not len(body):
+            continue
+        if rows is many:
+            b, start, end, inside, at = wide(body, at, alphabet)
         else:
-            body, at = buf, offs
-        if len(body):
-            b, start, end = pretokens(body, at)
-            inside = _inside(b, start, end)
-            change = np.zeros(len(b), np.int32)
-            change[inside] = machine.run(b[inside].astype(np.int64) + 256 * end[inside], start[inside])
-            out[plain] = row_sums(change, at)
-    for row in np.flatnonzero(other):
-        out[row] = len(library.encode(buf[offs[row] : offs[row + 1]].tobytes().decode(), add_special_tokens=False).ids)
+            b, start, end, inside = narrow(body, at)
+        change = np.zeros(len(b), np.int32)
+        change[inside] = machine.run(b[inside].astype(np.int64) + 256 * end[inside], start[inside])
+        out[rows] += row_sums(change, at)
     return out
 
 
-def _inside(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Bytes between a piece's start and end."""
-    open_ = np.cumsum(start.astype(np.int32))
-    closed = np.cumsum(end.astype(np.int32)) - end
-    return open_ > closed
-
-
 def token_counts(documents: DataFrame, path: str, keep: list[str], limit: int = 2048) -> DataFrame:
-    """`keep` columns of documents, n_bytes, n_tokens and over_limit. Null text counts as empty."""
+    """`keep` columns of documents, n_bytes, n_tokens and over_limit, one row per row; texts of any length are counted whole.
+
+    Null text counts as empty and has no token, so has an empty one. Repeated rows and null keys are rows like others,
+    other columns are ignored, and an empty table gives an empty result.
+    """
     schema = T.StructType([*(documents.schema[c] for c in keep), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches):
