@@ -199,11 +199,14 @@ def train(documents: DataFrame, per_language: int = 400, windows: int = 3, windo
     """Fits on text and lang of documents outside the held-out fold (crc32 of doc_id modulo 5 is 0).
 
     At most `per_language` documents of each language are sampled, those of the smallest key hash, and `windows` pieces
-    of `window` characters of each, from places all over the text; the bounds are for training only.
+    of `window` characters of each, from places all over the text; the bounds are for training only. The sample is cut
+    in 64 parts of each language before it is cut in the language, so that no task sees all rows of one.
     """
     docs = documents.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0))
     order = F.xxhash64("doc_id", F.lit(seed))
-    keys = docs.select("doc_id", "lang", order.alias("order")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).filter(F.col("n") <= per_language).select("doc_id", "lang", "order").distinct()
+    first = lambda d, *by: d.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("order", "doc_id"))).filter(F.col("n") <= per_language).drop("n")
+    keys = docs.select("doc_id", "lang", order.alias("order"), F.pmod(order, F.lit(64)).alias("part"))
+    keys = first(first(keys, "lang", "part"), "lang").select("doc_id", "lang", "order").distinct()
     size = F.length("text")
     piece = F.explode(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substring("text", (F.pmod(F.xxhash64("order", k), F.greatest(size - window, F.lit(0)) + 1) + 1).cast("int"), F.lit(window)))).alias("piece")
     got = docs.join(F.broadcast(keys), ["doc_id", "lang"]).select("lang", "order", piece).toArrow().to_pydict()
@@ -238,7 +241,12 @@ def predict(documents: DataFrame, model: LanguageModel, keep: list[str]) -> Data
 
 
 def op3(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score."""
+    """One row per document: doc_id, held_out, lang_pred, score.
+
+    A null text, or one without a letter, gets `und` and 0. Rows with a null doc_id are predicted, not learnt from, and
+    not held out; repeated rows are rows each, texts of any length are read whole, other columns are ignored. An empty
+    table gives an empty result; with one language learnt, that is the prediction.
+    """
     model = train(documents)
     docs = documents.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
     return predict(docs, model, ["doc_id", "held_out"])
