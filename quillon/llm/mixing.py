@@ -85,7 +85,8 @@ def targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int")).cast("double")
-    t = sizes.filter("source_size > 0").withColumn("weight", weight).withColumn("cap", cap * F.col("source_size"))
+    # Every source has a place in the order, one of size 0 too.
+    t = sizes.withColumn("weight", weight).filter("source_size > 0").withColumn("cap", cap * F.col("source_size"))
     by = Window.orderBy((F.col("cap") / F.col("weight")), F.col("source").asc_nulls_last())
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     rest = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -100,20 +101,23 @@ def targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
 def mix_sources(sized: DataFrame, cap: float = 3.0, group: int = 2048, seed: int = 11, keep: int = 14) -> DataFrame:
     """doc_id, source, size -> doc_id, source, size, source_size, target, taken; one row for each row.
 
-    sized must be a stored table (it is read several times). A source of size 0, or null, is a source like others.
+    sized must be a stored table (it is read several times). A source of size 0, or null, is a source like others. With
+    a column `row`, rows without a doc_id are dealt by it.
     """
-    cols = "doc_id", "source", "size", "source_size", "target", "times", "p"
+    sized = sized if "row" in sized.columns else sized.withColumn("row", F.lit(0).cast("long"))
+    cols = "doc_id", "source", "size", "source_size", "target", "times", "p", "row"
+    own = F.when(F.col("doc_id").isNull(), F.col("row"))
     sums = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), cap)
     salts = 64  # a source may hold most rows
     right = sums.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts))))).withColumnRenamed("source", "s_")
-    left = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int"))
+    left = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size", own), F.lit(salts)).cast("int"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = left.join(right, (left["salt"] == right["salt"]) & left["source"].eqNullSafe(right["s_"])).select("doc_id", "source", "size", "source_size", "target", F.floor(rate).alias("times"), (rate - F.floor(rate)).alias("p"), F.ceil(F.col("docs") / group).alias("groups"))
-    schema = ", ".join(f"{c} {t}" for c, t in (*joined.select("doc_id", "source").dtypes, ("size", "long"), ("source_size", "long"), ("target", "double"), ("times", "long"), ("p", "double")))
+    joined = left.join(right, (left["salt"] == right["salt"]) & left["source"].eqNullSafe(right["s_"])).select("doc_id", "source", "size", "source_size", "target", F.floor(rate).alias("times"), (rate - F.floor(rate)).alias("p"), "row", F.ceil(F.col("docs") / group).alias("groups"))
+    schema = ", ".join(f"{c} {t}" for c, t in (*joined.select("doc_id", "source").dtypes, ("size", "long"), ("source_size", "long"), ("target", "double"), ("times", "long"), ("p", "double"), ("row", "long")))
 
     def fly(last: bool, level: int):
         def run(t: pa.Table) -> pa.Table:
-            t = t.select(list(cols)).sort_by([("doc_id", "ascending"), ("size", "ascending")])
+            t = t.select(list(cols)).sort_by([("doc_id", "ascending"), ("size", "ascending"), ("row", "ascending")])
             size, p = t["size"].to_pylist(), t["p"].to_pylist()
             rng = random.Random(f"{seed} {level} {t['source'][0].as_py()} {t['doc_id'][0].as_py()} {len(p)}")
             order = list(range(len(p)))
@@ -132,7 +136,7 @@ def mix_sources(sized: DataFrame, cap: float = 3.0, group: int = 2048, seed: int
     while True:
         many = level == 0 or state.agg(F.max("groups")).first()[0] or 0
         last = level > 0 and many <= 1
-        flown = state.withColumn("g", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.col("groups"))).groupBy("source", "g").applyInArrow(fly(last, level), schema)
+        flown = state.withColumn("g", F.pmod(F.xxhash64("doc_id", "size", F.lit(level), own), F.col("groups"))).groupBy("source", "g").applyInArrow(fly(last, level), schema)
         flown = written(flown, "flight")
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(flown.filter(~open_))
@@ -142,7 +146,7 @@ def mix_sources(sized: DataFrame, cap: float = 3.0, group: int = 2048, seed: int
         counts = rest.groupBy("source").agg(F.ceil(F.count("*") / group).alias("groups")).withColumnRenamed("source", "s_")
         # A few rows a group of the level before, but one source may have most of them: salted like above.
         right = counts.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
-        left = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int"))
+        left = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size", own), F.lit(salts)).cast("int"))
         state = left.join(right, (left["salt"] == right["salt"]) & left["source"].eqNullSafe(right["s_"])).select(*cols, "groups")
         level += 1
     out = done[0]
@@ -152,11 +156,16 @@ def mix_sources(sized: DataFrame, cap: float = 3.0, group: int = 2048, seed: int
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, source and size, the words of the text (null: 0), as a stored table."""
+    """doc_id, source, size, the words of the text (null: 0), and row, a number, as a stored table."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return written(documents.select("doc_id", "source", size.alias("size")), "sizes")
+    return written(documents.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
 
 
 def op9(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, source."""
+    """One row per document: doc_id, size, source_size, target, taken, source.
+
+    A null text has size 0, and is taken with 0 words; a null source is one like others, the last in order. Rows with
+    null or repeated doc_ids are rows each. Reruns over the same rows agree. Other columns are ignored; an empty table
+    gives an empty result.
+    """
     return mix_sources(sized(documents)).select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -211,9 +211,9 @@ def test_mixing(documents, nothing, spark):
 
 
 def test_targets_are_capped(spark):
-    rows = [("a", 10), ("b", 1000), ("c", 500), (None, 40), ("d", 0)]
-    want, left = {}, {s: n for s, n in rows}
-    order = ["a", "b", "c", "d", None]
+    rows = [("a", 10), ("b", 1000), ("c", 500), ("d", 0), ("e", 900), (None, 4000)]  # d has a place, and its weight
+    want, left = {"d": 0}, {s: n for s, n in rows if n}
+    order = ["a", "b", "c", "d", "e", None]
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
     total = sum(n for _, n in rows)
     while True:
