@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, byte_slices, fold, mix, row_spans, table_of, word_hashes, words
+from .common import LOWER, U64, byte_slices, fold, mix, row_spans, spare, table_of, word_hashes, words
 
 #: A word is a run of letters and digits of ASCII, or of bytes above it.
 WORDS = table_of([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
@@ -110,31 +110,48 @@ class ToxicityModel:
 
 
 def fit(sample: DataFrame, bits: int = 20, passes: int = 6, seed: int = 7, shift: float = 0.0) -> ToxicityModel:
-    """Trains on every row of sample (text, label 0/1, order), which goes to the driver as hashed counts.
+    """Trains on every row of sample (text, label 0/1, order) in one executor task; the driver gets the weights alone.
 
-    `order` fixes the order of training, so that reruns agree. With no row, or one label only, the scores follow from
-    the bias. `shift` is added to the learnt bias.
+    The rows are a bounded sample; the task holds their hashed counts, not their texts. `order` fixes the order of
+    training, so that reruns agree. With no row, or one label only, the scores follow from the bias. `shift` is added to
+    the learnt bias.
     """
-    got = features_of(sample, bits).toArrow()
-    order = np.argsort(got["order"].to_numpy(), kind="stable")
-    label, idx, count = got["label"].to_numpy(), got["idx"].combine_chunks(), got["count"].combine_chunks()
-    at, idx, count = idx.offsets.to_numpy(), idx.values.to_numpy(), count.values.to_numpy()
-    model, rng = Ftrl(bits), np.random.default_rng(seed)
-    for _ in range(passes):
-        for k in order[rng.permutation(len(order))]:
-            model.step(idx[at[k] : at[k + 1]], damp(count[at[k] : at[k + 1]]), float(label[k]))
-    return ToxicityModel(model.weights(), model.bias + shift, bits)
 
-
-def score(df: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """`keep` columns of df, score (0 to 1) and predicted (1 if score >= 0.5)."""
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    def run(batches):
+        rows = []
+        for batch in batches:
+            idx, count = batch.column("idx"), batch.column("count")
+            at, keys, times = idx.offsets.to_numpy(), idx.values.to_numpy(), count.values.to_numpy()
+            rows += [(keys[lo:hi].copy(), times[lo:hi].copy(), float(y)) for lo, hi, y in zip(at[:-1], at[1:], batch.column("label").to_pylist())]
+        model, rng = Ftrl(bits), np.random.default_rng(seed)
+        for _ in range(passes):
+            for k in rng.permutation(len(rows)):
+                model.step(rows[k][0], damp(rows[k][1]), rows[k][2])
+        w = model.weights()
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], model.bias))], names=["idx", "weight"])
+
+    got = features_of(sample, bits).repartition(1).sortWithinPartitions("order").mapInArrow(run, "idx long, weight double").toArrow()
+    idx, w = got["idx"].to_numpy(), got["weight"].to_numpy()
+    weights = np.zeros(1 << bits)
+    weights[idx[idx >= 0]] = w[idx >= 0]
+    return ToxicityModel(weights, w[idx < 0].sum() + shift, bits)
+
+
+def score(df: DataFrame, model: ToxicityModel, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """`keep` columns of df, score (0 to 1) and predicted (1 if score >= 0.5), under `names`.
+
+    Texts of any length are read whole; null counts as empty, and an empty text gets the score of the bias.
+    """
+    if clash := {n.lower() for n in names} & {c.lower() for c in keep}:
+        raise ValueError(f"other names are needed for {sorted(clash)}")
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches):
         for batch in batches:
             out = [model.score(buf, offs) for _, _, buf, offs in byte_slices(batch)]
             s = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, *names])
 
     cols = list(dict.fromkeys([*keep, "text"]))
     return df.select(*cols).mapInArrow(run, schema)
@@ -167,8 +184,24 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, seed:
     return fit(sample.select("text", "label", "order"), seed=seed, shift=prior_shift(counts, per_class), **how)
 
 
+def harmless(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of documents that the model, trained on the labelled ones among them, does not reject; all their columns.
+
+    Rows with null or repeated doc_ids are judged by their own text; columns named like the scores stay as they are.
+    """
+    model = train(documents, labels)
+    names = spare(documents.columns, "score"), spare(documents.columns, "predicted")
+    return score(documents, model, documents.columns, names).filter(F.col(names[1]) == 0).drop(*names)
+
+
 def op6(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted. Null text counts as empty."""
+    """One row per document: doc_id, held_out, score, predicted.
+
+    Null text counts as empty; rows with a null doc_id are scored, not learnt from, and not held out. Repeated rows are
+    rows each; a doc_id that repeats with other texts is learnt from with each of them. Labels other than 0 and 1 are
+    left out, and of two labels the larger counts. Other columns are ignored; an empty table gives an empty result, and
+    without labels every score is 0.5.
+    """
     model = train(documents, labels)
     docs = documents.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
     return score(docs, model, ["doc_id", "held_out"])
