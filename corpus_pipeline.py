@@ -15,20 +15,22 @@ from quillon.llm.common import table, written
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the labelled ones among docs, does not reject."""
-    model = toxic.train(docs, table(spark, sf_dir, "labels"))
-    return toxic.score(docs, model, docs.columns).filter("predicted = 0").select(*docs.columns)
+    return toxic.harmless(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id; null counts as empty, and of rows alike in both one stays."""
     return exact_dedup.kept_documents(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the least doc_id (null last) of each group of near copies; texts without words stay."""
     # 48 bands of 6 coordinates miss a link at similarity 0.8 with probability 5e-7.
     return near_dedup.kept_documents(docs, percent=80, count=48, rows=6)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose own text has no window of a benchmark item."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -43,7 +45,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over sf_dir's documents; each result but the last is stored and read again."""
+    """All stages over sf_dir's documents; each result but the last is stored and read again.
+
+    Rows with null or repeated doc_ids are decided one by one. Columns beyond those of documents pass through all stages
+    but the last, whatever their names. Empty tables give an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
