@@ -52,12 +52,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors.
 
-    The table is removed when the process ends.
+    The table is removed by `discard`, or when the process ends.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, df.sparkSession, path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `written` gave, once all that was made from them is itself stored."""
+    for t in tables:
+        _remove(t.sparkSession, t.stored_at)
 
 
 def spare(columns: list[str], name: str) -> str:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, spare, written
+from .common import discard, numbered, spare, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What is between words: all ASCII but letters and digits, one by one, which the regex engine keeps as a bit table.
@@ -111,12 +111,14 @@ def _hits(docs: DataFrame, prints: DataFrame, spans: DataFrame, lengths: list[in
         found = _lookup(places, spans.filter(F.col("len") == n).select("fp", "off").distinct(), ["fp"], few, row)
         found = found.select(row, F.lit(n).alias("len"), (F.col("at") - F.col("off")).alias("at")).filter("at >= 0")
         starts = found if starts is None else starts.unionByName(found)
-    starts = starts.groupBy(row).agg(F.collect_set(F.struct("len", "at")).alias("starts"))
+    starts = written(starts.groupBy(row).agg(F.collect_set(F.struct("len", "at")).alias("starts")), "starts")  # of a size that is known then
     texts = docs.select(row, "text").join(starts, row).select(row, "starts", _words(F.col("text")).alias("raw"))
     inside = F.filter("starts", lambda x: x["at"] + x["len"] <= F.size("raw"))
     there = F.transform(inside, lambda x: F.struct(x["len"].alias("len"), x["at"].alias("at"), F.array_join(F.slice("raw", x["at"] + 1, x["len"]), " ").alias("words")))
     rows = texts.select(row, F.explode(there).alias("x")).select(row, "x.len", "x.at", "x.words")
-    return written(_lookup(rows, spans.select("len", "words").distinct(), ["len", "words"], few, row), "hits")
+    hits = written(_lookup(rows, spans.select("len", "words").distinct(), ["len", "words"], few, row), "hits")
+    discard(starts)
+    return hits
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, row: str, broadcast_spans: int = BROADCAST_SPANS) -> tuple[DataFrame, DataFrame]:
@@ -126,6 +128,8 @@ def judged(docs: DataFrame, benchmark: DataFrame, row: str, broadcast_spans: int
     lengths = sorted({r["len"] for r in spans.select("len").distinct().collect()} | {SPAN})  # ten at most
     prints = written(fingerprinted(docs, lengths, row), "prints")
     hits = _hits(docs, prints, spans, lengths, few, row)
+    sizes = written(prints.select(row, "n"), "sizes")
+    discard(prints)
     # Overlapping windows count once: each adds what is beyond the furthest end before it.
     before = Window.partitionBy(row).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("at") + F.col("len")
@@ -133,7 +137,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, row: str, broadcast_spans: int
     n_hit = runs.groupBy(row).agg(F.sum("more").cast("long").alias("n_hit"))
     named = _lookup(hits.select(row, "len", "words").distinct(), spans.select("len", "words", "item").distinct(), ["len", "words"], few, row)
     items = named.groupBy(row).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return prints.select(row, "n"), n_hit.join(items, row)
+    return sizes, n_hit.join(items, row)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
@@ -154,7 +158,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, broadcast_spans: i
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents without any hit, with all their columns, whatever their names; rows are told apart by number."""
     docs, row = numbered(documents, "rows")
-    bad = judged(docs, benchmark, row)[1].select(F.col(row).alias(spare(docs.columns, "bad_")))
+    bad = written(judged(docs, benchmark, row)[1].select(F.col(row).alias(spare(docs.columns, "bad_"))), "bad")
     return docs.join(bad, docs[row] == bad[bad.columns[0]], "left_anti").drop(row)
 
 

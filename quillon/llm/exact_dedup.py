@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_join, numbered, spare, written
+from .common import discard, keyed_join, numbered, spare, written
 
 BLOCK = 4096
 
@@ -54,17 +54,21 @@ def identities(documents: DataFrame, block: int = BLOCK, hashed: Callable[[Colum
         keyed = rows.join(shared.drop("times"), ["h", "block"], "left").select("rid", "idx", "h", "n", F.coalesce("k", F.lit(0)).alias("k"))
         names = classes.filter(~F.col("clash")).select("h", F.lit(0).alias("k"), "times").unionByName(shared.select("h", "k", "times"))
     state = written(_renamed(keyed, names, ["h", "k"], classes.agg(F.sum("times")).first()[0] or 0), "names")
+    used = [classes, base, state]
     longest, level = state.agg(F.max("n")).first()[0] or 1, 0
     done = [state.filter("n = 1").select("rid", F.lit(0).alias("level"), "name")]
     while longest > 1:
         pairs = written(_pairs(state), "pairs")
+        used.append(pairs)
         state = _renamed(pairs, pairs.groupBy("a", "b").agg(F.count("*").alias("times")), ["a", "b"], pairs.count())
         longest, level = (longest + 1) // 2, level + 1
         done.append(state.filter("n = 1").select("rid", F.lit(level).alias("level"), "name"))
     ids = done[0]
     for more in done[1:]:
         ids = ids.unionByName(more)
-    return written(base.drop("hs", "body").join(ids, "rid"), "identities")
+    out = written(base.drop("hs", "body").join(ids, "rid"), "identities")
+    discard(*used)
+    return out
 
 
 def _renamed(rows: DataFrame, distinct: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -106,8 +110,8 @@ def kept_documents(documents: DataFrame) -> DataFrame:
     texts and an empty table are as in exact_dedup.
     """
     docs, row = numbered(documents, "rows")
-    stay = grouped(docs.select(row, "doc_id", "text"), row).filter("rid = top.rid").select(F.col("rid").alias(spare(docs.columns, "stay_")))
-    return docs.join(stay, docs[row] == stay[stay.columns[0]], "left_semi").drop(row)
+    gone = written(grouped(docs.select(row, "doc_id", "text"), row).filter("rid <> top.rid").select(F.col("rid").alias(spare(docs.columns, "gone_"))), "gone")
+    return docs.join(gone, docs[row] == gone[gone.columns[0]], "left_anti").drop(row)
 
 
 SQL = """

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, byte_slices, keyed_join, mix, numbered, powers, row_spans, spare, word_hashes, words, written
+from .common import LOWER, U64, byte_slices, discard, keyed_join, mix, numbered, powers, row_spans, spare, word_hashes, words, written
 
 BANDS, ROWS, SHINGLE = 36, 7, 5
 #: Shingles of a block: two blocks are in a task's memory at a time.
@@ -118,17 +118,21 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     both = written(both, f"{name}-edges")
     nodes = both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("degree"))
     state = written(nodes.select(F.col("a").alias("node"), F.least("a", "b").alias("label"), "degree"), f"{name}-labels")
-    size = state.agg(F.sum("degree").alias("edges"), F.count("*").alias("nodes")).first()
+    size, last = state.agg(F.sum("degree").alias("edges"), F.count("*").alias("nodes")).first(), [state]
     while True:
         labels = state.select(F.col("node").alias("b"), F.col("label").alias("l"), "degree")
         near = keyed_join(both, labels, ["b"], "degree", size["edges"] or 0).groupBy("a").agg(F.min("l").alias("l"))
         new = state.join(near, state["node"] == near["a"], "left").select("node", "degree", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label"))
         new = written(new, f"{name}-near")
+        last.append(new)
         ups = new.groupBy("label").agg(F.count("*").alias("times")).join(new.select(F.col("node").alias("label"), F.col("label").alias("up")), "label")
         new = written(keyed_join(new, ups, ["label"], "times", size["nodes"]).select("node", "degree", "old", F.least("label", "up").alias("label")), f"{name}-labels")
-        if new.filter("label < old").isEmpty():
-            return new.select("node", "label")
-        state = new.select("node", "label", "degree")
+        done = new.filter("label < old").isEmpty()
+        discard(*last)
+        if done:
+            discard(both)
+            return new
+        state, last = new.select("node", "label", "degree"), [new]
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int, same: bool) -> list[tuple[int, int]]:
@@ -171,23 +175,25 @@ def near_rows(docs: DataFrame, row: str, percent: int, count: int, rows: int, bl
     docs is a stored table with a number for each row, so that rows with no doc_id, or with the same, take part in links
     like others. Equal sets are one class, known by the number of its first row.
     """
-    base = written(sketched(docs, row, count, rows), "sketches")
+    sketches = written(sketched(docs, row, count, rows), "sketches")
+    base = sketches.drop("bands")
     # The first row has the least doc_id, null last, of such rows the least text hash.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rid", "bands")).alias("m")
-    classes = base.filter("n_shingles > 0").groupBy("set_key").agg(least, F.max("n_shingles").alias("n"), F.count("*").alias("times"))
+    classes = sketches.filter("n_shingles > 0").groupBy("set_key").agg(least, F.max("n_shingles").alias("n"), F.count("*").alias("times"))
     classes = written(classes.select("set_key", F.col("m.rid").alias("rep"), F.struct("m.none", "m.doc_id", "m.th", "m.rid").alias("rank"), "m.bands", "n", "times"), "classes")
     marks = classes.select("rep", F.explode("bands").alias("band"))
     heads = written(marks.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("times")).filter("times > 1"), "heads")
     shared = heads.agg(F.sum("times")).first()[0] or 0
     stars = keyed_join(marks, heads, ["band"], "times", shared).select(F.col("rep").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
-    groups = components(written(stars, "stars"), "groups")
+    stars = written(stars, "stars")
+    groups = components(stars, "groups")
     members = written(groups.join(classes.select("rep", "n"), groups["node"] == F.col("rep")).select("rep", "label", "n"), "members")
     # Blocks of a group: members by the hash of their number, as many blocks as its shingles need.
     need = members.groupBy("label").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("times"))
     placed = keyed_join(members, need, ["label"], "times", members.count())
     placed = placed.select(F.col("rep").alias("rep_"), "label", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("part"))
-    # By merge at every size: the members grow with the corpus.
-    texts = docs.select(F.col(row).alias("rep"), "text").join(placed.hint("merge"), F.col("rep") == F.col("rep_")).drop("rep_")
+    placed = written(placed, "placed")  # its size is known then, and a small one moves no text
+    texts = docs.select(F.col(row).alias("rep"), "text").join(placed, F.col("rep") == F.col("rep_")).drop("rep_")
 
     def sets_of(batches):
         for batch in batches:
@@ -214,7 +220,9 @@ def near_rows(docs: DataFrame, row: str, percent: int, count: int, rows: int, bl
     own = written(classes.join(final, classes["rep"] == final["node"], "left").select("set_key", "rank", F.coalesce("label", "rep").alias("label"), F.col("times").alias("rows")), "labels")
     tops = own.groupBy("label").agg(F.min("rank").alias("top"), F.count("*").alias("times"))
     own = keyed_join(own, tops, ["label"], "times", own.count()).select("set_key", "top", "rows")
-    full = keyed_join(base.filter("n_shingles > 0"), written(own, "own"), ["set_key"], "rows", base.count())
+    own = written(own, "own")
+    discard(classes, heads, stars, groups, members, placed, links, final)
+    full = keyed_join(base.filter("n_shingles > 0"), own, ["set_key"], "rows", base.count())
     full = full.select("rid", "doc_id", "n_shingles", F.col("top.doc_id").alias("component_id"), (F.col("rid") == F.col("top.rid")).alias("first"))
     return full.unionByName(base.filter("n_shingles = 0").select("rid", "doc_id", "n_shingles"), allowMissingColumns=True)
 
@@ -241,5 +249,5 @@ def kept_documents(documents: DataFrame, percent: int = 85, count: int = BANDS,
     Rows without words all stay. Rows are told apart by a number of their own, as doc_id may be null or repeat.
     """
     docs, row = numbered(documents, "rows")
-    stay = near_rows(docs, row, percent, count, rows, block).filter("first or n_shingles = 0").select(F.col("rid").alias(spare(docs.columns, "stay_")))
-    return docs.join(stay, docs[row] == stay[stay.columns[0]], "left_semi").drop(row)
+    gone = written(near_rows(docs, row, percent, count, rows, block).filter("n_shingles > 0 and not first").select(F.col("rid").alias(spare(docs.columns, "gone_"))), "gone")
+    return docs.join(gone, docs[row] == gone[gone.columns[0]], "left_anti").drop(row)
