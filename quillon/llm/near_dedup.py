@@ -184,10 +184,14 @@ def near_rows(docs: DataFrame, row: str, percent: int, count: int, rows: int, bl
     marks = classes.select("rep", F.explode("bands").alias("band"))
     heads = written(marks.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("times")).filter("times > 1"), "heads")
     shared = heads.agg(F.sum("times")).first()[0] or 0
-    stars = keyed_join(marks, heads, ["band"], "times", shared).select(F.col("rep").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
+    # A class goes with the least head of its bands; the heads that it has seen together (one a band at most) are edges.
+    stars = keyed_join(marks, heads, ["band"], "times", shared).groupBy("rep").agg(F.min("head").alias("head"), F.collect_set("head").alias("heads"))
     stars = written(stars, "stars")
-    groups = components(stars, "groups")
-    members = written(groups.join(classes.select("rep", "n"), groups["node"] == F.col("rep")).select("rep", "label", "n"), "members")
+    core = components(stars.select(F.col("head").alias("a"), F.explode("heads").alias("b")), "groups")
+    followers = stars.groupBy("head").agg(F.count("*").alias("times"))
+    labels = followers.join(core, F.col("head") == core["node"], "left").select("head", "times", F.coalesce("label", "head").alias("label"))
+    groups = keyed_join(stars.select("rep", "head"), labels, ["head"], "times", stars.count())
+    members = written(groups.select("rep", "label").join(classes.select("rep", "n"), "rep"), "members")
     # Blocks of a group: members by the hash of their number, as many blocks as its shingles need.
     need = members.groupBy("label").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("times"))
     placed = keyed_join(members, need, ["label"], "times", members.count())
@@ -221,7 +225,7 @@ def near_rows(docs: DataFrame, row: str, percent: int, count: int, rows: int, bl
     tops = own.groupBy("label").agg(F.min("rank").alias("top"), F.count("*").alias("times"))
     own = keyed_join(own, tops, ["label"], "times", own.count()).select("set_key", "top", "rows")
     own = written(own, "own")
-    discard(classes, heads, stars, groups, members, placed, links, final)
+    discard(classes, heads, stars, core, members, placed, links, final)
     full = keyed_join(base.filter("n_shingles > 0"), own, ["set_key"], "rows", base.count())
     full = full.select("rid", "doc_id", "n_shingles", F.col("top.doc_id").alias("component_id"), (F.col("rid") == F.col("top.rid")).alias("first"))
     return full.unionByName(base.filter("n_shingles = 0").select("rid", "doc_id", "n_shingles"), allowMissingColumns=True)
