@@ -1,7 +1,7 @@
 """Exact classification, ranking and regression metrics as aggregates.
 
-Curves are built on counts per distinct score, and their running sums from a histogram-free two-step sum: within ranges
-of the score, then over the ranges, so that no single task sees all scores.
+Curves are built on counts per distinct score, and their running sums in two steps: within ranges of about equal numbers
+of scores, then over the ranges, so that no single task sees all scores.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import in_ranges, quantiles
+
 
 def curve(df: DataFrame, y: str = "label", score: str = "score", by: list[str] = ()) -> DataFrame:
     """by, score, p and n (of this score), tp and fp (down to it), pos and neg (in all), for each distinct score."""
     by = list(by)
     s = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum((1 - F.col(y)).cast("long")).alias("n"))
-    s = s.withColumn("part", F.floor(F.log2(1 + F.abs("score")) * 64 * F.signum("score")).cast("int"))  # ascending with the score
+    s = in_ranges(s, "score")
     parts = s.groupBy(*by, "part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     above = w.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
@@ -64,14 +66,16 @@ def confusion(df: DataFrame, predicted: Column, y: str = "label", by: list[str]
 def best_threshold(df: DataFrame, y: str = "label", score: str = "score", thresholds: list[float] | None = None) -> DataFrame:
     """threshold and f1: the first of the thresholds (0.05 to 0.95 by default) with the greatest F1."""
     grid = thresholds or [round(0.05 * k, 2) for k in range(1, 20)]
-    rows = df.select(y, score, F.explode(F.array(*map(F.lit, grid))).alias("threshold"))
-    f1 = confusion(rows, F.col(score) >= F.col("threshold"), y, ["threshold"])
-    return f1.orderBy(F.desc("f1"), "threshold").limit(1).select("threshold", "f1")
+    yes = F.col(y) == 1
+    counts = [F.struct(F.lit(t).alias("threshold"), F.count_if(yes & (F.col(score) >= t)).alias("tp"), F.count_if(~yes & (F.col(score) >= t)).alias("fp"), F.count_if(yes & (F.col(score) < t)).alias("fn")) for t in grid]
+    rows = df.agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*")  # a row a threshold
+    rows = rows.select("threshold", _div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    return rows.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
 def score_quantile_thresholds(df: DataFrame, score: str = "score", n: int = 19) -> list[float]:
     """Thresholds for scores on any scale: exact quantiles."""
-    return df.agg(F.percentile(score, F.array(*(F.lit(k / (n + 1)) for k in range(1, n + 1)))).alias("q")).first()["q"]
+    return quantiles(df, [F.col(score)], [k / (n + 1) for k in range(1, n + 1)])[0]
 
 
 def regression(df: DataFrame, y: str, predicted: str, by: list[str] = ()) -> DataFrame:
@@ -84,8 +88,12 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row with spearman, the correlation of average ranks; null where a side is constant."""
 
     def average_rank(d: DataFrame, c: str) -> DataFrame:
-        counts = d.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("k"))
-        up = counts.withColumn(f"r_{c}", F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("v")) - (F.col("k") - 1) / 2)
+        counts = in_ranges(d.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("k")), "v")
+        parts = counts.groupBy("part").agg(F.sum("k").alias("k_"))
+        before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+        parts = parts.select("part", F.coalesce(F.sum("k_").over(before), F.lit(0)).alias("before"))
+        up = counts.join(F.broadcast(parts), "part")
+        up = up.withColumn(f"r_{c}", F.col("before") + F.sum("k").over(Window.partitionBy("part").orderBy("v")) - (F.col("k") - 1) / 2)
         return d.join(up.select(F.col("v").alias(c), f"r_{c}"), c)
 
     rows = average_rank(average_rank(df.select(a, b).dropna(), a), b)

@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_52
 from . import metrics, pairs, sampling, transforms
+from .quantiles import quantiles
 
 CLASSIFIERS = ("logistic", "forest", "boosting", "boosting_light", "boosting_balanced")
 
 
 def binary_target(df: DataFrame, label: str, preferred: tuple[str, ...] = ("Atrial", "AFL", "AF", "Positive", "1")) -> tuple[DataFrame, str]:
     """df with y (1.0 for the positive label) and that label: the first preferred one there is, else the first by name."""
-    found = {r[0] for r in df.select(F.col(label).cast("string")).distinct().limit(1000).collect()}
-    positive = next((p for p in preferred if p in found), min(x for x in found if x is not None))
+    name = F.col(label).cast("string")
+    place = F.array_position(F.array(*map(F.lit, preferred)), name)
+    row = df.agg(F.min(F.when(place > 0, place)).alias("place"), F.min(name).alias("least")).first()
+    positive = preferred[row["place"] - 1] if row["place"] else row["least"]
     return df.withColumn("y", (F.col(label).cast("string") == positive).cast("double")), positive
 
 
@@ -42,7 +45,7 @@ def classifier(name: str, n: int, trees: int | None = None, seed: int = 42):
     if name == "logistic":
         return LogisticRegression(**cols, regParam=1 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=200)
     if name == "forest":
-        return RandomForestClassifier(**cols, numTrees=trees or 300, minInstancesPerNode=2, maxDepth=12, seed=seed)
+        return RandomForestClassifier(**cols, numTrees=trees or 300, minInstancesPerNode=2, maxDepth=30, seed=seed)
     if name == "boosting":
         return GBTClassifier(**cols, maxDepth=6, stepSize=0.05, maxIter=trees or 300, seed=seed)
     if name in ("boosting_light", "boosting_balanced"):
@@ -163,15 +166,9 @@ def embedded(df: DataFrame, columns: list[str], fitted: transforms.Fitted, layer
 
 
 def ridge(df: DataFrame, x: list[str], y: list[str], alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (y, x) and intercepts of a multi-output ridge: one aggregate of products, solved on the driver."""
-    cols = [*x, *y]
-    n = len(cols)
-    ij = [(i, j) for i in range(n) for j in range(i, n)]
-    row = df.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{k}") for k, c in enumerate(cols)), *(F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in ij)).first()
-    c = np.zeros((n, n))
-    for i, j in ij:
-        c[i, j] = c[j, i] = row[f"c{i}_{j}"] * row["n"]
-    m, p = np.array([row[f"m{k}"] for k in range(n)]), len(x)
+    """Coefficients (y, x) and intercepts of a multi-output ridge: sums of products, solved on the driver."""
+    n, m, c = transforms.covariance(df, [*x, *y])
+    c, p = c * n, len(x)
     w = np.linalg.solve(c[:p, :p] + alpha * np.eye(p), c[:p, p:]).T
     return w, m[p:] - w @ m[:p]
 
@@ -213,7 +210,7 @@ def attribute_attack(train: DataFrame, test: DataFrame, columns: list[str], targ
     b = assembled(fitted.transform(test), columns).withColumn("y", F.col(target).cast("double"))
     if regression:
         model = GBTRegressor(featuresCol="features", labelCol="y", maxDepth=4, maxIter=trees, stepSize=0.05, seed=seed).fit(a.select("features", "y"))
-        middle = a.agg(F.percentile("y", F.lit(0.5)).alias("m")).first()["m"] or 0.0
+        middle = quantiles(a, [F.col("y")], [0.5])[0][0] or 0.0
         out = model.transform(b).withColumn("constant", F.lit(middle))
         return metrics.regression(out, "y", "prediction").crossJoin(metrics.regression(out, "y", "constant").select(F.col("mae").alias("constant_mae")))  # one row each
     rows = balanced_weights(a.select("features", "y"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_52
+from .quantiles import quantiles
 
 # Quantiles 0.975 of Student's t by degrees of freedom.
 T_975 = {1: 12.706204736432095, 2: 4.302652729911275, 3: 3.182446305284263, 4: 2.7764451051977987, 5: 2.5705818366147395, 6: 2.4469118487916806, 7: 2.3646242510102993, 8: 2.3060041350333704, 9: 2.2621571627409915}
@@ -86,7 +87,16 @@ def conditional_wide(df: DataFrame, keys: list[str], column: str, values: list,
 
 
 def unpivoted_quartiles(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
-    """keys, name, n, mean, q25, median, q75 of each column; exact quantiles."""
+    """keys, name, n, mean, q25, median, q75 of each column; exact quantiles.
+
+    Without keys each column is one group of all rows, and its quantiles are found in several scans; a group of keys has
+    to fit a task.
+    """
+    if not keys:
+        q = quantiles(df, [F.col(c) for c in columns], [0.25, 0.5, 0.75])
+        m = df.agg(*(F.count(c).alias(f"n{k}") for k, c in enumerate(columns)), *(F.avg(c).alias(f"m{k}") for k, c in enumerate(columns)))
+        rows = F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"n{k}").alias("n"), F.col(f"m{k}").alias("mean"), *(F.lit(v).cast("double").alias(a) for a, v in zip(("q25", "median", "q75"), q[k]))) for k, c in enumerate(columns)))
+        return m.select(F.explode(rows).alias("r")).select("r.*")
     long = df.unpivot(list(keys), columns, "name", "x")
     q = lambda p: F.percentile("x", F.lit(p))
     return long.groupBy(*keys, "name").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"))

@@ -8,12 +8,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.hashing import laplace, normal
 from ..functions.scalars import gaussian_sigma, laplace_scale, null_if_nan
+from .quantiles import quantiles
 
 METHODS = ("identity", "standard", "robust", "minmax", "quantization", "winsorization", "noise", "dp_gaussian_l2", "dp_laplace_l1", "pca", "random_projection")
 
@@ -66,7 +68,7 @@ class Fitted:
 
 
 def fit(train: DataFrame, columns: list[str], method: str, *, dim: int = 8, decimals: int = 2, low: float = 0.01, high: float = 0.99, scale: float = 0.1, epsilon: float = 50.0, delta: float = 1e-5, clip: float = 2.0, seed: int = 0) -> Fitted:
-    """Every parameter is found in one or two aggregates over train."""
+    """Every parameter is found in a few aggregates over train; quantiles are exact."""
     if method not in METHODS:
         raise ValueError(f"{method}: not one of {METHODS}")
     if not 0 <= low < high <= 1:
@@ -75,9 +77,8 @@ def fit(train: DataFrame, columns: list[str], method: str, *, dim: int = 8, deci
     if method == "identity":
         return out
     x = [null_if_nan(F.col(c).cast("double")) for c in columns]
-    quantiles = [0.5, 0.25, 0.75, low, high] if method in ("robust", "winsorization") else [0.5]
-    row = train.agg(*(F.percentile(v, F.array(*map(F.lit, quantiles))).alias(f"q{k}") for k, v in enumerate(x)), *(F.min(v).alias(f"a{k}") for k, v in enumerate(x)), *(F.max(v).alias(f"b{k}") for k, v in enumerate(x))).first()
-    q = [row[f"q{k}"] or [0.0] * len(quantiles) for k in range(len(columns))]
+    levels = [0.5, 0.25, 0.75, low, high] if method in ("robust", "winsorization") else [0.5]
+    q = [[0.0 if v is None else v for v in row] for row in quantiles(train, x, levels)]
     out.median = [v[0] for v in q]
     full = train.select(*(c.alias(f"x{k}") for k, c in enumerate(out.imputed())))
     one = lambda s: 1.0 if s is None or s == 0 else float(s)
@@ -86,6 +87,7 @@ def fit(train: DataFrame, columns: list[str], method: str, *, dim: int = 8, deci
     elif method == "winsorization":
         out.low, out.high = [v[3] for v in q], [v[4] for v in q]
     elif method == "minmax":
+        row = train.agg(*(F.min(v).alias(f"a{k}") for k, v in enumerate(x)), *(F.max(v).alias(f"b{k}") for k, v in enumerate(x))).first()
         a, b = [row[f"a{k}"] or 0.0 for k in range(len(columns))], [row[f"b{k}"] or 0.0 for k in range(len(columns))]
         out.center, out.scale = a, [one(hi - lo) for lo, hi in zip(a, b)]
     else:
@@ -102,14 +104,40 @@ def fit(train: DataFrame, columns: list[str], method: str, *, dim: int = 8, deci
     return out
 
 
+def covariance(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and population covariance of the columns, null rows left out.
+
+    Each task sends its sums of products once, a row of the matrix at a time; these are added up by row.
+    """
+    p = len(columns)
+    rows = df.select(F.array(*(F.col(c).cast("double") for c in columns)).alias("x")).filter(~F.exists("x", lambda v: v.isNull()))
+    means = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.count("*").alias("n")).collect()  # a row a column
+    mean = np.zeros(p)
+    for r in means:
+        mean[r["i"]] = r["m"]
+    n = means[0]["n"] if means else 0
+
+    def products(batches):
+        total = np.zeros((p, p))
+        for batch in batches:
+            if batch.num_rows:
+                z = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p) - mean
+                total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(p + 1) * p, pa.int32()), pa.array(total.ravel()))], names=["i", "row"])
+
+    def added(t: pa.Table) -> pa.Table:
+        s = t["row"].combine_chunks().flatten().to_numpy().reshape(-1, p).sum(0)
+        return pa.table({"i": t["i"][:1], "row": pa.ListArray.from_arrays(pa.array([0, p], pa.int32()), pa.array(s))})
+
+    c = np.zeros((p, p))
+    for r in rows.mapInArrow(products, "i int, row array<double>").groupBy("i").applyInArrow(added, "i int, row array<double>").toLocalIterator():
+        c[r["i"]] = np.array(r["row"]) / max(n, 1)
+    return n, mean, c
+
+
 def components(df: DataFrame, dim: int) -> np.ndarray:
     """The first eigenvectors of the covariance of all columns, one a row, the largest entry of each positive."""
-    cols = df.columns
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.agg(*(F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
-    c = np.zeros((len(cols), len(cols)))
-    for i, j in pairs:
-        c[i, j] = c[j, i] = row[f"c{i}_{j}"] or 0.0
+    _, _, c = covariance(df, df.columns)
     values, v = np.linalg.eigh(c)
     v = v[:, np.argsort(-values)][:, :dim].T
     return v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]
