@@ -7,29 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.hashing import hash_52
+from .pairs import mates
 from .sampling import ranked, top_k
 
 
-def gallery(segments: DataFrame, key: str, record: str, ref: str, queries: int, others: int, gap: int = 1, seed: int = 0) -> DataFrame:
+def gallery(segments: DataFrame, key: str, record: str, ref: str, queries: int | None, others: int, gap: int = 1, seed: int = 0) -> DataFrame:
     """query, candidate, label: each query's one true candidate and `others` segments of distinct other records.
 
-    Queries and their true candidates are drawn by hash from ordered pairs with the gap. The other records of a query
-    are a run of the circle of records in hash order, which starts after the query's record at a place drawn by hash:
-    an equi-join on ranks, without a list of all pairs.
+    A query is any segment with a mate of its record at the gap; `queries` of them by hash, or all. The other records of
+    a query are a run of the circle of records in hash order, which starts after the query's record at a place drawn by
+    hash; of each the segment is drawn for the query. All are equi-joins on ranks, without a list of all pairs.
     """
     segs = segments.select(key, record, ref)
-    b = segs.select(F.col(key).alias("candidate"), F.col(record).alias("_r"), F.col(ref).alias("_f"))
-    true = segs.join(b, (F.col(record) == F.col("_r")) & (F.col(key) != F.col("candidate")) & (F.abs(F.col(ref) - F.col("_f")) >= gap))
-    true = top_k(true.select(F.col(key).alias("query"), record, "candidate"), ["query"], [hash_52("query", "candidate", seed=seed), F.col("candidate")], 1)
-    true = ranked(true, hash_52("query", seed=seed), ties=["query"]).filter(F.col("rank_") <= queries).drop("rank_", "total_")
+    true = mates(segs, key, record, ref, gap, seed).select(F.col(key).alias("query"), record, F.col("mate").alias("candidate"))
+    if queries is not None:
+        true = ranked(true, hash_52("query", seed=seed), ties=["query"]).filter(F.col("rank_") <= queries).drop("rank_", "total_")
     circle = ranked(segs.select(record).distinct(), hash_52(record, seed=seed), ties=[record])
     one = circle.select(F.col(record).alias("other"), (F.col("rank_") - 1).alias("at"))
     size = F.col("total_")
     start = F.pmod(hash_52("query", seed=f"{seed}start"), F.greatest(size - 1, F.lit(1)))
     steps = F.sequence(F.lit(0), F.least(F.lit(others), size - 1).cast("int") - 1)
     wanted = true.join(circle, record).filter("total_ > 1").select("query", F.explode(F.transform(steps, lambda i: F.pmod(F.col("rank_") - 1 + 1 + F.pmod(start + i, size - 1), size))).alias("at"))
-    pick = top_k(segs, [record], [hash_52(key, seed=f"{seed}pick"), F.col(key)], 1).select(F.col(record).alias("other"), F.col(key).alias("candidate"))
-    wrong = wanted.join(one, "at").join(pick, "other").select("query", "candidate", F.lit(0).alias("label"))
+    rows = ranked(segs, hash_52(key, seed=f"{seed}pick"), by=[record], ties=[key])
+    counts = rows.groupBy(record).agg(F.max("total_").alias("m_")).withColumnRenamed(record, "other")
+    drawn = wanted.join(one, "at").join(counts, "other").select("query", "other", (F.pmod(hash_52("query", "other", seed=f"{seed}pick"), F.col("m_")) + 1).alias("k_"))
+    wrong = drawn.join(rows.select(F.col(record).alias("other"), F.col("rank_").alias("k_"), F.col(key).alias("candidate")), ["other", "k_"]).select("query", "candidate", F.lit(0).alias("label"))
     return true.select("query", "candidate", F.lit(1).alias("label")).unionByName(wrong)
 
 

@@ -42,14 +42,24 @@ def norm(*keys: str, seed: object = 0) -> str:
 
 # Common table expressions shared by the oracles.
 SEG = "seg AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
-POS = f"""pos AS (SELECT label AS record, ref_a, ref_b FROM (SELECT a.label, a.vec_id AS ref_a, b.vec_id AS ref_b, row_number() OVER (PARTITION BY a.label ORDER BY {h('a.label', 'a.vec_id', 'b.vec_id', seed=42)}, a.vec_id, b.vec_id) AS rn
-  FROM seg a JOIN seg b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id >= 5) WHERE rn <= 30)"""
+# Records of more than 600 pairs: 600 draws of two ranks, the first 30 pairs; of the others the first 30 by hash.
+POS = f"""pk AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed=42)}, vec_id) AS rn, count(*) OVER (PARTITION BY label) AS m FROM seg),
+few AS (SELECT a.label, a.vec_id AS ref_a, b.vec_id AS ref_b, row_number() OVER (PARTITION BY a.label ORDER BY {h('a.label', 'a.vec_id', 'b.vec_id', seed=42)}, a.vec_id, b.vec_id) AS rn
+  FROM pk a JOIN pk b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id >= 5 WHERE a.m * (a.m - 1) / 2.0 <= 600),
+pd AS (SELECT label, d, {h('label', 'd', seed='42x')} % m + 1 AS x, {h('label', 'd', seed='42y')} % m + 1 AS y FROM (SELECT DISTINCT label, m FROM pk) z, range(600) t(d) WHERE m * (m - 1) / 2.0 > 600),
+pl AS (SELECT pd.label, least(p.vec_id, q.vec_id) AS ref_a, greatest(p.vec_id, q.vec_id) AS ref_b, min(d) AS d FROM pd JOIN pk p ON p.label = pd.label AND p.rn = x JOIN pk q ON q.label = pd.label AND q.rn = y WHERE p.vec_id <> q.vec_id AND abs(p.vec_id - q.vec_id) >= 5 GROUP BY 1, 2, 3),
+pos AS (SELECT label AS record, ref_a, ref_b FROM few WHERE rn <= 30 UNION ALL SELECT label, ref_a, ref_b FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d) AS rn FROM pl) WHERE rn <= 30)"""
+# Of every vector one of its label, the first of 16 draws at a gap of 5, and one of another label.
+MATES = f"""mr AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed='42mate')}, vec_id) AS rn, count(*) OVER (PARTITION BY label) AS m FROM seg),
+mates AS (SELECT q, label, arg_min(c, d) AS c FROM (SELECT a.vec_id AS q, a.label, b.vec_id AS c, d FROM (SELECT *, {h('vec_id', 'd', seed='42mate')} % m + 1 AS y FROM mr, range(16) t(d)) a JOIN mr b ON a.label = b.label AND a.y = b.rn WHERE a.vec_id <> b.vec_id AND abs(a.vec_id - b.vec_id) >= 5) GROUP BY 1, 2)"""
+STRANGERS = f"""sr AS (SELECT vec_id, label, row_number() OVER (ORDER BY {h('vec_id', seed='42other')}, vec_id) AS rn, count(*) OVER () AS m FROM seg),
+strangers AS (SELECT q, arg_min(c, d) AS c FROM (SELECT a.vec_id AS q, b.vec_id AS c, d FROM (SELECT *, {h('vec_id', 'd', seed='42other')} % m + 1 AS y FROM sr, range(16) t(d)) a JOIN sr b ON a.y = b.rn WHERE a.label <> b.label) GROUP BY 1)"""
 NEG = f"""rk AS (SELECT vec_id, label, row_number() OVER (ORDER BY {h('vec_id', seed=42)}, vec_id) AS rn, count(*) OVER () AS m FROM seg),
 dr AS (SELECT d, {h('d', seed='42x')} % (SELECT max(m) FROM rk) + 1 AS x, {h('d', seed='42y')} % (SELECT max(m) FROM rk) + 1 AS y FROM range(6000) t(d)),
 neg AS (SELECT key_a, key_b FROM (SELECT least(p.vec_id, q.vec_id) AS key_a, greatest(p.vec_id, q.vec_id) AS key_b, min(d) AS d FROM dr JOIN rk p ON p.rn = x JOIN rk q ON q.rn = y WHERE p.label <> q.label GROUP BY 1, 2) ORDER BY d, key_a, key_b LIMIT 300)"""
 COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-8)"
-LINK = f"""{SEG}, {POS}, {NEG},
-pairs AS (SELECT ref_a AS key_a, ref_b AS key_b, 1 AS label FROM pos UNION ALL SELECT key_a, key_b, 0 FROM neg),
+LINK = f"""{SEG}, {MATES}, {STRANGERS},
+pairs AS (SELECT DISTINCT least(q, c) AS key_a, greatest(q, c) AS key_b, 1 AS label FROM mates UNION ALL SELECT DISTINCT least(q, c), greatest(q, c), 0 FROM strangers),
 link AS (SELECT key_a, key_b, pairs.label, round({COS}, 6) AS score FROM pairs JOIN seg a ON a.vec_id = key_a JOIN seg b ON b.vec_id = key_b)"""
 
 
@@ -64,12 +74,13 @@ AUC = "round(sum(n * (tp - p / 2.0)) / (max(pos) * max(neg)), 6)"
 AP = "round(sum(p * tp / (tp + fp)) / max(pos), 6)"
 EER = "round(arg_min((fp / neg + 1 - tp / pos) / 2, (abs(fp / neg - 1 + tp / pos), -score)), 6)"
 TPR = "round(coalesce(max(CASE WHEN fp / neg <= {0} THEN tp / pos END), 0), 6)"
-GALLERY = f"""{SEG},
-tr AS (SELECT q, record, c FROM (SELECT a.vec_id AS q, a.label AS record, b.vec_id AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY {h('a.vec_id', 'b.vec_id', seed=42)}, b.vec_id) AS rn FROM seg a JOIN seg b ON a.label = b.label AND a.vec_id <> b.vec_id AND abs(a.vec_id - b.vec_id) >= 5) WHERE rn = 1 ORDER BY {h('q', seed=42)}, q LIMIT 100),
+GALLERY = f"""{SEG}, {MATES},
+tr AS (SELECT q, label AS record, c FROM mates),
 ci AS (SELECT label, row_number() OVER (ORDER BY {h('label', seed=42)}, label) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT label FROM seg)),
-pk AS (SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed='42pick')}, vec_id) AS rn FROM seg) WHERE rn = 1),
+gp AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed='42pick')}, vec_id) AS rn, count(*) OVER (PARTITION BY label) AS m FROM seg),
 wr AS (SELECT q, (ci.place + 1 + ({h('q', seed='42start')} % (n - 1) + i) % (n - 1)) % n AS place FROM tr JOIN ci ON ci.label = tr.record, range(9) t(i) WHERE i < n - 1),
-ga AS (SELECT q AS query, c AS candidate, 1 AS label FROM tr UNION ALL SELECT q, pk.vec_id, 0 FROM wr JOIN ci USING (place) JOIN pk USING (label)),
+dr_ AS (SELECT q, ci.label, {h('q', 'ci.label', seed='42pick')} % m + 1 AS k FROM wr JOIN ci USING (place) JOIN (SELECT DISTINCT label, m FROM gp) z ON z.label = ci.label),
+ga AS (SELECT q AS query, c AS candidate, 1 AS label FROM tr UNION ALL SELECT q, gp.vec_id, 0 FROM dr_ JOIN gp ON gp.label = dr_.label AND gp.rn = dr_.k),
 gs AS (SELECT query, candidate, ga.label, round({COS}, 6) AS score FROM ga JOIN seg a ON a.vec_id = query JOIN seg b ON b.vec_id = candidate),
 gr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM gs)"""
 SIG = "sig AS (SELECT user_id AS record, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value FROM events)"
@@ -149,7 +160,7 @@ def capped_positive_pairs(spark, sf):
 
 @query(f"WITH {SEG} SELECT a.label, count(*) AS n_pairs FROM seg a JOIN seg b ON a.label = b.label AND a.vec_id <> b.vec_id AND abs(a.vec_id - b.vec_id) >= 50 GROUP BY 1")
 def ordered_gallery_pairs(spark, sf):
-    return pairs.ordered_pairs(vector_segments(spark, sf), "label", "ref", 50).groupBy("label").agg(F.count("*").alias("n_pairs"))
+    return pairs.pair_counts(vector_segments(spark, sf), "label", "ref", 50)
 
 
 @query(f"WITH {SEG}, {NEG} SELECT key_a, key_b FROM neg")
@@ -235,7 +246,7 @@ def grouped_curve_metrics(spark, sf):
     return _rounded(metrics.curve_metrics(event_scores(spark, sf).withColumn("k", F.col("user_id") % 5), ["k"]))
 
 
-@query(f"WITH {LINK}, {curve_sql('link')}, m AS (SELECT {AUC} AS roc_auc, {AP} AS average_precision FROM cv), {GALLERY.replace(SEG + ',', '')} SELECT roc_auc, average_precision, (SELECT round(avg(1.0 / rank), 6) FROM gr WHERE label = 1) AS mrr FROM m")
+@query(f"WITH {LINK}, {curve_sql('link')}, m AS (SELECT {AUC} AS roc_auc, {AP} AS average_precision FROM cv), {GALLERY.replace(f"{SEG}, {MATES},", "")} SELECT roc_auc, average_precision, (SELECT round(avg(1.0 / rank), 6) FROM gr WHERE label = 1) AS mrr FROM m")
 def link_metrics(spark, sf):
     """The flagship: pairs, scores, exact ROC-AUC and average precision, and the reciprocal rank in a gallery."""
     c = metrics.curve(link_pairs(spark, sf)).agg(F.round(metrics.roc_auc(), 6).alias("roc_auc"), F.round(metrics.average_precision(), 6).alias("average_precision"))

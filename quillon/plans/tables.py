@@ -25,14 +25,12 @@ def vector_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """30 positive pairs a label and 300 negative ones, with cosine scores rounded to 6 digits."""
+    """Every vector with one of its label and one of another, with cosine scores rounded to 6 digits."""
     seg = vector_segments(spark, sf_dir)
-    pos = pairs.positive_pairs(seg, "label", "ref", gap=5, per_record=30, seed=42).select(F.col("ref_a").alias("key_a"), F.col("ref_b").alias("key_b"), F.lit(1).alias("label"))
-    neg = pairs.random_negatives(seg, "vec_id", "label", 300, seed=42).withColumn("label", F.lit(0))
-    return pairs.with_vectors(pos.unionByName(neg), seg, "vec_id", "v", ("score", F.round(vectors.cosine("a", "b"), 6))).select("key_a", "key_b", "label", "score")
+    return pairs.with_vectors(pairs.matched_pairs(seg, "vec_id", "label", "ref", gap=5, seed=42), seg, "vec_id", "v", ("score", F.round(vectors.cosine("a", "b"), 6))).select("key_a", "key_b", "label", "score")
 
 
-def gallery_scores(spark: SparkSession, sf_dir: str, queries: int = 100, others: int = 9) -> DataFrame:
+def gallery_scores(spark: SparkSession, sf_dir: str, queries: int | None = None, others: int = 9) -> DataFrame:
     seg = vector_segments(spark, sf_dir)
     rows = gallery.gallery(seg, "vec_id", "label", "ref", queries, others, gap=5, seed=42)
     return gallery.scored(rows, seg, "vec_id", "v").withColumn("score", F.round("score", 6))
