@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -77,7 +77,7 @@ def utility(df: DataFrame, group: str, columns: list[str], label: str, names: li
     for name in names:
         val = probe(side(["train"]), side(["val"]), columns, label, name, trees, seed)
         best = metrics.best_threshold(val).first()
-        rows = probe(side(["train", "val"]), side(["test"]), columns, label, name, trees, seed).select("label", "score").persist()
+        rows = probe(side(["train", "val"]), side(["test"]), columns, label, name, trees, seed).select("label", "score")
         m = metrics.curve_metrics(rows).crossJoin(metrics.confusion(rows, F.col("score") >= 0.5)).crossJoin(metrics.confusion(rows, F.col("score") >= best["threshold"]).select(F.col("f1").alias("tuned_f1")))  # one row each
         m = m.withColumn("model", F.lit(name)).withColumn("threshold", F.lit(best["threshold"]))
         out = m if out is None else out.unionByName(m)
@@ -109,19 +109,18 @@ def permutation_importance(train: DataFrame, test: DataFrame, columns: list[str]
     fitted = transforms.fit(train, columns, "standard")
     rows = balanced_weights(assembled(fitted.transform(train), columns).select("features", "y"))
     model = classifier("logistic", rows.count(), seed=seed).fit(rows)
-    test = fitted.transform(test.withColumn("y", (F.col(label).cast("string") == positive).cast("double")), key).select(key, "y", *columns).persist()
-    base = sampling.ranked(test, hash_52(key, seed=seed), ties=[key]).drop("total_").persist()
-    scored = None
-    for c in columns:
-        for r in range(repeats):
-            dealt = sampling.ranked(test.select(key, F.col(c).alias("_new")), hash_52(key, seed=f"{seed}{c}{r}"), ties=[key]).select("rank_", "_new")
-            d = base.join(dealt, "rank_").withColumn(c, F.col("_new")).select("y", *columns, F.lit(c).alias("column"), F.lit(r).alias("repeat"))
-            scored = d if scored is None else scored.unionByName(d)
-    plain = base.select("y", *columns, F.lit("").alias("column"), F.lit(0).alias("repeat"))
-    all_ = score(model, assembled(plain.unionByName(scored), columns)).select("column", "repeat", F.col("y").cast("int").alias("label"), "score")
-    auc = metrics.curve(all_, by=["column", "repeat"]).groupBy("column", "repeat").agg(metrics.roc_auc().alias("auc"))
-    whole = auc.filter("column = ''").select(F.col("auc").alias("whole"))
-    return auc.filter("column <> ''").crossJoin(F.broadcast(whole)).groupBy("column").agg(F.avg(F.col("whole") - F.col("auc")).alias("importance"))  # one row
+    test = fitted.transform(test.withColumn("y", (F.col(label).cast("string") == positive).cast("double")), key).select(key, "y", F.array(*columns).alias("x"))
+    base = sampling.ranked(test, hash_52(key, seed=seed), ties=[key]).select("rank_", "y", "x")
+    # Of each column and repeat the values in an order of its own; the row of the same rank gets them.
+    long = test.select(key, F.posexplode("x").alias("i", "new")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    dealt = sampling.ranked(long, hash_52(key, "i", "repeat", seed=seed), by=["i", "repeat"], ties=[key]).select("rank_", "i", "repeat", "new")
+    rows = dealt.join(base, "rank_").select("i", "repeat", "y", F.transform("x", lambda v, j: F.when(j == F.col("i"), F.col("new")).otherwise(v)).alias("x"))
+    rows = rows.unionByName(base.select(F.lit(-1).alias("i"), F.lit(0).alias("repeat"), "y", "x"))
+    scored = score(model, rows.withColumn("features", array_to_vector("x"))).select("i", "repeat", F.col("y").cast("int").alias("label"), "score")
+    auc = metrics.curve(scored, by=["i", "repeat"]).groupBy("i", "repeat").agg(metrics.roc_auc().alias("auc"))
+    losses = auc.groupBy().agg(F.max(F.when(F.col("i") < 0, F.col("auc"))).alias("whole"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "auc"))).alias("all"))  # a row a column and repeat
+    names = F.array(*map(F.lit, columns))
+    return losses.select("whole", F.explode("all").alias("r")).groupBy(F.get(names, F.col("r.i")).alias("column")).agg(F.avg(F.col("whole") - F.col("r.auc")).alias("importance"))
 
 
 def model_importance(model: Model, columns: list[str]) -> list[tuple[str, float]]:
@@ -130,41 +129,58 @@ def model_importance(model: Model, columns: list[str]) -> list[tuple[str, float]
     return sorted(zip(columns, map(float, v)), key=lambda x: (-x[1], x[0]))
 
 
-def encoder(train: DataFrame, columns: list[str], label: str, dim: int = 8, hidden: int = 32, rows: int = 40_000, iterations: int = 60, seed: int = 42):
-    """A supervised encoder: (fitted scaling, weights of the layers up to the last hidden one).
+def encoder(train: DataFrame, columns: list[str], label: str, key: str, dim: int = 8, hidden: int = 128, rows: int = 40_000, epochs: int = 60, seed: int = 42):
+    """A supervised encoder: (fitted scaling, layers of weights and bias, labels). The layers are relu units of sizes
+    `hidden` and `dim`, and a linear one with an output a label.
 
-    Trained on at most `rows` rows, as even over the labels as they allow; hidden units are sigmoids.
+    Trained by Adam with early stopping on at most `rows` rows, by hash of key, as even over the labels as they allow.
     """
     fitted = transforms.fit(train, columns, "standard")
     labels = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
-    codes = F.create_map(*(x for k, v in enumerate(labels) for x in (F.lit(v), F.lit(float(k)))))
-    key = F.monotonically_increasing_id()
-    sample = sampling.balanced_sample(train.withColumn("_key", key).persist(), "_key", label, rows, len(labels), seed)
-    data = assembled(fitted.transform(sample), columns).select("features", F.element_at(codes, F.col(label)).alias("label"))
-    sizes = [len(columns), hidden, dim, max(2, len(labels))]
-    model = MultilayerPerceptronClassifier(layers=sizes, maxIter=iterations, seed=seed, featuresCol="features", labelCol="label").fit(data)
-    w, at, layers = model.weights.toArray(), 0, []
-    for a, b in zip(sizes[:-2], sizes[1:-1]):
-        layers.append((w[at : at + a * b].reshape(b, a, order="F"), w[at + a * b : at + a * b + b]))
-        at += a * b + b
-    return fitted, layers
+    sample = sampling.balanced_sample(train, key, label, rows, len(labels), seed)
+    data = fitted.transform(sample).select(F.array(*columns).alias("x"), label, hash_52(key, seed=seed).alias("o"), key).toPandas().sort_values(["o", key])
+    place = {v: k for k, v in enumerate(labels)}
+    y = np.eye(len(labels))[[place[v] for v in data[label]]]
+    return fitted, mlp(np.stack(data["x"].to_list()), y, (hidden, dim), epochs, classes=True, patience=10, seed=seed), labels
+
+
+def _forward(layers, last: int):
+    """x -> the output of the layers up to `last`, relu units but for the final one."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        for k, (w, b) in enumerate(layers[:last]):
+            x = x @ w + b
+            x = np.maximum(x, 0) if k < len(layers) - 1 else x
+        return x
+
+    return run
 
 
 def embedded(df: DataFrame, columns: list[str], fitted: transforms.Fitted, layers, keep: list[str], prefix: str = "enc") -> DataFrame:
     """keep and the encoder's last hidden layer, in Arrow batches."""
-    dim = len(layers[-1][1])
+    f, dim = _forward(layers, len(layers) - 1), len(layers[-2][1])
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        x = np.stack(s.to_list()) if len(s) else np.zeros((0, len(columns)))
-        for w, b in layers:
-            x = 1 / (1 + np.exp(-(x @ w.T + b)))
-        return pd.Series(list(x))
+        return pd.Series(list(f(np.stack(s.to_list())))) if len(s) else pd.Series([], dtype=object)
 
     out = fitted.transform(df).select(*keep, run(F.array(*columns)).alias("e"))
     return out.select(*keep, *(F.get("e", F.lit(k)).alias(f"{prefix}_{k:03d}") for k in range(dim)))
 
 
+def encoder_scores(df: DataFrame, columns: list[str], fitted: transforms.Fitted, layers, labels: list, positive, keep: list[str]) -> DataFrame:
+    """keep and score, the encoder's own probability of the positive label: it judged directly, without a probe."""
+    f, at = _forward(layers, len(layers)), labels.index(positive)
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        z = f(np.stack(s.to_list())) if len(s) else np.zeros((0, len(labels)))
+        z = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
+        return pd.Series(z[:, at] / z.sum(1))
+
+    return fitted.transform(df).select(*keep, run(F.array(*columns)).alias("score"))
+
+
 def ridge(df: DataFrame, x: list[str], y: list[str], alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients (y, x) and intercepts of a multi-output ridge: sums of products, solved on the driver."""
     n, m, c = transforms.covariance(df, [*x, *y])
@@ -177,21 +193,36 @@ def ridge_predict(df: DataFrame, x: list[str], w: np.ndarray, b: np.ndarray, nam
     return df.select("*", *((sum((F.col(c) * float(v) for c, v in zip(x, row)), F.lit(float(b0)))).alias(n) for row, b0, n in zip(w, b, names)))
 
 
-def mlp_regressor(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...] = (64, 32), epochs: int = 60, rate: float = 1e-3, batch: int = 128, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A relu network for several outputs, by Adam, on a bounded sample; layers of (weights, bias)."""
+def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], epochs: int = 60, rate: float = 1e-3, batch: int = 128, classes: bool = False, patience: int | None = None, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A relu network for several outputs, by Adam, on a bounded sample; layers of (weights, bias).
+
+    Squared errors, or with `classes` cross-entropy over the outputs. With `patience` a tenth of the rows is held back;
+    training ends after so many epochs without a better loss on it, and the best layers count.
+    """
     rng = np.random.default_rng(seed)
     sizes = [x.shape[1], *hidden, y.shape[1]]
     layers = [[rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)] for a, b in zip(sizes, sizes[1:])]
     state, step = [[np.zeros_like(p), np.zeros_like(p)] for layer in layers for p in layer], 0
+    rows = rng.permutation(len(x)) if patience else np.arange(len(x))
+    held, rows = (rows[: len(x) // 10], rows[len(x) // 10 :]) if patience else (rows[:0], rows)
+    best, kept, since = np.inf, None, 0
+
+    def outputs(at):
+        acts = [x[at]]
+        for i, (w, b) in enumerate(layers):
+            z = acts[-1] @ w + b
+            acts.append(np.maximum(z, 0) if i < len(layers) - 1 else z)
+        if classes:
+            z = np.exp(acts[-1] - acts[-1].max(1, keepdims=True))
+            acts[-1] = z / z.sum(1, keepdims=True)
+        return acts
+
     for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for k in range(0, len(x), batch):
+        order = rows[rng.permutation(len(rows))]
+        for k in range(0, len(rows), batch):
             at, step = order[k : k + batch], step + 1
-            acts = [x[at]]
-            for i, (w, b) in enumerate(layers):
-                z = acts[-1] @ w + b
-                acts.append(np.maximum(z, 0) if i < len(layers) - 1 else z)
-            d, grads = 2 * (acts[-1] - y[at]) / len(at), []
+            acts = outputs(at)
+            d, grads = (1 if classes else 2) * (acts[-1] - y[at]) / len(at), []
             for i in range(len(layers) - 1, -1, -1):
                 grads[:0] = [acts[i].T @ d, d.sum(0)]
                 d = (d @ layers[i][0].T) * (acts[i] > 0)
@@ -199,22 +230,42 @@ def mlp_regressor(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...] = (64, 3
                 s[0] = 0.9 * s[0] + 0.1 * g
                 s[1] = 0.999 * s[1] + 0.001 * g * g
                 p -= rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.999**step)) + 1e-8)
-    return [(w, b) for w, b in layers]
-
-
-def attribute_attack(train: DataFrame, test: DataFrame, columns: list[str], target: str, regression: bool = False, trees: int = 20, seed: int = 42) -> DataFrame:
-    """One row: how well an attribute is inferred from views, beside the constant baseline of the training rows."""
+        if len(held):
+            z = outputs(held)[-1]
+            loss = float(-(y[held] * np.log(z + 1e-12)).sum(1).mean() if classes else ((z - y[held]) ** 2).mean())
+            since = 0 if loss < best - 1e-4 else since + 1
+            if loss < best:
+                best, kept = loss, [(w.copy(), b.copy()) for w, b in layers]
+            if since >= patience:
+                break
+    return kept or [(w, b) for w, b in layers]
+
+
+def attribute_attack(train: DataFrame, test: DataFrame, columns: list[str], target: str, regression: bool = False, trees: int = 20, seed: int = 42, by: list[str] = ()) -> DataFrame:
+    """How well an attribute is inferred from views, beside the constant baseline of the training rows: one row, or one
+    for each group `by` of the test rows. The attacker is fitted once."""
+    by = list(by)
     train, test = train.filter(F.col(target).isNotNull()), test.filter(F.col(target).isNotNull())
     fitted = transforms.fit(train, columns, "standard")
     a = assembled(fitted.transform(train), columns).withColumn("y", F.col(target).cast("double"))
     b = assembled(fitted.transform(test), columns).withColumn("y", F.col(target).cast("double"))
+    side = lambda x, y: x.join(y, by) if by else x.crossJoin(y)  # noqa: E731 (one row each)
     if regression:
         model = GBTRegressor(featuresCol="features", labelCol="y", maxDepth=4, maxIter=trees, stepSize=0.05, seed=seed).fit(a.select("features", "y"))
         middle = quantiles(a, [F.col("y")], [0.5])[0][0] or 0.0
         out = model.transform(b).withColumn("constant", F.lit(middle))
-        return metrics.regression(out, "y", "prediction").crossJoin(metrics.regression(out, "y", "constant").select(F.col("mae").alias("constant_mae")))  # one row each
+        return side(metrics.regression(out, "y", "prediction", by), metrics.regression(out, "y", "constant", by).select(*by, F.col("mae").alias("constant_mae")))
     rows = balanced_weights(a.select("features", "y"))
-    out = score(classifier("boosting_light", 0, trees, seed).fit(rows), b).withColumn("label", F.col("y").cast("int")).select("label", "score")
+    out = score(classifier("boosting_light", 0, trees, seed).fit(rows), b).withColumn("label", F.col("y").cast("int")).select(*by, "label", "score")
     share = a.agg(F.avg("y").alias("m")).first()["m"] or 0.0
-    constant = metrics.confusion(out, F.lit(share >= 0.5)).select(F.col("balanced_accuracy").alias("constant_balanced_accuracy"))
-    return metrics.confusion(out, F.col("score") >= 0.5).crossJoin(metrics.curve_metrics(out)).crossJoin(constant)  # one row each
+    constant = metrics.confusion(out, F.lit(share >= 0.5), by=by).select(*by, F.col("balanced_accuracy").alias("constant_balanced_accuracy"))
+    return side(side(metrics.confusion(out, F.col("score") >= 0.5, by=by), metrics.curve_metrics(out, by)), constant)
+
+
+def attribute_under_conditions(train: DataFrame, views: DataFrame, columns: list[str], target: str, conditions: list[str], **how) -> DataFrame:
+    """condition and the measures of attribute_attack: one attacker, fitted on train, reads the views of each condition.
+
+    views: condition, x (an array) and the target.
+    """
+    test = views.filter(F.col("condition").isin(conditions)).select("condition", target, *(F.get("x", F.lit(k)).alias(n) for k, n in enumerate(columns)))
+    return attribute_attack(train, test, columns, target, by=["condition"], **how)

@@ -51,16 +51,18 @@ def _all_pairs(segments: DataFrame, record: str, ref: str, gap: int) -> DataFram
     return a.join(b, (a[record] == b["_r"]) & (F.col("ref_a") < F.col("ref_b")) & (F.col("ref_b") - F.col("ref_a") >= gap)).drop("_r")
 
 
-def mates(segments: DataFrame, key: str, record: str, ref: str, gap: int = 1, seed: int = 0, tries: int = 16) -> DataFrame:
-    """key, record, mate: for every segment one other of its record, at least `gap` apart; the first of `tries` draws.
+def mates(segments: DataFrame, key: str, record: str, ref: str, gap: int = 1, seed: int = 0, tries: int = 16, k: int = 1) -> DataFrame:
+    """key, record, mate: for every segment k others of its record, at least `gap` apart; the first of `tries` draws.
 
-    A segment of a record without one, or whose draws all fall short of the gap, has none.
+    A segment of a record without so many, or whose draws fall short of the gap, has fewer.
     """
     seg = _ranked_in(segments.select(key, record, ref), record, key, f"{seed}mate")
     draws = seg.withColumn("d_", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("y_", F.pmod(hash_52(key, "d_", seed=f"{seed}mate"), F.col("total_")) + 1)
     other = seg.select(F.col(record).alias("o_"), F.col(key).alias("mate"), F.col(ref).alias("f_"), F.col("rank_").alias("k_"))
     found = draws.join(other, (draws[record] == other["o_"]) & (draws["y_"] == other["k_"])).filter((F.col(key) != F.col("mate")) & (F.abs(F.col(ref) - F.col("f_")) >= gap))
-    return found.groupBy(key, record).agg(F.min_by("mate", "d_").alias("mate"))
+    if k == 1:
+        return found.groupBy(key, record).agg(F.min_by("mate", "d_").alias("mate"))
+    return top_k(found.groupBy(key, record, "mate").agg(F.min("d_").alias("d_")), [key], [F.col("d_")], k).drop("d_")
 
 
 def strangers(segments: DataFrame, key: str, record: str, seed: int = 0, tries: int = 16) -> DataFrame:

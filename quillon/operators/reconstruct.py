@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_52
@@ -20,14 +20,15 @@ def train_mean(train: DataFrame, y: list[str]) -> list[float]:
 def pca_ceiling(train: DataFrame, test: DataFrame, y: list[str], dim: int, names: list[str]) -> DataFrame:
     """test with the targets after a round trip through `dim` components fitted on train: the best a decoder can do."""
     fitted = transforms.fit(train, y, "pca", dim=dim)
-    x = fitted.scaled()
-    scores = [sum((v * float(w) for v, w in zip(x, row)), F.lit(0.0)) for row in fitted.matrix]
-    rows = test.select("*", *(s.alias(f"_s{k}") for k, s in enumerate(scores)))
+    m, center, scale = fitted.matrix, np.array(fitted.center), np.array(fitted.scale)
 
-    def back(k: int) -> Column:
-        return sum((F.col(f"_s{j}") * float(row[k]) for j, row in enumerate(fitted.matrix)), F.lit(0.0)) * fitted.scale[k] + fitted.center[k]
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        z = (np.stack(s.to_list()) - center) / scale if len(s) else np.zeros((0, len(y)))
+        return pd.Series(list(z @ m.T @ m * scale + center))
 
-    return rows.select(*test.columns, *(back(k).alias(n) for k, n in enumerate(names)))
+    rows = test.withColumn("_z", run(F.array(*fitted.imputed())))
+    return rows.select(*test.columns, *(F.get("_z", F.lit(k)).alias(n) for k, n in enumerate(names)))
 
 
 def decode(train: DataFrame, test: DataFrame, x: list[str], y: list[str], names: list[str], kind: str = "ridge", key: str | None = None, rows: int = 20_000, seed: int = 0) -> DataFrame:
@@ -40,7 +41,7 @@ def decode(train: DataFrame, test: DataFrame, x: list[str], y: list[str], names:
     fx, fy = transforms.fit(train, x, "standard"), transforms.fit(train, y, "standard")
     sample = sampling.sample(train, key, rows, seed).orderBy(hash_52(key, seed=seed), key)
     data = sample.select(*(c.alias(f"x{k}") for k, c in enumerate(fx.scaled())), *(c.alias(f"y{k}") for k, c in enumerate(fy.scaled()))).toPandas().to_numpy()
-    layers = models.mlp_regressor(data[:, : len(x)], data[:, len(x) :], seed=seed)
+    layers = models.mlp(data[:, : len(x)], data[:, len(x) :], (256, 128), patience=10, seed=seed)
     center, scale = np.array(fy.center), np.array(fy.scale)
 
     @F.pandas_udf("array<double>")
@@ -60,3 +61,18 @@ def error_table(df: DataFrame, y: list[str], names: list[str], by: list[str] = (
     e = sum(((F.col(a) - F.col(b)) ** 2 for a, b in zip(y, names)), F.lit(0.0))
     p = sum((F.col(a) ** 2 for a in y), F.lit(0.0))
     return df.groupBy(*by).agg(F.sqrt(F.avg(e) / len(y)).alias("rmse"), (100 * F.sqrt(F.try_divide(F.sum(e), F.sum(p)))).alias("prd"))
+
+
+def under_conditions(train: DataFrame, views: DataFrame, x: list[str], y: list[str], key: str, conditions: list[str], kind: str = "ridge", **how) -> DataFrame:
+    """condition, n, rmse, prd of a decoder that is fitted on train and reads the views of each condition.
+
+    views: key, condition, x (an array) and the targets; beside the conditions `mean`, what the training targets alone
+    tell.
+    """
+    rows = views.filter(F.col("condition").isin(conditions)).select(key, "condition", *(F.get("x", F.lit(k)).alias(c) for k, c in enumerate(x)), *y)
+    names = [f"p_{c}" for c in y]
+    found = decode(train, rows, x, y, names, kind, **how).select("condition", *y, *names)
+    mean = train_mean(train, y)
+    plain = rows.filter(F.col("condition") == conditions[0]).select(F.lit("mean").alias("condition"), *y, *(F.lit(m).alias(n) for m, n in zip(mean, names)))
+    both = found.unionByName(plain)
+    return error_table(both, y, names, ["condition"]).join(both.groupBy("condition").agg(F.count("*").alias("n")), "condition")

@@ -21,7 +21,15 @@ def bandpass(records: DataFrame, low: float, high: float, fs: float, order: int
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: dsp.filtfilt(b, a, np.asarray(x, float)) if len(x) else x)
+        # Recordings of one length are the columns of one matrix, so that a step is done for all at once.
+        out = [None] * len(s)
+        sizes = np.array([len(x) for x in s], int)
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            y = dsp.filtfilt(b, a, np.stack([np.asarray(s.iloc[k], float) for k in at], axis=1)) if n else np.zeros((0, len(at)))
+            for j, k in enumerate(at):
+                out[k] = np.ascontiguousarray(y[:, j])
+        return pd.Series(out, index=s.index, dtype=object)
 
     return records.withColumn(column, run(column))
 

@@ -26,6 +26,21 @@ def t_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return s.select(*keys, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
+def same_targets(a: DataFrame, b: DataFrame, keys: list[str], target: str, within: float = 0.0) -> DataFrame:
+    """The paired rows of both predictions (b's columns as <name>_b); an error unless both have the same keys, once each,
+    and the same targets."""
+    for d, name in ((a, "first"), (b, "second")):
+        if twice := d.groupBy(*keys).count().filter("count > 1").take(3):
+            raise ValueError(f"{name}: keys more than once, such as {[tuple(r) for r in twice]}")
+    if lost := a.join(b.select(*keys), keys, "left_anti").select(*keys).unionByName(b.join(a.select(*keys), keys, "left_anti").select(*keys)).take(3):
+        raise ValueError(f"on one side only: {[tuple(r) for r in lost]}")
+    both = a.join(b.select(*keys, *(F.col(c).alias(f"{c}_b") for c in b.columns if c not in keys)), keys)
+    unlike = ~(F.abs(F.col(target).cast("double") - F.col(f"{target}_b").cast("double")) <= within)
+    if bad := both.filter(F.coalesce(unlike, F.lit(True))).select(*keys).take(3):
+        raise ValueError(f"other targets for {[tuple(r) for r in bad]}")
+    return both
+
+
 def paired_contrast(df: DataFrame, config: str, candidate: str, reference: str, pair: str, metrics: list[str]) -> DataFrame:
     """metric, n, mean, low, high of candidate minus reference, paired by seed; an error where seeds don't match."""
     a, b = df.filter(F.col(config) == candidate), df.filter(F.col(config) == reference)

@@ -17,6 +17,7 @@ from ..functions.hashing import laplace, normal
 from ..functions.scalars import gaussian_sigma, laplace_scale, null_if_nan
 from .quantiles import quantiles
 
+SCALED, CLIPPED = "_scaled", "_clipped"
 METHODS = ("identity", "standard", "robust", "minmax", "quantization", "winsorization", "noise", "dp_gaussian_l2", "dp_laplace_l1", "pca", "random_projection")
 
 
@@ -39,7 +40,7 @@ class Fitted:
         return [(x - m) / s for x, m, s in zip(self.imputed(), self.center, self.scale)]
 
     def expressions(self, key: str | None = None) -> list[Column]:
-        """The new columns; key is the column that noise is drawn by."""
+        """The new columns; key is the column that noise is drawn by. The dp methods read the clipped vector of transform."""
         o = self.options
         if self.method == "identity":
             return [F.col(c) for c in self.columns]
@@ -52,9 +53,8 @@ class Fitted:
         elif self.method == "noise":
             out = [x + o["scale"] * s * normal(key, F.lit(c), seed=o["seed"]) for x, s, c in zip(self.imputed(), self.scale, self.columns)]
         elif self.method in ("dp_gaussian_l2", "dp_laplace_l1"):
-            clipped = vectors.clip_norm(F.array(*self.scaled()), o["clip"], "l2" if self.method == "dp_gaussian_l2" else "l1")
             draw = normal if self.method == "dp_gaussian_l2" else laplace
-            out = [F.get(clipped, F.lit(k)) + o["sigma"] * draw(key, F.lit(c), seed=o["seed"]) for k, c in enumerate(self.columns)]
+            out = [F.get(CLIPPED, F.lit(k)) + o["sigma"] * draw(key, F.lit(c), seed=o["seed"]) for k, c in enumerate(self.columns)]
         else:
             x = self.scaled()
             return [sum((v * float(w) for v, w in zip(x, row)), F.lit(0.0)).alias(f"{'pca' if self.method == 'pca' else 'rp'}_{k:03d}") for k, row in enumerate(self.matrix)]
@@ -64,7 +64,11 @@ class Fitted:
         """df with the feature columns replaced; its other columns stay."""
         if self.method in ("noise", "dp_gaussian_l2", "dp_laplace_l1") and key is None:
             raise ValueError("noise needs the column that it is drawn by")
-        return df.select(*(c for c in df.columns if c not in self.columns), *self.expressions(key))
+        rest = [c for c in df.columns if c not in self.columns]
+        if self.method in ("dp_gaussian_l2", "dp_laplace_l1"):  # one vector, clipped once, for all its elements
+            df = df.withColumn(SCALED, F.array(*self.scaled()))
+            df = df.withColumn(CLIPPED, vectors.clip_norm(SCALED, self.options["clip"], "l2" if self.method == "dp_gaussian_l2" else "l1"))
+        return df.select(*rest, *self.expressions(key))
 
 
 def fit(train: DataFrame, columns: list[str], method: str, *, dim: int = 8, decimals: int = 2, low: float = 0.01, high: float = 0.99, scale: float = 0.1, epsilon: float = 50.0, delta: float = 1e-5, clip: float = 2.0, seed: int = 0) -> Fitted:

@@ -54,9 +54,11 @@ def lag_features(samples: DataFrame, by: list[str], order: str = "idx") -> DataF
 
 
 def zero_crossings(samples: DataFrame, by: list[str], order: str = "idx") -> DataFrame:
-    """Mean number of sign changes between neighbours; 0 is not negative. 0 for a single sample."""
+    """Mean number of changes of the sign bit between neighbours; -0.0 has it, 0.0 has not. 0 for a single sample."""
     w = Window.partitionBy(*by).orderBy(order)
-    rows = samples.withColumn("c", ((F.col("value") < 0) != (F.lag("value").over(w) < 0)).cast("double"))
+    # Only the text of a zero tells its sign.
+    signed = samples.withColumn("s_", (F.col("value") < 0) | ((F.col("value") == 0) & F.startswith(F.col("value").cast("string"), F.lit("-"))))
+    rows = signed.withColumn("c", (F.col("s_") != F.lag("s_").over(w)).cast("double"))
     return rows.groupBy(*by).agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("zero_crossing_rate"))
 
 
@@ -113,7 +115,14 @@ def max_lag_correlation(a: DataFrame, b: DataFrame, by: list[str], most: int) ->
     return correlation(pairs, [*by, "lag"], "x", "y").groupBy(*by).agg(F.greatest(F.max("correlation"), F.lit(-1.0)).alias("max_lag_correlation"))
 
 
-def quality(samples: DataFrame, fs: float, expected_fs: float = 500.0, seconds: float = 10.0) -> DataFrame:
-    """record and checks: rate and duration as expected, and no NaN, infinity or null among the values."""
+def quality(samples: DataFrame, fs: float, expected_fs: float = 500.0, seconds: float = 10.0, leads: list[str] | None = None) -> DataFrame:
+    """record and checks: rate and duration as expected, and no NaN, infinity or null among the values.
+
+    Samples with a column `lead` are judged by lead and record, and leads_ok says whether a record has all `leads`.
+    """
+    if leads is not None:
+        own = quality(samples.withColumn("record", F.struct("record", "lead")), fs, expected_fs, seconds).select(F.col("record.record").alias("record"), F.col("record.lead").alias("lead"), "samples", "rate_ok", "duration_ok", "finite")
+        whole = own.groupBy("record").agg(F.max("samples").alias("samples"), F.bool_and("rate_ok").alias("rate_ok"), F.bool_and("duration_ok").alias("duration_ok"), F.bool_and("finite").alias("finite"), F.array_sort(F.collect_set("lead")).alias("l_"))
+        return whole.withColumn("leads_ok", F.col("l_") == F.array_sort(F.array(*map(F.lit, leads)))).drop("l_")
     bad = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
     return samples.groupBy("record").agg(F.count("*").alias("samples"), F.lit(abs(fs - expected_fs) < 1e-6).alias("rate_ok"), (F.abs(F.count("*") / fs - seconds) < 1e-6).alias("duration_ok"), (F.count_if(bad) == 0).alias("finite"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -567,7 +568,7 @@ def feature_summary(spark, sf):
 
 def _labelled_vectors(spark, sf):
     seg = vector_segments(spark, sf)
-    cols = [f"v{k}" for k in range(8)]
+    cols = [f"v{k}" for k in range(64)]
     return seg.select("vec_id", (F.col("vec_id") % 50).alias("record"), F.when(F.col("label") < 5, "Positive").otherwise("Negative").alias("label"), *(F.get("v", F.lit(k)).alias(c) for k, c in enumerate(cols))), cols
 
 
@@ -584,7 +585,7 @@ def permute_importance(spark, sf):
     from ..operators import models
 
     d, cols = _labelled_vectors(spark, sf)
-    return models.permutation_importance(d.filter("record < 40"), d.filter("record >= 40"), cols[:3], "label", "vec_id", 2)
+    return models.permutation_importance(d.filter("record < 40"), d.filter("record >= 40"), cols, "label", "vec_id")
 
 
 @query()
@@ -593,16 +594,29 @@ def pca_scores(spark, sf):
     return transforms.fit(d, cols, "pca", dim=3).transform(d)
 
 
-@query()
+PROJECTION = np.random.default_rng(0).normal(0, 3**-0.5, (3, 64))
+WIDE = """v64 AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), el AS (SELECT vec_id, i, v[i] AS x FROM v64, range(1, 65) t(i)),
+ms AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM (SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM el GROUP BY 1)),
+z AS (SELECT vec_id, CAST(vec_id % 50 AS BIGINT) AS record, CASE WHEN label < 5 THEN 'Positive' ELSE 'Negative' END AS label, list_transform(range(1, 65), lambda i: (v[i] - m[i]) / s[i]) AS z FROM v64, ms)"""
+
+
+@query(f"WITH {WIDE} SELECT vec_id, record, label, " + ", ".join(f"round(list_dot_product(z, {[float(x) for x in PROJECTION[k]]!r}::DOUBLE[]), 5) AS rp_{k:03d}" for k in range(3)) + " FROM z")
 def random_projection(spark, sf):
     d, cols = _labelled_vectors(spark, sf)
-    return transforms.fit(d, cols, "random_projection", dim=3).transform(d)
+    out = transforms.fit(d, cols, "random_projection", dim=3).transform(d)
+    return out.select("vec_id", "record", "label", *(F.round(c, 5).alias(c) for c in out.columns[3:]))
 
 
-@query()
+def lap(*keys: str, seed: object = 0) -> str:
+    x = f"(({h(*keys, seed=seed)} + 1) / 4503599627370497.0 - 0.5)"
+    return f"(-sign({x}) * ln(1 - 2 * abs({x})))"
+
+
+@query(f"WITH {WIDE}, c AS (SELECT *, least(1, 2.0 / greatest(list_sum(list_transform(z, lambda x: abs(x))), 1e-12)) AS c FROM z) SELECT vec_id, record, label, " + ", ".join(f"round(z[{k + 1}] * c + {scalars.laplace_scale(50.0, 2.0)!r} * {lap('vec_id', repr(f'v{k}'))}, 5) AS v{k}" for k in range(64)) + " FROM c")
 def laplace_release(spark, sf):
     d, cols = _labelled_vectors(spark, sf)
-    return transforms.fit(d, cols, "dp_laplace_l1").transform(d, "vec_id")
+    out = transforms.fit(d, cols, "dp_laplace_l1").transform(d, "vec_id")
+    return out.select("vec_id", "record", "label", *(F.round(c, 5).alias(c) for c in cols))
 
 
 @query()
@@ -610,7 +624,7 @@ def encoder_embedding(spark, sf):
     from ..operators import models
 
     d, cols = _labelled_vectors(spark, sf)
-    fitted, layers = models.encoder(d, cols, "label", 4, 8, 400, 20)
+    fitted, layers, _ = models.encoder(d, cols, "label", "vec_id")
     return models.embedded(d, cols, fitted, layers, ["vec_id"])
 
 
@@ -618,8 +632,7 @@ def encoder_embedding(spark, sf):
 def gbt_linkability(spark, sf):
     from ..operators import models
 
-    seg = vector_segments(spark, sf).withColumn("v", F.slice("v", 1, 8))
-    return models.linkability_attack(seg, "vec_id", "label", "ref", "v", 300, trees=5)
+    return models.linkability_attack(vector_segments(spark, sf), "vec_id", "label", "ref", "v")
 
 
 @query()
@@ -628,7 +641,7 @@ def attribute_attack(spark, sf):
 
     d, cols = _labelled_vectors(spark, sf)
     d = d.withColumn("target", (F.col("label") == "Positive").cast("int"))
-    return models.attribute_attack(d.filter("record < 40"), d.filter("record >= 40"), cols[:4], "target", trees=3)
+    return models.attribute_attack(d.filter("record < 40"), d.filter("record >= 40"), cols, "target")
 
 
 @query()
@@ -636,16 +649,9 @@ def ridge_decode(spark, sf):
     from ..operators import models
 
     d, cols = _labelled_vectors(spark, sf)
-    w, b = models.ridge(d.filter("record < 40"), cols[:5], cols[5:])
-    out = models.ridge_predict(d.filter("record >= 40"), cols[:5], w, b, ["p5", "p6", "p7"])
-    return out.select("vec_id", "v5", "p5", "v6", "p6", "v7", "p7")
-
-
-@query()
-def bandpass(spark, sf):
-    from ..operators import signal as sig
-
-    return sig.bandpass(sig.as_arrays(signal(spark, sf)), 0.5, 4.0, 10.0)
+    names = [f"p_{c}" for c in cols[32:]]
+    w, b = models.ridge(d.filter("record < 40"), cols[:32], cols[32:])
+    return models.ridge_predict(d.filter("record >= 40"), cols[:32], w, b, names).select("vec_id", *names)
 
 
 @query()
@@ -680,8 +686,8 @@ def mlp_decode(spark, sf):
     from ..operators import reconstruct
 
     d, cols = _labelled_vectors(spark, sf)
-    out = reconstruct.decode(d.filter("record < 40"), d.filter("record >= 40"), cols[:5], cols[5:], ["p5", "p6", "p7"], "mlp", "vec_id", 400)
-    return out.select("vec_id", "p5", "p6", "p7")
+    names = [f"p_{c}" for c in cols[32:]]
+    return reconstruct.decode(d.filter("record < 40"), d.filter("record >= 40"), cols[:32], cols[32:], names, "mlp", "vec_id").select("vec_id", *names)
 
 
 @query()
@@ -690,7 +696,7 @@ def pca_ceiling(spark, sf):
 
     d, cols = _labelled_vectors(spark, sf)
     names = [f"p_{c}" for c in cols]
-    return reconstruct.error_table(reconstruct.pca_ceiling(d.filter("record < 40"), d.filter("record >= 40"), cols, 4, names), cols, names)
+    return reconstruct.error_table(reconstruct.pca_ceiling(d.filter("record < 40"), d.filter("record >= 40"), cols, 8, names), cols, names)
 
 
 @query("""SELECT CAST(o_orderstatus AS VARCHAR) AS o_orderstatus, count(DISTINCT seed) AS n_seeds, round(avg(x), 4) AS x_mean, round(stddev_samp(x), 4) AS x_std
@@ -722,3 +728,62 @@ def representation_labels(spark, sf):
 def json_properties(spark, sf):
     e = read(spark, sf, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"), F.json_object_keys("props").alias("k"))
     return e.filter(F.size("k") > 0).select("event_id", F.element_at("m", F.get("k", F.lit(0))).alias("value"))
+
+
+# --- attacks on views of several segments
+
+
+def _condition_views(spark, sf):
+    """query, condition, x and what belongs to the query: views of a vector alone, with three true, found or random others."""
+    seg = vector_segments(spark, sf)
+    rows = gallery.scored(gallery.gallery(seg, "vec_id", "label", "ref", None, 99, 5, 42, trues=3), seg, "vec_id", "v")
+    return gallery.linked_views(rows, seg, "vec_id", "v", 3, 42).withColumnRenamed("view", "x")
+
+
+CONDITIONS = ["single", "oracle", "link_selected", "random"]
+
+
+@query()
+def attribute_conditions(spark, sf):
+    from ..operators import models
+
+    d, cols = _labelled_vectors(spark, sf)
+    d = d.withColumn("target", (F.col("label") == "Positive").cast("int"))
+    views = _condition_views(spark, sf).join(d.filter("record >= 40").select(F.col("vec_id").alias("query"), "target"), "query")
+    return models.attribute_under_conditions(d.filter("record < 40"), views, cols, "target", CONDITIONS)
+
+
+@query()
+def reconstruction_conditions(spark, sf):
+    from ..operators import reconstruct
+
+    d, cols = _labelled_vectors(spark, sf)
+    test = d.filter("record >= 40").select(F.col("vec_id").alias("query"), *cols[32:])
+    views = _condition_views(spark, sf).withColumn("x", F.slice("x", 1, 32)).join(test, "query")
+    return reconstruct.under_conditions(d.filter("record < 40"), views, cols[:32], cols[32:], "query", CONDITIONS)
+
+
+@query()
+def encoder_direct(spark, sf):
+    from ..operators import models
+
+    d, cols = _labelled_vectors(spark, sf)
+    fitted, layers, labels = models.encoder(d.filter("record < 40"), cols, "label", "vec_id")
+    test = d.filter("record >= 40").select("*", (F.col("label") == "Positive").cast("int").alias("y"))
+    scores = models.encoder_scores(test, cols, fitted, layers, labels, "Positive", ["vec_id", "y"])
+    return metrics.curve_metrics(scores.select(F.col("y").alias("label"), "score"))
+
+
+@query()
+def ingest_segments(spark, sf):
+    from . import ingest
+
+    e = read(spark, sf, "events")
+    s = windows.indexed(e, "user_id", ["ts", "event_id"], "value").withColumn("lead", F.when(F.col("idx") % 2 == 0, "I").otherwise("II"))
+    s = s.select(F.col("record").cast("string").alias("record_id"), "lead", "idx", "value")
+    signals = s.groupBy("record_id", "lead").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("signal"))
+    heads = e.select(F.col("user_id").cast("string").alias("record_id")).distinct().select("record_id", F.lit("AF, X").alias("diagnosis"), F.lit(None).cast("string").alias("error"))
+    return ingest.segment_table(signals, heads, 10.0, ["I", "II"], ["AF"], 2.0, 1.0, low=0.5, high=4.0)
+
+
+from . import checks  # noqa: E402, F401 (registers its queries here)

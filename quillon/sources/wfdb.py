@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import FEMALE, MALE
+
 HEADER = "record_id string, path string, fs double, n_samples int, n_leads int, lead_names array<string>, adc_gains array<double>, baselines array<double>, age double, sex string, diagnosis string"
 
 
@@ -37,7 +39,7 @@ def parse_header(text: str) -> dict:
             except ValueError:
                 out["age"] = None
         elif name == "Sex":
-            out["sex"] = {"m": "Male", "f": "Female"}.get(value[:1].lower())
+            out["sex"] = "Male" if value.lower() in MALE else "Female" if value.lower() in FEMALE else None
     return out
 
 

@@ -68,7 +68,7 @@ def test_regressor_network_learns():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))
     y = np.column_stack([x[:, 0] * 2, np.abs(x[:, 1])])
-    layers = models.mlp_regressor(x, y, epochs=80, rate=3e-3)
+    layers = models.mlp(x, y, (64, 32), epochs=80, rate=3e-3)
     z = x
     for i, (w, b) in enumerate(layers):
         z = z @ w + b
