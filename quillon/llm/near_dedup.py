@@ -255,3 +255,17 @@ def kept_documents(documents: DataFrame, percent: int = 85, count: int = BANDS,
     docs, row = numbered(documents, "rows")
     gone = written(near_rows(docs, row, percent, count, rows, block).filter("n_shingles > 0 and not first").select(F.col("rid").alias(spare(docs.columns, "gone_"))), "gone")
     return docs.join(gone, docs[row] == gone[gone.columns[0]], "left_anti").drop(row)
+
+
+#: All pairs that share a shingle, counted, and everything that links reach; for small tables.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a AS rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.b GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN k USING (rid) LEFT JOIN n USING (rid)
+"""

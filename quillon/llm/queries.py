@@ -49,4 +49,4 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_language, op4_token_counts, op5_near_dedup, op6_toxicity, op7_quality, op8_decontaminate, op9_mixing, op10_repeats)}
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op8_decontaminate": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op5_near_dedup": near_dedup.SQL, "op8_decontaminate": decontaminate.SQL, "op10_repeats": repeats.SQL}

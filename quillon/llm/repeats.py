@@ -417,3 +417,17 @@ def repeated_passages(documents: DataFrame, group: int = GROUP, texts: bool = Fa
     sent = docs.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(send_pieces, "bucket int, grp int, text binary, sizes binary, docs binary")
     bits_ = sent.groupBy("bucket").applyInArrow(sort_bucket, "grp int, bucket int, bits binary")
     return docs.groupBy("grp").cogroup(bits_.groupBy("grp")).applyInArrow(finish, schema)
+
+
+#: Every 50-byte string with its least doc_id, and the runs of removed bytes; for small tables without null doc_ids.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT rid, doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM (SELECT rid, doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS p FROM d)),
+o AS (SELECT w, min(doc_id) AS o FROM s GROUP BY w),
+g AS (SELECT rid, p, p > coalesce(lag(p) OVER (PARTITION BY rid ORDER BY p) + 50, -1) AS new FROM s JOIN o USING (w) WHERE o < doc_id),
+r AS (SELECT rid, run, min(p) AS lo, max(p) + 50 AS hi FROM (SELECT rid, p, sum(new::INT) OVER (PARTITION BY rid ORDER BY p) AS run FROM g) GROUP BY 1, 2),
+q AS (SELECT *, lead(lo) OVER (PARTITION BY rid ORDER BY lo) AS next FROM r),
+k AS (SELECT rid, sum(hi - lo) AS n_removed, count(*) AS n_spans, min(lo) AS first, string_agg(substr(h, 2 * hi + 1, 2 * (coalesce(next, n) - hi)), '' ORDER BY lo) AS rest FROM q JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN rest IS NULL THEN h ELSE substr(h, 1, 2 * first) || rest END)) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
