@@ -7,8 +7,8 @@ Suffixes are compared to a depth of 50 bytes in blocks, in three steps.
    counted over the corpus; where no sample name repeats, no string does.
 2. Suffix buckets. The suffixes that the sample leaves open are dealt into buckets by the least hash among their 16-byte
    strings, so that equal suffixes share a bucket and neighbours travel as one piece of text. One bucket is sorted at a
-   time: by the first eight bytes, and long ties by precomputed names of the 50 bytes; neighbours with equal bytes are
-   one class, and its least doc_id is its owner.
+   time: by the first bytes, and long ties by the ranks of the cover samples that two suffixes have at one shift; equal
+   suffixes are one class, and its least doc_id is its owner.
 3. The answers go back to the documents as bits, in the order in which the pieces were sent.
 
 Documents are dealt into groups of bounded bytes; a group sends a name, or a piece, once however often it has it. Only
@@ -219,22 +219,6 @@ def distinct_pieces(buf: np.ndarray, first: np.ndarray, count: np.ndarray, least
     return rep, np.flatnonzero(rep == np.arange(len(rep)))
 
 
-def _classes_by_bytes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The class of each suffix by sorting all bytes, eight at a time; a class is named by its first suffix."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    rank = np.zeros(len(at), np.int64)
-    for depth in range(0, DEPTH, 8):
-        word = np.zeros(len(at), U64)
-        for j in range(min(8, DEPTH - depth)):
-            word = (word << U64(8)) | padded[at + depth + j]
-        order = np.lexsort((word, rank))
-        new = np.ones(len(order), bool)
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (word[order][1:] != word[order][:-1])
-        head = np.flatnonzero(new)
-        rank[order] = np.repeat(order[head], np.diff(np.append(head, len(order))))
-    return rank
-
-
 def _bytes_8(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each position, as one number in the order of bytes."""
     w = np.concatenate([text, np.zeros(7, np.uint8)]).astype(U64)
@@ -243,43 +227,73 @@ def _bytes_8(text: np.ndarray) -> np.ndarray:
     return w
 
 
-def owned_elsewhere(text: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each suffix (piece by piece): does its 50-byte string also start in a smaller doc? One bucket's sort.
+#: For the phases of two suffixes (their places modulo PERIOD) the least shift at which both are in the cover.
+SHIFT = np.array([[next(k for k in range(PERIOD) if (a + k) % PERIOD in COVER and (b + k) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)])
+
+
+def _sample_ranks(first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """At the places of the cover that the suffixes at `at` reach, the rank of the sample's bytes in their order."""
+    reach = np.zeros(len(first) + PERIOD + 1, np.int32)
+    np.add.at(reach, at, 1)
+    np.add.at(reach, at + PERIOD, -1)
+    place = np.flatnonzero((np.cumsum(reach[: len(first)], dtype=np.int32) > 0) & _COVER[np.arange(len(first)) % PERIOD])
+    words = [first[place + k] for k in (SAMPLE - 8, 16, 8, 0)]
+    order = np.lexsort(words)
+    new = np.zeros(len(order), bool)
+    for w in words:
+        new[1:] |= w[order][1:] != w[order][:-1]
+    rank = np.zeros(len(first), np.int32)
+    rank[place[order]] = np.cumsum(new, dtype=np.int32)
+    return rank
 
-    Sorted by the first eight bytes, ties by the names (hashes) of the 50 bytes. Neighbours are then compared byte by
-    byte; should a name stand for two strings, all suffixes are sorted by all their bytes.
+
+def suffix_classes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The class of each suffix to the depth of 50 bytes, as the number of one of its suffixes: one bucket's sort.
+
+    Sorted by the first 16 bytes. Long ties are parted by three-way quicksort, all of them in one step: a suffix meets
+    its tie's pivot at the next four bytes, then at the rank of the cover sample that both have at the shift of their
+    phases, and at the 20 bytes that a sample may not reach. The ranks are of bytes in order, so the order is that of the
+    strings and nothing rests on a hash.
     """
+    first = _bytes_8(text)
+    order = np.lexsort((first[at + 8], first[at]))
+    head, other = first[at[order]], first[at[order] + 8]
+    tie = np.cumsum(np.append(True, (head[1:] != head[:-1]) | (other[1:] != other[:-1])))
+    rep, live, rank = np.arange(len(at)), order, None
+    while True:
+        begin = np.flatnonzero(np.append(True, tie[1:] != tie[:-1]))
+        size = np.diff(np.append(begin, len(tie)))
+        many = np.repeat(size > 1, size)
+        if not many.any():
+            return rep
+        pivot = np.repeat(live[begin + size // 2], size)[many]
+        live, tie = live[many], tie[many]
+        x, y = at[live], at[pivot]
+        rank = _sample_ranks(first, x) if rank is None else rank
+        k = SHIFT[x % PERIOD, y % PERIOD]
+        side = np.zeros(len(live), np.int8)
+        for values, i, j in ((first, x + 12, y + 12), (rank, x + k, y + k), (first, x + 30, y + 30), (first, x + 38, y + 38), (first, x + 42, y + 42)):
+            u, v = values[i], values[j]
+            side = np.where(side == 0, (u > v).astype(np.int8) - (u < v).astype(np.int8), side)
+        same = side == 0
+        rep[live[same]] = pivot[same]
+        live, tie, side = live[~same], tie[~same], side[~same]
+        if not len(live):
+            return rep
+        order = np.lexsort((side, tie))
+        live, tie, side = live[order], tie[order], side[order]
+        tie = np.cumsum(np.append(True, (tie[1:] != tie[:-1]) | (side[1:] != side[:-1])))
+
+
+def owned_elsewhere(text: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each suffix of one bucket (piece by piece): does its 50-byte string also start in a smaller doc?"""
     at = _ranges(begin, count)
     if not len(at):
         return np.zeros(0, bool)
-    owner = np.repeat(doc, count)
-    first = _bytes_8(text)
-    whole = count + DEPTH - 1
-    name = np.empty(len(at), U64)
-    done = 0
-    for lo in range(0, len(begin), 1 << 10):  # slices that stay in the cache
-        hi = min(lo + (1 << 10), len(begin))
-        a, b = begin[lo], begin[hi - 1] + whole[hi - 1]
-        n = int(count[lo:hi].sum())
-        name[done : done + n] = window_hashes(text[a:b], DEPTH)[at[done : done + n] - a]
-        done += n
-    order = np.lexsort((name, first[at]))
-    x, y = at[order[1:]], at[order[:-1]]
-    named = (name[order[1:]] == name[order[:-1]]) & (first[x] == first[y])
-    x, y = x[named], y[named]
-    same = np.ones(len(x), bool)
-    for depth in (*range(8, DEPTH - 7, 8), DEPTH - 8):
-        same &= first[x + depth] == first[y + depth]
-    if not same.all():
-        rank = _classes_by_bytes(text, at)
-        least = np.full(len(at), np.iinfo(np.int64).max)
-        np.minimum.at(least, rank, owner)
-        return least[rank] < owner
-    head = np.flatnonzero(np.concatenate([[True], ~named]))
-    least = np.minimum.reduceat(owner[order], head)
-    out = np.empty(len(at), bool)
-    out[order] = np.repeat(least, np.diff(np.append(head, len(order)))) < owner[order]
-    return out
+    owner, rep = np.repeat(doc, count), suffix_classes(text, at)
+    least = np.full(len(at), np.iinfo(np.int64).max)
+    np.minimum.at(least, rep, owner)
+    return least[rep] < owner
 
 
 def removed_runs(buf_len: int, offs: np.ndarray, starts: np.ndarray) -> np.ndarray:
