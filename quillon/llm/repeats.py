@@ -286,14 +286,19 @@ def suffix_classes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def owned_elsewhere(text: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each suffix of one bucket (piece by piece): does its 50-byte string also start in a smaller doc?"""
-    at = _ranges(begin, count)
-    if not len(at):
+    """For each suffix of one bucket (piece by piece): does its 50-byte string also start in a smaller doc?
+
+    Pieces with equal bytes, from copies of a text, are sorted once, for the least of their docs.
+    """
+    if not len(begin):
         return np.zeros(0, bool)
-    owner, rep = np.repeat(doc, count), suffix_classes(text, at)
-    least = np.full(len(at), np.iinfo(np.int64).max)
-    np.minimum.at(least, rep, owner)
-    return least[rep] < owner
+    rep, kept = distinct_pieces(text, begin, count, np.zeros(len(begin), U64), doc)
+    owner, classes = np.repeat(doc[kept], count[kept]), suffix_classes(text, _ranges(begin[kept], count[kept]))
+    least = np.full(len(owner), np.iinfo(np.int64).max)
+    np.minimum.at(least, classes, owner)
+    where = np.zeros(len(begin), np.int64)  # of the first suffix of a kept piece
+    where[kept] = np.cumsum(count[kept]) - count[kept]
+    return least[classes][_ranges(where[rep], count)] < np.repeat(doc, count)
 
 
 def removed_runs(buf_len: int, offs: np.ndarray, starts: np.ndarray) -> np.ndarray:
