@@ -200,12 +200,12 @@ def train(documents: DataFrame, per_language: int = 400, windows: int = 3, windo
 
     At most `per_language` documents of each language are sampled, those of the smallest key hash, and `windows` pieces
     of `window` characters of each, from places all over the text; the bounds are for training only. The sample is cut
-    in 64 parts of each language before it is cut in the language, so that no task sees all rows of one.
+    in 16 parts of each language before it is cut in the language, so that no task sees all rows of one.
     """
     docs = documents.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0))
     order = F.xxhash64("doc_id", F.lit(seed))
     first = lambda d, *by: d.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("order", "doc_id"))).filter(F.col("n") <= per_language).drop("n")
-    keys = docs.select("doc_id", "lang", order.alias("order"), F.pmod(order, F.lit(64)).alias("part"))
+    keys = docs.select("doc_id", "lang", order.alias("order"), F.pmod(order, F.lit(16)).alias("part"))
     keys = first(first(keys, "lang", "part"), "lang").select("doc_id", "lang", "order").distinct()
     size = F.length("text")
     piece = F.explode(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substring("text", (F.pmod(F.xxhash64("order", k), F.greatest(size - window, F.lit(0)) + 1) + 1).cast("int"), F.lit(window)))).alias("piece")
