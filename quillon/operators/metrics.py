@@ -36,9 +36,10 @@ def average_precision() -> Column:
 
 
 def equal_error_rate() -> Column:
-    """Mean of the two error rates where they are nearest; the highest such score."""
+    """Mean of the two error rates where they are nearest (in whole numbers, so that ties are ties); the highest such score."""
     fpr, fnr = F.try_divide("fp", "neg"), 1 - F.try_divide("tp", "pos")
-    return F.min(F.struct(F.abs(fpr - fnr).alias("d"), (-F.col("score")).alias("s"), ((fpr + fnr) / 2).alias("e")))["e"]
+    n = lambda c: F.col(c).cast("decimal(19,0)")
+    return F.min(F.struct(F.abs(n("fp") * n("pos") - (n("pos") - n("tp")) * n("neg")).alias("d"), (-F.col("score")).alias("s"), ((fpr + fnr) / 2).alias("e")))["e"]
 
 
 def tpr_at_fpr(level: float) -> Column:

@@ -73,7 +73,7 @@ cv AS (SELECT *, sum(p) OVER ({part}ORDER BY score DESC) AS tp, sum(n) OVER ({pa
 
 AUC = "round(sum(n * (tp - p / 2.0)) / (max(pos) * max(neg)), 6)"
 AP = "round(sum(p * tp / (tp + fp)) / max(pos), 6)"
-EER = "round(arg_min((fp / neg + 1 - tp / pos) / 2, (abs(fp / neg - 1 + tp / pos), -score)), 6)"
+EER = "round(arg_min((fp / neg + 1 - tp / pos) / 2, (abs(fp * pos - (pos - tp) * neg), -score)), 6)"
 TPR = "round(coalesce(max(CASE WHEN fp / neg <= {0} THEN tp / pos END), 0), 6)"
 GALLERY = f"""{SEG}, {MATES},
 tr AS (SELECT q, label AS record, c FROM mates),

@@ -16,7 +16,7 @@ def brute(y, s):
         tp, fp = ((s >= t) & (y == 1)).sum(), ((s >= t) & (y == 0)).sum()
         ap += (tp - last) / len(pos) * tp / (tp + fp)
         last = tp
-        eer.append((abs(fp / len(neg) - 1 + tp / len(pos)), -t, (fp / len(neg) + 1 - tp / len(pos)) / 2))
+        eer.append((abs(int(fp) * len(pos) - (len(pos) - int(tp)) * len(neg)), -t, (fp / len(neg) + 1 - tp / len(pos)) / 2))
     return auc, ap, min(eer)[2]
 
 
