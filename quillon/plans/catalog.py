@@ -600,11 +600,11 @@ ms AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM (SELECT i, a
 z AS (SELECT vec_id, CAST(vec_id % 50 AS BIGINT) AS record, CASE WHEN label < 5 THEN 'Positive' ELSE 'Negative' END AS label, list_transform(range(1, 65), lambda i: (v[i] - m[i]) / s[i]) AS z FROM v64, ms)"""
 
 
-@query(f"WITH {WIDE} SELECT vec_id, record, label, " + ", ".join(f"round(list_dot_product(z, {[float(x) for x in PROJECTION[k]]!r}::DOUBLE[]), 5) AS rp_{k:03d}" for k in range(3)) + " FROM z")
+@query(f"WITH {WIDE} SELECT vec_id, record, label, " + ", ".join(f"round(list_dot_product(z, {[float(x) for x in PROJECTION[k]]!r}::DOUBLE[]), 5) + 0.0 AS rp_{k:03d}" for k in range(3)) + " FROM z")
 def random_projection(spark, sf):
     d, cols = _labelled_vectors(spark, sf)
     out = transforms.fit(d, cols, "random_projection", dim=3).transform(d)
-    return out.select("vec_id", "record", "label", *(F.round(c, 5).alias(c) for c in out.columns[3:]))
+    return out.select("vec_id", "record", "label", *((F.round(c, 5) + 0.0).alias(c) for c in out.columns[3:]))
 
 
 def lap(*keys: str, seed: object = 0) -> str:
@@ -612,11 +612,11 @@ def lap(*keys: str, seed: object = 0) -> str:
     return f"(-sign({x}) * ln(1 - 2 * abs({x})))"
 
 
-@query(f"WITH {WIDE}, c AS (SELECT *, least(1, 2.0 / greatest(list_sum(list_transform(z, lambda x: abs(x))), 1e-12)) AS c FROM z) SELECT vec_id, record, label, " + ", ".join(f"round(z[{k + 1}] * c + {scalars.laplace_scale(50.0, 2.0)!r} * {lap('vec_id', repr(f'v{k}'))}, 5) AS v{k}" for k in range(64)) + " FROM c")
+@query(f"WITH {WIDE}, c AS (SELECT *, least(1, 2.0 / greatest(list_sum(list_transform(z, lambda x: abs(x))), 1e-12)) AS c FROM z) SELECT vec_id, record, label, " + ", ".join(f"round(z[{k + 1}] * c + {scalars.laplace_scale(50.0, 2.0)!r} * {lap('vec_id', repr(f'v{k}'))}, 5) + 0.0 AS v{k}" for k in range(64)) + " FROM c")
 def laplace_release(spark, sf):
     d, cols = _labelled_vectors(spark, sf)
     out = transforms.fit(d, cols, "dp_laplace_l1").transform(d, "vec_id")
-    return out.select("vec_id", "record", "label", *(F.round(c, 5).alias(c) for c in cols))
+    return out.select("vec_id", "record", "label", *((F.round(c, 5) + 0.0).alias(c) for c in cols))  # no -0.0
 
 
 @query()

@@ -159,12 +159,12 @@ ext AS (SELECT record, p - idx AS k, 2 * v0 - value AS x FROM sig JOIN m USING (
 {run('fw', 'ext')},
 rv AS (SELECT fw.record, m + 2 * p - k AS k, y AS x FROM fw JOIN m ON m.record = fw.record),
 {run('bw', 'rv')}
-SELECT bw.record, CAST(m + p - k AS INT) AS idx, round(y, 4) AS value FROM bw JOIN m ON m.record = bw.record WHERE k BETWEEN p AND m + p"""
+SELECT bw.record, CAST(m + p - k AS INT) AS idx, round(y, 4) + 0.0 AS value FROM bw JOIN m ON m.record = bw.record WHERE k BETWEEN p AND m + p"""
 
 
 def _filtered(spark, sf, order: int):
     out = signal.bandpass(signal.as_arrays(samples(spark, sf)), 0.5, 4.0, 10.0, order)
-    return out.select("record", F.posexplode("signal").alias("idx", "value")).select("record", "idx", F.round("value", 4).alias("value"))
+    return out.select("record", F.posexplode("signal").alias("idx", "value")).select("record", "idx", (F.round("value", 4) + 0.0).alias("value"))
 
 
 @query(both_ways(0.5, 4.0, 10.0, 1))
