@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
@@ -103,6 +105,18 @@ def linkability_attack(segments: DataFrame, key: str, record: str, ref: str, vec
     return metrics.curve_metrics(linkability(features[False], features[True], name, trees, seed))
 
 
+def linkability_runs(segments: DataFrame, key: str, record: str, ref: str, vector: str, names: list[str], seeds: list[int], **how) -> DataFrame:
+    """model, seed and the curve metrics of an attack of each model on the split and the pairs of each seed."""
+    runs = (linkability_attack(segments, key, record, ref, vector, name=n, seed=s, **how).select(F.lit(n).alias("model"), F.lit(s).alias("seed"), "*") for n in names for s in seeds)
+    return reduce(DataFrame.unionByName, runs)
+
+
+def utility_runs(df: DataFrame, group: str, subsets: dict[str, list[str]], label: str, names: list[str], seeds: list[int], **how) -> DataFrame:
+    """subset, seed and the rows of `utility` for each named set of columns on the split of each seed."""
+    runs = (utility(df, group, c, label, names, seed=s, **how).select(F.lit(n).alias("subset"), F.lit(s).alias("seed"), "*") for n, c in subsets.items() for s in seeds)
+    return reduce(DataFrame.unionByName, runs)
+
+
 def permutation_importance(train: DataFrame, test: DataFrame, columns: list[str], label: str, key: str, repeats: int = 5, seed: int = 42) -> DataFrame:
     """column, importance: the mean loss of ROC-AUC when the column's values are dealt anew among the rows, by hash."""
     train, positive = binary_target(train, label)

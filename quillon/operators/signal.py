@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dsp
+from .quantiles import quantiles
 
 
 def as_arrays(samples: DataFrame, by: list[str] = ("record",)) -> DataFrame:
@@ -34,8 +35,8 @@ def bandpass(records: DataFrame, low: float, high: float, fs: float, order: int
     return records.withColumn(column, run(column))
 
 
-def peaks(records: DataFrame, fs: float, seconds: float = 0.2, scale: float = 0.5, percentile: float | None = None, column: str = "signal") -> DataFrame:
-    """peaks: sample numbers. The prominence is the larger of 0.1 and scale standard deviations."""
+def peaks(records: DataFrame, fs: float, seconds: float = 0.2, scale: float = 0.5, percentile: float | None = 75.0, column: str = "signal") -> DataFrame:
+    """peaks: sample numbers. The prominence is the larger of 0.1 and scale standard deviations, the height a percentile."""
     distance = max(1, int(seconds * fs))
 
     @F.pandas_udf("array<int>")
@@ -88,6 +89,61 @@ def reconstruction_metrics(records: DataFrame, y: str = "y", z: str = "z") -> Da
     return records.withColumn("m_", run(y, z)).select("*", "m_.*").drop("m_")
 
 
+def lead_errors(leads: DataFrame, most: int = 0, y: str = "y", z: str = "z") -> DataFrame:
+    """Of each lead's estimate z of y: n, power, error (sums of squares) and three correlations.
+
+    max_lag_correlation is the greatest over shifts of up to `most` samples, at least -1. A (nearly) constant side
+    correlates by 0.
+    """
+    names = ["n", "power", "error", "correlation", "max_lag_correlation", "spectral_correlation"]
+
+    def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        u, v = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+        n = np.sqrt((u * u).sum(1) * (v * v).sum(1))
+        return np.where(n > 1e-12, (u * v).sum(1) / np.where(n > 1e-12, n, 1), 0.0)
+
+    @F.pandas_udf("n long, power double, error double, correlation double, max_lag_correlation double, spectral_correlation double")
+    def run(ys: pd.Series, zs: pd.Series) -> pd.DataFrame:
+        # Leads of one length are the rows of one matrix.
+        size = np.array([len(x) for x in ys], int)
+        out = pd.DataFrame(0.0, index=range(len(ys)), columns=names)
+        for n in np.unique(size[size > 0]):
+            at = np.flatnonzero(size == n)
+            a, b = (np.stack([np.asarray(s.iloc[k], float) for k in at]) for s in (ys, zs))
+            best = np.full(len(at), -1.0)
+            for lag in range(-min(most, n - 1), min(most, n - 1) + 1):
+                best = np.maximum(best, correlations(a[:, max(0, -lag) : n - max(0, lag)], b[:, max(0, lag) : n - max(0, -lag)]))
+            spectra = (np.log1p(np.abs(np.fft.rfft(x, axis=1))) for x in (a, b))
+            out.iloc[at] = np.column_stack([np.full(len(at), n), (a * a).sum(1), ((a - b) ** 2).sum(1), correlations(a, b), best, correlations(*spectra)])
+        return out.astype({"n": "int64"})
+
+    return leads.withColumn("m_", run(y, z)).select("*", "m_.*").drop("m_")
+
+
+def reconstruction_table(leads: DataFrame, names: list[str], main: str, most: int = 0, y: str = "y", z: str = "z") -> DataFrame:
+    """One row per record of leads (record, lead, y, z): errors over all leads, of the main lead, and of each lead in names.
+
+    prd is the percent of the error's norm in the target's; of a lead whose target is (nearly) zero it is null.
+    """
+    rows = lead_errors(leads, most, y, z)
+    own = lambda lead, c: F.max(F.when(F.col("lead") == lead, c))
+    power, error = (F.greatest(F.sqrt(F.sum(c)), F.lit(1e-12)) for c in ("power", "error"))
+    prd = F.when(F.sqrt("power") > 1e-6, 100 * F.sqrt(F.col("error") / F.col("power")))
+    return rows.groupBy("record").agg(
+        F.sqrt(F.sum("error") / F.sum("n")).alias("rmse"), (100 * F.sqrt(F.sum("error")) / power).alias("prd_percent"), (20 * F.log10(power / error)).alias("snr_db"),
+        F.avg("correlation").alias("mean_lead_correlation"), *(own(main, F.col(c)).alias(f"main_{c}") for c in ("correlation", "max_lag_correlation", "spectral_correlation")),
+        *(own(n, c).alias(f"lead_{n}_{k}") for n in names for k, c in (("correlation", F.col("correlation")), ("prd_percent", prd))),
+    )
+
+
+def reconstruction_summary(table: DataFrame) -> DataFrame:
+    """One row over a reconstruction_table: n_test, the means, and exact medians of three of its columns."""
+    means = ["rmse", "prd_percent", "snr_db", "mean_lead_correlation", "main_correlation", "main_max_lag_correlation", "main_spectral_correlation"]
+    medians = ["rmse", "prd_percent", "main_correlation"]
+    found = quantiles(table, [F.col(c) for c in medians], [0.5])
+    return table.agg(F.count("*").alias("n_test"), *(F.avg(c).alias(f"{c}_mean") for c in means)).select("*", *(F.lit(q[0]).cast("double").alias(f"{c}_median") for c, q in zip(medians, found)))
+
+
 def guarded(records: DataFrame, f, schema: str, column: str = "signal") -> tuple[DataFrame, DataFrame]:
     """(rows that f could process, dead letters with the error): one bad record never ends a run.
 

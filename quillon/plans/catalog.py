@@ -654,11 +654,53 @@ def ridge_decode(spark, sf):
     return models.ridge_predict(d.filter("record >= 40"), cols[:32], w, b, names).select("vec_id", *names)
 
 
-@query()
+# At 10 samples a second a distance of 0.2 seconds parts no two local maxima.
+@query(f"""WITH {SIG}, s AS (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r, quantile_cont(value, 0.75) OVER (PARTITION BY record) AS height, greatest(0.1, stddev_pop(value) OVER (PARTITION BY record) / 2) AS least FROM sig WINDOW w AS (PARTITION BY record ORDER BY idx)),
+top AS (SELECT record, idx, value, least FROM s WHERE value > l AND value > r AND value >= height),
+ends AS (SELECT top.record, top.idx, top.value, top.least, coalesce(max(s.idx) FILTER (s.idx < top.idx AND s.value > top.value), -1) AS lo, coalesce(min(s.idx) FILTER (s.idx > top.idx AND s.value > top.value), 1000000000) AS hi FROM top JOIN s ON s.record = top.record GROUP BY 1, 2, 3, 4),
+p AS (SELECT ends.record, ends.idx FROM ends JOIN s ON s.record = ends.record GROUP BY ends.record, ends.idx, ends.value, ends.least, ends.lo, ends.hi HAVING ends.value - greatest(min(s.value) FILTER (s.idx > ends.lo AND s.idx <= ends.idx), min(s.value) FILTER (s.idx >= ends.idx AND s.idx < ends.hi)) >= ends.least),
+d AS (SELECT record, idx, (idx - lag(idx) OVER w) / 10.0 AS d FROM p WINDOW w AS (PARTITION BY record ORDER BY idx)),
+e AS (SELECT record, idx, d, d - lag(d) OVER (PARTITION BY record ORDER BY idx) AS dd FROM d)
+SELECT r.record, coalesce(list(CAST(idx AS INT) ORDER BY idx) FILTER (idx IS NOT NULL), []) AS peaks, CAST(count(idx) AS INT) AS n_peaks, round(avg(d), 6) AS rr_mean, round(stddev_pop(d), 6) AS rr_std, round(sqrt(avg(dd * dd)), 6) AS rr_rmssd, round(60 / avg(d), 6) AS heart_rate FROM (SELECT DISTINCT record FROM sig) r LEFT JOIN e USING (record) GROUP BY 1""")
 def peaks(spark, sf):
     from ..operators import signal as sig
 
-    return sig.rr_features(sig.peaks(sig.as_arrays(signal(spark, sf)), 10.0), 10.0).drop("signal")
+    return _rounded(sig.rr_features(sig.peaks(sig.as_arrays(signal(spark, sf)), 10.0), 10.0).drop("signal"))
+
+
+# Even samples are lead I, odd ones lead II; the estimate is the mean of a sample and the one before.
+REC = f"""WITH {SIG}, s AS (SELECT record, CASE WHEN idx % 2 = 0 THEN 'I' ELSE 'II' END AS lead, idx // 2 AS i, value AS y FROM sig),
+d AS (SELECT *, (y + coalesce(lag(y) OVER (PARTITION BY record, lead ORDER BY i), y)) / 2 AS z, count(*) OVER (PARTITION BY record, lead) AS n FROM s),
+l AS (SELECT record, lead, count(*) AS n, sum((y - z) * (y - z)) AS error, sum(y * y) AS power, CASE WHEN count(*) * sqrt(var_pop(y) * var_pop(z)) > 1e-12 THEN corr(y, z) ELSE 0 END AS c FROM d GROUP BY 1, 2),
+g AS (SELECT record, greatest(max(c), -1) AS c FROM (SELECT a.record, t.l, CASE WHEN count(*) * sqrt(var_pop(a.y) * var_pop(b.z)) > 1e-12 THEN corr(a.y, b.z) ELSE 0 END AS c FROM d a, range(-2, 3) t(l), d b WHERE a.lead = 'II' AND b.lead = 'II' AND a.record = b.record AND b.i = a.i + t.l GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT record, k, ln(1 + sqrt(sum(y * cos(a)) ** 2 + sum(y * sin(a)) ** 2)) AS p, ln(1 + sqrt(sum(z * cos(a)) ** 2 + sum(z * sin(a)) ** 2)) AS q FROM (SELECT *, 2 * pi() * k * i / n AS a FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM d WHERE lead = 'II')) GROUP BY 1, 2),
+h AS (SELECT record, CASE WHEN count(*) * sqrt(var_pop(p) * var_pop(q)) > 1e-12 THEN corr(p, q) ELSE 0 END AS c FROM f GROUP BY 1),
+own AS (SELECT record, lead, c, CASE WHEN sqrt(power) > 1e-6 THEN 100 * sqrt(error / power) END AS prd FROM l),
+t AS (SELECT l.record, sqrt(sum(error) / sum(n)) AS rmse, 100 * sqrt(sum(error)) / greatest(sqrt(sum(power)), 1e-12) AS prd_percent, 20 * log10(greatest(sqrt(sum(power)), 1e-12) / greatest(sqrt(sum(error)), 1e-12)) AS snr_db, avg(c) AS mean_lead_correlation FROM l GROUP BY 1),
+rec AS (SELECT t.*, b.c AS main_correlation, g.c AS main_max_lag_correlation, h.c AS main_spectral_correlation, a.c AS lead_I_correlation, a.prd AS lead_I_prd_percent, b.c AS lead_II_correlation, b.prd AS lead_II_prd_percent
+  FROM t LEFT JOIN own a ON a.record = t.record AND a.lead = 'I' LEFT JOIN own b ON b.record = t.record AND b.lead = 'II' LEFT JOIN g ON g.record = t.record LEFT JOIN h ON h.record = t.record)"""
+REC_COLUMNS = ["rmse", "prd_percent", "snr_db", "mean_lead_correlation", "main_correlation", "main_max_lag_correlation", "main_spectral_correlation", "lead_I_correlation", "lead_I_prd_percent", "lead_II_correlation", "lead_II_prd_percent"]
+
+
+def _estimated(spark, sf):
+    from ..operators import signal as sig
+
+    lead = F.when(F.col("idx") % 2 == 0, "I").otherwise("II").alias("lead")
+    y = sig.as_arrays(signal(spark, sf).select("record", lead, F.floor(F.col("idx") / 2).alias("idx"), "value"), ["record", "lead"]).withColumnRenamed("signal", "y")
+    z = F.transform("y", lambda v, k: (v + F.when(k > 0, F.get("y", k - 1)).otherwise(v)) / 2)
+    return sig.reconstruction_table(y.withColumn("z", z), ["I", "II"], "II", 2)
+
+
+@query(f"{REC} SELECT record, {', '.join(f'round({c}, 6) AS {c}' for c in REC_COLUMNS)} FROM rec")
+def reconstruction_table(spark, sf):
+    return _rounded(_estimated(spark, sf))
+
+
+@query(f"{REC} SELECT count(*) AS n_test, {', '.join(f'round(avg({c}), 6) AS {c}_mean' for c in REC_COLUMNS[:7])}, {', '.join(f'round(median({c}), 6) AS {c}_median' for c in ('rmse', 'prd_percent', 'main_correlation'))} FROM rec")
+def reconstruction_summary(spark, sf):
+    from ..operators import signal as sig
+
+    return _rounded(sig.reconstruction_summary(_estimated(spark, sf)))
 
 
 @query()

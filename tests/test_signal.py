@@ -91,6 +91,8 @@ def test_chunks_and_manifest(spark, tmp_path):
     assert files.read_chunks(spark, str(tmp_path / "t"), parameters={"step": 1}).count() == 10
     with pytest.raises(ValueError, match="other parameters"):
         files.read_chunks(spark, str(tmp_path / "t"), parameters={"step": 2})
+    files.write_chunks(df.coalesce(1), str(tmp_path / "m"), {}, rows_per_file=4)
+    assert [files.read_chunks(spark, str(tmp_path / "m"), chunks=k).count() for k in (0, 1, 2, 9)] == [0, 4, 8, 10]
     made = []
     for _ in range(2):
         assert files.cached(spark, str(tmp_path / "c"), {"seed": 1}, lambda: made.append(1) or df).count() == 10
@@ -111,3 +113,70 @@ def test_segment_table(spark):
     got = sorted((r.patient_id, r.segment_ref, r.utility_label, r.lead_I_n_peaks, r.start_sample, r.end_sample) for r in out.collect())
     assert [g[:3] for g in got] == [("a", k, "Atrial") for k in range(4)] + [("b", k, "Non-Atrial") for k in range(4)]
     assert all(g[3] == (4 if g[0] == "a" else 6) and g[5] - g[4] == 200 for g in got)
+
+
+def _two_recordings(spark):
+    t = np.arange(500) / 100
+    rows = [(r, lead, (np.sin(2 * np.pi * f * t) + 0.1 * k).tolist()) for k, (r, f) in enumerate((("a", 2.0), ("b", 3.0))) for lead in ("I", "II")]
+    return spark.createDataFrame([*rows, ("short", "I", [0.0] * 50), ("short", "II", [0.0] * 50), ("half", "I", t.tolist())], "record_id string, lead string, signal array<double>")
+
+
+def test_record_table(spark):
+    from quillon.plans import ingest
+
+    heads = spark.createDataFrame([("a", "1, 9", None), ("b", None, None), ("half", "1", "bad")], "record_id string, diagnosis string, error string")
+    got = {r.patient_id: r for r in ingest.record_table(_two_recordings(spark), heads, 100.0, ["I", "II"], ["9"], high=20.0).collect()}
+    assert set(got) == {"a", "b"} and len(got["a"].asDict()) == 4 + 2 * 13 + 4 * 13 + 5
+    assert [(got[r].utility_label, got[r].n_r_peaks, round(got[r].mean_rr, 2), round(got[r].mean_hr_bpm)) for r in "ab"] == [("Atrial", 10, 0.5, 120), ("Non-Atrial", 15, 0.33, 180)]
+
+
+def test_targets_are_lead_major_and_errors_are_rows(spark):
+    from quillon.plans import ingest
+
+    sigs = _two_recordings(spark)
+    got = {r.record_id: r for r in ingest.targets(sigs, 100, 50, ["I", "II"], 1, high=20.0).collect()}
+    b, a = dsp.butter_bandpass(0.5, 20.0, 100, 4)
+    x = dsp.filtfilt(b, a, np.sin(2 * np.pi * 3 * np.arange(500) / 100)[:, None] + 0.1)[:, 0]
+    x = dsp.resample(((x - x.mean()) / x.std())[100:300], 50, 100)
+    assert np.allclose(got["b"].target, np.concatenate([x, x]), atol=1e-5) and got["b"].error is None
+    assert {r: got[r].error for r in ("short", "half")} == {"short": "segment 1 is unavailable", "half": "a lead is missing"}
+    features = spark.createDataFrame([(r, k) for r in ("a", "b", "half", "gone") for k in (0, 1)] + [("c", 0)], "patient_id string, segment_ref int")
+    kept, bad = ingest.cohort(features, sigs, 0, 100, 50, ["I", "II"], 1, high=20.0)
+    assert sorted(r.patient_id for r in kept.collect()) == ["a", "b"]
+    assert {r.patient_id: r.error for r in bad.collect()} == {"half": "a lead is missing", "gone": "recording not found"}
+    kept, bad = ingest.cohort(features, sigs, 2, 100, 50, ["I", "II"], 1, high=20.0)
+    assert kept.count() + bad.count() == 2
+
+
+def test_reconstruction_table(spark):
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(2, 3, 40))
+    z = y + 0.3 * rng.normal(size=y.shape)
+    z[0, 1] = np.roll(y[0, 1], 2)
+    y[1, 2] = 0
+    rows = [(r, f"l{k}", y[r, k].tolist(), z[r, k].tolist()) for r in range(2) for k in range(3)]
+    leads = spark.createDataFrame(rows, "record int, lead string, y array<double>, z array<double>")
+    table = signal.reconstruction_table(leads, ["l0", "l1", "l2"], "l1", 3)
+    got = {r.record: r for r in table.collect()}
+    for r in range(2):
+        e = y[r] - z[r]
+        assert got[r].rmse == pytest.approx(np.sqrt((e**2).mean())) and got[r].prd_percent == pytest.approx(100 * np.linalg.norm(e) / np.linalg.norm(y[r]))
+        assert got[r].snr_db == pytest.approx(20 * np.log10(np.linalg.norm(y[r]) / np.linalg.norm(e)))
+        assert got[r].lead_l0_correlation == pytest.approx(np.corrcoef(y[r, 0], z[r, 0])[0, 1])
+    assert got[0].main_max_lag_correlation > 0.99 > got[0].main_correlation
+    assert got[1].lead_l2_correlation == 0 and got[1].lead_l2_prd_percent is None
+    one = signal.reconstruction_summary(table).first()
+    assert one.n_test == 2 and one.rmse_median == pytest.approx((got[0].rmse + got[1].rmse) / 2)
+
+
+def test_runs_over_models_seeds_and_columns(spark):
+    from quillon.operators import models
+
+    rng = np.random.default_rng(0)
+    rows = [(10 * r + k, f"r{r}", k, float(r % 2 + rng.normal()), float(rng.normal()), "Positive" if r % 2 else "Negative") for r in range(24) for k in range(6)]
+    df = spark.createDataFrame(rows, "key long, record string, ref int, a double, b double, label string")
+    got = models.utility_runs(df, "record", {"one": ["a"], "both": ["a", "b"]}, "label", ["logistic"], [1]).collect()
+    assert sorted((r.subset, r.seed, r.model) for r in got) == [(s, k, "logistic") for s in ("both", "one") for k in (1,)]
+    segs = df.select("key", "record", "ref", F.array("a", "b").alias("v"))
+    got = models.linkability_runs(segs, "key", "record", "ref", "v", ["logistic"], [1], most=100).collect()
+    assert sorted((r.model, r.seed) for r in got) == [("logistic", 1)]
