@@ -322,7 +322,9 @@ def repeated_passages(documents: DataFrame, group: int = GROUP, texts: bool = Fa
     name_bucket = U64(-(-(1 << bits) // buckets))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).max).cast("long"))
     docs = documents.select("doc_id", key.alias("key"), "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int").alias("grp"))
-    docs = docs.repartition(groups, "grp")
+    # The number of partitions goes with the bytes, two for a group so that few share one: no task grows with the corpus.
+    dealt = lambda d, by: d.repartition(2 * groups, by)
+    docs = dealt(docs, "grp")
 
     def ordered(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
         """The rows in one order in every pass; rows that tie are alike."""
@@ -432,9 +434,9 @@ def repeated_passages(documents: DataFrame, group: int = GROUP, texts: bool = Fa
         return pa.Table.from_arrays([*out, *[pa.array(left, pa.binary())] * texts], names=cols)
 
     names = docs.groupBy("grp").applyInArrow(send_names, "bucket int, grp int, body binary, many binary")
-    found = names.groupBy("bucket").applyInArrow(find_names, "grp int, bucket int, body binary").filter("body is not null")
+    found = dealt(names, "bucket").groupBy("bucket").applyInArrow(find_names, "grp int, bucket int, body binary").filter("body is not null")
     sent = docs.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(send_pieces, "bucket int, grp int, text binary, sizes binary, docs binary")
-    bits_ = sent.groupBy("bucket").applyInArrow(sort_bucket, "grp int, bucket int, bits binary")
+    bits_ = dealt(sent, "bucket").groupBy("bucket").applyInArrow(sort_bucket, "grp int, bucket int, bits binary")
     return docs.groupBy("grp").cogroup(bits_.groupBy("grp")).applyInArrow(finish, schema)
 
 
