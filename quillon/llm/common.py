@@ -49,14 +49,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors.
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Registers a path of the shared folder for removal when the process ends."""
+    atexit.register(_remove, spark, path)
+
+
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a Parquet table in the shared folder, one folder a value of `by`: it cuts the lineage and outlives lost executors.
 
     The table is removed by `discard`, or when the process ends.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, df.sparkSession, path)
-    df.write.option("compression", "zstd").parquet(path)
+    remove_at_exit(df.sparkSession, path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -68,6 +73,11 @@ def discard(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t.stored_at)
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    """The same for a path given to `remove_at_exit`."""
+    _remove(spark, path)
+
+
 def spare(columns: list[str], name: str) -> str:
     """name, lengthened until no column has it (in any case)."""
     taken = {c.lower() for c in columns}
@@ -180,6 +190,32 @@ def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray | None = None):
     return start, end, row
 
 
+def encoded(buf: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Integer ids of the words and their dictionary (binary), in order of first appearance; `inside` marks word bytes."""
+    offs = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    words_ = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(buf[inside]))])
+    found = words_.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def ranked_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a column `name`: the row's rank from 1 in `order`, which tells all rows apart.
+
+    Rows are sorted by ranges; a rank is the number of rows in the ranges before and the place in its own, so that no
+    task holds more than a range. The driver gets one count a range.
+    """
+    part, n = spare(df.columns, "part_"), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "ranks")
+    rows = rows.withColumn(part, F.shiftright(name, 33)).withColumn(name, F.col(name).bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = sorted(tuple(r) for r in rows.groupBy(part).agg(F.count("*")).collect())
+    before, total = [], 0
+    for k, x in sizes:
+        before.append((k, total))
+        total += x
+    starts = df.sparkSession.createDataFrame(before, f"{part} long, start_{part} long")
+    return rows.join(F.broadcast(starts), part).withColumn(name, F.col(name) + F.col(f"start_{part}") + 1).drop(part, f"start_{part}")
+
+
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes, from a polynomial of its bytes and its length."""
     if not len(start):
