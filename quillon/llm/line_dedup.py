@@ -132,8 +132,11 @@ def repeated_lines(docs: DataFrame, row: str, min_chars: int, min_docs: int, bat
 
 
 def _without(docs: DataFrame, gone: DataFrame, row: str, other: list[str]) -> DataFrame:
-    """other, n_lines, n_dropped, and text without the lines that go. The lines are cut once a row: they are used twice."""
-    rows = docs.join(gone, row, "left").select(*other, F.coalesce("text", F.lit("")).alias("text_"), _lines(F.col("text")).alias("lines_"), "gone")
+    """other, n_lines, n_dropped, and text without the lines that go. The lines are cut once a row: they are used twice.
+
+    Always a merge join: the lines that go grow with the documents, and have no size that would allow a broadcast.
+    """
+    rows = docs.join(gone.hint("merge"), row, "left").select(*other, F.coalesce("text", F.lit("")).alias("text_"), _lines(F.col("text")).alias("lines_"), "gone")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), "gone")
     text = F.when(F.col("gone").isNull(), F.col("text_")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines_", i)), "\n"))
     return rows.select(*other, F.size("lines_").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), text.alias("text"))
@@ -161,7 +164,7 @@ def cleaned_documents(documents: DataFrame, min_chars: int = 40, min_docs: int =
     gone = repeated_lines(docs.select(F.col(row).alias("row"), "doc_id", "text"), "row", min_chars, min_docs, batches)
     new = _without(docs.select(F.col(row).alias("row"), "text"), gone, "row", ["row"]).filter("n_dropped > 0")
     key, body = spare(docs.columns, "key_"), spare(docs.columns, "body_")
-    out = docs.join(new.select(F.col("row").alias(key), F.col("text").alias(body)), F.col(row) == F.col(key), "left")
+    out = docs.join(new.select(F.col("row").alias(key), F.col("text").alias(body)).hint("merge"), F.col(row) == F.col(key), "left")
     return out.select(*(F.coalesce(F.col(body), docs["text"]).alias("text") if c == "text" else docs[c] for c in documents.columns))
 
 
