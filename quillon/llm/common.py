@@ -198,6 +198,12 @@ def encoded(buf: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndar
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
 
 
+def numbers(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each integer key and the distinct keys, in order of first appearance."""
+    found = pa.array(keys).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_numpy()
+
+
 def ranked_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with a column `name`: the row's rank from 1 in `order`, which tells all rows apart.
 

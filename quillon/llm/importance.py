@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_slices, encoded, numbered, ranked_rows, row_spans, row_sums, spare, table_of, words, written
+from .common import LOWER, byte_slices, encoded, numbered, numbers, ranked_rows, row_spans, row_sums, spare, table_of, words, written
 
 LETTERS = table_of([c for c in range(256) if c >= 128 or chr(c).isalnum()])
 BUCKETS, LONGEST = 10_000, 3
@@ -26,12 +26,6 @@ BUCKETS, LONGEST = 10_000, 3
 LEAST_WORDS = 20
 
 
-def _numbers(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each key and the distinct keys, in order of first appearance."""
-    found = pa.array(keys).dictionary_encode()
-    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_numpy()
-
-
 def features(buf: np.ndarray, offs: np.ndarray, buckets: int = BUCKETS, longest: int = LONGEST) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Words per row and, for each length from 1 to `longest`, (bucket, row) of the runs of so many words; A-Z in lower case."""
     low = LOWER[buf]
@@ -45,7 +39,7 @@ def features(buf: np.ndarray, offs: np.ndarray, buckets: int = BUCKETS, longest:
             more = at + n < len(row)
             more[more] = row[at[more]] == row[at[more] + n]
             at = at[more]
-            number, tuples = _numbers(number[more] * max(1, len(known)) + ids[at + n])
+            number, tuples = numbers(number[more] * max(1, len(known)) + ids[at + n])
             shorter, last = divmod(tuples, max(1, len(known)))
             crcs = list(map(zlib.crc32, map(spaced.__getitem__, last.tolist()), map(crcs.__getitem__, shorter.tolist())))
         out.append(((np.array(crcs, np.int64) % buckets)[number], row[at]))

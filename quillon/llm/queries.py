@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, importance, language, line_dedup, mixing, near_dedup, quality, repeats, secrets, token_counts, toxicity
+from . import decontaminate, divergence, exact_dedup, importance, language, line_dedup, mixing, near_dedup, quality, repeats, secrets, token_counts, toxicity
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.op11(table(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op12(table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_language, op4_token_counts, op5_near_dedup, op6_toxicity, op7_quality, op8_decontaminate, op9_mixing, op10_repeats, op12_line_dedup, op13_importance)}
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op5_near_dedup": near_dedup.SQL, "op8_decontaminate": decontaminate.SQL, "op10_repeats": repeats.SQL, "op12_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_language, op4_token_counts, op5_near_dedup, op6_toxicity, op7_quality, op8_decontaminate, op9_mixing, op10_repeats, op11_divergence, op12_line_dedup, op13_importance)}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op5_near_dedup": near_dedup.SQL, "op8_decontaminate": decontaminate.SQL, "op10_repeats": repeats.SQL, "op11_divergence": divergence.SQL, "op12_line_dedup": line_dedup.SQL}
