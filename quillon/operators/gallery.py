@@ -7,29 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.hashing import hash_52
-from .pairs import mates
+from .draws import distinct_numbers, mates
 from .sampling import ranked, top_k
 
 
 def gallery(segments: DataFrame, key: str, record: str, ref: str, queries: int | None, others: int, gap: int = 1, seed: int = 0, trues: int = 1) -> DataFrame:
-    """query, candidate, label: each query's true candidates (`trues` at most) and `others` segments of distinct other records.
+    """query, candidate, label: each query's true candidates (`trues` at most) and segments of `others` distinct other records.
 
-    A query is any segment with a mate of its record at the gap; `queries` of them by hash, or all. The other records of
-    a query are a run of the circle of records in hash order, which starts after the query's record at a place drawn by
-    hash; of each the segment is drawn for the query. All are equi-joins on ranks, without a list of all pairs.
+    A query is any segment with a mate of its record at the gap; `queries` of them by hash, or all. The true candidates
+    and the other records are drawn for the query, each set of so many alike, or all if there are no more; of each other
+    record a segment is drawn for the query. All are equi-joins on ranks, without a list of all pairs.
     """
     segs = segments.select(key, record, ref)
-    true = mates(segs, key, record, ref, gap, seed, 16 * trues, trues).select(F.col(key).alias("query"), record, F.col("mate").alias("candidate"))
+    true = mates(segs, key, record, ref, gap, trues, f"{seed}mate").select(F.col(key).alias("query"), record, F.col("mate").alias("candidate"))
     asked = true.select("query", record).distinct()
     if queries is not None:
         asked = ranked(asked, hash_52("query", seed=seed), ties=["query"]).filter(F.col("rank_") <= queries).drop("rank_", "total_")
         true = true.join(asked.select("query"), "query", "left_semi")
     circle = ranked(segs.select(record).distinct(), hash_52(record, seed=seed), ties=[record])
     one = circle.select(F.col(record).alias("other"), (F.col("rank_") - 1).alias("at"))
-    size = F.col("total_")
-    start = F.pmod(hash_52("query", seed=f"{seed}start"), F.greatest(size - 1, F.lit(1)))
-    steps = F.sequence(F.lit(0), F.least(F.lit(others), size - 1).cast("int") - 1)
-    wanted = asked.join(circle, record).filter("total_ > 1").select("query", F.explode(F.transform(steps, lambda i: F.pmod(F.col("rank_") - 1 + 1 + F.pmod(start + i, size - 1), size))).alias("at"))
+    own, j = F.col("rank_") - 1, F.col("j")
+    wanted = asked.join(circle, record).filter("total_ > 1").select("query", "rank_", F.explode(distinct_numbers(F.col("total_") - 1, others, "query", seed=f"{seed}others")).alias("j"))
+    wanted = wanted.select("query", F.when(j < own, j).otherwise(j + 1).alias("at"))
     rows = ranked(segs, hash_52(key, seed=f"{seed}pick"), by=[record], ties=[key])
     counts = rows.groupBy(record).agg(F.max("total_").alias("m_")).withColumnRenamed(record, "other")
     drawn = wanted.join(one, "at").join(counts, "other").select("query", "other", (F.pmod(hash_52("query", "other", seed=f"{seed}pick"), F.col("m_")) + 1).alias("k_"))

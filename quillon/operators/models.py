@@ -6,18 +6,24 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Model
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import mapped, matrix
 from ..functions.hashing import hash_52
-from . import metrics, pairs, sampling, transforms
+from . import boosting, metrics, pairs, sampling, transforms
 from .quantiles import quantiles
 
 CLASSIFIERS = ("logistic", "forest", "boosting", "boosting_light", "boosting_balanced")
+#: Of second-order boosting: rate, trees and the weight of class 1 (None: negatives to positives).
+BOOSTED = {"boosting_light": (0.05, 200, 1.0), "boosting_balanced": (0.03, 400, None)}
+
+
+#: The conditions of views that the attacker of each training condition reads.
+ATTACKED = {"single": ["single"], "oracle": ["oracle", "link_selected", "random"]}
 
 
 def binary_target(df: DataFrame, label: str, preferred: tuple[str, ...] = ("Atrial", "AFL", "AF", "Positive", "1")) -> tuple[DataFrame, str]:
@@ -38,11 +44,11 @@ def balanced_weights(df: DataFrame, y: str = "y") -> DataFrame:
 
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.array(*(F.col(c).cast("double") for c in columns))))
+    return df.withColumn("features", F.array(*(F.col(c).cast("double") for c in columns)))
 
 
 def classifier(name: str, n: int, trees: int | None = None, seed: int = 42):
-    """An unfitted classifier on features, y and weight; n, the training rows, sets the logistic penalty to C = 1."""
+    """An unfitted MLlib classifier on features, y and weight; n, the training rows, sets the logistic penalty to C = 1."""
     cols = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight"}
     if name == "logistic":
         return LogisticRegression(**cols, regParam=1 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=200)
@@ -50,24 +56,37 @@ def classifier(name: str, n: int, trees: int | None = None, seed: int = 42):
         return RandomForestClassifier(**cols, numTrees=trees or 300, minInstancesPerNode=2, maxDepth=30, seed=seed)
     if name == "boosting":
         return GBTClassifier(**cols, maxDepth=6, stepSize=0.05, maxIter=trees or 300, seed=seed)
-    if name in ("boosting_light", "boosting_balanced"):
-        step, rounds = (0.05, 200) if name == "boosting_light" else (0.03, 400)
-        return GBTClassifier(**cols, maxDepth=4, stepSize=step, maxIter=trees or rounds, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
     raise ValueError(f"{name}: not one of {CLASSIFIERS}")
 
 
-def score(model: Model, df: DataFrame) -> DataFrame:
-    """df with score, the probability of class 1."""
-    return model.transform(df).withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("probability", "rawPrediction", "prediction")
+def train(rows: DataFrame, name: str, key: str | None = None, trees: int | None = None, seed: int = 42):
+    """A model of `name` for features (an array) and y; key decides which rows a boosted tree reads (none: the features).
+
+    boosting_light and boosting_balanced are second-order boosting (200 trees at a rate of 0.05, or 400 at 0.03 with the
+    classes in balance); the others are MLlib's, with balanced classes.
+    """
+    rows = rows.select("features", F.col("y").cast("double").alias("y"), (F.col(key) if key else F.xxhash64("features")).alias("key_"))
+    if name in BOOSTED:
+        rate, rounds, heavy = BOOSTED[name]
+        return boosting.fit(rows, "features", "y", "key_", trees=trees or rounds, rate=rate, positive_weight=heavy, seed=seed)
+    weighted = balanced_weights(rows.select(array_to_vector("features").alias("features"), "y"))
+    return classifier(name, rows.count(), trees, seed).fit(weighted)
+
+
+def score(model, df: DataFrame) -> DataFrame:
+    """df with score, the probability of class 1, from its features (an array)."""
+    if isinstance(model, boosting.Boosted):
+        return model.predict(df, "features")
+    out = model.transform(df.withColumnRenamed("features", "array_").withColumn("features", array_to_vector("array_")))
+    return out.withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("probability", "rawPrediction", "prediction", "features").withColumnRenamed("array_", "features")
 
 
-def probe(train: DataFrame, test: DataFrame, columns: list[str], label: str, name: str = "logistic", trees: int | None = None, seed: int = 42) -> DataFrame:
-    """test with y, label (0/1) and score, from a model of train alone: imputed, scaled, classes balanced."""
-    train, positive = binary_target(train, label)
+def probe(known: DataFrame, test: DataFrame, columns: list[str], label: str, name: str = "logistic", trees: int | None = None, seed: int = 42) -> DataFrame:
+    """test with y, label (0/1) and score, from a model of known rows alone: imputed, scaled, classes balanced."""
+    known, positive = binary_target(known, label)
     test = test.withColumn("y", (F.col(label).cast("string") == positive).cast("double"))
-    fitted = transforms.fit(train, columns, "standard")
-    rows = balanced_weights(assembled(fitted.transform(train), columns).select("features", "y"))
-    model = classifier(name, rows.count(), trees, seed).fit(rows)
+    fitted = transforms.fit(known, columns, "standard")
+    model = train(assembled(fitted.transform(known), columns), name, trees=trees, seed=seed)
     return score(model, assembled(fitted.transform(test), columns)).withColumn("label", F.col("y").cast("int")).drop("features")
 
 
@@ -86,12 +105,22 @@ def utility(df: DataFrame, group: str, columns: list[str], label: str, names: li
     return out
 
 
+class PairAttacker:
+    """Scores pairs by their features (an array), which are imputed and scaled as the training pairs say."""
+
+    def __init__(self, train_pairs: DataFrame, name: str = "boosting_light", trees: int | None = 20, seed: int = 42):
+        self.scale = transforms.fit_vectors(train_pairs, "features")
+        rows = self.scale.transform(train_pairs, "features", "features").select("features", F.col("pair_label").alias("y"))
+        self.model = train(rows, name, trees=trees, seed=seed)
+
+    def score(self, pairs_: DataFrame) -> DataFrame:
+        """pairs_ with score, without features."""
+        return score(self.model, self.scale.transform(pairs_, "features", "features")).drop("features")
+
+
 def linkability(train_pairs: DataFrame, test_pairs: DataFrame, name: str = "boosting_light", trees: int | None = 20, seed: int = 42) -> DataFrame:
     """test_pairs with label and score of an attacker trained on train_pairs (features array, pair_label)."""
-    prepared = lambda d: d.select("*", array_to_vector("features").alias("v"), F.col("pair_label").cast("double").alias("y")).drop("features").withColumnRenamed("v", "features")
-    rows = balanced_weights(prepared(train_pairs).select("features", "y"))
-    model = classifier(name, rows.count(), trees, seed).fit(rows)
-    return score(model, prepared(test_pairs)).withColumn("label", F.col("pair_label")).drop("features", "y")
+    return PairAttacker(train_pairs, name, trees, seed).score(test_pairs).withColumn("label", F.col("pair_label"))
 
 
 def linkability_attack(segments: DataFrame, key: str, record: str, ref: str, vector: str, most: int = 2000, name: str = "boosting_light", trees: int | None = 20, strategy: str = "random", seed: int = 42) -> DataFrame:
@@ -117,45 +146,93 @@ def utility_runs(df: DataFrame, group: str, subsets: dict[str, list[str]], label
     return reduce(DataFrame.unionByName, runs)
 
 
-def permutation_importance(train: DataFrame, test: DataFrame, columns: list[str], label: str, key: str, repeats: int = 5, seed: int = 42) -> DataFrame:
-    """column, importance: the mean loss of ROC-AUC when the column's values are dealt anew among the rows, by hash."""
-    train, positive = binary_target(train, label)
-    fitted = transforms.fit(train, columns, "standard")
-    rows = balanced_weights(assembled(fitted.transform(train), columns).select("features", "y"))
-    model = classifier("logistic", rows.count(), seed=seed).fit(rows)
+def permutation_importance(known: DataFrame, test: DataFrame, columns: list[str], label: str, key: str, repeats: int = 5, name: str = "logistic", trees: int | None = None, seed: int = 42) -> DataFrame:
+    """column, importance: the mean loss of ROC-AUC when the column's values are dealt anew among the rows, by hash.
+
+    A row gets one new value a column and repeat. In a batch one column after another is swapped in place and scored, so
+    that a vector is held once and not once a column and repeat. `name` is logistic or one of second-order boosting.
+    """
+    known, positive = binary_target(known, label)
+    fitted = transforms.fit(known, columns, "standard")
+    model = train(assembled(fitted.transform(known), columns), name, trees=trees, seed=seed)
+    predict = scorer(model)
     test = fitted.transform(test.withColumn("y", (F.col(label).cast("string") == positive).cast("double")), key).select(key, "y", F.array(*columns).alias("x"))
     base = sampling.ranked(test, hash_52(key, seed=seed), ties=[key]).select("rank_", "y", "x")
     # Of each column and repeat the values in an order of its own; the row of the same rank gets them.
     long = test.select(key, F.posexplode("x").alias("i", "new")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     dealt = sampling.ranked(long, hash_52(key, "i", "repeat", seed=seed), by=["i", "repeat"], ties=[key]).select("rank_", "i", "repeat", "new")
-    rows = dealt.join(base, "rank_").select("i", "repeat", "y", F.transform("x", lambda v, j: F.when(j == F.col("i"), F.col("new")).otherwise(v)).alias("x"))
-    rows = rows.unionByName(base.select(F.lit(-1).alias("i"), F.lit(0).alias("repeat"), "y", "x"))
-    scored = score(model, rows.withColumn("features", array_to_vector("x"))).select("i", "repeat", F.col("y").cast("int").alias("label"), "score")
-    auc = metrics.curve(scored, by=["i", "repeat"]).groupBy("i", "repeat").agg(metrics.roc_auc().alias("auc"))
-    losses = auc.groupBy().agg(F.max(F.when(F.col("i") < 0, F.col("auc"))).alias("whole"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "auc"))).alias("all"))  # a row a column and repeat
+    dealt = dealt.groupBy("rank_").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "repeat", "new"))), lambda s: s["new"]).alias("new"))  # columns x repeats
+    width = len(columns)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                x, new = matrix(part["x"], width), matrix(part["new"], width * repeats)
+                out = np.empty((len(x), 1 + width * repeats))
+                out[:, 0] = predict(x)
+                for i in range(width):
+                    own = x[:, i].copy()
+                    for r in range(repeats):
+                        x[:, i] = new[:, i * repeats + r]
+                        out[:, 1 + i * repeats + r] = predict(x)
+                    x[:, i] = own
+                yield pa.RecordBatch.from_arrays([part["y"], pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))], ["y", "scores"])
+
+    rows = dealt.join(base, "rank_").select("y", "x", "new").mapInArrow(run, "y double, scores array<double>")
+    scored = rows.select(F.col("y").cast("int").alias("label"), F.posexplode("scores").alias("at", "score"))
+    auc = metrics.curve(scored, by=["at"]).groupBy("at").agg(metrics.roc_auc().alias("auc"))
+    losses = auc.groupBy().agg(F.max(F.when(F.col("at") == 0, F.col("auc"))).alias("whole"), F.collect_list(F.when(F.col("at") > 0, F.struct("at", "auc"))).alias("all"))  # a row a column and repeat
     names = F.array(*map(F.lit, columns))
-    return losses.select("whole", F.explode("all").alias("r")).groupBy(F.get(names, F.col("r.i")).alias("column")).agg(F.avg(F.col("whole") - F.col("r.auc")).alias("importance"))
+    return losses.select("whole", F.explode("all").alias("r")).groupBy(F.get(names, F.expr(f"cast((r.at - 1) div {repeats} as int)")).alias("column")).agg(F.avg(F.col("whole") - F.col("r.auc")).alias("importance"))
+
 
+def scorer(model):
+    """The model's probability of class 1 as a function of a numpy matrix: of a logistic or boosted model."""
+    if isinstance(model, boosting.Boosted):
+        return lambda x: 1 / (1 + np.exp(-model.margin(x)))
+    if not hasattr(model, "coefficients"):
+        raise ValueError("only logistic and second-order boosted models are scored in batches")
+    w, b = model.coefficients.toArray(), float(model.intercept)
+    return lambda x: 1 / (1 + np.exp(-(x @ w + b)))
 
-def model_importance(model: Model, columns: list[str]) -> list[tuple[str, float]]:
-    """Coefficients' sizes or impurity importances, greatest first."""
-    v = np.abs(model.coefficients.toArray()) if hasattr(model, "coefficients") else model.featureImportances.toArray()
+
+def model_importance(model, columns: list[str]) -> list[tuple[str, float]]:
+    """Coefficients' sizes, impurity importances or shares of gains, greatest first."""
+    v = model.importance() if isinstance(model, boosting.Boosted) else np.abs(model.coefficients.toArray()) if hasattr(model, "coefficients") else model.featureImportances.toArray()
     return sorted(zip(columns, map(float, v)), key=lambda x: (-x[1], x[0]))
 
 
-def encoder(train: DataFrame, columns: list[str], label: str, key: str, dim: int = 8, hidden: int = 128, rows: int = 40_000, epochs: int = 60, seed: int = 42):
+def in_one_task(rows: DataFrame, fit) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The layers that `fit` makes of x and y, matrices of a bounded sample (x, y, o, key), in the order of o and key.
+
+    It runs in a task of its own: the driver gets the layers only.
+    """
+
+    def run(batches):
+        t = pa.Table.from_batches(list(batches), schema=None).sort_by([("o", "ascending"), ("k", "ascending")])
+        x, y = (matrix(t[c], len(t[c][0].as_py())) for c in ("x", "y"))
+        layers = fit(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array([w.shape[0] for w, _ in layers], pa.int32()), pa.array([w.ravel() for w, _ in layers], pa.list_(pa.float64())), pa.array([b for _, b in layers], pa.list_(pa.float64()))], ["n", "w", "b"])
+
+    found = rows.coalesce(1).mapInArrow(run, "n int, w array<double>, b array<double>").collect()
+    return [(np.array(r["w"]).reshape(r["n"], -1), np.array(r["b"])) for r in found]
+
+
+def encoder(known: DataFrame, columns: list[str], label: str, key: str, dim: int = 8, hidden: int = 128, rows: int = 40_000, epochs: int = 60, seed: int = 42):
     """A supervised encoder: (fitted scaling, layers of weights and bias, labels). The layers are relu units of sizes
     `hidden` and `dim`, and a linear one with an output a label.
 
-    Trained by Adam with early stopping on at most `rows` rows, by hash of key, as even over the labels as they allow.
+    Trained in a task by Adam with early stopping on at most `rows` rows, by hash of key, as even over the labels as they
+    allow.
     """
-    fitted = transforms.fit(train, columns, "standard")
-    labels = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
-    sample = sampling.balanced_sample(train, key, label, rows, len(labels), seed)
-    data = fitted.transform(sample).select(F.array(*columns).alias("x"), label, hash_52(key, seed=seed).alias("o"), key).toPandas().sort_values(["o", key])
-    place = {v: k for k, v in enumerate(labels)}
-    y = np.eye(len(labels))[[place[v] for v in data[label]]]
-    return fitted, mlp(np.stack(data["x"].to_list()), y, (hidden, dim), epochs, classes=True, patience=10, seed=seed), labels
+    fitted = transforms.fit(known, columns, "standard")
+    labels = [r[0] for r in known.select(label).distinct().orderBy(label).collect()]
+    sample = sampling.balanced_sample(known, key, label, rows, len(labels), seed)
+    y = F.array(*((F.col(label) == v).cast("double") for v in labels))
+    data = fitted.transform(sample).select(F.array(*columns).alias("x"), y.alias("y"), hash_52(key, seed=seed).alias("o"), F.col(key).alias("k"))
+    layers = in_one_task(data, lambda x, y: mlp(x, y, (hidden, dim), epochs, classes=True, patience=10, seed=seed))
+    return fitted, layers, labels
 
 
 def _forward(layers, last: int):
@@ -204,7 +281,9 @@ def ridge(df: DataFrame, x: list[str], y: list[str], alpha: float = 1.0) -> tupl
 
 
 def ridge_predict(df: DataFrame, x: list[str], w: np.ndarray, b: np.ndarray, names: list[str]) -> DataFrame:
-    return df.select("*", *((sum((F.col(c) * float(v) for c, v in zip(x, row)), F.lit(float(b0)))).alias(n) for row, b0, n in zip(w, b, names)))
+    """df with the estimates, by a product of matrices in Arrow batches; a row with a null in x has NaN."""
+    out = mapped(df.withColumn("_x", F.array(*(F.col(c).cast("double") for c in x))), "_x", "_x", lambda v: v @ w.T + b, len(x))
+    return out.select(*df.columns, *(F.get("_x", F.lit(k)).alias(n) for k, n in enumerate(names)))
 
 
 def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], epochs: int = 60, rate: float = 1e-3, batch: int = 128, classes: bool = False, patience: int | None = None, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -255,31 +334,34 @@ def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], epochs: int = 60,
     return kept or [(w, b) for w, b in layers]
 
 
-def attribute_attack(train: DataFrame, test: DataFrame, columns: list[str], target: str, regression: bool = False, trees: int = 20, seed: int = 42, by: list[str] = ()) -> DataFrame:
-    """How well an attribute is inferred from views, beside the constant baseline of the training rows: one row, or one
-    for each group `by` of the test rows. The attacker is fitted once."""
+def attribute_attack(known: DataFrame, test: DataFrame, columns: list[str], target: str, regression: bool = False, trees: int = 20, seed: int = 42, by: list[str] = ()) -> DataFrame:
+    """How well an attribute is inferred from views, beside the constant baseline of the known rows: one row, or one for
+    each group `by` of the test rows. The attacker, second-order boosting, is fitted once; classes are in balance."""
     by = list(by)
-    train, test = train.filter(F.col(target).isNotNull()), test.filter(F.col(target).isNotNull())
-    fitted = transforms.fit(train, columns, "standard")
-    a = assembled(fitted.transform(train), columns).withColumn("y", F.col(target).cast("double"))
-    b = assembled(fitted.transform(test), columns).withColumn("y", F.col(target).cast("double"))
+    known, test = known.filter(F.col(target).isNotNull()), test.filter(F.col(target).isNotNull())
+    fitted = transforms.fit(known, columns, "standard")
+    a = assembled(fitted.transform(known), columns).select("features", F.col(target).cast("double").alias("y"), F.xxhash64("features").alias("key_"))
+    b = assembled(fitted.transform(test), columns).select(*by, "features", F.col(target).cast("double").alias("y"))
     side = lambda x, y: x.join(y, by) if by else x.crossJoin(y)  # noqa: E731 (one row each)
+    model = boosting.fit(a, "features", "y", "key_", classes=not regression, trees=trees, seed=seed)
+    out = model.predict(b, "features", "prediction" if regression else "score")
     if regression:
-        model = GBTRegressor(featuresCol="features", labelCol="y", maxDepth=4, maxIter=trees, stepSize=0.05, seed=seed).fit(a.select("features", "y"))
         middle = quantiles(a, [F.col("y")], [0.5])[0][0] or 0.0
-        out = model.transform(b).withColumn("constant", F.lit(middle))
+        out = out.withColumn("constant", F.lit(middle))
         return side(metrics.regression(out, "y", "prediction", by), metrics.regression(out, "y", "constant", by).select(*by, F.col("mae").alias("constant_mae")))
-    rows = balanced_weights(a.select("features", "y"))
-    out = score(classifier("boosting_light", 0, trees, seed).fit(rows), b).withColumn("label", F.col("y").cast("int")).select(*by, "label", "score")
+    out = out.withColumn("label", F.col("y").cast("int")).select(*by, "label", "score")
     share = a.agg(F.avg("y").alias("m")).first()["m"] or 0.0
     constant = metrics.confusion(out, F.lit(share >= 0.5), by=by).select(*by, F.col("balanced_accuracy").alias("constant_balanced_accuracy"))
     return side(side(metrics.confusion(out, F.col("score") >= 0.5, by=by), metrics.curve_metrics(out, by)), constant)
 
 
-def attribute_under_conditions(train: DataFrame, views: DataFrame, columns: list[str], target: str, conditions: list[str], **how) -> DataFrame:
-    """condition and the measures of attribute_attack: one attacker, fitted on train, reads the views of each condition.
+def attribute_under_conditions(known: dict[str, DataFrame], views: DataFrame, columns: list[str], target: str, **how) -> DataFrame:
+    """train_condition, condition and the measures of attribute_attack, of two attackers.
 
-    views: condition, x (an array) and the target.
+    known has the training rows of the attacker on single segments (`single`) and of that on whole groups (`oracle`).
+    The first reads the single views, the second those of the true, the linked and the random group. views: condition,
+    x (an array) and the target, of records that are not in known.
     """
-    test = views.filter(F.col("condition").isin(conditions)).select("condition", target, *(F.get("x", F.lit(k)).alias(n) for k, n in enumerate(columns)))
-    return attribute_attack(train, test, columns, target, by=["condition"], **how)
+    rows = views.select("condition", target, *(F.get("x", F.lit(k)).alias(n) for k, n in enumerate(columns)))
+    parts = [attribute_attack(known[t], rows.filter(F.col("condition").isin(c)), columns, target, by=["condition"], **how).select(F.lit(t).alias("train_condition"), "*") for t, c in ATTACKED.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -10,35 +10,16 @@ from pyspark.sql import types as T
 
 from ..functions import vectors
 from ..functions.hashing import hash_52
+from .draws import drawn_pairs, mates, strangers
 from .sampling import ranked, top_k
 
 
-def _ranked_in(segments: DataFrame, record: str, key: str, seed: int | str) -> DataFrame:
-    """record, key and others of segments with rank_ and total_ in the record, by hash of the key."""
-    return ranked(segments, hash_52(key, seed=seed), by=[record], ties=[key])
-
-
-def positive_pairs(segments: DataFrame, record: str, ref: str, gap: int = 0, per_record: int | None = None, most: int | None = None, seed: int = 0, tries: int = 20) -> DataFrame:
+def positive_pairs(segments: DataFrame, record: str, ref: str, gap: float = 0, per_record: int | None = None, most: int | None = None, seed: int = 0) -> DataFrame:
     """record, ref_a, ref_b: unordered pairs of a record whose refs are at least `gap` apart.
 
-    At most `per_record` pairs of a record and then `most` in all are kept, by hash. Of a record with more than
-    per_record * tries pairs so many are drawn, as two ranks each, and the first ones kept: its pairs are never listed.
+    At most `per_record` pairs of a record, drawn without listing its pairs, and then `most` in all are kept, by hash.
     """
-    if per_record is None:
-        out = _all_pairs(segments, record, ref, gap)
-    else:
-        limit = per_record * tries
-        seg = _ranked_in(segments.select(record, ref), record, ref, seed)
-        large = F.col("total_") * (F.col("total_") - 1) / 2 > limit
-        few = _all_pairs(seg.filter(~large).select(record, ref), record, ref, gap)
-        few = top_k(few, [record], [hash_52(record, "ref_a", "ref_b", seed=seed), F.col("ref_a"), F.col("ref_b")], per_record)
-        draws = seg.filter(large).groupBy(record).agg(F.max("total_").alias("m_")).withColumn("d_", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))))
-        at = lambda s: F.pmod(hash_52(record, "d_", seed=f"{seed}{s}"), F.col("m_")) + 1
-        end = lambda s: seg.select(record, F.col(ref).alias(f"r{s}"), F.col("rank_").alias(f"{s}_"))
-        drawn = draws.withColumn("x_", at("x")).withColumn("y_", at("y")).join(end("x"), [record, "x_"]).join(end("y"), [record, "y_"])
-        drawn = drawn.filter((F.col("rx") != F.col("ry")) & (F.abs(F.col("rx") - F.col("ry")) >= gap))
-        drawn = drawn.groupBy(record, F.least("rx", "ry").alias("ref_a"), F.greatest("rx", "ry").alias("ref_b")).agg(F.min("d_").alias("d_"))
-        out = few.unionByName(top_k(drawn, [record], [F.col("d_")], per_record).drop("d_"))
+    out = _all_pairs(segments, record, ref, gap) if per_record is None else drawn_pairs(segments, record, ref, gap, per_record, seed)
     if most is not None:
         out = ranked(out, hash_52(record, "ref_a", "ref_b", seed=seed), ties=[record, "ref_a", "ref_b"]).filter(F.col("rank_") <= most).drop("rank_", "total_")
     return out
@@ -51,36 +32,13 @@ def _all_pairs(segments: DataFrame, record: str, ref: str, gap: int) -> DataFram
     return a.join(b, (a[record] == b["_r"]) & (F.col("ref_a") < F.col("ref_b")) & (F.col("ref_b") - F.col("ref_a") >= gap)).drop("_r")
 
 
-def mates(segments: DataFrame, key: str, record: str, ref: str, gap: int = 1, seed: int = 0, tries: int = 16, k: int = 1) -> DataFrame:
-    """key, record, mate: for every segment k others of its record, at least `gap` apart; the first of `tries` draws.
-
-    A segment of a record without so many, or whose draws fall short of the gap, has fewer.
-    """
-    seg = _ranked_in(segments.select(key, record, ref), record, key, f"{seed}mate")
-    draws = seg.withColumn("d_", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("y_", F.pmod(hash_52(key, "d_", seed=f"{seed}mate"), F.col("total_")) + 1)
-    other = seg.select(F.col(record).alias("o_"), F.col(key).alias("mate"), F.col(ref).alias("f_"), F.col("rank_").alias("k_"))
-    found = draws.join(other, (draws[record] == other["o_"]) & (draws["y_"] == other["k_"])).filter((F.col(key) != F.col("mate")) & (F.abs(F.col(ref) - F.col("f_")) >= gap))
-    if k == 1:
-        return found.groupBy(key, record).agg(F.min_by("mate", "d_").alias("mate"))
-    return top_k(found.groupBy(key, record, "mate").agg(F.min("d_").alias("d_")), [key], [F.col("d_")], k).drop("d_")
-
-
-def strangers(segments: DataFrame, key: str, record: str, seed: int = 0, tries: int = 16) -> DataFrame:
-    """key, record, stranger: for every segment one of another record, the first of `tries` draws from all segments."""
-    seg = ranked(segments.select(key, record), hash_52(key, seed=f"{seed}other"), ties=[key])
-    draws = seg.withColumn("d_", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("y_", F.pmod(hash_52(key, "d_", seed=f"{seed}other"), F.col("total_")) + 1)
-    other = seg.select(F.col(record).alias("o_"), F.col(key).alias("stranger"), F.col("rank_").alias("k_"))
-    found = draws.join(other, draws["y_"] == other["k_"]).filter(F.col(record) != F.col("o_"))
-    return found.groupBy(key, record).agg(F.min_by("stranger", "d_").alias("stranger"))
-
-
 def matched_pairs(segments: DataFrame, key: str, record: str, ref: str, gap: int = 1, seed: int = 0) -> DataFrame:
     """key_a, key_b, label: every segment with a mate (1) and with a stranger (0), each unordered pair once.
 
     The number of pairs grows with the segments.
     """
-    both = mates(segments, key, record, ref, gap, seed).select(key, F.col("mate").alias("o_"), F.lit(1).alias("label"))
-    both = both.unionByName(strangers(segments, key, record, seed).select(key, F.col("stranger").alias("o_"), F.lit(0).alias("label")))
+    both = mates(segments, key, record, ref, gap, seed=f"{seed}mate").select(key, F.col("mate").alias("o_"), F.lit(1).alias("label"))
+    both = both.unionByName(strangers(segments, key, record, f"{seed}other").select(key, F.col("stranger").alias("o_"), F.lit(0).alias("label")))
     return both.select(F.least(key, "o_").alias("key_a"), F.greatest(key, "o_").alias("key_b"), "label").distinct()
 
 

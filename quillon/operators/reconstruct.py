@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import mapped
 from ..functions.hashing import hash_52
-from . import models, sampling, transforms
+from . import lowrank, models, sampling, transforms
 
 
 def train_mean(train: DataFrame, y: list[str]) -> list[float]:
@@ -22,40 +22,54 @@ def pca_ceiling(train: DataFrame, test: DataFrame, y: list[str], dim: int, names
     fitted = transforms.fit(train, y, "pca", dim=dim)
     m, center, scale = fitted.matrix, np.array(fitted.center), np.array(fitted.scale)
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        z = (np.stack(s.to_list()) - center) / scale if len(s) else np.zeros((0, len(y)))
-        return pd.Series(list(z @ m.T @ m * scale + center))
-
-    rows = test.withColumn("_z", run(F.array(*fitted.imputed())))
+    rows = mapped(test.withColumn("_z", F.array(*fitted.imputed())), "_z", "_z", lambda v: (v - center) / scale @ m.T @ m * scale + center, len(y))
     return rows.select(*test.columns, *(F.get("_z", F.lit(k)).alias(n) for k, n in enumerate(names)))
 
 
 def decode(train: DataFrame, test: DataFrame, x: list[str], y: list[str], names: list[str], kind: str = "ridge", key: str | None = None, rows: int = 20_000, seed: int = 0) -> DataFrame:
-    """test with estimates of y from x. ridge uses every training row; mlp a sample of at most `rows`, by hash of key."""
+    """test with estimates of y from x. ridge uses every training row; mlp, trained in a task, a sample of at
+    most `rows`, by hash of key."""
     if kind == "ridge":
         w, b = models.ridge(train, x, y)
         return models.ridge_predict(test, x, w, b, names)
     if kind != "mlp":
         raise ValueError(kind)
     fx, fy = transforms.fit(train, x, "standard"), transforms.fit(train, y, "standard")
-    sample = sampling.sample(train, key, rows, seed).orderBy(hash_52(key, seed=seed), key)
-    data = sample.select(*(c.alias(f"x{k}") for k, c in enumerate(fx.scaled())), *(c.alias(f"y{k}") for k, c in enumerate(fy.scaled()))).toPandas().to_numpy()
-    layers = models.mlp(data[:, : len(x)], data[:, len(x) :], (256, 128), patience=10, seed=seed)
+    sample = sampling.sample(train, key, rows, seed)
+    data = sample.select(F.array(*fx.scaled()).alias("x"), F.array(*fy.scaled()).alias("y"), hash_52(key, seed=seed).alias("o"), F.col(key).alias("k"))
+    layers = models.in_one_task(data, lambda a, b: models.mlp(a, b, (256, 128), patience=10, seed=seed))
     center, scale = np.array(fy.center), np.array(fy.scale)
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        z = np.stack(s.to_list()) if len(s) else np.zeros((0, len(x)))
+    def run(z: np.ndarray) -> np.ndarray:
         for k, (w, b) in enumerate(layers):
             z = z @ w + b
             z = np.maximum(z, 0) if k < len(layers) - 1 else z
-        return pd.Series(list(z * scale + center))
+        return z * scale + center
 
-    out = test.withColumn("_z", run(F.array(*fx.scaled())))
+    out = mapped(test.withColumn("_z", F.array(*fx.scaled())), "_z", "_z", run, len(x))
     return out.select(*test.columns, *(F.get("_z", F.lit(k)).alias(n) for k, n in enumerate(names)))
 
 
+def decode_vectors(train: DataFrame, test: DataFrame, x: list[str], target: str, name: str, dim: int, kind: str = "ridge", key: str | None = None, seed: int = 0, **how) -> DataFrame:
+    """test with `name`, an estimate of the array column `target`, of any width, from x.
+
+    The decoder, fitted on imputed and scaled x, predicts the scaled scores of the targets' first `dim` components; both
+    are fitted on train. Arrow batches of very wide targets should have few rows (see `lowrank`).
+    """
+    parts, fx = lowrank.fit(train, target, dim, seed=seed), transforms.fit(train, x, "standard")
+    inputs, scores, found = ([f"{p}{k}_" for k in range(n)] for p, n in (("x", len(x)), ("s", len(parts.variance)), ("p", len(parts.variance))))
+    scaled = [c.alias(n) for c, n in zip(fx.scaled(), inputs)]
+    own = parts.scores(train.filter(F.col(target).isNotNull()).select(*([key] if key else []), target, *scaled), target, "z_").select("*", *(F.get("z_", F.lit(k)).alias(n) for k, n in enumerate(scores)))
+    out = decode(own.drop(target, "z_"), test.select("*", *scaled), inputs, scores, found, kind, key, seed=seed, **how)
+    return parts.inverse(out.select(*test.columns, F.array(*found).alias("z_")), "z_", name).drop("z_")
+
+
+def ceiling_vectors(train: DataFrame, test: DataFrame, target: str, name: str, dim: int, seed: int = 0) -> DataFrame:
+    """test with the target after a round trip through the components: the best that such a decoder can do."""
+    parts = lowrank.fit(train, target, dim, seed=seed)
+    return parts.inverse(parts.scores(test, target, "z_"), "z_", name).drop("z_")
+
+
 def error_table(df: DataFrame, y: list[str], names: list[str], by: list[str] = ()) -> DataFrame:
     """by, rmse and prd (percent of the root of the target's energy) over all targets."""
     e = sum(((F.col(a) - F.col(b)) ** 2 for a, b in zip(y, names)), F.lit(0.0))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.hashing import hash_52
-from .quantiles import quantiles
+from .quantiles import joined, quantiles, quantiles_by_key
 
 # Quantiles 0.975 of Student's t by degrees of freedom.
 T_975 = {1: 12.706204736432095, 2: 4.302652729911275, 3: 3.182446305284263, 4: 2.7764451051977987, 5: 2.5705818366147395, 6: 2.4469118487916806, 7: 2.3646242510102993, 8: 2.3060041350333704, 9: 2.2621571627409915}
@@ -59,30 +61,65 @@ def metric_effect(task: str, y: str, baseline: str, comparison: str):
     return (share(comparison, 1) + share(comparison, 0)) / 2 - (share(baseline, 1) + share(baseline, 0)) / 2
 
 
+def bootstrap_sums(df: DataFrame, group: str, key: str, values: list[Column], replicates: int = 200, seed: int = 0, cell: int = 1 << 15) -> DataFrame:
+    """group, rep (from 1), draws and s, an array of the sums of the values over n rows drawn with replacement of the
+    group's n, for each replicate. Null values count as 0.
+
+    Rows lie in cells of about `cell`, by hash of key. The draws are halved down to a cell: at each step one binomial a
+    replicate says what the left half gets, from a generator seeded by the place, so that all cells see the same
+    splits. In a cell they fall on rows by one multinomial a replicate. A task sends sums, so that what is shuffled is
+    each row once, and a row a cell and replicate. The sums are a function of keys, seed and cell size.
+    """
+    rows = df.select(F.col(group).alias("g_"), F.col(key).cast("string").alias("k_"), F.array(*(F.coalesce(v.cast("double"), F.lit(0.0)) for v in values)).alias("v_"))
+    sizes = rows.groupBy("g_").agg(F.count("*").alias("n_"))
+    kind = df.schema[group].dataType
+    right = sizes.select(F.col("g_").alias("of_"), "n_", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_") / cell))).cast("int").alias("b_"), F.xxhash64("g_").alias("h_"))
+    placed = rows.join(right, rows["g_"].eqNullSafe(right["of_"])).withColumn("c_", F.expr("pmod(xxhash64(k_), shiftleft(1L, b_))"))
+    counts = placed.groupBy("g_", "c_").agg(F.count("*").alias("m_"), *(F.max(c).alias(c) for c in ("h_", "n_", "b_")))
+    # Rows in each half of each level: level 0 is the group, level b_ its cells.
+    halves = counts.select("h_", "c_", "b_", "m_", F.explode(F.expr("sequence(0, b_)")).alias("level"))
+    nodes = halves.groupBy("h_", "level", F.expr("shiftright(c_, b_ - level)").alias("node")).agg(F.sum("m_").alias("size"))
+    steps = halves.filter("level < b_").withColumn("node", F.expr("shiftright(c_, b_ - level)")).join(nodes, ["h_", "level", "node"])
+    left = nodes.select("h_", (F.col("level") - 1).alias("level"), F.expr("shiftright(node, 1)").alias("node"), F.col("size").alias("left"), (F.col("node") % 2).alias("odd")).filter("odd = 0").drop("odd")
+    steps = steps.join(left, ["h_", "level", "node"], "left").groupBy("h_", "c_").agg(F.array_sort(F.collect_list(F.struct("level", "node", "size", F.coalesce("left", F.lit(0)).alias("left")))).alias("path_"))
+    jobs = counts.join(steps, ["h_", "c_"], "left").select(F.col("g_").alias("of_"), F.col("c_").alias("in_"), "h_", "n_", "b_", "path_")
+    width = len(values)
+
+    def run(job: pa.Table, own: pa.Table) -> pa.Table:
+        j = job.to_pylist()[0]
+        base, n = [seed, j["h_"] & 0xFFFFFFFF, (j["h_"] >> 32) & 0xFFFFFFFF], np.full(replicates, j["n_"], np.int64)
+        for x in j["path_"] or []:
+            left = np.random.default_rng([*base, x["level"], x["node"]]).binomial(n, x["left"] / x["size"])
+            n = n - left if (j["in_"] >> (j["b_"] - x["level"] - 1)) & 1 else left
+        own = own.sort_by("k_")
+        v = own["v_"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+        rng, even = np.random.default_rng([*base, 64, j["in_"]]), np.full(len(v), 1 / len(v))
+        sums = np.stack([rng.multinomial(m, even) @ v for m in n])
+        offs = pa.array(np.arange(replicates + 1) * width, pa.int32())
+        return pa.table({"g": pa.array([j["of_"]] * replicates, own.schema.field("g_").type), "rep": pa.array(np.arange(1, replicates + 1), pa.int32()), "draws": pa.array(n), "s": pa.ListArray.from_arrays(offs, pa.array(sums.ravel()))})
+
+    schema = T.StructType([T.StructField("g", kind), T.StructField("rep", T.IntegerType()), T.StructField("draws", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType()))])
+    parts = jobs.groupBy("of_", "in_").cogroup(placed.select("g_", "c_", "k_", "v_").groupBy("g_", "c_")).applyInArrow(run, schema)
+    sums = parts.groupBy("g", "rep").agg(F.sum("draws").alias("draws"), *(F.sum(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(width)))
+    return sums.select(F.col("g").alias(group), "rep", "draws", F.array(*(f"s{k}" for k in range(width))).alias("s"))
+
+
 def bootstrap_effect(df: DataFrame, seed_col: str, key: str, task: str, y: str, baseline: str, comparison: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """effect and its 2.5 and 97.5 % quantiles over replicates that resample the rows of each seed, paired.
+    """effect and its 2.5 and 97.5 % quantiles over replicates that draw the n rows of each seed n times, paired.
 
-    A row's multiplicity in a replicate is a Poisson(1) count by hash: resampling without a gather.
+    A replicate without one of the classes has no effect for that seed and is left out of the mean over seeds.
     """
-    # Cumulative Poisson(1) probabilities; 9 and more have a chance of 1e-6.
-    cut, p, acc = [], 0.36787944117144233, 0.0
-    for k in range(9):
-        acc += p
-        cut.append(acc)
-        p /= k + 1
-    u = hash_52(key, seed_col, "rep", seed=seed) / F.lit(float(1 << 52))
-    times = sum(((u >= c).cast("int") for c in cut), F.lit(0))
-    rows = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", times)
-    w = F.col("w")
-    mean = lambda x, when=F.lit(True): F.sum(F.when(when, w * x)) / F.nullif(F.sum(F.when(when, w)), F.lit(0)).cast("double")
+    one = F.lit(1.0)
     if task == "regression":
-        effect = mean(F.abs(F.col(y) - F.col(baseline))) - mean(F.abs(F.col(y) - F.col(comparison)))
+        values = [one, F.abs(F.col(y) - F.col(baseline)) - F.abs(F.col(y) - F.col(comparison))]
     else:
-        share = lambda c, k: mean((F.col(c) == k).cast("double"), F.col(y) == k)
-        effect = (share(comparison, 1) + share(comparison, 0)) / 2 - (share(baseline, 1) + share(baseline, 0)) / 2
-    reps = rows.groupBy(seed_col, "rep").agg(effect.alias("e")).groupBy("rep").agg(F.avg("e").alias("e"))
+        values = [F.when(x, one) for k in (1, 0) for x in (F.col(y) == k, (F.col(y) == k) & (F.col(comparison) == k), (F.col(y) == k) & (F.col(baseline) == k))]
+    s = lambda k: F.get("s", F.lit(k))
+    ratio = lambda a, b: F.try_divide(s(a), s(b))
+    effect = ratio(1, 0) if task == "regression" else (ratio(1, 0) + ratio(4, 3)) / 2 - (ratio(2, 0) + ratio(5, 3)) / 2
+    reps = bootstrap_sums(df, seed_col, key, values, replicates, seed).select("rep", effect.alias("e")).groupBy("rep").agg(F.avg("e").alias("e"))
     whole = df.groupBy(seed_col).agg(metric_effect(task, y, baseline, comparison).alias("e")).agg(F.avg("e").alias("effect"))
-    q = reps.agg(F.percentile("e", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    q = reps.agg(F.percentile("e", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))  # a number a replicate
     return whole.crossJoin(q).select("effect", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))  # one row each
 
 
@@ -104,8 +141,7 @@ def conditional_wide(df: DataFrame, keys: list[str], column: str, values: list,
 def unpivoted_quartiles(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
     """keys, name, n, mean, q25, median, q75 of each column; exact quantiles.
 
-    Without keys each column is one group of all rows, and its quantiles are found in several scans; a group of keys has
-    to fit a task.
+    They are found in several scans: no aggregate holds the values of a column or of a key (`operators/quantiles`).
     """
     if not keys:
         q = quantiles(df, [F.col(c) for c in columns], [0.25, 0.5, 0.75])
@@ -113,8 +149,9 @@ def unpivoted_quartiles(df: DataFrame, columns: list[str], keys: list[str] = ())
         rows = F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"n{k}").alias("n"), F.col(f"m{k}").alias("mean"), *(F.lit(v).cast("double").alias(a) for a, v in zip(("q25", "median", "q75"), q[k]))) for k, c in enumerate(columns)))
         return m.select(F.explode(rows).alias("r")).select("r.*")
     long = df.unpivot(list(keys), columns, "name", "x")
-    q = lambda p: F.percentile("x", F.lit(p))
-    return long.groupBy(*keys, "name").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"))
+    q = quantiles_by_key(long, [*keys, "name"], "x", [0.25, 0.5, 0.75])
+    means = long.groupBy(*keys, "name").agg(F.avg("x").alias("mean"))
+    return joined(means, q, [*keys, "name"]).select(*keys, "name", "n", "mean", *(F.get("q", F.lit(k)).alias(a) for k, a in enumerate(("q25", "median", "q75"))))
 
 
 def drift(df: DataFrame, expected: DataFrame, key: list[str], value: str, within: float = 5e-5) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..functions.arrays import mapped
 from ..functions.hashing import laplace, normal
 from ..functions.scalars import gaussian_sigma, laplace_scale, null_if_nan
 from .quantiles import quantiles
@@ -40,7 +41,7 @@ class Fitted:
         return [(x - m) / s for x, m, s in zip(self.imputed(), self.center, self.scale)]
 
     def expressions(self, key: str | None = None) -> list[Column]:
-        """The new columns; key is the column that noise is drawn by. The dp methods read the clipped vector of transform."""
+        """The new columns of a method that works by column; key is the column that noise is drawn by. The dp methods read the clipped vector of transform."""
         o = self.options
         if self.method == "identity":
             return [F.col(c) for c in self.columns]
@@ -56,8 +57,7 @@ class Fitted:
             draw = normal if self.method == "dp_gaussian_l2" else laplace
             out = [F.get(CLIPPED, F.lit(k)) + o["sigma"] * draw(key, F.lit(c), seed=o["seed"]) for k, c in enumerate(self.columns)]
         else:
-            x = self.scaled()
-            return [sum((v * float(w) for v, w in zip(x, row)), F.lit(0.0)).alias(f"{'pca' if self.method == 'pca' else 'rp'}_{k:03d}") for k, row in enumerate(self.matrix)]
+            raise ValueError(f"{self.method} is a product of all columns: see transform")
         return [x.alias(c) for x, c in zip(out, self.columns)]
 
     def transform(self, df: DataFrame, key: str | None = None) -> DataFrame:
@@ -65,6 +65,9 @@ class Fitted:
         if self.method in ("noise", "dp_gaussian_l2", "dp_laplace_l1") and key is None:
             raise ValueError("noise needs the column that it is drawn by")
         rest = [c for c in df.columns if c not in self.columns]
+        if self.method in ("pca", "random_projection"):
+            new = mapped(df.select(*rest, F.array(*self.scaled()).alias(SCALED)), SCALED, SCALED, lambda x: x @ self.matrix.T, len(self.columns))
+            return new.select(*rest, *(F.get(SCALED, F.lit(k)).alias(f"{'pca' if self.method == 'pca' else 'rp'}_{k:03d}") for k in range(len(self.matrix))))
         if self.method in ("dp_gaussian_l2", "dp_laplace_l1"):  # one vector, clipped once, for all its elements
             df = df.withColumn(SCALED, F.array(*self.scaled()))
             df = df.withColumn(CLIPPED, vectors.clip_norm(SCALED, self.options["clip"], "l2" if self.method == "dp_gaussian_l2" else "l1"))
@@ -108,6 +111,32 @@ def fit(train: DataFrame, columns: list[str], method: str, *, dim: int = 8, deci
     return out
 
 
+@dataclass
+class FittedVectors:
+    """Imputing and scaling of an array column; applied in Arrow batches."""
+
+    median: np.ndarray
+    center: np.ndarray
+    scale: np.ndarray
+
+    def transform(self, df: DataFrame, vector: str, name: str) -> DataFrame:
+        """df with the scaled vector as `name`, which may be the vector's own."""
+        order = df.columns if name in df.columns else [*df.columns, name]
+        temp = f"{name}_in"
+        out = mapped(df.withColumn(temp, vectors.doubles(vector)), temp, temp, lambda x: (np.where(np.isfinite(x), x, self.median) - self.center) / self.scale, len(self.median))
+        return out.select(*(F.col(temp).alias(c) if c == name else F.col(c) for c in order))
+
+
+def fit_vectors(train: DataFrame, vector: str) -> FittedVectors:
+    """Medians for what is missing or not finite, then population means and deviations, by element of an array column."""
+    first = train.filter(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).first()
+    n = first["n"] if first else 0
+    names = [f"x{k}" for k in range(n)]
+    finite = lambda x: F.when(F.abs(x) < float("inf"), x)  # noqa: E731 (NaN is above every number)
+    f = fit(train.select(*(finite(F.get(vector, F.lit(k)).cast("double")).alias(c) for k, c in enumerate(names))), names, "standard")
+    return FittedVectors(np.array(f.median), np.array(f.center), np.array(f.scale))
+
+
 def covariance(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, means and population covariance of the columns, null rows left out.
 

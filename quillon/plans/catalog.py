@@ -43,18 +43,21 @@ def norm(*keys: str, seed: object = 0) -> str:
 
 # Common table expressions shared by the oracles.
 SEG = "seg AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
-# Records of more than 600 pairs: 600 draws of two ranks, the first 30 pairs; of the others the first 30 by hash.
-POS = f"""pk AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed=42)}, vec_id) AS rn, count(*) OVER (PARTITION BY label) AS m FROM seg),
-few AS (SELECT a.label, a.vec_id AS ref_a, b.vec_id AS ref_b, row_number() OVER (PARTITION BY a.label ORDER BY {h('a.label', 'a.vec_id', 'b.vec_id', seed=42)}, a.vec_id, b.vec_id) AS rn
-  FROM pk a JOIN pk b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id >= 5 WHERE a.m * (a.m - 1) / 2.0 <= 600),
-pd AS (SELECT label, d, {h('label', 'd', seed='42x')} % m + 1 AS x, {h('label', 'd', seed='42y')} % m + 1 AS y FROM (SELECT DISTINCT label, m FROM pk) z, range(600) t(d) WHERE m * (m - 1) / 2.0 > 600),
-pl AS (SELECT pd.label, least(p.vec_id, q.vec_id) AS ref_a, greatest(p.vec_id, q.vec_id) AS ref_b, min(d) AS d FROM pd JOIN pk p ON p.label = pd.label AND p.rn = x JOIN pk q ON q.label = pd.label AND q.rn = y WHERE p.vec_id <> q.vec_id AND abs(p.vec_id - q.vec_id) >= 5 GROUP BY 1, 2, 3),
-pos AS (SELECT label AS record, ref_a, ref_b FROM few WHERE rn <= 30 UNION ALL SELECT label, ref_a, ref_b FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d) AS rn FROM pl) WHERE rn <= 30)"""
-# Of every vector one of its label, the first of 16 draws at a gap of 5, and one of another label.
-MATES = f"""mr AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed='42mate')}, vec_id) AS rn, count(*) OVER (PARTITION BY label) AS m FROM seg),
-mates AS (SELECT q, label, arg_min(c, d) AS c FROM (SELECT a.vec_id AS q, a.label, b.vec_id AS c, d FROM (SELECT *, {h('vec_id', 'd', seed='42mate')} % m + 1 AS y FROM mr, range(16) t(d)) a JOIN mr b ON a.label = b.label AND a.y = b.rn WHERE a.vec_id <> b.vec_id AND abs(a.vec_id - b.vec_id) >= 5) GROUP BY 1, 2)"""
-STRANGERS = f"""sr AS (SELECT vec_id, label, row_number() OVER (ORDER BY {h('vec_id', seed='42other')}, vec_id) AS rn, count(*) OVER () AS m FROM seg),
-strangers AS (SELECT q, arg_min(c, d) AS c FROM (SELECT a.vec_id AS q, b.vec_id AS c, d FROM (SELECT *, {h('vec_id', 'd', seed='42other')} % m + 1 AS y FROM sr, range(16) t(d)) a JOIN sr b ON a.y = b.rn WHERE a.label <> b.label) GROUP BY 1)"""
+def picked(n: str, k: int, *keys: str, seed: object) -> str:
+    """min(n, k) distinct numbers of [0, n) in DuckDB: of each step a number up to its last one, or that, if it has been drawn."""
+    step = f"[{h(*keys, 'i', seed=seed)} % ({n} - least({n}, {k}) + i + 1), {n} - least({n}, {k}) + i]"
+    return f"list_reduce(list_prepend([]::BIGINT[], list_transform(range(0, least({n}, {k})), lambda i: {step})), lambda acc, x: list_append(acc, CASE WHEN list_contains(acc, x[1]) THEN x[2] ELSE x[1] END))"
+
+
+# All pairs of a label at a gap of 5, numbered; 30 numbers are drawn.
+POS = f"""ap AS (SELECT a.label, a.vec_id AS ref_a, b.vec_id AS ref_b, row_number() OVER (PARTITION BY a.label ORDER BY a.vec_id, b.vec_id) - 1 AS j, count(*) OVER (PARTITION BY a.label) AS n FROM seg a JOIN seg b ON a.label = b.label AND b.vec_id - a.vec_id >= 5),
+pj AS (SELECT label, unnest({picked('n', 30, 'label', seed=42)}) AS j FROM (SELECT DISTINCT label, n FROM ap)),
+pos AS (SELECT label AS record, ref_a, ref_b FROM ap JOIN pj USING (label, j))"""
+# Of every vector all others of its label at a gap of 5, and all of other labels, in order; one number is drawn.
+MATES = f"""am AS (SELECT a.vec_id AS q, a.label, b.vec_id AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) - 1 AS j, count(*) OVER (PARTITION BY a.vec_id) AS n FROM seg a JOIN seg b ON a.label = b.label AND abs(a.vec_id - b.vec_id) >= 5),
+mates AS (SELECT q, label, c FROM am WHERE j = {h('q', '0', seed='42mate')} % n)"""
+STRANGERS = f"""st AS (SELECT a.vec_id AS q, b.vec_id AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY {h('b.label', seed='42other')}, b.label, {h('b.vec_id', seed='42other')}, b.vec_id) - 1 AS j, count(*) OVER (PARTITION BY a.vec_id) AS n FROM seg a JOIN seg b ON a.label <> b.label),
+strangers AS (SELECT q, c FROM st WHERE j = {h('q', '0', seed='42other')} % n)"""
 NEG = f"""rk AS (SELECT vec_id, label, row_number() OVER (ORDER BY {h('vec_id', seed=42)}, vec_id) AS rn, count(*) OVER () AS m FROM seg),
 dr AS (SELECT d, {h('d', seed='42x')} % (SELECT max(m) FROM rk) + 1 AS x, {h('d', seed='42y')} % (SELECT max(m) FROM rk) + 1 AS y FROM range(6000) t(d)),
 neg AS (SELECT key_a, key_b FROM (SELECT least(p.vec_id, q.vec_id) AS key_a, greatest(p.vec_id, q.vec_id) AS key_b, min(d) AS d FROM dr JOIN rk p ON p.rn = x JOIN rk q ON q.rn = y WHERE p.label <> q.label GROUP BY 1, 2) ORDER BY d, key_a, key_b LIMIT 300)"""
@@ -77,10 +80,11 @@ EER = "round(arg_min((fp / neg + 1 - tp / pos) / 2, (abs(fp * pos - (pos - tp) *
 TPR = "round(coalesce(max(CASE WHEN fp / neg <= {0} THEN tp / pos END), 0), 6)"
 GALLERY = f"""{SEG}, {MATES},
 tr AS (SELECT q, label AS record, c FROM mates),
-ci AS (SELECT label, row_number() OVER (ORDER BY {h('label', seed=42)}, label) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT label FROM seg)),
+ci AS (SELECT label, row_number() OVER (ORDER BY {h('label', seed=42)}, label) - 1 AS place FROM (SELECT DISTINCT label FROM seg)),
+ol AS (SELECT q, ci.label, row_number() OVER (PARTITION BY q ORDER BY place) - 1 AS j, count(*) OVER (PARTITION BY q) AS n FROM tr JOIN ci ON ci.label <> tr.record),
+oj AS (SELECT q, unnest({picked('n', 9, 'q', seed='42others')}) AS j FROM (SELECT DISTINCT q, n FROM ol)),
 gp AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed='42pick')}, vec_id) AS rn, count(*) OVER (PARTITION BY label) AS m FROM seg),
-wr AS (SELECT q, (ci.place + 1 + ({h('q', seed='42start')} % (n - 1) + i) % (n - 1)) % n AS place FROM tr JOIN ci ON ci.label = tr.record, range(9) t(i) WHERE i < n - 1),
-dr_ AS (SELECT q, ci.label, {h('q', 'ci.label', seed='42pick')} % m + 1 AS k FROM wr JOIN ci USING (place) JOIN (SELECT DISTINCT label, m FROM gp) z ON z.label = ci.label),
+dr_ AS (SELECT q, ol.label, {h('q', 'ol.label', seed='42pick')} % m + 1 AS k FROM ol JOIN oj USING (q, j) JOIN (SELECT DISTINCT label, m FROM gp) z ON z.label = ol.label),
 ga AS (SELECT q AS query, c AS candidate, 1 AS label FROM tr UNION ALL SELECT q, gp.vec_id, 0 FROM dr_ JOIN gp ON gp.label = dr_.label AND gp.rn = dr_.k),
 gs AS (SELECT query, candidate, ga.label, round({COS}, 6) AS score FROM ga JOIN seg a ON a.vec_id = query JOIN seg b ON b.vec_id = candidate),
 gr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM gs)"""
@@ -491,29 +495,24 @@ def _predictions(spark, sf):
 
 
 PRED = f"pr AS (SELECT c_custkey, c_custkey % 3 AS seed, CAST(c_acctbal > 0 AS INT) AS y, CAST({u('c_custkey', seed='b')} < 0.5 AS INT) AS base, CASE WHEN {u('c_custkey', seed='c')} < 0.6 THEN CAST(c_acctbal > 0 AS INT) ELSE 1 - CAST(c_acctbal > 0 AS INT) END AS comp FROM customer)"
-_cuts, _p, _acc = [], 0.36787944117144233, 0.0
-for _k in range(9):
-    _acc += _p
-    _cuts.append(_acc)
-    _p /= _k + 1
 EFFECT = "(avg(CASE WHEN y = 1 THEN CAST(comp = 1 AS INT) END) + avg(CASE WHEN y = 0 THEN CAST(comp = 0 AS INT) END)) / 2 - (avg(CASE WHEN y = 1 THEN CAST(base = 1 AS INT) END) + avg(CASE WHEN y = 0 THEN CAST(base = 0 AS INT) END)) / 2"
 
 
-def _wavg(c: str, k: int) -> str:
-    return f"sum(CASE WHEN y = {k} THEN w * CAST({c} = {k} AS INT) END) / nullif(sum(CASE WHEN y = {k} THEN w END), 0)"
-
-
 @query(f"WITH {PRED} SELECT seed, round({EFFECT}, 6) AS effect FROM pr GROUP BY 1")
 def metric_effect(spark, sf):
     return _rounded(_predictions(spark, sf).groupBy("seed").agg(stats.metric_effect("classes", "y", "base", "comp").alias("effect")))
 
 
-@query(f"""WITH {PRED}, rp AS (SELECT pr.*, rep, {h('c_custkey', 'seed', 'rep', seed=0)} / 4503599627370496.0 AS q FROM pr, range(1, 41) t(rep)),
-rw AS (SELECT *, {' + '.join(f'CAST(q >= {c!r} AS INT)' for c in _cuts)} AS w FROM rp),
-re AS (SELECT rep, avg(e) AS e FROM (SELECT seed, rep, ({_wavg('comp', 1)} + {_wavg('comp', 0)}) / 2 - ({_wavg('base', 1)} + {_wavg('base', 0)}) / 2 AS e FROM rw GROUP BY 1, 2) GROUP BY 1)
-SELECT round((SELECT avg(e) FROM (SELECT {EFFECT} AS e FROM pr GROUP BY seed)), 6) AS effect, round(quantile_cont(e, 0.025), 6) AS low, round(quantile_cont(e, 0.975), 6) AS high FROM re""")
+@query()
 def bootstrap_effect(spark, sf):
-    return _rounded(stats.bootstrap_effect(_predictions(spark, sf), "seed", "c_custkey", "classes", "y", "base", "comp", 40))
+    return stats.bootstrap_effect(_predictions(spark, sf), "seed", "c_custkey", "classes", "y", "base", "comp")
+
+
+@query(f"WITH {PRED} SELECT seed, CAST(rep AS INT) AS rep, count(*) AS draws, count(*) AS kept FROM pr, range(1, 201) t(rep) GROUP BY 1, 2")
+def bootstrap_draws(spark, sf):
+    """Draws of every replicate, and the rows that they fall on, counted with their times: n of n each time."""
+    s = stats.bootstrap_sums(_predictions(spark, sf), "seed", "c_custkey", [F.lit(1.0)], cell=100)
+    return s.select("seed", "rep", "draws", F.get("s", F.lit(0)).cast("long").alias("kept"))
 
 
 @query("WITH m AS (SELECT c_mktsegment, avg(c_acctbal) AS x FROM customer GROUP BY 1) SELECT c_mktsegment, round(x - (SELECT x FROM m WHERE c_mktsegment = 'BUILDING'), 4) AS x_excess FROM m")
