@@ -109,7 +109,7 @@ class LineRuns:
 def _cuts(docs: DataFrame, batches: int) -> list:
     """Up to batches - 1 doc_ids, ascending, that cut the table into parts of about equal size."""
     ids = docs.select("doc_id").filter("doc_id is not null").repartitionByRange(batches, "doc_id")
-    tops = sorted(r[0] for r in ids.groupBy(F.spark_partition_id()).agg(F.max("doc_id")).collect())
+    tops = sorted(r["top"] for r in ids.groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("top")).collect())
     return sorted({tops[len(tops) * k // batches - 1] for k in range(1, batches) if len(tops) * k // batches})
 
 
