@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Whitespace of the word rules: space and the six control characters from tab to carriage return.
@@ -106,6 +106,20 @@ def keyed_join(rows: DataFrame, values: DataFrame, on: list[str], weight: str, t
     return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold.hint("merge"), on))
 
 
+def sampled_rows(documents: DataFrame, keys: DataFrame, by: list[str], most: int, *order: str) -> DataFrame:
+    """doc_id, text and the columns of keys, for at most `most` texts of each value of `by`, by `order`: a bounded sample.
+
+    keys: doc_id, by and order, one row a doc_id and value of `by`, of bounded number. A doc_id may repeat: rows that
+    share doc_id and text count once. Texts are chosen by their hash; only the chosen ones move.
+    """
+    docs = documents.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
+    found = docs.select("doc_id", "th").join(F.broadcast(keys), "doc_id").distinct()
+    first = lambda d, *g: d.withColumn("nth", F.row_number().over(Window.partitionBy(*g).orderBy(*order, "doc_id", "th"))).filter(F.col("nth") <= most).drop("nth")
+    found = first(first(found.withColumn("part", F.pmod("th", F.lit(16))), *by, "part"), *by).drop("part")
+    names = [c for c in keys.columns if c != "doc_id"]
+    return docs.join(F.broadcast(found), ["doc_id", "th"]).groupBy("doc_id", "th", *names).agg(F.first("text").alias("text")).drop("th")
+
+
 def fold(column: str, mod: int) -> Column:
     """crc32 of the key as text, modulo mod; 0 for a null key."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % mod, F.lit(0))

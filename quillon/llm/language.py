@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, fold, row_sums, table_of
+from .common import byte_slices, fold, row_sums, sampled_rows, table_of
 
 LETTER = table_of([*range(65, 91), *range(97, 123), *range(128, 256)])
 f32 = np.float32
@@ -195,26 +195,38 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(documents: DataFrame, per_language: int = 400, windows: int = 3, window: int = 256, seed: int = 5, **how) -> LanguageModel:
-    """Fits on text and lang of documents outside the held-out fold (crc32 of doc_id modulo 5 is 0).
+def train(documents: DataFrame, per_language: int = 400, most: int = 40_000, windows: int = 3, window: int = 256, hidden: int = 6, seed: int = 5, **how) -> LanguageModel:
+    """Fits on text and lang of documents outside the held-out fold (crc32 of doc_id modulo 5 is 0), in one executor task.
 
-    At most `per_language` documents of each language are sampled, those of the smallest key hash, and `windows` pieces
-    of `window` characters of each, from places all over the text; the bounds are for training only. The sample is cut
-    in 16 parts of each language before it is cut in the language, so that no task sees all rows of one.
+    At most `per_language` texts of each language are sampled and about `most` in all, those of the smallest key hash,
+    and `windows` pieces of `window` characters of each, from places all over the text; the bounds are for training only,
+    and hold however often a doc_id repeats. The sample is cut in 16 parts of each language before it is cut in the
+    language, so that no task sees all rows of one.
     """
     docs = documents.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0))
+    classes = sorted(r[0] for r in docs.select("lang").distinct().collect())
+    model = LanguageModel(classes, hidden, seed=seed)
+    if len(classes) < 2:
+        return model
+    per_language = max(1, min(per_language, most // len(classes)))
     order = F.xxhash64("doc_id", F.lit(seed))
     first = lambda d, *by: d.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("order", "doc_id"))).filter(F.col("n") <= per_language).drop("n")
     keys = docs.select("doc_id", "lang", order.alias("order"), F.pmod(order, F.lit(16)).alias("part"))
     keys = first(first(keys, "lang", "part"), "lang").select("doc_id", "lang", "order").distinct()
     size = F.length("text")
     piece = F.explode(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substring("text", (F.pmod(F.xxhash64("order", k), F.greatest(size - window, F.lit(0)) + 1) + 1).cast("int"), F.lit(window)))).alias("piece")
-    got = docs.join(F.broadcast(keys), ["doc_id", "lang"]).select("lang", "order", piece).toArrow().to_pydict()
-    rows = sorted(zip(got["lang"], got["order"], got["piece"]))
-    classes = sorted({r[0] for r in rows})
-    model = LanguageModel(classes)
-    if len(classes) > 1:
+    sample = sampled_rows(docs.withColumn("text", F.struct("text", "lang")), keys, ["lang"], per_language, "order").filter(F.col("text.lang") == F.col("lang"))
+    sample = sample.select("lang", "order", F.col("text.text").alias("text")).select("lang", "order", piece)
+
+    def run(batches):
+        got = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("lang", "order", "piece")))]
+        rows = sorted(got)
         model.train([r[2].encode() for r in rows], np.array([classes.index(r[0]) for r in rows]), **how)
+        yield pa.RecordBatch.from_arrays([pa.array([p.ravel() for p in model.params()], pa.list_(pa.float32()))], names=["p"])
+
+    learnt = sample.coalesce(1).mapInArrow(run, "p array<float>").collect()
+    for p, r in zip(model.params(), learnt):
+        p[...] = np.array(r["p"], f32).reshape(p.shape)
     return model
 
 

@@ -121,7 +121,7 @@ class Discriminant:
         for y, (prior, mu, chol) in self.classes.items():
             z = np.linalg.solve(chol, (x - mu).T)
             d[y] = prior - 0.5 * (z**2).sum(0) - np.log(np.diag(chol)).sum()
-        return 1 / (1 + np.exp(-np.clip((d[1] - d[0]) / 2, -35, 35)))
+        return 1 / (1 + np.exp(-np.clip(d[1] - d[0], -35, 35)))
 
 
 def scored(stats: DataFrame, model: Discriminant, keep: list[str], threshold: float = 0.7) -> DataFrame:
@@ -138,7 +138,10 @@ def scored(stats: DataFrame, model: Discriminant, keep: list[str], threshold: fl
 def op7(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. Learns from every labelled row outside the held-out fold.
 
-    Null text counts as empty; rows with a null doc_id are scored and not learnt from.
+    Null text counts as empty, and an empty text is scored like others; texts of any length are read whole. Rows with a
+    null doc_id are scored, not learnt from, and not held out. Repeated rows are rows each, in training too; of two
+    labels of a doc_id the larger counts, and labels other than 0 and 1 are left out. Other columns are ignored. An
+    empty table gives an empty result; without labels every score is 0.5.
     """
     stats = written(with_statistics(documents.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text"), ["doc_id", "held_out"]), "quality")
     lab = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))

@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, mix, powers
+from .common import U64, mix, powers, ranked_rows, written
 
 DEPTH = 50
 #: A difference cover modulo 21: every difference occurs between two of its members.
@@ -312,9 +313,18 @@ def removed_runs(buf_len: int, offs: np.ndarray, starts: np.ndarray) -> np.ndarr
 def repeated_passages(documents: DataFrame, group: int = GROUP, texts: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, with texts=True).
 
-    Texts are UTF-8 bytes; null counts as empty. A null doc_id is larger than all others. Strings are judged on the
-    input; rows with the same doc_id do not remove from each other.
+    Texts are UTF-8 bytes, of any length, and read whole; null counts as empty. A null doc_id is larger than all others;
+    ids that are not whole numbers are compared by their rank. Strings are judged on the input; rows with the same
+    doc_id, repeated ones too, do not remove from each other. Other columns are ignored. An empty table gives an empty
+    result.
     """
+    if not isinstance(documents.schema["doc_id"].dataType, T.IntegralType):
+        ids = documents.select("doc_id").filter("doc_id is not null").distinct()
+        ranks = ranked_rows(ids, [F.col("doc_id").asc()], "key").select(F.col("doc_id").alias("id_"), "key")
+        named = documents.select("doc_id", "text").join(ranks, F.col("doc_id") == F.col("id_"), "left").select("doc_id", "text", "key")
+        stored = written(named, "ranked")
+        out = repeated_passages(stored.select(F.col("key").alias("doc_id"), "text"), group, texts).withColumnRenamed("doc_id", "key_")
+        return out.join(ranks, F.col("key_") == F.col("key"), "left").select(F.col("id_").alias("doc_id"), *(c for c in out.columns if c != "key_"))
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(4, -(-total // group))
     bits = min(64, max(32, int(total // 4 + 1).bit_length() + 11))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, byte_slices, fold, mix, row_spans, spare, table_of, word_hashes, words
+from .common import LOWER, U64, byte_slices, fold, mix, row_spans, sampled_rows, spare, table_of, word_hashes, words
 
 #: A word is a run of letters and digits of ASCII, or of bytes above it.
 WORDS = table_of([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
@@ -169,9 +169,9 @@ def prior_shift(counts: dict[int, int], per_class: int) -> float:
 def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, seed: int = 7, **how) -> ToxicityModel:
     """Fits on labelled documents outside the held-out fold (crc32 of doc_id modulo 5 is 0).
 
-    At most `per_class` documents of each label are taken, those of the smallest key hash; the bound is for training
-    only. As it bounds the sampled keys, these are broadcast and no text is shuffled. Both labels are counted over all
-    of them, and the bias is moved from the sample's class shares to these: the prior doesn't depend on the bound.
+    At most `per_class` texts of each label are taken, those of the smallest key hash; the bound is for training only,
+    and holds however often a doc_id repeats. Both labels are counted over all of them, and the bias is moved from the
+    sample's class shares to these: the prior doesn't depend on the bound.
     """
     lab = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     lab = lab.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(seed)))
@@ -180,7 +180,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, seed:
     for y in (0, 1):
         part = lab.filter(F.col("label") == y).orderBy("order", "doc_id").limit(per_class)
         keys = part if keys is None else keys.unionByName(part)
-    sample = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(keys), "doc_id")
+    sample = sampled_rows(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), keys, ["label"], per_class, "order")
     return fit(sample.select("text", "label", "order"), seed=seed, shift=prior_shift(counts, per_class), **how)
 
 
@@ -198,7 +198,7 @@ def op6(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Null text counts as empty; rows with a null doc_id are scored, not learnt from, and not held out. Repeated rows are
-    rows each; a doc_id that repeats with other texts is learnt from with each of them. Labels other than 0 and 1 are
+    scored each and learnt from once; a doc_id that repeats with other texts is learnt from with each of them. Labels other than 0 and 1 are
     left out, and of two labels the larger counts. Other columns are ignored; an empty table gives an empty result, and
     without labels every score is 0.5.
     """

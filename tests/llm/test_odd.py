@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, exact_dedup, language, mixing, near_dedup, quality, repeats, secrets, token_counts, toxicity
-from quillon.llm.common import keyed_join, spare
+from quillon.llm.common import keyed_join, sampled_rows, spare
 
 CLASH = ["_of", "_id", "_values", "_stay", "_row_", "row_", "rid", "stay_", "bad_", "score", "predicted", "values_", "key_", "n", "level", "name", "label", "th", "bands", "times", "top", "w", "raw", "stats", "text_sha256", "kept", "item"]
 
@@ -211,3 +211,38 @@ def test_empty_pipeline(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_op10_compares_ids_of_any_type(spark):
+    shared = "".join(chr(97 + (k * k + 3 * k) % 26) for k in range(90))
+    rows = [("b", "1 " + shared), ("a", shared + " 2"), ("c", "3" + shared), (None, shared), ("c", shared + "4")]
+    named = {(r.doc_id, r.n_bytes): r.n_removed for r in repeats.repeated_passages(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    place = {"a": 1, "b": 2, "c": 3, None: None}
+    counted = {(r.doc_id, r.n_bytes): r.n_removed for r in repeats.repeated_passages(spark.createDataFrame([(place[i], t) for i, t in rows], "doc_id long, text string")).collect()}
+    assert {(place[i], n): x for (i, n), x in named.items()} == counted and counted[1, 92] == 0 and counted[2, 92] == counted[3, 91] == 90
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    """One doc_id on many rows: rows alike count once, and of others no more than the bound are taken."""
+    rng = np.random.default_rng(3)
+    rows = [(1, some(rng, 5) if k % 2 else "the same text", "en") for k in range(3000)] + [(k, some(rng, 5), "de") for k in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    keys = spark.createDataFrame([(1, 0, 7), (2, 1, 8), (3, 1, 9)], "doc_id long, label int, order long")
+    got = sampled_rows(docs, keys, ["label"], 40, "order").collect()
+    assert sorted((r.label, r.doc_id) for r in got) == [(0, 1)] * 40 + [(1, 2), (1, 3)] and len({r.text for r in got}) == 42
+    model = language.train(docs, per_language=20, steps=5)
+    assert model.classes == ["de", "en"] and language.train(docs, most=2, steps=1, hidden=3).to_left.h == 3
+
+
+def test_very_long_texts_of_the_other_operators(spark):
+    rng = np.random.default_rng(4)
+    long, shared = " ".join(f"word{x}" for x in rng.integers(0, 10**6, 300_000)), some(rng, 30)
+    rows = [(1, long + " " + shared, "en"), (2, shared + " " + long[: 1 << 20], "en"), (3, long + " " + shared, "de"), (4, "kurz", "de")]
+    docs = spark.createDataFrame([(i, t, g, "s", 1) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs).collect()} == {1: 3, 2: 2, 3: 3, 4: 4}
+    gone = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.repeated_passages(docs).collect()}
+    assert gone[3] == (len(rows[2][1]), len(rows[2][1])) and gone[1][1] == 0 and gone[2][1] > 1 << 20
+    for f in (lambda d: language.op3(d), lambda d: toxicity.op6(d, labels), lambda d: quality.op7(d, labels), mixing.op9):
+        assert f(docs).count() == 4
+    assert {r.doc_id: r.size for r in mixing.op9(docs).collect()}[1] == 300_030
