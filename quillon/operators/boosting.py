@@ -93,17 +93,17 @@ def cuts(train: DataFrame, features: str, width: int, bins: int = BINS) -> list[
         part = [null_if_nan(F.get(features, F.lit(k)).cast("double")) for k in range(lo, min(lo + BLOCK, width))]
         marks = [k / bins for k in range(1, bins)]
         row = train.agg(*(F.percentile_approx(x, marks, 10_000).alias(f"q{k}") for k, x in enumerate(part)), *(F.approx_count_distinct(x, 0.02).alias(f"d{k}") for k, x in enumerate(part)), *(F.max(x).alias(f"m{k}") for k, x in enumerate(part)), *(F.count_if(x.isNull()).alias(f"n{k}") for k, x in enumerate(part))).first()
-        for k, x in enumerate(part):
-            found = row[f"q{k}"] or []
-            if row[f"d{k}"] <= bins * 0.9:  # few values: each is a bin
-                found = [r[0] for r in train.select(x.alias("v")).dropna().distinct().limit(2 * bins).collect()]
+        few = [k for k in range(len(part)) if row[f"d{k}"] <= bins * 0.9]  # few values: each is a bin
+        sets = train.agg(*(F.collect_set(part[k]).alias(f"s{k}") for k in few)).first() if few else None
+        for k in range(len(part)):
+            found = sets[f"s{k}"] if k in few else row[f"q{k}"] or []
             values = sorted({float(v) for v in found if v is not None and v < row[f"m{k}"]})[: bins - 2]
             out.append(np.array([-np.inf] * (row[f"n{k}"] > 0) + values))
     return out
 
 
-def _packed(train: DataFrame, features: str, y: str, key: str, edges: list[np.ndarray], base: float) -> DataFrame:
-    """bins (a byte a feature), y, hash and margin of each training row."""
+def _packed(train: DataFrame, edges: list[np.ndarray], base: float) -> DataFrame:
+    """bins (a byte a feature), y, h and margin of each training row (x, y and h, a hash)."""
     width = len(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +116,7 @@ def _packed(train: DataFrame, features: str, y: str, key: str, edges: list[np.nd
             packed = pa.Array.from_buffers(pa.large_binary(), len(x), [None, offs, pa.py_buffer(bins)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([packed, batch["y"], batch["h"], pa.array(np.full(len(x), base))], ["bins", "y", "h", "margin"])
 
-    rows = train.select(F.col(features).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"), F.xxhash64(key).alias("h"))
-    return rows.mapInArrow(run, "bins binary, y double, h long, margin double")
+    return train.mapInArrow(run, "bins binary, y double, h long, margin double")
 
 
 def _bins(batch: pa.RecordBatch, width: int) -> np.ndarray:
@@ -139,19 +138,23 @@ def fit(train: DataFrame, features: str, y: str, key: str, *, classes: bool = Tr
     A split maximises the gain G_left^2 / (H_left + l2) + G_right^2 / (H_right + l2) - G^2 / (H + l2), with at least
     `least` Hessian on both sides; leaves weigh -rate G / (H + l2). A tree reads a share `subsample` of the rows, by hash
     of key, and a share `columns` of the features, drawn once a tree. positive_weight is the weight of class 1; None is
-    negatives to positives. Of equal gains the lower feature and then the lower bin wins.
+    negatives to positives. Margins start at the log odds of the weights, or the mean. Of equal gains the lower feature
+    and then the lower bin wins.
     """
     train = train.filter(F.col(features).isNotNull() & F.col(y).isNotNull())
-    first = train.select(F.size(features).alias("n")).first()
+    train = written(train.select(F.col(features).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"), F.xxhash64(key).alias("h")), "training")
+    first = train.select(F.size("x").alias("n")).first()
     if first is None:
         raise ValueError("no training rows")
     width = first["n"]
-    sums = train.agg(F.avg(F.col(y).cast("double")).alias("m"), F.sum(F.col(y).cast("double")).alias("p"), F.count(y).alias("n")).first()
+    sums = train.agg(F.avg("y").alias("m"), F.sum("y").alias("p"), F.count("*").alias("n")).first()
     heavy = (max(sums["n"] - sums["p"], 1) / max(sums["p"], 1) if positive_weight is None else positive_weight) if classes else 1.0
-    share = min(max(sums["m"], 1e-6), 1 - 1e-6)
+    share = heavy * sums["m"] / (heavy * sums["m"] + 1 - sums["m"]) if classes and sums["m"] else 0.0  # of the weights
+    share = min(max(share, 1e-6), 1 - 1e-6)
     base = float(np.log(share / (1 - share))) if classes else float(sums["m"])
-    edges = cuts(train, features, width, bins)
-    state = written(_packed(train, features, y, key, edges, base), "boosting")
+    edges = cuts(train, "x", width, bins)
+    state = written(_packed(train, edges, base), "boosting")
+    discard(train)
     many = state.rdd.getNumPartitions() > FIRST  # tasks
     rng, model, fresh = np.random.default_rng(seed), Boosted([], base, classes, width), []
 

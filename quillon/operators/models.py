@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import mapped, matrix
 from ..functions.hashing import hash_52
+from ..sources.stored import written
 from . import boosting, metrics, pairs, sampling, transforms
 from .quantiles import quantiles
 
@@ -87,7 +88,8 @@ def probe(known: DataFrame, test: DataFrame, columns: list[str], label: str, nam
     test = test.withColumn("y", (F.col(label).cast("string") == positive).cast("double"))
     fitted = transforms.fit(known, columns, "standard")
     model = train(assembled(fitted.transform(known), columns), name, trees=trees, seed=seed)
-    return score(model, assembled(fitted.transform(test), columns)).withColumn("label", F.col("y").cast("int")).drop("features")
+    out = score(model, assembled(fitted.transform(test), columns)).withColumn("label", F.col("y").cast("int")).drop("features")
+    return written(out, "scored")  # measures read it several times
 
 
 def utility(df: DataFrame, group: str, columns: list[str], label: str, names: list[str] = ("logistic",), test: float = 0.2, seed: int = 42, trees: int | None = None) -> DataFrame:
@@ -120,7 +122,8 @@ class PairAttacker:
 
 def linkability(train_pairs: DataFrame, test_pairs: DataFrame, name: str = "boosting_light", trees: int | None = 20, seed: int = 42) -> DataFrame:
     """test_pairs with label and score of an attacker trained on train_pairs (features array, pair_label)."""
-    return PairAttacker(train_pairs, name, trees, seed).score(test_pairs).withColumn("label", F.col("pair_label"))
+    out = PairAttacker(written(train_pairs, "pairs"), name, trees, seed).score(test_pairs)
+    return written(out, "scored").withColumn("label", F.col("pair_label"))
 
 
 def linkability_attack(segments: DataFrame, key: str, record: str, ref: str, vector: str, most: int = 2000, name: str = "boosting_light", trees: int | None = 20, strategy: str = "random", seed: int = 42) -> DataFrame:
@@ -339,12 +342,13 @@ def attribute_attack(known: DataFrame, test: DataFrame, columns: list[str], targ
     each group `by` of the test rows. The attacker, second-order boosting, is fitted once; classes are in balance."""
     by = list(by)
     known, test = known.filter(F.col(target).isNotNull()), test.filter(F.col(target).isNotNull())
+    known = written(known.select(target, *columns), "known")
     fitted = transforms.fit(known, columns, "standard")
     a = assembled(fitted.transform(known), columns).select("features", F.col(target).cast("double").alias("y"), F.xxhash64("features").alias("key_"))
     b = assembled(fitted.transform(test), columns).select(*by, "features", F.col(target).cast("double").alias("y"))
     side = lambda x, y: x.join(y, by) if by else x.crossJoin(y)  # noqa: E731 (one row each)
     model = boosting.fit(a, "features", "y", "key_", classes=not regression, trees=trees, seed=seed)
-    out = model.predict(b, "features", "prediction" if regression else "score")
+    out = written(model.predict(b, "features", "prediction" if regression else "score"), "scored")
     if regression:
         middle = quantiles(a, [F.col("y")], [0.5])[0][0] or 0.0
         out = out.withColumn("constant", F.lit(middle))

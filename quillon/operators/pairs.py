@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import vectors
 from ..functions.hashing import hash_52
+from . import nearest, transforms
 from .draws import drawn_pairs, mates, strangers
 from .sampling import ranked, top_k
 
@@ -83,63 +81,36 @@ def centroids(segments: DataFrame, record: str, vector: str) -> DataFrame:
     return mean.groupBy(record).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distance of each row of a and b, over the elements that both have; inf without any."""
-    total, common = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), bool)
-    for x, y in zip(a.T, b.T):
-        diff = x[:, None] - y[None, :]
-        has = ~np.isnan(diff)
-        total += np.where(has, diff * diff, 0.0)
-        common |= has
-    return np.where(common, np.sqrt(total), np.inf)
+def nearest_records(segments: DataFrame, record: str, vector: str, k: int = 5, **how) -> DataFrame:
+    """record, neighbour, distance: the k records with the nearest mean vectors, exactly, at any number of records.
+
+    The means are imputed by medians and scaled over all records first. A record is compared with those that the
+    triangle inequality leaves (`nearest`).
+    """
+    means = centroids(segments.filter(F.col(record).isNotNull()), record, vector).withColumnRenamed("centroid", "v_")
+    points = transforms.fit_vectors(means, "v_").transform(means, "v_", "v_").select(F.col(record).alias("id"), F.col("v_").alias("v"))
+    return nearest.nearest(points, k, **how).withColumnRenamed("id", record)
 
 
-def nearest_records(segments: DataFrame, record: str, vector: str, k: int = 5, block: int = 8192) -> DataFrame:
-    """record, neighbour, distance: the k records with the nearest mean vectors, exactly, at any number of records.
+def hard_negatives(segments: DataFrame, key: str, record: str, vector: str, n: int, k: int = 5, seed: int = 0, tries: int = 20) -> DataFrame:
+    """key_a, key_b: segments of a record and of one of its nearest records; at most n distinct pairs.
 
-    Records are dealt into blocks of about `block`; each pair of blocks is a task, which compares all their records and
-    gives out the k nearest of each.
+    The k records after the very nearest one are its pool. The pairs of records take turns: in each of up to `tries`
+    rounds a segment of each is drawn by hash, until there are n pairs.
     """
-    means = centroids(segments.filter(F.col(record).isNotNull()), record, vector)
-    blocks = max(1, -(-means.count() // block))
-    part = F.pmod(F.xxhash64(record), F.lit(blocks)).cast("int")
-    sent = means.select(F.col(record).alias("r"), "centroid", part.alias("part")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = sent.select(F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "r", "centroid")
-    kind = segments.schema[record].dataType
-
-    def compare(t: pa.Table) -> pa.Table:
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        t = t.sort_by("r")  # of equal distances the lesser neighbour is nearer
-        lists = t["centroid"].combine_chunks()
-        size = np.diff(lists.offsets.to_numpy())
-        rows = np.full((len(size), int(size.max())), np.nan)
-        rows[np.arange(rows.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-        at, out = t["part"].to_numpy(), []
-        for x, y in {(i, j), (j, i)}:
-            left, right = np.flatnonzero(at == x), np.flatnonzero(at == y)
-            for lo in range(0, len(left), 256):
-                own = left[lo : lo + 256]
-                d = _distances(rows[own], rows[right])
-                d[own[:, None] == right[None, :]] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                near = np.take_along_axis(d, best, 1)
-                ok = np.isfinite(near)
-                out.append((np.broadcast_to(own[:, None], ok.shape)[ok], right[best][ok], near[ok]))
-        a, b, d = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table({"r": t["r"].take(pa.array(a)), "neighbour": t["r"].take(pa.array(b)), "distance": pa.array(d)})
-
-    schema = T.StructType([T.StructField("r", kind), T.StructField("neighbour", kind), T.StructField("distance", T.DoubleType())])
-    near = sent.groupBy("i", "j").applyInArrow(compare, schema).withColumnRenamed("r", record)
-    return top_k(near, [record], [F.col("distance"), F.col("neighbour")], k)
-
-
-def hard_negatives(segments: DataFrame, key: str, record: str, vector: str, n: int, k: int = 5, seed: int = 0) -> DataFrame:
-    """key_a, key_b: one segment each, by hash, of a record and of one of its nearest records; at most n pairs."""
-    near = nearest_records(segments, record, vector, k).select(F.least(record, "neighbour").alias("r1"), F.greatest(record, "neighbour").alias("r2")).distinct()
-    one = top_k(segments.select(key, record), [record], [hash_52(key, seed=seed), F.col(key)], 1)
-    out = near.join(one.select(F.col(record).alias("r1"), F.col(key).alias("a")), "r1").join(one.select(F.col(record).alias("r2"), F.col(key).alias("b")), "r2")
-    out = out.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
-    return out.orderBy(hash_52("key_a", "key_b", seed=seed), "key_a", "key_b").limit(n)
+    near = top_k(nearest_records(segments, record, vector, k + 1).withColumn("at_", F.row_number().over(Window.partitionBy(record).orderBy("distance", "neighbour"))).filter("at_ > 1"), [record, "neighbour"], [F.col("at_")], 1)
+    near = near.select(F.least(record, "neighbour").alias("r1"), F.greatest(record, "neighbour").alias("r2")).distinct()
+    rounds = near.select("r1", "r2", F.explode(F.sequence(F.lit(0), F.least(F.lit(tries), F.lit(n)) - 1)).alias("turn"))
+    rows = ranked(segments.select(key, record), hash_52(key, seed=seed), by=[record], ties=[key])
+    sizes = rows.groupBy(record).agg(F.max("total_").alias("m_"))
+
+    def end(d: DataFrame, r: str, name: str) -> DataFrame:
+        d = d.join(sizes.withColumnRenamed(record, r), r).withColumn("k_", F.pmod(hash_52("r1", "r2", "turn", seed=f"{seed}{name}"), F.col("m_")) + 1).drop("m_")
+        return d.join(rows.select(F.col(record).alias(r), F.col("rank_").alias("k_"), F.col(key).alias(name)), [r, "k_"]).drop("k_")
+
+    out = end(end(rounds, "r1", "a"), "r2", "b")
+    out = out.groupBy(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).agg(F.min("turn").alias("turn"))
+    return out.orderBy("turn", hash_52("key_a", "key_b", seed=seed), "key_a", "key_b").limit(n).drop("turn")
 
 
 def negatives(segments: DataFrame, key: str, record: str, n: int, strategy: str = "random", vector: str | None = None, k: int = 5, seed: int = 0) -> DataFrame:

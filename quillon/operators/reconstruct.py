@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,16 +79,28 @@ def error_table(df: DataFrame, y: list[str], names: list[str], by: list[str] = (
     return df.groupBy(*by).agg(F.sqrt(F.avg(e) / len(y)).alias("rmse"), (100 * F.sqrt(F.try_divide(F.sum(e), F.sum(p)))).alias("prd"))
 
 
-def under_conditions(train: DataFrame, views: DataFrame, x: list[str], y: list[str], key: str, conditions: list[str], kind: str = "ridge", **how) -> DataFrame:
-    """condition, n, rmse, prd of a decoder that is fitted on train and reads the views of each condition.
+def vector_errors(df: DataFrame, target: str, estimate: str, by: list[str]) -> DataFrame:
+    """by, n, rmse and prd (percent of the root of the targets' energy) of an array column, over all elements."""
+    e = F.aggregate(F.zip_with(target, estimate, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    p = F.aggregate(target, F.lit(0.0), lambda s, x: s + x * x)
+    return df.select(*by, e.alias("e_"), p.alias("p_"), F.size(target).alias("m_")).groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.sum("e_") / F.sum("m_")).alias("rmse"), (100 * F.sqrt(F.try_divide(F.sum("e_"), F.sum("p_")))).alias("prd"))
+
+
+def under_conditions(known: dict[str, DataFrame], views: DataFrame, x: list[str], target: str, key: str, dim: int, kinds: tuple[str, ...] = ("ridge",), seed: int = 0, **how) -> DataFrame:
+    """train_condition, condition, decoder, n, rmse, prd: how well `target` (an array) comes back from the views.
 
-    views: key, condition, x (an array) and the targets; beside the conditions `mean`, what the training targets alone
-    tell.
+    known has the training rows (key, x and the target) of the decoders on single segments (`single`) and on whole groups
+    (`oracle`). The first read the single views, the second those of the true, the linked and the random group. Beside
+    each decoder stand train_mean, what the training targets alone tell, and pca_ceiling, the round trip of the true
+    targets through the components. views: key, condition, x (an array) and the target.
     """
-    rows = views.filter(F.col("condition").isin(conditions)).select(key, "condition", *(F.get("x", F.lit(k)).alias(c) for k, c in enumerate(x)), *y)
-    names = [f"p_{c}" for c in y]
-    found = decode(train, rows, x, y, names, kind, **how).select("condition", *y, *names)
-    mean = train_mean(train, y)
-    plain = rows.filter(F.col("condition") == conditions[0]).select(F.lit("mean").alias("condition"), *y, *(F.lit(m).alias(n) for m, n in zip(mean, names)))
-    both = found.unionByName(plain)
-    return error_table(both, y, names, ["condition"]).join(both.groupBy("condition").agg(F.count("*").alias("n")), "condition")
+    rows = views.select(key, "condition", *(F.get("x", F.lit(k)).alias(c) for k, c in enumerate(x)), F.col(target).cast("array<double>").alias(target))
+    out = []
+    for t, conditions in models.ATTACKED.items():
+        own, train = rows.filter(F.col("condition").isin(conditions)), known[t].withColumn(target, F.col(target).cast("array<double>"))
+        mean = lowrank.fit(train, target, dim, seed=seed).mean
+        found = {kind: decode_vectors(train, own, x, target, "z_", dim, kind, key, seed, **how) for kind in kinds}
+        found["train_mean"] = own.withColumn("z_", F.array(*(F.lit(float(m)) for m in mean)))
+        found["pca_ceiling"] = ceiling_vectors(train, own, target, "z_", dim, seed)
+        out += [vector_errors(d.select("condition", target, "z_"), target, "z_", ["condition"]).select(F.lit(t).alias("train_condition"), "condition", F.lit(n).alias("decoder"), "n", "rmse", "prd") for n, d in found.items()]
+    return reduce(DataFrame.unionByName, out)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import stats
+from .views import updated
 
 
 def consolidated(runs: dict[str, DataFrame], keys: list[str], metrics: list[str], seeds: str, expected_seeds: list[int], expected: DataFrame | None = None) -> DataFrame:
@@ -32,6 +33,33 @@ def labelled(df: DataFrame, names: DataFrame, key: str, strict: bool = True) ->
     return out
 
 
+def broad_table(parts: dict[str, DataFrame], names: DataFrame, key: str, measured: DataFrame | None = None, columns: list[str] = ()) -> DataFrame:
+    """evidence_scope, the columns of all parts (null where a part lacks one), the printable name of each key, and
+    noise_multiplier, sigma over the clipping norm.
+
+    measured: results by printable name, of one gallery; they fill the columns given, wherever they have a value. An
+    error for a key without a name.
+    """
+    rows = labelled(stats.union_runs(parts, "evidence_scope"), names, key)
+    if {"dp_noise_sigma", "dp_clip_norm"} <= set(rows.columns):
+        rows = rows.withColumn("noise_multiplier", F.try_divide("dp_noise_sigma", "dp_clip_norm"))
+    if measured is None:
+        return rows
+    name = next(c for c in names.columns if c != key)
+    rows = rows.select("*", *(F.lit(None).cast(measured.schema[c].dataType).alias(c) for c in columns if c not in rows.columns))
+    return updated(rows, measured, [name], list(columns))
+
+
+def multiseed_table(runs: DataFrame, keys: list[str], metrics: list[str], seeds: str, names: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """Printable name, keys, n_seeds, and mean, deviation and 95 % interval of each metric, of configurations with at least
+    `least` seeds."""
+    rows = stats.rollup(runs, keys, metrics, seeds).filter(F.col("n_seeds") >= least)
+    for m in metrics:
+        one = stats.t_interval(runs, keys, m).select(*keys, F.col("low").alias(f"{m}_low"), F.col("high").alias(f"{m}_high"))
+        rows = rows.join(one, keys)
+    return labelled(rows, names, key)
+
+
 def attribute_table(summary: DataFrame, conditions: list[str], metric: str) -> DataFrame:
     """task, representation, and mean and deviation of the metric under each condition."""
     return stats.conditional_wide(summary, ["task", "representation"], "condition", conditions, metric)
@@ -47,13 +75,18 @@ def selection_evidence(screens: dict[str, DataFrame], config: str, metrics: list
     return out
 
 
-def fixed_configurations(spark: SparkSession, parameters: dict[str, dict[str, object]]) -> DataFrame:
-    """scope, parameter, value: settings as rows."""
-    rows = [(s, k, str(v)) for s, d in parameters.items() for k, v in d.items()]
-    return spark.createDataFrame(rows, "scope string, parameter string, value string")
+def protocol_rows(settings: DataFrame, scope: str, columns: list[str]) -> DataFrame:
+    """scope, parameter, value: a table of settings, one row a scope, as rows; nulls are left out."""
+    rows = settings.select(F.col(scope).cast("string").alias("scope"), *(F.col(c).cast("string").alias(c) for c in columns))
+    return rows.unpivot(["scope"], columns, "parameter", "value").filter("value is not null")
+
+
+def in_given_order(column: str, order: list[str], *then: str) -> list[Column]:
+    """Sort keys: the place of the column's value in order (unknown values last), then other columns."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    return [F.when(place > 0, place).asc_nulls_last(), *(F.col(c).asc() for c in then)]
 
 
 def ordered(df: DataFrame, column: str, order: list[str], *then: str) -> DataFrame:
     """Rows by the place of the column's value in order (unknown values last), then by other columns."""
-    place = F.array_position(F.array(*map(F.lit, order)), F.col(column))
-    return df.orderBy(F.when(place > 0, place).asc_nulls_last(), *then)
+    return df.orderBy(*in_given_order(column, order, *then))

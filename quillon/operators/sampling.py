@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import TWO_52, hash_52
+from ..sources.stored import written
 
 #: Cells of the histogram.
 CELLS = 4096
@@ -32,6 +33,23 @@ def ranked(df: DataFrame, order: Column, by: list[str] = (), ties: list[str] = (
     return out.withColumn("rank_", F.row_number().over(own) + F.col("_before")).drop("_order", "_cell", "_before")
 
 
+def in_order(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with a column `name`: the place of the row, from 1, in `order`, which tells all rows apart.
+
+    Rows are sorted by ranges; a place is the number of rows in the ranges before and the place in its own, so that no
+    task holds more than a range. The driver gets one count a range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "order")
+    rows = rows.withColumn("part_", F.shiftright(name, 33)).withColumn(name, F.col(name).bitwiseAND(F.lit((1 << 33) - 1)))
+    before, total = [], 0
+    for k, x in sorted(tuple(r) for r in rows.groupBy("part_").agg(F.count("*")).collect()):
+        before.append((k, total))
+        total += x
+    starts = df.sparkSession.createDataFrame(before, "part_ long, start_ long")
+    return rows.join(F.broadcast(starts), "part_").withColumn(name, F.col(name) + F.col("start_") + 1).drop("part_", "start_")
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement (all, if there are fewer), by the hash of key."""
     return ranked(df, hash_52(key, seed=seed), ties=[key]).filter(F.col("rank_") <= n).drop("rank_", "total_")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dsp
-from .quantiles import quantiles
+from ..sources.stored import written
+from .quantiles import quantiles, quantiles_by_key
 
 
 def as_arrays(samples: DataFrame, by: list[str] = ("record",)) -> DataFrame:
@@ -35,6 +38,68 @@ def bandpass(records: DataFrame, low: float, high: float, fs: float, order: int
     return records.withColumn(column, run(column))
 
 
+def bandpass_in_chunks(samples: DataFrame, low: float, high: float, fs: float, order: int = 4, chunk: int = 1 << 15) -> DataFrame:
+    """record, idx, value filtered without phase shift, for recordings of any length: what `bandpass` gives.
+
+    A chunk is filtered as if nothing came before it. What came before adds the filter's answer to its state there, and
+    states are linked by powers of the filter's poles: a scan over one small row a chunk. That is done forwards and then
+    backwards. idx runs from 0 in each recording. (With cut-offs under a hundredth of fs, `bandpass` itself has errors
+    above those of this form, as its coefficients lose digits.)
+    """
+    modes, taps = dsp.Modes(low, high, fs, order), 3 * (2 * order + 1)
+    x, i, n = F.col("value").cast("double"), F.col("idx").cast("long"), F.col("n_")
+    ends = samples.groupBy("record").agg((F.max("idx") + 1).cast("long").alias("n_"), F.min_by("value", "idx").cast("double").alias("head_"), F.max_by("value", "idx").cast("double").alias("tail_"))
+    ends = ends.select(F.col("record").alias("of_"), "n_", "head_", "tail_", F.least(F.lit(taps), n - 1).alias("pad_"))
+    rows = samples.join(ends, samples["record"].eqNullSafe(ends["of_"])).drop("of_")
+    pad = F.col("pad_")
+    # The odd extension: mirror images of the first and last samples around the end values.
+    left = F.when((i > 0) & (i <= pad), F.struct((pad - i).alias("k"), (2 * F.col("head_") - x).alias("x")))
+    right = F.when((i < n - 1) & (i >= n - 1 - pad), F.struct((pad + 2 * (n - 1) - i).alias("k"), (2 * F.col("tail_") - x).alias("x")))
+    both = rows.select("record", "n_", "pad_", F.explode(F.array_compact(F.array(F.struct((i + pad).alias("k"), x.alias("x")), left, right))).alias("s"))
+    own = both.groupBy("record", "n_", "pad_", F.expr(f"s.k div {chunk}").alias("c")).agg(F.transform(F.array_sort(F.collect_list("s")), lambda v: v["x"]).alias("x"))
+    own = written(own.withColumn("last", F.expr(f"(n_ + 2 * pad_ - 1) div {chunk}")), "chunks")
+    for _ in range(2):  # the second pass reads the first one's result from its end
+        own = written(_filtered_once(own, modes).select("record", "n_", "pad_", (F.col("last") - F.col("c")).alias("c"), "last", F.reverse("x").alias("x")), "filtered")
+    out = own.select("record", "n_", "pad_", "c", F.posexplode("x").alias("at", "value"))
+    k = F.col("c") * chunk + F.col("at") - F.col("pad_")
+    return out.withColumn("idx", k).filter("idx >= 0 and idx < n_").select("record", "idx", "value")
+
+
+def _filtered_once(chunks: DataFrame, modes: dsp.Modes) -> DataFrame:
+    """Chunks (record, c, x and others) with x filtered from chunk 0 on, from the steady state of the first value."""
+    rest = [c for c in chunks.columns if c != "x"]
+    listed = lambda v: pa.array([np.ascontiguousarray(z).view(float) for z in v], pa.list_(pa.float64()))  # noqa: E731 (real, imaginary)
+
+    def alone(batches):
+        for batch in batches:
+            x = [v.values.to_numpy() for v in batch["x"]]
+            out = [modes.run(v) for v in x]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array([y for y, _ in out], pa.list_(pa.float64())), listed(s for _, s in out), pa.array([v[0] for v in x], pa.float64())], [*rest, "x", "state", "first"])
+
+    schema = chunks.select(*rest, "x").schema.add("state", T.ArrayType(T.DoubleType())).add("first", T.DoubleType())
+    out = written(chunks.mapInArrow(alone, schema), "alone")
+
+    def scan(t: pa.Table) -> pa.Table:
+        t = t.sort_by("c")
+        s, states = modes.steady() * t["first"][0].as_py(), []
+        for end, length in zip(t["state"].to_pylist(), t["size"].to_pylist()):
+            states.append(s)
+            s = modes.carried(s, length) + np.array(end).view(complex)
+        return pa.table({"r_": t["record"], "c_": t["c"], "before": listed(states)})
+
+    kind = chunks.schema
+    found = out.select("record", "c", "state", "first", F.size("x").alias("size")).groupBy("record").applyInArrow(scan, T.StructType([T.StructField("r_", kind["record"].dataType), T.StructField("c_", kind["c"].dataType), T.StructField("before", T.ArrayType(T.DoubleType()))]))
+    linked = out.join(found, out["record"].eqNullSafe(found["r_"]) & (out["c"] == found["c_"])).select(*rest, "x", "before")
+
+    def answered(batches):
+        for batch in batches:
+            x = [v.values.to_numpy() for v in batch["x"]]
+            out = [v + modes.answer(s.values.to_numpy().view(complex), len(v)) for v, s in zip(x, batch["before"])]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(out, pa.list_(pa.float64()))], [*rest, "x"])
+
+    return linked.mapInArrow(answered, chunks.select(*rest, "x").schema)
+
+
 def peaks(records: DataFrame, fs: float, seconds: float = 0.2, scale: float = 0.5, percentile: float | None = 75.0, column: str = "signal") -> DataFrame:
     """peaks: sample numbers. The prominence is the larger of 0.1 and scale standard deviations, the height a percentile."""
     distance = max(1, int(seconds * fs))
@@ -53,6 +118,138 @@ def peaks(records: DataFrame, fs: float, seconds: float = 0.2, scale: float = 0.
     return records.withColumn("peaks", run(column))
 
 
+def peaks_in_chunks(samples: DataFrame, fs: float, seconds: float = 0.2, scale: float = 0.5, percentile: float | None = 75.0, chunk: int = 1 << 15) -> DataFrame:
+    """record, idx, value of the peaks that `peaks` finds, for recordings of any length; idx runs from 0 in each.
+
+    Chunks find local maxima; what a flat stretch at an edge continues with comes from a scan over one row a chunk. Peaks
+    nearer than the distance are thinned in their own clusters. A peak's bases are looked for in its chunk first, then by
+    the extremes of whole chunks, and at last in the one chunk where a higher sample ends the search.
+    """
+    distance = max(1, int(seconds * fs))
+    rows = samples.select("record", F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
+    least = rows.groupBy("record").agg(F.greatest(F.lit(0.1), scale * F.stddev_pop("value")).alias("least"))
+    if percentile is not None:
+        height = quantiles_by_key(rows, ["record"], "value", [percentile / 100]).select(F.col("record").alias("h_"), F.get("q", F.lit(0)).alias("height"))
+        least = least.join(height, F.col("record").eqNullSafe(F.col("h_"))).drop("h_")
+    else:
+        least = least.withColumn("height", F.lit(float("-inf")))
+    own = rows.groupBy("record", F.expr(f"idx div {chunk}").alias("c")).agg(F.min("idx").alias("start"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda v: v["value"]).alias("x"))
+    own = written(own, "chunks")
+    kind = samples.schema["record"]
+    key = [T.StructField("record", kind.dataType), T.StructField("c", T.LongType())]
+    double, long = T.DoubleType(), T.LongType()
+
+    def edges(batches):
+        for batch in batches:
+            x = [v.values.to_numpy() for v in batch["x"]]
+            turns = [np.flatnonzero(np.diff(v)) for v in x]
+            # The first and last stretch of equal samples: value, and what is beside it inside the chunk (NaN: nothing).
+            cols = {"first": [v[0] for v in x], "last": [v[-1] for v in x], "size": [len(v) for v in x], "tail": [len(v) - 1 - (t[-1] if len(t) else -1) for v, t in zip(x, turns)], "lead": [(t[0] + 1) if len(t) else len(v) for v, t in zip(x, turns)], "next": [v[t[0] + 1] if len(t) else np.nan for v, t in zip(x, turns)], "prev": [v[t[-1]] if len(t) else np.nan for v, t in zip(x, turns)], "top": [v.max() for v in x], "low": [v.min() for v in x]}
+            yield pa.RecordBatch.from_arrays([batch["record"], batch["c"], *(pa.array(v, pa.int64() if n in ("size", "tail", "lead") else pa.float64()) for n, v in cols.items())], ["record", "c", *cols])
+
+    about = T.StructType([*key, *(T.StructField(n, long if n in ("size", "tail", "lead") else double) for n in ("first", "last", "size", "tail", "lead", "next", "prev", "top", "low"))])
+    summary = written(own.mapInArrow(edges, about), "edges")
+
+    def context(t: pa.Table) -> pa.Table:
+        """before: the sample left of the chunk; after and more: the first other value right of it, and how far its last stretch goes on."""
+        t = t.sort_by("c")
+        first, last, nxt, size, lead = (t[c].to_numpy() for c in ("first", "last", "next", "size", "lead"))
+        n = len(first)
+        after, more = np.full(n, np.nan), np.zeros(n, np.int64)
+        for k in range(n - 2, -1, -1):
+            if first[k + 1] != last[k]:
+                after[k] = first[k + 1]
+            elif lead[k + 1] < size[k + 1]:
+                after[k], more[k] = nxt[k + 1], lead[k + 1]
+            else:  # the whole next chunk is flat
+                after[k], more[k] = after[k + 1], size[k + 1] + more[k + 1]
+        before = np.concatenate([[np.nan], last[:-1]])
+        return pa.table({"r_": t["record"], "c_": t["c"], "before": pa.array(before), "after": pa.array(after), "more": pa.array(more)})
+
+    around = summary.groupBy("record").applyInArrow(context, T.StructType([T.StructField("r_", kind.dataType), T.StructField("c_", long), T.StructField("before", double), T.StructField("after", double), T.StructField("more", long)]))
+    linked = own.join(around, own["record"].eqNullSafe(around["r_"]) & (own["c"] == around["c_"])).drop("r_", "c_")
+    linked = linked.join(least.withColumnRenamed("record", "l_"), F.col("record").eqNullSafe(F.col("l_"))).drop("l_")
+
+    def maxima(batches):
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                x = batch["x"][k].values.to_numpy()
+                b, a, more, start, height = (batch[c][k].as_py() for c in ("before", "after", "more", "start", "height"))
+                cut = np.flatnonzero(np.diff(x))
+                starts, ends = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(x) - 1 + more]])
+                v = x[starts]
+                left, right = np.concatenate([[b], v[:-1]]), np.concatenate([v[1:], [a]])
+                top = (v > left) & (v > right) & (v >= height)  # NaN beside it: an end of the recording
+                out.append((np.full(int(top.sum()), k), start + (starts[top] + ends[top]) // 2, v[top]))
+            at, idx, value = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([batch["record"].take(pa.array(at)), pa.array(idx, pa.int64()), pa.array(value, pa.float64()), batch["least"].take(pa.array(at))], ["record", "idx", "value", "least"])
+
+    found = written(linked.mapInArrow(maxima, T.StructType([kind, T.StructField("idx", long), T.StructField("value", double), T.StructField("least", double)])), "maxima")
+    if distance > 1:
+        by = Window.partitionBy("record").orderBy("idx")
+        found = found.withColumn("far", (F.col("idx") - F.lag("idx").over(by) >= distance).cast("int")).withColumn("cluster", F.sum(F.coalesce("far", F.lit(0))).over(by))
+
+        def thinned(t: pa.Table) -> pa.Table:
+            t = t.sort_by("idx")
+            return t.filter(pa.array(dsp.kept_apart(t["idx"].to_numpy(), t["value"].to_numpy(), distance))).select(["record", "idx", "value", "least"])
+
+        found = found.select("record", "idx", "value", "least", "cluster").groupBy("record", "cluster").applyInArrow(thinned, found.select("record", "idx", "value", "least").schema)
+    found = written(found.withColumn("c", F.expr(f"idx div {chunk}")), "thinned")
+    sides = _bases(own, summary, found, key, kind, double, long)
+    out = found.join(sides.withColumnRenamed("record", "b_").withColumnRenamed("idx", "i_"), F.col("record").eqNullSafe(F.col("b_")) & (F.col("idx") == F.col("i_")))
+    return out.filter(F.col("value") - F.col("base") >= F.col("least")).select("record", "idx", "value")
+
+
+def _bases(own: DataFrame, summary: DataFrame, found: DataFrame, key: list, kind: T.StructField, double, long) -> DataFrame:
+    """record, idx, base of each peak: the higher of the least samples on both sides, as far as no sample is higher."""
+    cols = ["record", "idx", "value", "c"]
+
+    def inside(job: pa.Table, own_: pa.Table) -> pa.Table:
+        """In the peak's chunk: the least sample on each side, and whether a higher one ended the search there."""
+        if not job.num_rows or not own_.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in (("record", job.schema.field("record").type), ("idx", pa.int64()), ("value", pa.float64()), ("c", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("lo_open", pa.bool_()), ("hi_open", pa.bool_()))})
+        x, start = own_["x"].combine_chunks()[0].values.to_numpy(), own_["start"][0].as_py()
+        out = [dsp.base_sides(x, i - start, v) for i, v in zip(job["idx"].to_pylist(), job["value"].to_pylist())]
+        return pa.table({**{c: job[c] for c in cols}, **{n: pa.array([o[k] for o in out], pa.float64() if k < 2 else pa.bool_()) for k, n in enumerate(("lo", "hi", "lo_open", "hi_open"))}})
+
+    schema = T.StructType([kind, T.StructField("idx", long), T.StructField("value", double), T.StructField("c", long), T.StructField("lo", double), T.StructField("hi", double), T.StructField("lo_open", T.BooleanType()), T.StructField("hi_open", T.BooleanType())])
+    near = written(found.select(*cols).groupBy("record", "c").cogroup(own.select(F.col("record").alias("r2"), F.col("c").alias("c2"), "start", "x").groupBy("r2", "c2")).applyInArrow(inside, schema), "near")
+    asked = near.select(*cols, F.explode(F.array_compact(F.array(F.when(F.col("lo_open"), -1), F.when(F.col("hi_open"), 1)))).alias("way"))
+
+    def beyond(job: pa.Table, chunks: pa.Table) -> pa.Table:
+        """Over whole chunks: their least sample on the way, and the first chunk with a higher sample (-1: none)."""
+        chunks = chunks.sort_by("c")
+        top, low, cs = (chunks[c].to_numpy() for c in ("top", "low", "c"))
+        to, least = [], []
+        for c, v, way in zip(*(job[n].to_pylist() for n in ("c", "value", "way"))):
+            at = int(np.searchsorted(cs, c))
+            tops, lows = (top[at + 1 :], low[at + 1 :]) if way > 0 else (top[:at][::-1], low[:at][::-1])
+            end = np.flatnonzero(tops > v)
+            k = int(end[0]) if len(end) else len(tops)
+            to.append(int(cs[at + way * (k + 1)]) if len(end) else -1)
+            least.append(float(lows[:k].min()) if k else np.inf)
+        return pa.table({**{n: job[n] for n in ("record", "idx", "value", "way")}, "to": pa.array(to, pa.int64()), "least": pa.array(least, pa.float64())})
+
+    over = T.StructType([kind, T.StructField("idx", long), T.StructField("value", double), T.StructField("way", T.IntegerType()), T.StructField("to", long), T.StructField("least", double)])
+    far = written(asked.groupBy("record").cogroup(summary.select(F.col("record").alias("r2"), "c", "top", "low").groupBy("r2")).applyInArrow(beyond, over), "far")
+
+    def last(job: pa.Table, own_: pa.Table) -> pa.Table:
+        """In the chunk that ends the search: the least sample on the near side of the higher one."""
+        x = own_["x"].combine_chunks()[0].values.to_numpy() if own_.num_rows else np.zeros(0)
+        least = []
+        for v, way in zip(job["value"].to_pylist(), job["way"].to_pylist()):
+            y = x if way > 0 else x[::-1]
+            k = int(np.argmax(y > v))
+            least.append(float(y[:k].min()) if k else np.inf)
+        return pa.table({**{n: job[n] for n in ("record", "idx", "way")}, "least": pa.array(least, pa.float64())})
+
+    ends = far.filter("to >= 0").groupBy("record", "to").cogroup(own.select(F.col("record").alias("r2"), F.col("c").alias("c2"), "x").groupBy("r2", "c2")).applyInArrow(last, T.StructType([kind, T.StructField("idx", long), T.StructField("way", T.IntegerType()), T.StructField("least", double)]))
+    more = far.select("record", "idx", "way", "least").unionByName(ends)
+    whole = near.select("record", "idx", F.lit(-1).alias("way"), F.col("lo").alias("least")).unionByName(near.select("record", "idx", F.lit(1).alias("way"), F.col("hi").alias("least"))).unionByName(more)
+    return whole.groupBy("record", "idx", "way").agg(F.min("least").alias("least")).groupBy("record", "idx").agg(F.max("least").alias("base"))
+
+
 def rr_features(records: DataFrame, fs: float) -> DataFrame:
     """n_peaks, and mean, deviation, rmssd and heart rate of the intervals in seconds; null with fewer than two peaks."""
     p = F.col("peaks")

@@ -58,9 +58,13 @@ MATES = f"""am AS (SELECT a.vec_id AS q, a.label, b.vec_id AS c, row_number() OV
 mates AS (SELECT q, label, c FROM am WHERE j = {h('q', '0', seed='42mate')} % n)"""
 STRANGERS = f"""st AS (SELECT a.vec_id AS q, b.vec_id AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY {h('b.label', seed='42other')}, b.label, {h('b.vec_id', seed='42other')}, b.vec_id) - 1 AS j, count(*) OVER (PARTITION BY a.vec_id) AS n FROM seg a JOIN seg b ON a.label <> b.label),
 strangers AS (SELECT q, c FROM st WHERE j = {h('q', '0', seed='42other')} % n)"""
-NEG = f"""rk AS (SELECT vec_id, label, row_number() OVER (ORDER BY {h('vec_id', seed=42)}, vec_id) AS rn, count(*) OVER () AS m FROM seg),
-dr AS (SELECT d, {h('d', seed='42x')} % (SELECT max(m) FROM rk) + 1 AS x, {h('d', seed='42y')} % (SELECT max(m) FROM rk) + 1 AS y FROM range(6000) t(d)),
-neg AS (SELECT key_a, key_b FROM (SELECT least(p.vec_id, q.vec_id) AS key_a, greatest(p.vec_id, q.vec_id) AS key_b, min(d) AS d FROM dr JOIN rk p ON p.rn = x JOIN rk q ON q.rn = y WHERE p.label <> q.label GROUP BY 1, 2) ORDER BY d, key_a, key_b LIMIT 300)"""
+def neg_sql(n: int, seed: int) -> str:
+    """n pairs of different labels, from 20 draws a pair; needs seg."""
+    return f"""rk AS (SELECT vec_id, label, row_number() OVER (ORDER BY {h('vec_id', seed=seed)}, vec_id) AS rn, count(*) OVER () AS m FROM seg),
+dr AS (SELECT d, {h('d', seed=f'{seed}x')} % (SELECT max(m) FROM rk) + 1 AS x, {h('d', seed=f'{seed}y')} % (SELECT max(m) FROM rk) + 1 AS y FROM range({max(20 * n, 1000)}) t(d)),
+neg AS (SELECT key_a, key_b FROM (SELECT least(p.vec_id, q.vec_id) AS key_a, greatest(p.vec_id, q.vec_id) AS key_b, min(d) AS d FROM dr JOIN rk p ON p.rn = x JOIN rk q ON q.rn = y WHERE p.label <> q.label GROUP BY 1, 2) ORDER BY d, key_a, key_b LIMIT {n})"""
+
+
 COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-8)"
 LINK = f"""{SEG}, {MATES}, {STRANGERS},
 pairs AS (SELECT DISTINCT least(q, c) AS key_a, greatest(q, c) AS key_b, 1 AS label FROM mates UNION ALL SELECT DISTINCT least(q, c), greatest(q, c), 0 FROM strangers),
@@ -78,18 +82,25 @@ AUC = "round(sum(n * (tp - p / 2.0)) / (max(pos) * max(neg)), 6)"
 AP = "round(sum(p * tp / (tp + fp)) / max(pos), 6)"
 EER = "round(arg_min((fp / neg + 1 - tp / pos) / 2, (abs(fp * pos - (pos - tp) * neg), -score)), 6)"
 TPR = "round(coalesce(max(CASE WHEN fp / neg <= {0} THEN tp / pos END), 0), 6)"
-GALLERY = f"""{SEG}, {MATES},
-tr AS (SELECT q, label AS record, c FROM mates),
+
+
+def gallery_sql(trues: int) -> str:
+    """Every query's true candidates and one segment of nine other labels, and their scores (gs) and ranks (gr)."""
+    return f"""{SEG}, {MATES},
+tr AS (SELECT q, label AS record, c FROM am JOIN (SELECT q, unnest({picked('n', trues, 'q', seed='42mate')}) AS j FROM (SELECT DISTINCT q, n FROM am)) USING (q, j)),
 ci AS (SELECT label, row_number() OVER (ORDER BY {h('label', seed=42)}, label) - 1 AS place FROM (SELECT DISTINCT label FROM seg)),
-ol AS (SELECT q, ci.label, row_number() OVER (PARTITION BY q ORDER BY place) - 1 AS j, count(*) OVER (PARTITION BY q) AS n FROM tr JOIN ci ON ci.label <> tr.record),
+ol AS (SELECT q, ci.label, row_number() OVER (PARTITION BY q ORDER BY place) - 1 AS j, count(*) OVER (PARTITION BY q) AS n FROM (SELECT DISTINCT q, record FROM tr) tr JOIN ci ON ci.label <> tr.record),
 oj AS (SELECT q, unnest({picked('n', 9, 'q', seed='42others')}) AS j FROM (SELECT DISTINCT q, n FROM ol)),
 gp AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed='42pick')}, vec_id) AS rn, count(*) OVER (PARTITION BY label) AS m FROM seg),
 dr_ AS (SELECT q, ol.label, {h('q', 'ol.label', seed='42pick')} % m + 1 AS k FROM ol JOIN oj USING (q, j) JOIN (SELECT DISTINCT label, m FROM gp) z ON z.label = ol.label),
 ga AS (SELECT q AS query, c AS candidate, 1 AS label FROM tr UNION ALL SELECT q, gp.vec_id, 0 FROM dr_ JOIN gp ON gp.label = dr_.label AND gp.rn = dr_.k),
 gs AS (SELECT query, candidate, ga.label, round({COS}, 6) AS score FROM ga JOIN seg a ON a.vec_id = query JOIN seg b ON b.vec_id = candidate),
 gr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM gs)"""
+
+
+GALLERY = gallery_sql(1)
 SIG = "sig AS (SELECT user_id AS record, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value FROM events)"
-SLIDE = f"{SIG}, n AS (SELECT record, max(idx) + 1 AS n FROM sig GROUP BY 1), sl AS (SELECT sig.record, k AS segment, k * 8 AS start, idx - k * 8 AS idx, value FROM sig JOIN n USING (record), range(0, 200) t(k) WHERE k * 8 + 16 <= n AND idx >= k * 8 AND idx < k * 8 + 16)"
+SLIDE = f"{SIG}, n AS (SELECT record, max(idx) + 1 AS n FROM sig GROUP BY 1), st AS (SELECT record, unnest(range(0, (n - 16) // 8 + 1)) AS k FROM n WHERE n >= 16), sl AS (SELECT sig.record, k AS segment, k * 8 AS start, idx - k * 8 AS idx, value FROM sig JOIN st USING (record) WHERE idx >= k * 8 AND idx < k * 8 + 16)"
 EV = f"ev AS (SELECT event_id, user_id, CAST(event_type = 'purchase' AS INT) AS label, round({u('event_id', seed=1)}, 3) AS score FROM events)"
 
 
@@ -168,12 +179,20 @@ def ordered_gallery_pairs(spark, sf):
     return pairs.pair_counts(vector_segments(spark, sf), "label", "ref", 50)
 
 
-@query(f"WITH {SEG}, {NEG} SELECT key_a, key_b FROM neg")
+@query(f"WITH {SEG}, {neg_sql(300, 42)} SELECT key_a, key_b FROM neg")
 def random_negative_pairs(spark, sf):
     return pairs.random_negatives(vector_segments(spark, sf), "vec_id", "label", 300, seed=42)
 
 
-CENTROID = f"{SEG}, ce AS (SELECT label, i, avg(v[i]) AS x FROM seg, range(1, 65) t(i) GROUP BY 1, 2), di AS (SELECT a.label, b.label AS neighbour, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS distance FROM ce a JOIN ce b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2)"
+# Means of the labels, scaled over the labels.
+CENTROID = f"""{SEG}, ce AS (SELECT label, i, avg(v[i]) AS x FROM seg, range(1, 65) t(i) GROUP BY 1, 2), cs_ AS (SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM ce GROUP BY 1),
+cz AS (SELECT label, i, (x - m) / s AS x FROM ce JOIN cs_ USING (i)), di AS (SELECT a.label, b.label AS neighbour, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS distance FROM cz a JOIN cz b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2)"""
+
+
+# Of each label the label nearest but one; in turns a segment of both is drawn.
+HARD = f"""nn AS (SELECT DISTINCT least(label, neighbour) AS r1, greatest(label, neighbour) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, neighbour) AS rn FROM di) WHERE rn = 2),
+pk AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed=42)}, vec_id) AS rn, count(*) OVER (PARTITION BY label) AS m FROM seg),
+tu AS (SELECT least(a.vec_id, b.vec_id) AS key_a, greatest(a.vec_id, b.vec_id) AS key_b, min(turn) AS turn FROM nn, range(20) t(turn) JOIN pk a ON a.label = r1 AND a.rn = {h('r1', 'r2', 'turn', seed='42a')} % a.m + 1 JOIN pk b ON b.label = r2 AND b.rn = {h('r1', 'r2', 'turn', seed='42b')} % b.m + 1 GROUP BY 1, 2)"""
 
 
 @query(f"WITH {CENTROID} SELECT label, neighbour, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, neighbour) AS rn FROM di) WHERE rn <= 3")
@@ -181,11 +200,29 @@ def knn_records(spark, sf):
     return pairs.nearest_records(vector_segments(spark, sf), "label", "v", 3).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"""WITH {CENTROID}, nn AS (SELECT DISTINCT least(label, neighbour) AS r1, greatest(label, neighbour) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, neighbour) AS rn FROM di) WHERE rn <= 3),
-pk AS (SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed=42)}, vec_id) AS rn FROM seg) WHERE rn = 1)
-SELECT least(a.vec_id, b.vec_id) AS key_a, greatest(a.vec_id, b.vec_id) AS key_b FROM nn JOIN pk a ON a.label = r1 JOIN pk b ON b.label = r2 ORDER BY {h('least(a.vec_id, b.vec_id)', 'greatest(a.vec_id, b.vec_id)', seed=42)}, 1, 2 LIMIT 10""")
+@query(f"""WITH {CENTROID}, nn AS (SELECT DISTINCT least(label, neighbour) AS r1, greatest(label, neighbour) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, neighbour) AS rn FROM di) WHERE rn BETWEEN 2 AND 4),
+pk AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {h('vec_id', seed=42)}, vec_id) AS rn, count(*) OVER (PARTITION BY label) AS m FROM seg),
+tu AS (SELECT least(a.vec_id, b.vec_id) AS key_a, greatest(a.vec_id, b.vec_id) AS key_b, min(turn) AS turn FROM nn, range(20) t(turn) JOIN pk a ON a.label = r1 AND a.rn = {h('r1', 'r2', 'turn', seed='42a')} % a.m + 1 JOIN pk b ON b.label = r2 AND b.rn = {h('r1', 'r2', 'turn', seed='42b')} % b.m + 1 GROUP BY 1, 2)
+SELECT key_a, key_b FROM tu ORDER BY turn, {h('key_a', 'key_b', seed=42)}, 1, 2 LIMIT 100""")
 def knn_negative_pairs(spark, sf):
-    return pairs.hard_negatives(vector_segments(spark, sf), "vec_id", "label", "v", 10, 3, 42)
+    return pairs.hard_negatives(vector_segments(spark, sf), "vec_id", "label", "v", 100, 3, 42)
+
+
+@query(f"""WITH {CENTROID}, {HARD}, {neg_sql(150, 143)},
+bo AS (SELECT key_a, key_b, min(p) AS p FROM (SELECT key_a, key_b, 0 AS p FROM (SELECT * FROM tu ORDER BY turn, {h('key_a', 'key_b', seed=42)}, 1, 2 LIMIT 150) UNION ALL SELECT key_a, key_b, 1 FROM neg) GROUP BY 1, 2)
+SELECT key_a, key_b FROM bo ORDER BY p, {h('key_a', 'key_b', seed=42)}, 1, 2 LIMIT 150""")
+def hard_then_random_pairs(spark, sf):
+    return pairs.negatives(vector_segments(spark, sf), "vec_id", "label", 150, "hard", "v", 1, 42)
+
+
+@query(f"""WITH {SEG}, {POS}, {neg_sql(100, 42)} SELECT ref_a AS key_a, ref_b AS key_b, 1 AS pair_label FROM (SELECT *, row_number() OVER (ORDER BY {h('record', 'ref_a', 'ref_b', seed=42)}, record, ref_a, ref_b) AS rn FROM pos) WHERE rn <= 100 UNION ALL SELECT key_a, key_b, 0 FROM neg""")
+def pair_table(spark, sf):
+    return pairs.pair_table(vector_segments(spark, sf), "vec_id", "label", "ref", 100, 5, 30, seed=42)
+
+
+@query(f"WITH {SEG} SELECT a.label, a.vec_id AS ref_a, b.vec_id AS ref_b FROM seg a JOIN seg b ON a.label = b.label AND abs(a.vec_id - b.vec_id) >= 150")
+def ordered_pair_rows(spark, sf):
+    return pairs.ordered_pairs(vector_segments(spark, sf), "label", "ref", 150)
 
 
 @query(f"WITH {LINK} SELECT key_a, key_b, label, score FROM link")
@@ -212,9 +249,9 @@ def rank_metrics(spark, sf):
     return m.select("queries", *(F.round(c, 6).alias(c) for c in m.columns[1:]))
 
 
-@query(f"WITH {GALLERY}, p AS (SELECT query, sum(label) AS t, sum(CASE WHEN rank <= 3 THEN label ELSE 0 END) AS hits, avg(CASE WHEN label = 1 THEN 1.0 / rank END) AS rr FROM gr GROUP BY 1) SELECT round(avg(hits / 3.0), 6) AS precision, round(avg(hits / greatest(t, 1)), 6) AS recall, round(avg(rr), 6) AS mean_reciprocal_rank FROM p")
+@query(f"WITH {gallery_sql(3)}, p AS (SELECT query, sum(label) AS t, sum(CASE WHEN rank <= 3 THEN label ELSE 0 END) AS hits, avg(CASE WHEN label = 1 THEN 1.0 / rank END) AS rr FROM gr GROUP BY 1) SELECT round(avg(hits / 3.0), 6) AS precision, round(avg(hits / greatest(t, 1)), 6) AS recall, round(avg(rr), 6) AS mean_reciprocal_rank FROM p")
 def selection_quality(spark, sf):
-    m = gallery.selection_quality(gallery_scores(spark, sf), 3)
+    m = gallery.selection_quality(gallery_scores(spark, sf, trues=3), 3)
     return m.select(*(F.round(c, 6).alias(c) for c in m.columns))
 
 
@@ -375,7 +412,7 @@ def wide_features(spark, sf):
     return windows.wide(t, ["o_custkey"], "o_orderstatus", ["F", "O"], ["total"])
 
 
-@query(f"WITH {SIG}, n AS (SELECT record, max(idx) + 1 AS n FROM sig GROUP BY 1) SELECT record, CAST(k AS INT) AS segment, CAST(k * 20 AS INT) AS start_sample, CAST(k * 20 + 40 AS INT) AS end_sample FROM n, range(0, 200) t(k) WHERE k * 20 + 40 <= n")
+@query(f"WITH {SIG}, n AS (SELECT record, max(idx) + 1 AS n FROM sig GROUP BY 1) SELECT record, CAST(k AS INT) AS segment, CAST(k * 20 AS INT) AS start_sample, CAST(k * 20 + 40 AS INT) AS end_sample FROM (SELECT record, unnest(range(0, (n - 40) // 20 + 1)) AS k FROM n WHERE n >= 40)")
 def segment_ranges(spark, sf):
     n = signal(spark, sf).groupBy("record").agg((F.max("idx") + 1).alias("n"))
     return windows.segment_ranges(n, "n", 40, 20)
@@ -654,10 +691,13 @@ def ridge_decode(spark, sf):
 
 
 # At 10 samples a second a distance of 0.2 seconds parts no two local maxima.
-@query(f"""WITH {SIG}, s AS (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r, quantile_cont(value, 0.75) OVER (PARTITION BY record) AS height, greatest(0.1, stddev_pop(value) OVER (PARTITION BY record) / 2) AS least FROM sig WINDOW w AS (PARTITION BY record ORDER BY idx)),
+PEAKS = f"""{SIG}, s AS (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r, quantile_cont(value, 0.75) OVER (PARTITION BY record) AS height, greatest(0.1, stddev_pop(value) OVER (PARTITION BY record) / 2) AS least FROM sig WINDOW w AS (PARTITION BY record ORDER BY idx)),
 top AS (SELECT record, idx, value, least FROM s WHERE value > l AND value > r AND value >= height),
 ends AS (SELECT top.record, top.idx, top.value, top.least, coalesce(max(s.idx) FILTER (s.idx < top.idx AND s.value > top.value), -1) AS lo, coalesce(min(s.idx) FILTER (s.idx > top.idx AND s.value > top.value), 1000000000) AS hi FROM top JOIN s ON s.record = top.record GROUP BY 1, 2, 3, 4),
-p AS (SELECT ends.record, ends.idx FROM ends JOIN s ON s.record = ends.record GROUP BY ends.record, ends.idx, ends.value, ends.least, ends.lo, ends.hi HAVING ends.value - greatest(min(s.value) FILTER (s.idx > ends.lo AND s.idx <= ends.idx), min(s.value) FILTER (s.idx >= ends.idx AND s.idx < ends.hi)) >= ends.least),
+p AS (SELECT ends.record, ends.idx FROM ends JOIN s ON s.record = ends.record GROUP BY ends.record, ends.idx, ends.value, ends.least, ends.lo, ends.hi HAVING ends.value - greatest(min(s.value) FILTER (s.idx > ends.lo AND s.idx <= ends.idx), min(s.value) FILTER (s.idx >= ends.idx AND s.idx < ends.hi)) >= ends.least)"""
+
+
+@query(f"""WITH {PEAKS},
 d AS (SELECT record, idx, (idx - lag(idx) OVER w) / 10.0 AS d FROM p WINDOW w AS (PARTITION BY record ORDER BY idx)),
 e AS (SELECT record, idx, d, d - lag(d) OVER (PARTITION BY record ORDER BY idx) AS dd FROM d)
 SELECT r.record, coalesce(list(CAST(idx AS INT) ORDER BY idx) FILTER (idx IS NOT NULL), []) AS peaks, CAST(count(idx) AS INT) AS n_peaks, round(avg(d), 6) AS rr_mean, round(stddev_pop(d), 6) AS rr_std, round(sqrt(avg(dd * dd)), 6) AS rr_rmssd, round(60 / avg(d), 6) AS heart_rate FROM (SELECT DISTINCT record FROM sig) r LEFT JOIN e USING (record) GROUP BY 1""")
@@ -667,6 +707,14 @@ def peaks(spark, sf):
     return _rounded(sig.rr_features(sig.peaks(sig.as_arrays(signal(spark, sf)), 10.0), 10.0).drop("signal"))
 
 
+@query(f"WITH {PEAKS} SELECT record, CAST(idx AS INT) AS idx FROM p")
+def peaks_in_chunks(spark, sf):
+    """The same of recordings that are cut in chunks of 16 samples."""
+    from ..operators import signal as sig
+
+    return sig.peaks_in_chunks(signal(spark, sf), 10.0, chunk=16).select("record", F.col("idx").cast("int").alias("idx"))
+
+
 # Even samples are lead I, odd ones lead II; the estimate is the mean of a sample and the one before.
 REC = f"""WITH {SIG}, s AS (SELECT record, CASE WHEN idx % 2 = 0 THEN 'I' ELSE 'II' END AS lead, idx // 2 AS i, value AS y FROM sig),
 d AS (SELECT *, (y + coalesce(lag(y) OVER (PARTITION BY record, lead ORDER BY i), y)) / 2 AS z, count(*) OVER (PARTITION BY record, lead) AS n FROM s),
@@ -771,60 +819,57 @@ def json_properties(spark, sf):
     return e.filter(F.size("k") > 0).select("event_id", F.element_at("m", F.get("k", F.lit(0))).alias("value"))
 
 
-# --- attacks on views of several segments
-
+@query()
+def encoder_direct(spark, sf):
+    from ..operators import models
 
-def _condition_views(spark, sf):
-    """query, condition, x and what belongs to the query: views of a vector alone, with three true, found or random others."""
-    seg = vector_segments(spark, sf)
-    rows = gallery.scored(gallery.gallery(seg, "vec_id", "label", "ref", None, 99, 5, 42, trues=3), seg, "vec_id", "v")
-    return gallery.linked_views(rows, seg, "vec_id", "v", 3, 42).withColumnRenamed("view", "x")
+    d, cols = _labelled_vectors(spark, sf)
+    fitted, layers, labels = models.encoder(d.filter("record < 40"), cols, "label", "vec_id")
+    test = d.filter("record >= 40").select("*", (F.col("label") == "Positive").cast("int").alias("y"))
+    scores = models.encoder_scores(test, cols, fitted, layers, labels, "Positive", ["vec_id", "y"])
+    return metrics.curve_metrics(scores.select(F.col("y").alias("label"), "score"))
 
 
-CONDITIONS = ["single", "oracle", "link_selected", "random"]
+def _recordings(spark, sf):
+    """(signals, heads): users are recordings of two leads, every other event each."""
+    e = read(spark, sf, "events")
+    s = windows.indexed(e, "user_id", ["ts", "event_id"], "value").withColumn("lead", F.when(F.col("idx") % 2 == 0, "I").otherwise("II"))
+    s = s.select(F.col("record").cast("string").alias("record_id"), "lead", "idx", "value")
+    signals = s.groupBy("record_id", "lead").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("signal"))
+    heads = e.select(F.col("user_id").cast("string").alias("record_id")).distinct().select("record_id", F.lit("AF, X").alias("diagnosis"), F.lit(None).cast("string").alias("error"))
+    return signals, heads
 
 
 @query()
-def attribute_conditions(spark, sf):
-    from ..operators import models
+def ingest_segments(spark, sf):
+    from . import ingest
 
-    d, cols = _labelled_vectors(spark, sf)
-    d = d.withColumn("target", (F.col("label") == "Positive").cast("int"))
-    views = _condition_views(spark, sf).join(d.filter("record >= 40").select(F.col("vec_id").alias("query"), "target"), "query")
-    return models.attribute_under_conditions(d.filter("record < 40"), views, cols, "target", CONDITIONS)
+    return ingest.segment_table(*_recordings(spark, sf), 10.0, ["I", "II"], ["AF"], 2.0, 1.0, low=0.5, high=4.0)
 
 
 @query()
-def reconstruction_conditions(spark, sf):
-    from ..operators import reconstruct
+def ingest_records(spark, sf):
+    from . import ingest
 
-    d, cols = _labelled_vectors(spark, sf)
-    test = d.filter("record >= 40").select(F.col("vec_id").alias("query"), *cols[32:])
-    views = _condition_views(spark, sf).withColumn("x", F.slice("x", 1, 32)).join(test, "query")
-    return reconstruct.under_conditions(d.filter("record < 40"), views, cols[:32], cols[32:], "query", CONDITIONS)
+    return ingest.record_table(*_recordings(spark, sf), 10.0, ["I", "II"], ["AF"], low=0.5, high=4.0)
 
 
 @query()
-def encoder_direct(spark, sf):
-    from ..operators import models
+def ingest_targets(spark, sf):
+    from . import ingest
 
-    d, cols = _labelled_vectors(spark, sf)
-    fitted, layers, labels = models.encoder(d.filter("record < 40"), cols, "label", "vec_id")
-    test = d.filter("record >= 40").select("*", (F.col("label") == "Positive").cast("int").alias("y"))
-    scores = models.encoder_scores(test, cols, fitted, layers, labels, "Positive", ["vec_id", "y"])
-    return metrics.curve_metrics(scores.select(F.col("y").alias("label"), "score"))
+    return ingest.targets(_recordings(spark, sf)[0], 10, 5, ["I", "II"], 1, low=0.5, high=4.0)
 
 
 @query()
-def ingest_segments(spark, sf):
+def ingest_cohort(spark, sf):
+    """Targets of 20 users that have features of segment 1, and the errors of those of them without one."""
     from . import ingest
 
-    e = read(spark, sf, "events")
-    s = windows.indexed(e, "user_id", ["ts", "event_id"], "value").withColumn("lead", F.when(F.col("idx") % 2 == 0, "I").otherwise("II"))
-    s = s.select(F.col("record").cast("string").alias("record_id"), "lead", "idx", "value")
-    signals = s.groupBy("record_id", "lead").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("signal"))
-    heads = e.select(F.col("user_id").cast("string").alias("record_id")).distinct().select("record_id", F.lit("AF, X").alias("diagnosis"), F.lit(None).cast("string").alias("error"))
-    return ingest.segment_table(signals, heads, 10.0, ["I", "II"], ["AF"], 2.0, 1.0, low=0.5, high=4.0)
+    signals, heads = _recordings(spark, sf)
+    features = ingest.segment_table(signals, heads, 10.0, ["I", "II"], ["AF"], 2.0, 1.0, low=0.5, high=4.0)
+    good, bad = ingest.cohort(features, signals, 20, 10, 5, ["I", "II"], 1, low=0.5, high=4.0)
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad.select("patient_id", F.lit(None).cast("array<float>").alias("target"), "error"))
 
 
-from . import checks  # noqa: E402, F401 (registers its queries here)
+from . import checks, people  # noqa: E402, F401 (register their queries here)

@@ -56,9 +56,8 @@ def aligned_targets(spark, sf):
 @query("SELECT row_number() OVER (ORDER BY o DESC) AS place, n_nationkey, n_name FROM (SELECT n_nationkey AS o, n_nationkey, n_name FROM nation WHERE n_nationkey % 3 = 0)")
 def rows_in_order(spark, sf):
     wanted = read(spark, sf, "nation").filter("n_nationkey % 3 = 0").select("n_nationkey", (-F.col("n_nationkey")).alias("o"))
-    rows = views.in_order(wanted, "o", read(spark, sf, "nation"), "n_nationkey").select("n_nationkey", "n_name")
-    # The order as a column: rows of one small partition, numbered as they come.
-    return rows.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("place"), "n_nationkey", "n_name")
+    rows = wanted.join(read(spark, sf, "nation"), "n_nationkey")
+    return sampling.in_order(rows, [F.col("o")]).select("place", "n_nationkey", "n_name")
 
 
 @query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -177,6 +176,13 @@ def bandpass(spark, sf):
     return _filtered(spark, sf, 4)
 
 
+@query(both_ways(0.5, 4.0, 10.0, 4))
+def bandpass_in_chunks(spark, sf):
+    """The same of recordings that are cut in chunks of 16 samples: their filter states are linked by a scan."""
+    out = signal.bandpass_in_chunks(samples(spark, sf), 0.5, 4.0, 10.0, 4, 16)
+    return out.select("record", F.col("idx").cast("int").alias("idx"), (F.round("value", 4) + 0.0).alias("value"))
+
+
 # --- transforms and models
 
 
@@ -252,15 +258,18 @@ def attribute_table(spark, sf):
     return t.select("task", "representation", *(F.round(c, 4).alias(c) for c in t.columns[2:]))
 
 
-@query("SELECT * FROM (VALUES ('probe', 'C', '1.0'), ('probe', 'rounds', '200'), ('pairs', 'gap', '5')) t(scope, parameter, value)")
+@query("""WITH s AS (SELECT o_orderstatus AS scope, CAST(count(*) AS VARCHAR) AS n_orders, CAST(min(o_orderkey) AS VARCHAR) AS first_key, CASE WHEN o_orderstatus <> 'F' THEN CAST(count(DISTINCT o_orderpriority) AS VARCHAR) END AS priorities FROM orders GROUP BY 1)
+SELECT scope, parameter, value FROM s UNPIVOT (value FOR parameter IN (n_orders, first_key, priorities))""")
 def fixed_settings(spark, sf):
-    return reports.fixed_configurations(spark, {"probe": {"C": 1.0, "rounds": 200}, "pairs": {"gap": 5}})
+    o = read(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n_orders"), F.min("o_orderkey").alias("first_key"), F.count_distinct("o_orderpriority").alias("p"))
+    o = o.withColumn("priorities", F.when(F.col("o_orderstatus") != "F", F.col("p")))
+    return reports.protocol_rows(o, "o_orderstatus", ["n_orders", "first_key", "priorities"])
 
 
 @query("SELECT n_nationkey, CAST(row_number() OVER (ORDER BY CASE n_regionkey WHEN 2 THEN 1 WHEN 0 THEN 2 ELSE 3 END, n_nationkey) AS BIGINT) AS place FROM nation")
 def ordered_table(spark, sf):
     n = read(spark, sf, "nation").withColumn("r", F.col("n_regionkey").cast("string"))
-    return reports.ordered(n, "r", ["2", "0"], "n_nationkey").coalesce(1).select("n_nationkey", (F.monotonically_increasing_id() + 1).alias("place"))
+    return sampling.in_order(n, reports.in_given_order("r", ["2", "0"], "n_nationkey")).select("n_nationkey", "place")
 
 
 @query("SELECT c_mktsegment, count(*) AS n, round(quantile_cont(c_acctbal, 0.25), 4) AS q25, round(quantile_cont(c_acctbal, 0.5), 4) AS median, round(quantile_cont(c_acctbal, 0.75), 4) AS q75 FROM customer GROUP BY 1")

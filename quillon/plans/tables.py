@@ -30,9 +30,9 @@ def link_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.with_vectors(pairs.matched_pairs(seg, "vec_id", "label", "ref", gap=5, seed=42), seg, "vec_id", "v", ("score", F.round(vectors.cosine("a", "b"), 6))).select("key_a", "key_b", "label", "score")
 
 
-def gallery_scores(spark: SparkSession, sf_dir: str, queries: int | None = None, others: int = 9) -> DataFrame:
+def gallery_scores(spark: SparkSession, sf_dir: str, queries: int | None = None, others: int = 9, trues: int = 1) -> DataFrame:
     seg = vector_segments(spark, sf_dir)
-    rows = gallery.gallery(seg, "vec_id", "label", "ref", queries, others, gap=5, seed=42)
+    rows = gallery.gallery(seg, "vec_id", "label", "ref", queries, others, gap=5, seed=42, trues=trues)
     return gallery.scored(rows, seg, "vec_id", "v").withColumn("score", F.round("score", 6))
 
 

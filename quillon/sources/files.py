@@ -61,6 +61,23 @@ def required(spark: SparkSession, paths: list[str], fmt: str = "parquet", **opti
     return spark.read.format(fmt).options(**options).load(paths)
 
 
+#: Formats of exported tables: Spark's writer and its options.
+EXPORTS = {"csv": ("csv", {"header": "true"}), "csv.gz": ("csv", {"header": "true", "compression": "gzip"}), "json": ("json", {"ignoreNullFields": "false"}), "parquet": ("parquet", {})}
+
+
+def exported(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """Metrics, summaries or predictions for other tools, as a folder of files of one kind; what was there is replaced.
+
+    In csv, arrays and maps are written as JSON, since csv has no such types.
+    """
+    if kind not in EXPORTS:
+        raise ValueError(f"{kind}: not one of {sorted(EXPORTS)}")
+    fmt, options = EXPORTS[kind]
+    if fmt == "csv":
+        df = df.select(*(F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes))
+    df.write.mode("overwrite").format(fmt).options(**options).save(path)
+
+
 def public_copy(df: DataFrame, path: str, columns: list[str]) -> None:
     """The allowed columns as CSV; an error if one identifies someone or isn't there."""
     if bad := [c for c in columns if c in IDENTIFIERS or c not in df.columns]:

@@ -180,3 +180,75 @@ def test_runs_over_models_seeds_and_columns(spark):
     segs = df.select("key", "record", "ref", F.array("a", "b").alias("v"))
     got = models.linkability_runs(segs, "key", "record", "ref", "v", ["logistic"], [1], most=100).collect()
     assert sorted((r.model, r.seed) for r in got) == [("logistic", 1)]
+
+
+@pytest.mark.parametrize("low,high,fs,chunk", [(0.5, 40.0, 500.0, 300), (5.0, 40.0, 250.0, 1 << 15), (1.0, 20.0, 100.0, 7)])
+def test_chunks_are_filtered_as_whole_recordings(spark, low, high, fs, chunk):
+    rng = np.random.default_rng(1)
+    whole = {"a": rng.normal(size=2003) + 5, "b": np.cumsum(rng.normal(size=chunk if chunk < 1000 else 900)), "c": rng.normal(size=3), "d": np.array([2.0])}
+    df = spark.createDataFrame([(r, k, float(v)) for r, x in whole.items() for k, v in enumerate(x)], "record string, idx int, value double").repartition(5)
+    got = {}
+    for r in signal.bandpass_in_chunks(df, low, high, fs, 4, chunk).collect():
+        got.setdefault(r.record, {})[r.idx] = r.value
+    b, a = dsp.butter_bandpass(low, high, fs, 4)
+    for r, x in whole.items():
+        y = dsp.filtfilt(b, a, x)
+        assert sorted(got[r]) == list(range(len(x)))
+        # At a thousandth of fs the direct form itself is good to some 1e-4 only.
+        assert np.allclose([got[r][k] for k in range(len(x))], y, atol=(1e-9 if low / fs > 0.005 else 1e-3) * max(1, np.abs(y).max()))
+
+
+def test_modes_are_the_filter():
+    x = np.random.default_rng(2).normal(size=1000)
+    for low, high, fs, order in ((5.0, 40.0, 250.0, 4), (1.0, 20.0, 100.0, 3), (0.5, 4.0, 10.0, 1)):
+        b, a = dsp.butter_bandpass(low, high, fs, order)
+        m = dsp.Modes(low, high, fs, order)
+        y, end = m.run(x)
+        assert np.allclose(y, dsp.lfilter(b, a, x[:, None], np.zeros((2 * order, 1)))[:, 0], atol=1e-10)
+        for cut in (1, 128, 500):  # two parts, linked by the state
+            (p, s), (q, t) = m.run(x[:cut]), m.run(x[cut:])
+            assert np.allclose(np.concatenate([p, q + m.answer(s, len(q))]), y, atol=1e-10) and np.allclose(m.carried(s, len(q)) + t, end, atol=1e-10)
+        assert np.allclose(m.answer(m.steady(), 3), (m.steady() * m.weights * m.poles ** np.arange(1, 4)[:, None]).sum(1).real)
+
+
+@pytest.mark.parametrize("kind", ["csv", "csv.gz", "json", "parquet"])
+def test_exports(spark, tmp_path, kind):
+    df = spark.createDataFrame([("a", 1.5, [1, 2]), ("b", None, [])], "name string, x double, v array<int>")
+    for _ in range(2):
+        files.exported(df, str(tmp_path / "out"), kind)
+    names = [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("part")]
+    assert names and all(n.endswith(kind if kind != "parquet" else ".parquet") for n in names)
+    back = spark.read.option("header", "true").option("inferSchema", "true").format(kind.split(".")[0]).load(str(tmp_path / "out")) if kind != "json" else spark.read.json(str(tmp_path / "out"))
+    got = {r["name"]: (r.x, r.v) for r in back.collect()}
+    assert got == {"a": (1.5, "[1,2]" if "csv" in kind else [1, 2]), "b": (None, "[]" if "csv" in kind else [])}
+    with pytest.raises(ValueError):
+        files.exported(df, str(tmp_path / "out"), "npz")
+
+
+@pytest.mark.parametrize("low,high,fs,order", [(0.5, 40.0, 500.0, 4), (0.5, 4.0, 10.0, 1), (5.0, 15.0, 100.0, 3)])
+def test_band_pass_has_the_response_of_its_definition(low, high, fs, order):
+    """The squared gain 1 / (1 + ((w^2 - low high) / (w (high - low)))^(2 order)) at warped frequencies, not by poles."""
+    b, a = dsp.butter_bandpass(low, high, fs, order)
+    f = np.linspace(0.01, 0.49, 200) * fs
+    z = np.exp(-2j * np.pi * f / fs)
+    gain = np.abs(np.polyval(b[::-1], z) / np.polyval(a[::-1], z)) ** 2
+    w, lo, hi = (np.tan(np.pi * np.asarray(x) / fs) for x in (f, low, high))
+    assert np.allclose(gain, 1 / (1 + ((w**2 - lo * hi) / (w * (hi - lo))) ** (2 * order)), atol=1e-6)
+
+
+@pytest.mark.parametrize("chunk", [5, 40, 1 << 15])
+def test_peaks_over_chunk_edges(spark, chunk):
+    rng = np.random.default_rng(6)
+    t = np.arange(600) / 100
+    whole = {
+        "noise": np.round(rng.normal(size=600) * 2), "flat": np.repeat(np.round(rng.normal(size=60) * 3), 10), "wave": np.sin(2 * np.pi * 1.3 * t) + 0.2 * rng.normal(size=600),
+        "stairs": np.concatenate([np.arange(100.0), np.arange(100.0)[::-1]]), "same": np.full(80, 2.0), "one": np.array([1.0]), "edge": np.array([5.0, 1, 4, 1, 5]), "long": np.concatenate([[0.0], np.full(90, 3.0), [0.0, 1, 0]]),
+    }
+    df = spark.createDataFrame([(r, k, float(v)) for r, x in whole.items() for k, v in enumerate(x)], "record string, idx int, value double").repartition(4)
+    for seconds, percentile in ((0.2, 75.0), (0.0, None)):
+        got = {r: [] for r in whole}
+        for r in signal.peaks_in_chunks(df, 100.0, seconds, 0.5, percentile, chunk).collect():
+            got[r.record].append(r.idx)
+        for r, x in whole.items():
+            least = None if percentile is None else float(np.percentile(x, percentile))
+            assert sorted(got[r]) == dsp.find_peaks(x, max(1, int(seconds * 100)), max(0.1, 0.5 * x.std()), least).tolist(), (r, chunk)
