@@ -171,7 +171,7 @@ def permutation_importance(known: DataFrame, test: DataFrame, columns: list[str]
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                x, new = matrix(part["x"], width), matrix(part["new"], width * repeats)
+                x, new = matrix(part["x"], width).copy(), matrix(part["new"], width * repeats)
                 out = np.empty((len(x), 1 + width * repeats))
                 out[:, 0] = predict(x)
                 for i in range(width):
