@@ -52,13 +52,13 @@ def decode(train: DataFrame, test: DataFrame, x: list[str], y: list[str], names:
     return out.select(*test.columns, *(F.get("_z", F.lit(k)).alias(n) for k, n in enumerate(names)))
 
 
-def decode_vectors(train: DataFrame, test: DataFrame, x: list[str], target: str, name: str, dim: int, kind: str = "ridge", key: str | None = None, seed: int = 0, **how) -> DataFrame:
+def decode_vectors(train: DataFrame, test: DataFrame, x: list[str], target: str, name: str, dim: int, kind: str = "ridge", key: str | None = None, seed: int = 0, parts: lowrank.LowRank | None = None, **how) -> DataFrame:
     """test with `name`, an estimate of the array column `target`, of any width, from x.
 
     The decoder, fitted on imputed and scaled x, predicts the scaled scores of the targets' first `dim` components; both
-    are fitted on train. Arrow batches of very wide targets should have few rows (see `lowrank`).
+    are fitted on train, unless the components are given as `parts`. Arrow batches of very wide targets should have few rows (see `lowrank`).
     """
-    parts, fx = lowrank.fit(train, target, dim, seed=seed), transforms.fit(train, x, "standard")
+    parts, fx = parts or lowrank.fit(train, target, dim, seed=seed), transforms.fit(train, x, "standard")
     inputs, scores, found = ([f"{p}{k}_" for k in range(n)] for p, n in (("x", len(x)), ("s", len(parts.variance)), ("p", len(parts.variance))))
     scaled = [c.alias(n) for c, n in zip(fx.scaled(), inputs)]
     own = parts.scores(train.filter(F.col(target).isNotNull()).select(*([key] if key else []), target, *scaled), target, "z_").select("*", *(F.get("z_", F.lit(k)).alias(n) for k, n in enumerate(scores)))
@@ -66,9 +66,9 @@ def decode_vectors(train: DataFrame, test: DataFrame, x: list[str], target: str,
     return parts.inverse(out.select(*test.columns, F.array(*found).alias("z_")), "z_", name).drop("z_")
 
 
-def ceiling_vectors(train: DataFrame, test: DataFrame, target: str, name: str, dim: int, seed: int = 0) -> DataFrame:
+def ceiling_vectors(train: DataFrame, test: DataFrame, target: str, name: str, dim: int, seed: int = 0, parts: lowrank.LowRank | None = None) -> DataFrame:
     """test with the target after a round trip through the components: the best that such a decoder can do."""
-    parts = lowrank.fit(train, target, dim, seed=seed)
+    parts = parts or lowrank.fit(train, target, dim, seed=seed)
     return parts.inverse(parts.scores(test, target, "z_"), "z_", name).drop("z_")
 
 

@@ -65,3 +65,19 @@ def test_decoders_predict_scores(spark, kind):
     error, plain = ((np.stack(p.w) - x[240:]) ** 2).mean(), ((x[:240].mean(0) - x[240:]) ** 2).mean()
     best = reconstruct.ceiling_vectors(train, test, "v", "w", 4).toPandas().sort_values("id")
     assert error < 0.05 * plain and ((np.stack(best.w) - x[240:]) ** 2).mean() <= error + 1e-12
+
+
+def test_word_vectors_in_one_scan(spark, tmp_path):
+    """Counts by bucket as they are by definition, stored once and without a shuffle; each pass reads the table."""
+    from quillon.plans import people
+
+    texts = [(1, "a b a", 5), (2, "", 0), (3, None, 0), (4, " ".join(f"w{k % 700}" for k in range(3000)), 9), (None, "a", 1)]
+    spark.createDataFrame(texts, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    d = people.word_vectors(spark, str(tmp_path), 16)
+    assert hasattr(d, "stored_at") and "Exchange" not in d._jdf.queryExecution().toString()
+    got = {r.doc_id: list(r.v) for r in d.collect()}
+    assert sorted(got) == [1, 2, 4]  # without a text or a doc_id there is no vector
+    words = {k: t.split(" ") for k, t, _ in texts if k in got}
+    every = sorted({w for v in words.values() for w in v})
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in every], "w string").selectExpr("w", "pmod(xxhash64(w), 16) AS b").collect()}
+    assert got == {k: [float(sum(bucket[w] == b for w in v)) for b in range(16)] for k, v in words.items()}
