@@ -1,5 +1,6 @@
 """Draws of partners: whoever has one gets one, and each valid partner is as likely as any other."""
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -80,3 +81,20 @@ def test_gallery_of_one_and_many(spark):
         others = [r.candidate % 150 for r in own if not r.label]
         assert len(others) == len(set(others)) == 99 and q % 150 not in others
     assert len({r.query for r in got}) == 20
+
+
+def test_a_bounded_draw_of_all_pairs_lists_none(spark):
+    """`most` of all pairs: distinct, at the gap, even over records by their pairs, and no plan that joins a record to itself."""
+    segs = spark.createDataFrame([(r, k, r * 1000 + k) for r, n in ((0, 300), (1, 150), (2, 1), (3, 2)) for k in range(n)], "record int, ref int, key int")
+    plan = pairs.positive_pairs(segs, "record", "ref", gap=2, most=400, seed=3)
+    got = [(r.record, r.ref_a, r.ref_b) for r in plan.collect()]
+    assert len(got) == len(set(got)) == 400 and all(b - a >= 2 for _, a, b in got)
+    share = sum(r == 0 for r, _, _ in got) / 400
+    want = 299 * 298 / (299 * 298 + 149 * 148)
+    assert abs(share - want) < 0.1 and len({a for r, a, _ in got if r == 0}) > 100
+    text = plan._jdf.queryExecution().analyzed().toString().replace("\n", " ")
+    assert "ref_b" in text and not re.search(r"ref_b#\d+ - ref_a#\d+\) >=", text)
+    again = pairs.positive_pairs(segs.repartition(7), "record", "ref", gap=2, most=400, seed=3).collect()
+    assert set(got) == {(r.record, r.ref_a, r.ref_b) for r in again}
+    few = pairs.positive_pairs(segs.filter("record = 3"), "record", "ref", gap=0, most=400)
+    assert [(r.ref_a, r.ref_b) for r in few.collect()] == [(0, 1)]
