@@ -59,8 +59,11 @@ def identities(documents: DataFrame, block: int = BLOCK, hashed: Callable[[Colum
     done = [state.filter("n = 1").select("rid", F.lit(0).alias("level"), "name")]
     while longest > 1:
         pairs = written(_pairs(state), "pairs")
-        used.append(pairs)
-        state = _renamed(pairs, pairs.groupBy("a", "b").agg(F.count("*").alias("times")), ["a", "b"], pairs.count())
+        # Stored, so that the driver never has the plans and broadcasts of all levels at once.
+        distinct = written(_named(pairs.groupBy("a", "b").agg(F.count("*").alias("times")), ["a", "b"]), "distinct")
+        state = written(keyed_join(pairs, distinct, ["a", "b"], "times", pairs.count()).select("rid", "idx", "n", "name"), "names")
+        discard(pairs, distinct)
+        used.append(state)
         longest, level = (longest + 1) // 2, level + 1
         done.append(state.filter("n = 1").select("rid", F.lit(level).alias("level"), "name"))
     ids = done[0]

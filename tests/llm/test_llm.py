@@ -360,3 +360,21 @@ def test_pipeline(spark, tmp_path, learning):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         d = stage(spark, d, str(tmp_path))
         assert d.columns == full.columns
+
+
+def test_names_of_long_texts_come_from_short_plans(spark, monkeypatch):
+    """Whatever the number of levels, no stored step joins the steps of two levels: each level is a table of its own."""
+    from quillon.llm import exact_dedup
+
+    joins, stored = [], exact_dedup.written
+
+    def counted(df, name, *by):
+        joins.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Join ")))
+        return stored(df, name, *by)
+
+    monkeypatch.setattr(exact_dedup, "written", counted)
+    texts = ["x" * 40, "x" * 40, "".join(map(chr, range(65, 105))), "y", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs, block=2).collect()}
+    assert got == {0: 1, 1: 1, 2: 2, 3: 3, 4: 5, 5: 5}
+    assert max(n for _, n in joins) <= 4, joins
