@@ -63,3 +63,14 @@ def test_hard_negatives_take_turns(spark):
     seg = spark.range(400).select(F.col("id").alias("key"), (F.col("id") % 8).alias("record"), F.array((F.col("id") % 8).cast("double")).alias("v"))
     got = [tuple(r) for r in pairs.hard_negatives(seg, "key", "record", "v", 100, 2).collect()]
     assert len(got) == len(set(got)) == 100 and all(a % 8 != b % 8 and a < b for a, b in got)
+
+
+def test_a_utility_run_stores_its_split(spark, monkeypatch):
+    """Fits read one stored table of the split, not the joins that made it."""
+    from quillon.operators import models
+
+    names, stored = [], models.written
+    monkeypatch.setattr(models, "written", lambda d, name: names.append(name) or stored(d, name))
+    d = spark.range(200).selectExpr("id % 20 AS record", "cast(id % 2 AS string) AS label", "cast(id % 7 + id % 2 * 3 AS double) AS x")
+    assert models.utility(d, "record", ["x"], "label").count() == 1
+    assert names.count("split") == 1 and names.count("scored") == 2
