@@ -98,9 +98,9 @@ def under_conditions(known: dict[str, DataFrame], views: DataFrame, x: list[str]
     out = []
     for t, conditions in models.ATTACKED.items():
         own, train = rows.filter(F.col("condition").isin(conditions)), known[t].withColumn(target, F.col(target).cast("array<double>"))
-        mean = lowrank.fit(train, target, dim, seed=seed).mean
-        found = {kind: decode_vectors(train, own, x, target, "estimate_", dim, kind, key, seed, **how) for kind in kinds}
-        found["train_mean"] = own.withColumn("estimate_", F.array(*(F.lit(float(m)) for m in mean)))
-        found["pca_ceiling"] = ceiling_vectors(train, own, target, "estimate_", dim, seed)
+        parts = lowrank.fit(train, target, dim, seed=seed)
+        found = {kind: decode_vectors(train, own, x, target, "estimate_", dim, kind, key, seed, parts, **how) for kind in kinds}
+        found["train_mean"] = own.withColumn("estimate_", F.array(*(F.lit(float(m)) for m in parts.mean)))
+        found["pca_ceiling"] = ceiling_vectors(train, own, target, "estimate_", dim, seed, parts)
         out += [vector_errors(d.select("condition", target, "estimate_"), target, "estimate_", ["condition"]).select(F.lit(t).alias("train_condition"), "condition", F.lit(n).alias("decoder"), "n", "rmse", "prd") for n, d in found.items()]
     return reduce(DataFrame.unionByName, out)

@@ -81,3 +81,15 @@ def test_word_vectors_in_one_scan(spark, tmp_path):
     every = sorted({w for v in words.values() for w in v})
     bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in every], "w string").selectExpr("w", "pmod(xxhash64(w), 16) AS b").collect()}
     assert got == {k: [float(sum(bucket[w] == b for w in v)) for b in range(16)] for k, v in words.items()}
+
+
+def test_conditions_fit_components_once_a_training_side(spark, monkeypatch):
+    from quillon.operators import reconstruct
+
+    fits, fit = [], lowrank.fit
+    monkeypatch.setattr(lowrank, "fit", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    rows = [(k, float(k), [float(k), float(k % 3), 1.0 - k]) for k in range(12)]
+    train = spark.createDataFrame(rows, "query int, x0 double, target array<double>")
+    views = spark.createDataFrame([(q, c, [x], t) for q, x, t in rows for c in ("single", "oracle")], "query int, condition string, x array<double>, target array<double>")
+    out = reconstruct.under_conditions({"single": train, "oracle": train}, views, ["x0"], "target", "query", 2)
+    assert len(fits) == 2 and out.columns == ["train_condition", "condition", "decoder", "n", "rmse", "prd"]
