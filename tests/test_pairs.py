@@ -74,3 +74,16 @@ def test_a_utility_run_stores_its_split(spark, monkeypatch):
     d = spark.range(200).selectExpr("id % 20 AS record", "cast(id % 2 AS string) AS label", "cast(id % 7 + id % 2 * 3 AS double) AS x")
     assert models.utility(d, "record", ["x"], "label").count() == 1
     assert names.count("split") == 1 and names.count("scored") == 2
+
+
+def test_ordered_pairs_of_one_record_are_spread_over_tasks(spark):
+    """Blocks against brute force, with repeated refs and nulls; no task has most of a record's pairs."""
+    rows = [("hot", r) for r in [*range(300), 7, 7]] + [("few", 5), ("few", 9), ("one", 3), (None, 1), (None, 9), ("few", None)]
+    seg = spark.createDataFrame(rows, "record string, ref long").repartition(3)
+    for gap in (0, 40):
+        out = pairs.ordered_pairs(seg, "record", "ref", gap, size=16)
+        got = sorted(tuple(r) for r in out.collect())
+        assert got == sorted((a, x, y) for a, x in rows for b, y in rows if a == b and None not in (a, x, y) and x != y and abs(x - y) >= gap)
+        tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(tasks) > 1 and max(tasks) < 0.6 * len(got)
+    assert pairs.ordered_pairs(seg.limit(0), "record", "ref", 1).count() == 0
