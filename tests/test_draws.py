@@ -98,3 +98,19 @@ def test_a_bounded_draw_of_all_pairs_lists_none(spark):
     assert set(got) == {(r.record, r.ref_a, r.ref_b) for r in again}
     few = pairs.positive_pairs(segs.filter("record = 3"), "record", "ref", gap=0, most=400)
     assert [(r.ref_a, r.ref_b) for r in few.collect()] == [(0, 1)]
+
+
+@pytest.mark.parametrize("gap", [0, 2.5])
+def test_small_records_give_the_same_pairs_in_one_shuffle(spark, gap):
+    rng = np.random.default_rng(4)
+    rows = [(None if k == 3 else f"r{int(r)}", None if k == 9 else float(x)) for k, (r, x) in enumerate(zip(rng.integers(0, 9, 240) ** 2 // 9, rng.permutation(240) / 2))]
+    df = spark.createDataFrame(rows, "record string, ref double").repartition(3)
+    ranged, mixed, alone = (draws.drawn_pairs(df, "record", "ref", gap, 7, 5, small=n) for n in (0, 30, 400))
+    want = sorted(map(tuple, ranged.collect()))
+    assert want == sorted(map(tuple, mixed.collect())) == sorted(map(tuple, alone.collect())) and len(want) > 20
+    assert all(b > a and b - a >= gap for _, a, b in want)
+    first = pairs.positive_pairs(df, "record", "ref", gap, per_record=7, most=11, seed=5)
+    order = pairs.ranked(ranged, pairs.hash_52("record", "ref_a", "ref_b", seed=5)).filter("rank_ <= 11").select("record", "ref_a", "ref_b")
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, order.collect()))
+    few = pairs.positive_pairs(segments(spark, 20, 5), "record", "ref", gap, per_record=7, most=11)
+    assert few._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
