@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import attacks, models, pairs
+from quillon.operators import models, pairs
 from quillon.plans import people
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +44,13 @@ def test_link_selection_is_whole(spark, sides, trained_on):
     assert trained_on == [{1: all_pairs(sides[0]), 0: all_pairs(sides[0])}]
 
 
+def test_attribute_conditions_is_whole(spark, sides, trained_on):
+    got = people.attribute_conditions(spark, SF).collect()
+    assert len(complete(sides[1])) > 100
+    assert {r.tp + r.fp + r.fn + r.tn for r in got} == {len(complete(sides[1]))} and len(got) == 4
+    assert trained_on == [{1: all_pairs(sides[0]), 0: all_pairs(sides[0])}]
+
+
 def test_negatives_beyond_a_heap_are_the_first_draws(spark, monkeypatch):
     df = spark.range(600).select(F.col("id").alias("key"), (F.col("id") % 30).alias("record"))
     few = pairs.random_negatives(df, "key", "record", 5000, 3).collect()
