@@ -51,6 +51,12 @@ def test_attribute_conditions_is_whole(spark, sides, trained_on):
     assert trained_on == [{1: all_pairs(sides[0]), 0: all_pairs(sides[0])}]
 
 
+def test_reconstruction_conditions_is_whole(spark, sides, trained_on):
+    got = people.reconstruction_conditions(spark, SF).collect()
+    assert {r.n for r in got} == {len(complete(sides[1]))} and len(got) == 12
+    assert trained_on == [{1: all_pairs(sides[0]), 0: all_pairs(sides[0])}]
+
+
 def test_negatives_beyond_a_heap_are_the_first_draws(spark, monkeypatch):
     df = spark.range(600).select(F.col("id").alias("key"), (F.col("id") % 30).alias("record"))
     few = pairs.random_negatives(df, "key", "record", 5000, 3).collect()
